@@ -52,3 +52,14 @@ def half_up(x: str, digits: int) -> str:
 def sig3(x: str) -> str:
     unit = f"CAST(pow(10, greatest(length(CAST({x} AS VARCHAR))-3,0)) AS BIGINT)"
     return f"((({x}) + {unit}//2)//{unit}*{unit})"
+
+ASSET_NOW = 1_000_000_000_000
+AS = f"""ast AS (SELECT 'T'||o_orderkey AS asset, o_orderpriority AS symbol, 'C'||o_custkey AS name,
+  CASE o_orderkey%7 WHEN 0 THEN 'HIGH_POTENTIAL' WHEN 1 THEN 'QUALIFIED' WHEN 2 THEN 'WATCH' WHEN 3 THEN 'INSUFFICIENT_DATA' WHEN 4 THEN 'HIGH_RISK' WHEN 5 THEN 'REJECTED' END AS verdict,
+  {ASSET_NOW}-(o_custkey%180)*60000 AS at_ms, floor(o_totalprice/500+0.5)/10 AS score,
+  CASE WHEN o_orderkey%7<>5 AND o_orderkey%5<>0 THEN floor(o_totalprice/500+0.5)/10-5 END AS rank_score,
+  CASE WHEN o_orderkey%11<>0 THEN o_totalprice END AS liquidity, CASE WHEN o_orderkey%13<>0 THEN (o_orderkey%1000)::DOUBLE END AS age_hours,
+  CASE WHEN o_orderkey%17<>0 THEN (o_orderkey%200-100)::DOUBLE END AS change1h, CASE WHEN o_orderkey%19<>0 THEN 'S'||(o_orderkey%50) END AS pool,
+  epoch_us(o_orderdate)//1000 AS launched_at, o_orderkey AS seq FROM orders)"""
+PLACE = f"""pl AS (SELECT *, CASE WHEN verdict IS NULL THEN 'UNEVALUATED' WHEN greatest(0,{ASSET_NOW}-at_ms)>5400000 THEN 'STALE' ELSE 'LIVE' END AS universe,
+  CASE WHEN verdict IS NULL OR greatest(0,{ASSET_NOW}-at_ms)>5400000 THEN NULL WHEN greatest(0,{ASSET_NOW}-at_ms)<=1800000 THEN 'FRESH' ELSE 'AGING' END AS freshness FROM ast)"""

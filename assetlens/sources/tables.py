@@ -167,3 +167,24 @@ class Tables:
         c = self.read("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("address"), F.lit(True).alias("is_wallet"))
         s = self.read("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("address"), F.lit(False).alias("is_wallet"))
         return c.unionByName(s)
+
+    def assets(self) -> DataFrame:
+        """Current asset rows from orders: verdict, score, liquidity, age and last-seen time."""
+        k = F.col("o_orderkey")
+        verdict = F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.least(k % 7 + 1, F.lit(6)).cast("int"))
+        score = F.floor(F.col("o_totalprice") / 500 + 0.5) / 10.0
+        return self.read("orders").select(
+            F.concat(F.lit("T"), k.cast("string")).alias("asset"), F.col("o_orderpriority").alias("symbol"),
+            F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("name"),
+            F.when(k % 7 < 6, verdict).alias("verdict"),
+            (F.lit(ASSET_NOW) - (F.col("o_custkey") % 180) * 60_000).alias("at"), score.alias("score"),
+            F.when((k % 7 != 5) & (k % 5 != 0), score - 5).alias("rank_score"),
+            F.when(k % 11 != 0, F.col("o_totalprice")).alias("liquidity"),
+            F.when(k % 13 != 0, (k % 1000).cast("double")).alias("age_hours"),
+            F.when(k % 17 != 0, (k % 200 - 100).cast("double")).alias("change1h"),
+            F.when(k % 19 != 0, F.concat(F.lit("S"), (k % 50).cast("string"))).alias("pool"),
+            millis("o_orderdate").alias("launched_at"), k.alias("seq"),
+        )
+
+
+ASSET_NOW = 1_000_000_000_000
