@@ -202,10 +202,13 @@ def pick_highlights(live: DataFrame, changes: DataFrame, now: int, n: int = 8, c
         top = df.orderBy(*order).limit(2 * n).select("asset", F.row_number().over(Window.orderBy(*order)).alias("_r"))
         one = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "asset"))), lambda x: x["asset"]).alias(role))
         row = one if row is None else row.crossJoin(one)  # one row each
-    picked = F.array().cast("array<struct<asset:string,role:string>>")
-    row = row.withColumn("picked", picked)
-    for role in HIGHLIGHT_ROLES + ["top"] * n:
-        free = F.get(F.array_except(F.col(role), F.transform("picked", lambda x: x["asset"])), F.lit(0))
-        add = F.concat("picked", F.array(F.struct(free.alias("asset"), F.lit(role).alias("role"))))
-        row = row.withColumn("picked", F.when((F.size("picked") < n) & free.isNotNull(), add).otherwise(F.col("picked")))
+    by_role = F.create_map(*[x for role in lists for x in (F.lit(role), F.col(role))])
+    steps = F.array(*[F.lit(r) for r in HIGHLIGHT_ROLES + ["top"] * n])
+
+    def fill(acc, role):
+        free = F.get(F.array_except(F.element_at(F.col("by_role"), role), F.transform(acc, lambda x: x["asset"])), F.lit(0))
+        return F.when((F.size(acc) < n) & free.isNotNull(), F.concat(acc, F.array(F.struct(free.alias("asset"), role.alias("role"))))).otherwise(acc)
+
+    start = F.array().cast("array<struct<asset:string,role:string>>")
+    row = row.select(by_role.alias("by_role"), steps.alias("steps")).select(F.aggregate("steps", start, fill).alias("picked"))
     return row.select(F.posexplode("picked").alias("slot", "p")).select("slot", "p.*")

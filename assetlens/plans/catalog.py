@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from assetlens.plans import q_wash, q_graph, q_security, q_tables  # noqa: F401
+from assetlens.plans import q_wash, q_graph, q_security, q_tables, q_history  # noqa: F401

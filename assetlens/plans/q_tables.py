@@ -327,3 +327,9 @@ def retention(t):
         r = out[name].agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
         u = r if u is None else u.unionByName(r)
     return u
+
+
+def findings_sql(asset: str) -> str:
+    """Stored findings over the event tape, stated in SQL."""
+    return f"""fnd AS (SELECT {asset} AS asset, event_id AS id, CASE event_type WHEN 'purchase' THEN 'CONFIRMED' WHEN 'signup' THEN 'STRONGLY_SUSPECTED' ELSE 'SUSPICIOUS' END AS status,
+  CASE WHEN k%4=0 THEN 'v0' ELSE 'v1' END AS rv, CASE WHEN k%9=0 THEN at_ms END AS sup, at_ms FROM ev)"""
