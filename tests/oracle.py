@@ -102,7 +102,7 @@ def main(argv):
         try:
             why = compare(spark, con, sf_dir, n)
         except Exception as e:  # noqa: BLE001
-            why = f"{type(e).__name__}: {str(e)[:700]}"
+            why = f"{type(e).__name__}: {str(e)[:420]}"
         bad += why is not None
         print(f"{'ok ' if why is None else 'BAD'} {n} {time.time() - t:.1f}s {why or ''}", flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
