@@ -116,7 +116,7 @@ def fmt_usd(c) -> Column:
     a = F.abs(c)
 
     def num(x, d):
-        return F.concat(F.lit("$"), F.format_string(f"%.{d}f", x))
+        return F.concat(F.lit("$"), F.format_string(f"%.{d}f", half_up(x, d)))
 
     return (
         F.when(c.isNull() | F.isnan(c), F.lit("-"))
@@ -134,6 +134,6 @@ def fmt_age(hours) -> Column:
     return (
         F.when(h.isNull(), F.lit("-"))
         .when(h < 1, F.concat(F.floor(h * 60 + 0.5).cast("string"), F.lit("m")))
-        .when(h < 48, F.concat(F.format_string("%.1f", h), F.lit("h")))
-        .otherwise(F.concat(F.format_string("%.1f", h / 24), F.lit("d")))
+        .when(h < 48, F.concat(F.format_string("%.1f", half_up(h, 1)), F.lit("h")))
+        .otherwise(F.concat(F.format_string("%.1f", half_up(h / 24, 1)), F.lit("d")))
     )
