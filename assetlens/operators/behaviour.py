@@ -293,7 +293,7 @@ def holder_roles(holders: DataFrame, owners: DataFrame, address_dim: DataFrame,
     g = h.groupBy("asset").agg(
         F.max("supply").alias("supply"), F.count("*").alias("total"), F.count("owner").alias("resolved"),
         F.count_if(F.col("role") == "UNKNOWN").alias("_unk"),
-        *[F.sum(F.when(F.col("role") == r, exact_ratio("amount", "supply")).otherwise(0.0)).alias(r.lower() + "_share") for r in roles],
+        *[F.sum(F.when(F.col("role") == r, exact_ratio("amount", "supply").cast("decimal(18,9)")).otherwise(0)).cast("double").alias(r.lower() + "_share") for r in roles],
     )
     return g.join(top, "asset", "left").join(wal, "asset", "left").select(
         "asset", "total", "resolved", exact_ratio("raw10", "supply").alias("raw_top10_share"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from assetlens.operators import decide as D
 from assetlens.operators import place as P
 from assetlens.plans.registry import query
-from assetlens.plans.sqltext import AS, EV, half_up as hu
+from assetlens.plans.sqltext import AS, EV, PLACE, half_up as hu
 from assetlens.sources.tables import ASSET_NOW as NOW
 
 H = 3_600_000
@@ -309,9 +309,12 @@ BLOCK = f"""list_filter([CASE WHEN market_coverage<0.7 THEN 'market_coverage' EN
   CASE WHEN NOT {RISING} THEN 'momentum' END, CASE WHEN {RISING} AND momentum_confidence<0.5 THEN 'momentum_confidence' END], lambda x: x IS NOT NULL)"""
 
 
-@query("D15 D16", f"""WITH {INTEG}, {OPP}, {HF}, hn AS (SELECT asset, count(*) AS nf FROM hf GROUP BY 1), ve AS (SELECT opp.*, inte.* EXCLUDE (asset), coalesce(nf,0) AS nf FROM opp JOIN inte ON opp.asset=inte.asset LEFT JOIN hn ON hn.asset=opp.asset), vf AS (SELECT *, {BLOCK} AS bl FROM ve),
- vg AS (SELECT *, CASE WHEN nf>0 THEN 'REJECTED' WHEN market_coverage<0.35 THEN 'INSUFFICIENT_DATA' WHEN integrity_band IN ('HIGH','SEVERE') THEN 'HIGH_RISK' WHEN market_coverage<0.6 THEN 'WATCH' WHEN len(bl)=0 THEN 'HIGH_POTENTIAL' ELSE 'QUALIFIED' END AS verdict FROM vf)
- SELECT asset, verdict, CASE verdict WHEN 'WATCH' THEN 'market_coverage' WHEN 'QUALIFIED' THEN array_to_string(bl,',') ELSE '' END AS blockers, CASE WHEN verdict<>'REJECTED' THEN {hu('least(100.0::DOUBLE,greatest(0.0::DOUBLE,opportunity-40*integrity_risk-10*(1-integrity_coverage)))', 1)} END AS rank_score FROM vg""")
+VERDICT = f"""{INTEG}, {OPP}, {HF}, hn AS (SELECT asset, count(*) AS nf FROM hf GROUP BY 1), ve AS (SELECT opp.*, inte.* EXCLUDE (asset), coalesce(nf,0) AS nf FROM opp JOIN inte ON opp.asset=inte.asset LEFT JOIN hn ON hn.asset=opp.asset), vf AS (SELECT *, {BLOCK} AS bl FROM ve),
+ vg AS (SELECT *, CASE WHEN nf>0 THEN 'REJECTED' WHEN market_coverage<0.35 THEN 'INSUFFICIENT_DATA' WHEN integrity_band IN ('HIGH','SEVERE') THEN 'HIGH_RISK' WHEN market_coverage<0.6 THEN 'WATCH' WHEN len(bl)=0 THEN 'HIGH_POTENTIAL' ELSE 'QUALIFIED' END AS verdict FROM vf),
+ vh AS (SELECT asset, verdict, CASE verdict WHEN 'WATCH' THEN 'market_coverage' WHEN 'QUALIFIED' THEN array_to_string(bl,',') ELSE '' END AS blockers, CASE WHEN verdict<>'REJECTED' THEN {hu('least(100.0::DOUBLE,greatest(0.0::DOUBLE,opportunity-40*integrity_risk-10*(1-integrity_coverage)))', 1)} END AS rank_score FROM vg)"""
+
+
+@query("D15 D16", f"WITH {VERDICT} SELECT * FROM vh")
 def verdicts(t):
     v, _, _ = decided(t)
     return v.select("asset", "verdict", F.array_join("blockers", ",").alias("blockers"), "rank_score")
@@ -322,14 +325,14 @@ def verdict_reasons(t):
     return D.reasons(*decided(t))
 
 
-@query("D21")
+@query("D21", f"WITH {VERDICT} SELECT ast.asset, vh.verdict, vh.verdict AS state, ast.verdict AS previous_state, vh.rank_score FROM ast JOIN vh ON vh.asset=ast.asset")
 def applied_decisions(t):
     v, _, _ = decided(t)
     snap = t.assets().withColumn("state", F.col("verdict")).drop("rank_score")
     return D.apply_decision(snap, v).select("asset", "verdict", "state", "previous_state", "rank_score")
 
 
-@query("D19")
+@query("D19", f"""WITH {VERDICT}, {PLACE}, x AS (SELECT pl.asset, pl.verdict AS from_verdict, vh.verdict AS to_verdict, seq%10=0 AS "primary", pl.verdict<>vh.verdict AS changed FROM pl JOIN vh ON vh.asset=pl.asset WHERE universe='LIVE' AND seq%10<2) SELECT * FROM x WHERE "primary" OR changed""")
 def redecided(t):
     v, _, _ = decided(t)
     a = t.assets()

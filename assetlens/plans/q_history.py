@@ -265,17 +265,44 @@ def new_flag_alerts(t):
 # ---- folds and calibration -------------------------------------------------------------
 
 
-@query("S23")
+def stable_sql(hold: str) -> str:
+    """The confirmation fold, one reading of every asset per recursion step; defines ``sv``."""
+    fresh = f"o.observed_at-r.observed_at>{hold}" if hold else "false"
+    keep = f"({fresh}) OR o.tier>=r.cur"
+    done = "r.n+1>=2"
+    return f"""{VD}, so AS (SELECT *, {tier('verdict')} AS tier, row_number() OVER (PARTITION BY asset ORDER BY observed_at, seq) AS rn FROM vd),
+ rc AS (SELECT asset, rn, observed_at, seq, verdict, tier AS cur, -1 AS pend, 0 AS n FROM so WHERE rn=1 UNION ALL SELECT o.asset, o.rn, o.observed_at, o.seq, o.verdict, CASE WHEN {keep} THEN o.tier WHEN {done} THEN greatest(r.pend,o.tier) ELSE r.cur END,
+  CASE WHEN {keep} OR {done} THEN -1 ELSE greatest(r.pend,o.tier) END, CASE WHEN {keep} OR {done} THEN 0 ELSE r.n+1 END FROM rc r JOIN so o ON o.asset=r.asset AND o.rn=r.rn+1),
+ sv AS (SELECT asset, observed_at, seq, verdict, CASE cur WHEN 0 THEN 'HIGH_POTENTIAL' WHEN 1 THEN 'QUALIFIED' WHEN 2 THEN 'WATCH' WHEN 3 THEN 'INSUFFICIENT_DATA' WHEN 4 THEN 'HIGH_RISK' ELSE 'REJECTED' END AS stable FROM rc)"""
+
+
+STABLE_SQL = f"WITH RECURSIVE {stable_sql('3600000')} SELECT * FROM sv"
+
+
+def rel(a: str, b: str) -> str:
+    return f"coalesce(CASE WHEN {b}=0 THEN CASE WHEN {a}=0 THEN 0 ELSE 1 END ELSE abs({a}-{b})/abs({b}) END>=0.02, false)"
+
+
+BIG = f"abs(o.score-r.ls)>=1 OR coalesce(abs(o.coverage-r.lc)>=0.05,false) OR {rel('o.price', 'r.lp')} OR {rel('o.liquidity', 'r.ll')} OR {rel('o.price*10', 'r.lv')}"
+WHY = f"CASE WHEN o.verdict<>r.lvd THEN 'transition' WHEN {BIG} THEN 'material-change' WHEN o.observed_at-r.lt>=1800000 THEN 'heartbeat' END"
+THIN_SQL = f"""WITH RECURSIVE {VD}, to_ AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY observed_at, seq) AS rn FROM vd),
+ rt AS (SELECT asset, rn, observed_at, seq, verdict, 'first' AS reason, observed_at AS lt, verdict AS lvd, score AS ls, coverage AS lc, price AS lp, liquidity AS ll, price*10 AS lv FROM to_ WHERE rn=1
+  UNION ALL SELECT o.asset, o.rn, o.observed_at, o.seq, o.verdict, {WHY}, {', '.join(f"CASE WHEN {WHY} IS NOT NULL THEN {n} ELSE r.{k} END" for n, k in (('o.observed_at', 'lt'), ('o.verdict', 'lvd'), ('o.score', 'ls'), ('o.coverage', 'lc'), ('o.price', 'lp'), ('o.liquidity', 'll'), ('o.price*10', 'lv')))}
+  FROM rt r JOIN to_ o ON o.asset=r.asset AND o.rn=r.rn+1) SELECT asset, observed_at, seq, verdict, reason FROM rt WHERE reason IS NOT NULL"""
+
+
+@query("S23", THIN_SQL)
 def thinned_history(t):
-    return FO.thin_snapshots(t.verdicts().withColumn("volume24h", F.col("price") * 10))
+    return FO.thin_snapshots(t.verdicts().withColumn("volume24h", F.col("price") * 10)).select("asset", "observed_at", "seq", "verdict", "reason")
 
 
-@query("D17")
+@query("D17", STABLE_SQL)
 def stable_verdicts(t):
     return FO.stabilize(t.verdicts())
 
 
-@query("C07")
+@query("C07", f"""WITH RECURSIVE {stable_sql('')}, l AS (SELECT asset, verdict, stable, lag(verdict) OVER w AS v1, lag(verdict,2) OVER w AS v2, lag(stable) OVER w AS s1, lag(stable,2) OVER w AS s2 FROM sv WINDOW w AS (PARTITION BY asset ORDER BY observed_at, seq))
+ SELECT asset, count(*) FILTER (verdict<>v1) AS raw, count(*) FILTER (verdict<>v1 AND verdict=v2) AS reversals, count(*) FILTER (stable<>s1) AS stable, count(*) FILTER (stable<>s1 AND stable=s2) AS stable_reversals FROM l GROUP BY 1""")
 def stability_replay(t):
     return C.replay_stability(t.verdicts(), 2)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assetlens.plans.q_history import M01, M02, M03, M04, M05, PV
+from assetlens.plans.q_history import M01, M02, M03, M04, M05, PV, STABLE_SQL, THIN_SQL
 from assetlens.plans.registry import query
 from assetlens.plans.sqltext import ACT
 from assetlens.sources.tables import Tables
@@ -26,12 +26,12 @@ def stream_alerts(t):
     return J.run_to_table(J.alerts(streamed(t).verdicts()), "alerts")
 
 
-@query("D17 streaming")
+@query("D17 streaming", STABLE_SQL)
 def stream_stable_verdicts(t):
     return J.run_to_table(J.stabilize(streamed(t).verdicts()), "stable")
 
 
-@query("S23 streaming")
+@query("S23 streaming", THIN_SQL)
 def stream_thinned_history(t):
     return J.run_to_table(J.thin(streamed(t).verdicts().withColumn("volume24h", F.col("price") * 10)), "thin")
 

