@@ -189,7 +189,7 @@ def _stream_pieces(r: DataFrame, cols: list[str]) -> DataFrame:
     def far(c):
         a, b = F.col(c), F.col(f"l.{c}")
         ratio = F.when(b == 0, F.when(a == 0, 0.0).otherwise(1.0)).otherwise(F.abs(a - b) / F.abs(b))
-        return known(ratio >= RELATIVE_DELTA)
+        return known(a.isNotNull() & (ratio >= RELATIVE_DELTA))
 
     big = (
         known(F.abs(F.col("score") - F.col("l.score")) >= SCORE_DELTA) | known(F.abs(F.col("coverage") - F.col("l.coverage")) >= COVERAGE_DELTA)

@@ -280,7 +280,7 @@ STABLE_SQL = f"WITH RECURSIVE {stable_sql('3600000')} SELECT * FROM sv"
 
 
 def rel(a: str, b: str) -> str:
-    return f"coalesce(CASE WHEN {b}=0 THEN CASE WHEN {a}=0 THEN 0 ELSE 1 END ELSE abs({a}-{b})/abs({b}) END>=0.02, false)"
+    return f"coalesce(CASE WHEN {a} IS NULL THEN NULL WHEN {b}=0 THEN CASE WHEN {a}=0 THEN 0 ELSE 1 END ELSE abs({a}-{b})/abs({b}) END>=0.02, false)"
 
 
 BIG = f"abs(o.score-r.ls)>=1 OR coalesce(abs(o.coverage-r.lc)>=0.05,false) OR {rel('o.price', 'r.lp')} OR {rel('o.liquidity', 'r.ll')} OR {rel('o.price*10', 'r.lv')}"
