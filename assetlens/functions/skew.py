@@ -11,6 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a scan that arrived in fewer splits than there are cores.
+
+    For heavy per-row work behind a few small files. A scan with enough splits is left alone.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
 def bucket_of(pos: str | Column, width: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(pos / F.lit(width))
@@ -42,21 +51,17 @@ def lag_across(
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], pos: str, width: int, value: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], pos: str, width: int, values: dict[str, Column]
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` in key order, split by bucket like ``lag_across``."""
-    staged = df.withColumn("_b", bucket_of(pos, width)).withColumn("_v", value)
-    inner = staged.withColumn("_s", F.sum("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    """Inclusive running sums ``{out: value}`` in key order, split by bucket like ``lag_across``."""
+    staged = df.withColumn("_b", bucket_of(pos, width)).withColumns({f"_v_{n}": v for n, v in values.items()})
+    within = Window.partitionBy(*keys, "_b").orderBy(*order)
+    inner = staged.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(within) for n in values})
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        staged.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-        .select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    )
-    return (
-        inner.join(base, [*keys, "_b"], "left")
-        .withColumn(out, F.col("_s") + F.col("_o"))
-        .drop("_b", "_v", "_s", "_o")
-    )
+    base = staged.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]).select(
+        *keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
+    out = inner.join(base, [*keys, "_b"], "left").withColumns({n: F.col(f"_s_{n}") + F.col(f"_o_{n}") for n in values})
+    return out.drop("_b", *[f"{p}{n}" for n in values for p in ("_v_", "_s_", "_o_")])
 
 
 def with_halo(df: DataFrame, pos: str, width: int, before: int, after: int) -> DataFrame:

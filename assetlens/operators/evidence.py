@@ -104,13 +104,16 @@ def scorability(evidence: DataFrame) -> DataFrame:
 
 # ---- claims from provider tables -------------------------------------------------------
 
-CLAIM = ["asset", "metric", "provider", "value", "observed_at", "invalid", "unavailable", "claim_id"]
+def _claim(metric: str, provider: str, value: Column, invalid: Column | None = None, when: Column | None = None, observed: str = "observed_at") -> Column:
+    inv = F.lit(None).cast("string") if invalid is None else invalid
+    c = F.struct(F.lit(metric).alias("metric"), F.lit(provider).alias("provider"), F.when(inv.isNull(), value.cast("double")).alias("value"), F.col(observed).alias("observed_at"),
+                 inv.alias("invalid"), F.lit(None).cast("string").alias("unavailable"), F.lit(0).cast("long").alias("claim_id"))
+    return c if when is None else F.when(known(when), c)
 
 
-def _claim(df: DataFrame, metric: str, provider: str, value, invalid=None, observed="observed_at") -> DataFrame:
-    inv = F.lit(None).cast("string") if invalid is None else invalid
-    return df.select("asset", F.lit(metric).alias("metric"), F.lit(provider).alias("provider"), F.when(inv.isNull(), value.cast("double")).alias("value"),
-                     F.col(observed).alias("observed_at"), inv.alias("invalid"), F.lit(None).cast("string").alias("unavailable"), F.lit(0).cast("long").alias("claim_id"))
+def _claims(df: DataFrame, *claims: Column) -> DataFrame:
+    """All claims of a provider row in one pass over the provider's table."""
+    return df.select("asset", F.inline(F.filter(F.array(*claims), lambda c: c.isNotNull())))
 
 
 def market_claims(pairs: DataFrame, now: int) -> DataFrame:
@@ -132,53 +135,52 @@ def market_claims(pairs: DataFrame, now: int) -> DataFrame:
     whole = F.col("best.m5").isNotNull() & F.col("best.h1").isNotNull() & F.col("best.h6").isNotNull() & F.col("best.h24").isNotNull()
     bad_liq = F.when(F.col("liquidity").isNull() & F.col("issue"), "every pair liquidity figure failed validation")
     p = "dexscreener"
-    parts = [
-        _claim(g, "liquidityUsd", p, F.col("liquidity"), bad_liq), _claim(g, "venueLiquidityUsd", p, F.col("liquidity"), bad_liq), _claim(g, "volume24h", p, F.col("volume")),
-        _claim(g, "priceChange", p, 0.6 * F.col("best.h1") + 0.4 * F.col("best.h6"), F.when(~whole, "incomplete or rejected price-change frames")),
-        _claim(g, "buyPressure", p, F.coalesce(pressure("buys_h1", "sells_h1"), pressure("buys_h24", "sells_h24"))),
-        _claim(g.where("created IS NOT NULL"), "ageHours", p, (F.lit(now) - F.col("created")) / float(HOUR_MS)),
-    ]
-    return _union(parts)
+    return _claims(
+        g, _claim("liquidityUsd", p, F.col("liquidity"), bad_liq), _claim("venueLiquidityUsd", p, F.col("liquidity"), bad_liq), _claim("volume24h", p, F.col("volume")),
+        _claim("priceChange", p, 0.6 * F.col("best.h1") + 0.4 * F.col("best.h6"), F.when(~whole, "incomplete or rejected price-change frames")),
+        _claim("buyPressure", p, F.coalesce(pressure("buys_h1", "sells_h1"), pressure("buys_h24", "sells_h24"))),
+        _claim("ageHours", p, (F.lit(now) - F.col("created")) / float(HOUR_MS), when=F.col("created").isNotNull()))
 
 
 def info_claims(info: DataFrame, now: int) -> DataFrame:
     """Asset-info claims; ``issues array<string>`` names rejected fields."""
     p = "jupiter"
     issue = lambda f: F.when(F.array_contains("issues", f), "failed validation")
-    return _union([
-        _claim(info, "liquidityUsd", p, F.col("liquidity"), issue("liquidity")), _claim(info, "holders", p, F.col("holders"), issue("holderCount")),
-        _claim(info, "organicScore", p, F.col("organic"), issue("organicScore")), _claim(info.where("first_pool_at IS NOT NULL"), "ageHours", p, (F.lit(now) - F.col("first_pool_at")) / float(HOUR_MS)),
-        _claim(info, "mintAuthorityRevoked", p, F.col("mint_disabled").cast("double"), issue("audit.mintAuthorityDisabled")),
-        _claim(info, "freezeAuthorityRevoked", p, F.col("freeze_disabled").cast("double"), issue("audit.freezeAuthorityDisabled"))])
+    return _claims(
+        info, _claim("liquidityUsd", p, F.col("liquidity"), issue("liquidity")), _claim("holders", p, F.col("holders"), issue("holderCount")), _claim("organicScore", p, F.col("organic"), issue("organicScore")),
+        _claim("ageHours", p, (F.lit(now) - F.col("first_pool_at")) / float(HOUR_MS), when=F.col("first_pool_at").isNotNull()),
+        _claim("mintAuthorityRevoked", p, F.col("mint_disabled").cast("double"), issue("audit.mintAuthorityDisabled")),
+        _claim("freezeAuthorityRevoked", p, F.col("freeze_disabled").cast("double"), issue("audit.freezeAuthorityDisabled")))
 
 
 def report_claims(report: DataFrame) -> DataFrame:
     """Risk score, and "authority live" when a danger or warn finding says so."""
     def asserts(needle: str) -> Column:
-        return known(F.exists("risks", lambda r: r["level"].isin("danger", "warn") & F.contains(F.lower(r["name"]), F.lit(needle))))
+        return F.exists("risks", lambda r: r["level"].isin("danger", "warn") & F.contains(F.lower(r["name"]), F.lit(needle)))
 
     p = "rugcheck"
-    return _union([_claim(report, "rugcheckRisk", p, F.col("score"), F.when(F.array_contains("issues", "score_normalised"), "failed validation")),
-                   _claim(report.where(asserts("mint authority")), "mintAuthorityRevoked", p, F.lit(0.0)), _claim(report.where(asserts("freeze authority")), "freezeAuthorityRevoked", p, F.lit(0.0))])
+    return _claims(
+        report, _claim("rugcheckRisk", p, F.col("score"), F.when(F.array_contains("issues", "score_normalised"), "failed validation")),
+        _claim("mintAuthorityRevoked", p, F.lit(0.0), when=asserts("mint authority")), _claim("freezeAuthorityRevoked", p, F.lit(0.0), when=asserts("freeze authority")))
 
 
 def chain_claims(mint: DataFrame) -> DataFrame:
     """Authorities stated on chain; extensions only when the list is complete."""
     p = "helius"
-    return _union([
-        _claim(mint.where("mint_stated"), "mintAuthorityRevoked", p, F.col("mint_authority").isNull().cast("double")),
-        _claim(mint.where("freeze_stated"), "freezeAuthorityRevoked", p, F.col("freeze_authority").isNull().cast("double")),
-        _claim(mint.where("extensions_complete"), "mintExtensions", p, F.col("extension_count"))])
+    return _claims(
+        mint, _claim("mintAuthorityRevoked", p, F.col("mint_authority").isNull().cast("double"), when=F.col("mint_stated")),
+        _claim("freezeAuthorityRevoked", p, F.col("freeze_authority").isNull().cast("double"), when=F.col("freeze_stated")),
+        _claim("mintExtensions", p, F.col("extension_count"), when=F.col("extensions_complete")))
 
 
 def concentration_claims(info: DataFrame, mint: DataFrame) -> DataFrame:
     """First available source of top-holder share: audit figure, else chain, else a rejected audit."""
     j = info.select("asset", "top_holders", "issues", F.col("observed_at").alias("io")).join(mint.select("asset", "top10_share", F.col("observed_at").alias("co")), "asset", "full_outer")
     bad = F.when(F.array_contains("issues", "audit.topHoldersPercentage"), "failed validation")
-    return _union([
-        _claim(j.where("top_holders IS NOT NULL"), "topHoldersPct", "jupiter", F.col("top_holders"), observed="io"),
-        _claim(j.where("top_holders IS NULL AND top10_share IS NOT NULL"), "topHoldersPct", "helius", F.col("top10_share") * 100, observed="co"),
-        _claim(j.where("top_holders IS NULL AND top10_share IS NULL AND io IS NOT NULL"), "topHoldersPct", "jupiter", F.lit(None), bad, observed="io")])
+    audit, chain = F.col("top_holders").isNotNull(), F.col("top10_share").isNotNull()
+    return _claims(
+        j, _claim("topHoldersPct", "jupiter", F.col("top_holders"), when=audit, observed="io"), _claim("topHoldersPct", "helius", F.col("top10_share") * 100, when=~audit & chain, observed="co"),
+        _claim("topHoldersPct", "jupiter", F.lit(None), bad, when=~audit & ~chain & F.col("io").isNotNull(), observed="io"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -196,21 +198,26 @@ def with_unavailable(claims: DataFrame, failures: DataFrame) -> DataFrame:
     return claims.unionByName(stub)
 
 
-def tradable(evidence: DataFrame) -> DataFrame:
-    """Tradable row derived from resolved liquidity; unknown when there is no usable reading."""
-    l = evidence.where("metric = 'liquidityUsd'")
+def with_tradable(evidence: DataFrame) -> DataFrame:
+    """Add a tradable row beside each liquidity row: any usable liquidity above zero.
+
+    The same pass emits both rows, so resolution runs once. No usable reading stays unknown.
+    """
+    cols = [c for c in evidence.columns if c != "asset"]
     ok = F.col("state").isin("MEASURED", "CONFLICTED")
     none = F.array().cast("array<struct<provider:string,value:double>>")
-    return l.select("asset", F.lit("tradable").alias("metric"), F.when(ok, F.col("state")).otherwise("UNKNOWN").alias("state"), F.when(ok, (F.coalesce("value", F.lit(0.0)) > 0).cast("double")).alias("value"),
-                    F.when(ok, F.col("source")).alias("source"), F.when(ok, F.col("observed_at")).alias("observed_at"), F.when(ok, F.col("freshness")).otherwise("UNKNOWN").alias("freshness"),
-                    F.when(ok, F.col("confidence")).otherwise(0.0).alias("confidence"), F.lit(0).alias("claims"), none.alias("overridden"))
+    made = {
+        "metric": F.lit("tradable"), "state": F.when(ok, F.col("state")).otherwise("UNKNOWN"), "value": F.when(ok, (F.coalesce("value", F.lit(0.0)) > 0).cast("double")), "source": F.when(ok, F.col("source")),
+        "observed_at": F.when(ok, F.col("observed_at")), "freshness": F.when(ok, F.col("freshness")).otherwise("UNKNOWN"), "confidence": F.when(ok, F.col("confidence")).otherwise(0.0), "claims": F.lit(0), "overridden": none}
+    own = F.struct(*cols)
+    derived = F.when(F.col("metric") == "liquidityUsd", F.struct(*[made[c].alias(c) for c in cols]))
+    return evidence.select("asset", F.inline(F.filter(F.array(own, derived), lambda r: r.isNotNull())))
 
 
 def resolve_feeds(pairs: DataFrame, info: DataFrame, report: DataFrame, mint: DataFrame, now: int) -> DataFrame:
     """All metrics of all assets from the four provider tables."""
     c = _union([market_claims(pairs, now), info_claims(info, now), report_claims(report), chain_claims(mint), concentration_claims(info, mint)])
-    e = resolve_claims(c, now)
-    return e.unionByName(tradable(e))
+    return with_tradable(resolve_claims(c, now))
 
 
 def historical_danger(evidence: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def thin_snapshots(readings: DataFrame, width: int = DAY_MS) -> DataFrame:
     silent = known(F.col("observed_at") - F.col("_pt") >= HEARTBEAT_MS)
     restart = first | moved | silent
     r = r.withColumns({"why": F.when(first, "first").when(moved, "transition"), "restart": restart}).drop("_pv", "_pt")
-    r = running_sum(r, ["asset"], order, "observed_at", width, F.col("restart").cast("long"), "piece")
+    r = running_sum(r, ["asset"], order, "observed_at", width, {"piece": F.col("restart").cast("long")})
     # A silent gap always stores, but whether it counts as a material change depends on the last
     # stored row, which may lie in the piece before. That row is each piece's hand-over.
     return _stream_pieces(r, cols)

@@ -332,6 +332,7 @@ def network_level(subjects: DataFrame, edges: DataFrame, profiles: DataFrame) ->
     neighbour before the next hop, so a hub contributes one row per neighbour rather than the
     product of its neighbours.
     """
+    edges = cut(edges.select("type", "a", "b", "confidence"))
     bad = profiles.where("confirmed > 0 OR strongly_suspected > 0").select(
         "address", F.col("confirmed").alias("target_confirmed")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import DAY_MS, HOUR_MS, known, ladder, lookup
 from assetlens.functions.skew import running_sum, with_halo
 from assetlens.functions.text import canonical_id
@@ -57,8 +58,7 @@ def sold_after(mints: DataFrame, sales: DataFrame, width: int = DAY_MS) -> DataF
     in_time = timed.withColumn("_t", F.sum("_amt").over(w)).where("_core AND _mint = 1")
     neg = rows.withColumn("_neg", -F.col("slot"))
     untimed_amt = F.when(F.col("at").isNull(), F.col("_amt")).otherwise(F.lit(0).cast("decimal(38,0)"))
-    by_slot = running_sum(neg, ["asset"], ["_neg", "_mint"], "_neg", 4096, untimed_amt, "_u")
-    by_slot = running_sum(by_slot, ["asset"], ["_neg", "_mint"], "_neg", 4096, F.col("_amt"), "_a").where("_mint = 1")
+    by_slot = running_sum(neg, ["asset"], ["_neg", "_mint"], "_neg", 4096, {"_u": untimed_amt, "_a": F.col("_amt")}).where("_mint = 1")
     key = ["asset", "tx_id", "slot", "path"]
     extra = by_slot.select(*key, "_u", "_a")
     base = m.drop("_mint", "_amt").join(in_time.select(*key, "_t"), key, "left").join(extra, key, "left")
@@ -70,6 +70,7 @@ def sold_after(mints: DataFrame, sales: DataFrame, width: int = DAY_MS) -> DataF
 
 def supply_expansion(mints: DataFrame, sells: DataFrame, linked: DataFrame, launches: DataFrame) -> DataFrame:
     """Mints after launch; confirmed when the circle received them and sold at least half."""
+    linked = cut(linked.select("asset", "wallet").distinct())  # three joins below read the circle
     m = _flag(after_launch(mints, launches), linked, "recipient", "to_linked")
     m = sold_after(m, linked_sales(sells, linked))
     half = F.col("to_linked") & (F.col("sold") * 2 >= F.col("amount"))

@@ -6,6 +6,8 @@ explicit schema, so parsing and derivation do the full work for every event.
 
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
+from assetlens.functions.skew import spread
 from assetlens.operators import trades as T
 from assetlens.plans.registry import query
 from assetlens.plans.sqltext import EV, TR
@@ -26,7 +28,7 @@ def asql(p: str, c: str) -> str:
 
 
 def documents(t):
-    e = t.event_facts()
+    e = spread(t.event_facts(), "event_id")
     i, k, c = F.col("event_id"), F.col("k"), F.col("cents").cast("long")
     kind = F.col("event_type")
     tok = c * (k % 5 + 1)
@@ -81,6 +83,11 @@ def norm(t):
     return X.normalize(X.parse_transactions(documents(t)))
 
 
+def stored(t):
+    """The normalised table, written once for the steps that read it several times."""
+    return cut(norm(t))
+
+
 CH = f"""{EV}, c AS (SELECT *, CAST(event_id AS VARCHAR) AS tx_id, at_ms//60000 AS slot, cents*(k%5+1) AS tok, event_type='error' AS err, event_type IN ('purchase','signup') AS buy, event_type='view' AND k%10=9 AS liq, event_type='signup' AS lau,
   k%7<>0 AS nq, {asql('W', 'user_id')} AS W, {asql('P', 'k%3')} AS P, {asql('M', 'k%10')} AS M, {asql('N', 'event_id')} AS N, {asql('a', 'event_id')} AS WA, {asql('b', 'event_id')} AS PA FROM ev),
  d AS (SELECT *, CASE WHEN err THEN 0 WHEN buy THEN 1 ELSE -1 END AS ts, CASE WHEN err THEN 0 WHEN buy OR liq THEN -1 ELSE 1 END AS qs FROM c)"""
@@ -115,7 +122,7 @@ def token_balance_deltas(t):
  UNION ALL SELECT 'mint_inits', count(*), NULL FROM d WHERE lau UNION ALL SELECT 'mint_tos', count(*), sum(tok*10)::DOUBLE FROM d WHERE lau UNION ALL SELECT 'authority_changes', count(*), NULL FROM d WHERE lau UNION ALL SELECT 'freezes', count(*), NULL FROM d WHERE lau
  UNION ALL SELECT 'token_account_inits', count(*), NULL FROM d WHERE lau""")
 def instruction_fact_counts(t):
-    f = X.facts(norm(t))
+    f = cut(X.facts(norm(t)))
     out = None
     for kind in X.FACT_KINDS:
         x = X.fact_table(f, kind)
@@ -151,7 +158,7 @@ def pool_created_events(t):
 @query("S08", f"""WITH {CH} SELECT substr(sha256('TOKEN_MINT|'||tx_id||'|2'),1,32) AS id, 'TOKEN_MINT' AS type, N AS asset, tx_id, '{AUTH}' AS actor, (tok*10)::DOUBLE AS amount, NULL::BOOLEAN AS revoked FROM d WHERE lau
  UNION ALL SELECT substr(sha256('AUTHORITY_CHANGE|'||tx_id||'|3'),1,32), 'AUTHORITY_CHANGE', N, tx_id, '{AUTH}', NULL, k%2=0 FROM d WHERE lau""")
 def supply_and_authority_events(t):
-    return X.mint_events(X.facts(norm(t))).drop("slot").withColumn("amount", F.col("amount").cast("double"))
+    return X.mint_events(cut(X.facts(norm(t)))).drop("slot").withColumn("amount", F.col("amount").cast("double"))
 
 
 def dims(t):
@@ -164,7 +171,7 @@ def dims(t):
 @query("S09", f"""WITH {CH} SELECT substr(sha256('TOKEN_TRANSFER|'||tx_id||'|0.0'),1,32) AS id, 'TOKEN_TRANSFER' AS kind, M AS asset, CASE WHEN buy THEN P ELSE W END AS src, CASE WHEN buy THEN W ELSE P END AS dst, tok::DOUBLE AS amount FROM d WHERE NOT err AND k%3<>0""")
 def transfer_edges(t):
     w, p = dims(t)
-    return X.transfer_edges(X.facts(norm(t)), p.where(F.col("address").startswith("P") & F.col("address").endswith("z")), w).select(
+    return X.transfer_edges(cut(X.facts(norm(t))), p.where(F.col("address").startswith("P") & F.col("address").endswith("z")), w).select(
         "id", "kind", "asset", "src", "dst", F.col("amount").cast("double").alias("amount"))
 
 
@@ -187,7 +194,7 @@ def deltas(n):
  UNION ALL SELECT tx_id, P, 'NATIVE', CASE WHEN nq THEN -qs*cents ELSE 0 END FROM d UNION ALL SELECT tx_id, W, '{STABLE_MINT}', qs*cents FROM d WHERE NOT nq UNION ALL SELECT tx_id, P, '{STABLE_MINT}', -qs*cents FROM d WHERE NOT nq)
  SELECT tx_id, owner, asset, delta::DOUBLE AS delta FROM x WHERE delta<>0""")
 def owner_deltas(t):
-    return deltas(norm(t)).withColumn("delta", F.col("delta").cast("double"))
+    return deltas(stored(t)).withColumn("delta", F.col("delta").cast("double"))
 
 
 def watch(t, hidden: bool = False):
@@ -201,11 +208,11 @@ def watch(t, hidden: bool = False):
 @query("T02", f"WITH {CH} SELECT tx_id, M AS asset, P AS pool_side, k%2=0 AS inferred FROM d WHERE NOT err")
 def pool_sides(t):
     w, p = dims(t)
-    return T.pool_side(deltas(norm(t)), watch(t, True), w.unionByName(p)).select("tx_id", "asset", "pool_side", "inferred")
+    return T.pool_side(deltas(stored(t)), watch(t, True), w.unionByName(p)).select("tx_id", "asset", "pool_side", "inferred")
 
 
 def pool_rows(t):
-    n = norm(t)
+    n = stored(t)
     w, p = dims(t)
     dec = X.asset_decimals(n).unionByName(t.spark.range(1).select(F.lit("NATIVE").alias("asset"), F.lit(9).alias("decimals")))
     return T.pool_activity(X.flatten_transactions(n), watch(t, True), deltas(n), X.token_deltas(n), w.unionByName(p), dec)
@@ -222,7 +229,7 @@ def pool_activity(t):
 
 @query("T07", f"""WITH {CH} SELECT W AS wallet, tx_id, M AS asset, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS side, tok::DOUBLE AS token_amount, CASE WHEN nq THEN 'NATIVE' ELSE 'STABLE' END AS quote_asset, cents::DOUBLE AS quote_amount, true AS wallet_paid_fee FROM d WHERE NOT err AND NOT liq""")
 def wallet_trades(t):
-    n = norm(t)
+    n = stored(t)
     w, _ = dims(t)
     d = deltas(n).withColumn("asset", F.when(F.col("asset") == STABLE_MINT, "STABLE").otherwise(F.col("asset")))
     return T.wallet_trades(d, X.flatten_transactions(n), w.select(F.col("address").alias("wallet"))).drop("slot", "block_time").withColumns(
@@ -232,7 +239,7 @@ def wallet_trades(t):
 @query("T08", f"""WITH {CH}, i AS (SELECT P AS src, W AS dst, tx_id, slot, cents AS amount FROM d WHERE nq AND NOT err AND NOT buy AND NOT liq UNION ALL SELECT W, P, tx_id, slot, cents FROM d WHERE nq AND NOT err AND (buy OR liq) UNION ALL SELECT W, P, tx_id, slot, 100 FROM d WHERE lau)
  SELECT dst AS wallet, arg_min(src,(slot,tx_id,src)) AS funder, arg_min(tx_id,(slot,tx_id,src)) AS tx_id FROM i GROUP BY 1""")
 def chain_initial_funding(t):
-    return T.initial_funding(X.funding_candidates(X.facts(norm(t)))).select("wallet", "funder", "tx_id")
+    return T.initial_funding(X.funding_candidates(cut(X.facts(norm(t))))).select("wallet", "funder", "tx_id")
 
 
 @query("T09", f"WITH {TR}, g AS (SELECT asset, quote_asset, count(*) AS n, min(slot) AS s FROM tr GROUP BY 1,2) SELECT asset, arg_max(quote_asset,(n,-s)) AS quote_asset, max(n) AS trades FROM g GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import HOUR_MS, fmt_age, fmt_usd
 from assetlens.operators import evidence as E
 from assetlens.operators import screen as G
@@ -153,9 +154,9 @@ FIND = f"""fz AS (SELECT asset, k, unnest(CASE k%5 WHEN 0 THEN ['Mint Authority
  fd AS (SELECT *, CASE WHEN nature='UNKNOWN_NATURE' THEN 'unknown_nature' WHEN nature='CURRENT_STATE' AND freshness NOT IN ('FRESH','AGING') THEN 'stale' WHEN (name LIKE 'Mint A%' AND ma=1) OR (name LIKE 'Freeze A%' AND fa=1) THEN 'contradicted' END AS suppressed FROM fc)"""
 
 
-def findings(t):
+def findings(t, e=None):
     f = report(t).select("asset", "observed_at", F.explode("risks").alias("r")).select("asset", "observed_at", "r.*")
-    return E.classify_findings(f, feeds(t), NOW)
+    return E.classify_findings(f, feeds(t) if e is None else e, NOW)
 
 
 @query("E13", f"WITH {FEED}, {FIND} SELECT asset, name, level, nature, freshness, suppressed, suppressed IS NULL AS scorable FROM fd")
@@ -265,8 +266,8 @@ BASEG = """bg AS (SELECT asset, unnest(list_filter([CASE WHEN mintAuthorityRevok
 FLOOR = 20_000
 
 
-def wide(t):
-    return E.wide(feeds(t), METRICS)
+def wide(t, e=None):
+    return E.wide(feeds(t) if e is None else e, METRICS)
 
 
 @query("G03", f"WITH {FEED}, {WIDE}, {BASEG} SELECT * FROM bg")
@@ -301,8 +302,8 @@ SCORE = f"""sc1 AS (SELECT *, {'+'.join(f'CASE WHEN {m} IS NOT NULL THEN {w}::DO
  sc3 AS (SELECT *, CASE WHEN turnover IS NULL THEN NULL WHEN turnover>0 THEN {sc('exp(-0.5*pow((log10(turnover)-log10(3.0))/0.65,2))')} ELSE 0.0 END AS activity, CASE WHEN priceChange IS NOT NULL THEN mom0 END AS momentum, CASE WHEN buyPressure IS NOT NULL THEN pr0 END AS pressure, CASE WHEN ageHours>0 THEN {sc('exp(-0.5*pow((log10(ageHours)-log10(12.0))/0.75,2))')} END AS age FROM sc2)"""
 
 
-def scored(t):
-    return G.score_components(wide(t))
+def scored(t, e=None):
+    return G.score_components(wide(t, e))
 
 
 @query("G06", f"WITH {FEED}, {WIDE}, {SCORE} SELECT asset, safety, scov AS safety_coverage FROM sc3")
@@ -316,12 +317,13 @@ def score_components(t):
 
 
 def flagged(t):
+    e = cut(feeds(t))  # the resolved evidence is a stored table; four steps below read it
     k = F.col("k")
     extra = _part(t).select("asset", (k % 3 != 0).alias("has_socials"), (k % 21 == 0).alias("verified"), F.when(k % 25 == 0, 0.9).alias("impersonation"))
     issues = info(t).select("asset", F.size("issues").alias("issues"))
-    conf = E.conflicts(feeds(t)).where("metric <> 'tradable'").groupBy("asset").agg(F.array_sort(F.collect_set("metric")).alias("conflicts"))
-    fs = findings(t).where("level IN ('danger', 'warn')").groupBy("asset").agg(F.array_sort(F.collect_set("name")).alias("findings"), F.count_if(F.col("scorable") & (F.col("level") == "danger")).alias("danger_findings"))
-    j = scored(t).join(extra, "asset", "left").join(issues, "asset", "left").join(conf, "asset", "left").join(fs, "asset", "left")
+    conf = E.conflicts(e).where("metric <> 'tradable'").groupBy("asset").agg(F.array_sort(F.collect_set("metric")).alias("conflicts"))
+    fs = findings(t, e).where("level IN ('danger', 'warn')").groupBy("asset").agg(F.array_sort(F.collect_set("name")).alias("findings"), F.count_if(F.col("scorable") & (F.col("level") == "danger")).alias("danger_findings"))
+    j = scored(t, e).join(extra, "asset", "left").join(issues, "asset", "left").join(conf, "asset", "left").join(fs, "asset", "left")
     return G.risk_flags(j, FLOOR)
 
 
@@ -356,8 +358,9 @@ def vetoes(t):
 
 @query("G10", f"""WITH {FEED}, {WIDE}, {BASEG}, {COVER}, v AS (SELECT asset, count(*) AS n FROM bg GROUP BY 1) SELECT cov.asset, CASE WHEN n>0 THEN 'REJECTED' WHEN coverage<0.35 THEN 'INSUFFICIENT_DATA' WHEN coverage<0.6 THEN 'WATCH' ELSE 'QUALIFIED' END AS eligibility FROM cov LEFT JOIN v ON cov.asset=v.asset""")
 def screen_eligibility(t):
-    v = G.base_gate(wide(t), FLOOR).groupBy("asset").agg(F.count("*").alias("n"))
-    c = E.coverage_report(E.evidence_ledger(feeds(t))).join(v, "asset", "left")
+    e = cut(feeds(t))
+    v = G.base_gate(wide(t, e), FLOOR).groupBy("asset").agg(F.count("*").alias("n"))
+    c = E.coverage_report(E.evidence_ledger(e)).join(v, "asset", "left")
     return c.select("asset", G.screen_eligibility(F.coalesce("n", F.lit(0)), F.col("coverage")).alias("eligibility"))
 
 

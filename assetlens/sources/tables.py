@@ -90,6 +90,10 @@ class Tables:
             millis("l_shipdate").alias("block_time"),
         )
 
+    def line_assets(self) -> DataFrame:
+        """Assets that occur on order lines."""
+        return self.read("lineitem").select(F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("asset")).distinct()
+
     def launches(self) -> DataFrame:
         """One launch per order: asset, creator, time."""
         return self.read("orders").select(

@@ -30,7 +30,7 @@ def test_running_sum_equals_window(spark):
     df, _ = series(spark, 2)
     w = Window.partitionBy("k").orderBy("t", "i")
     want = {(r.k, r.i): r.s for r in df.withColumn("s", F.sum("v").over(w)).collect()}
-    assert {(r.k, r.i): r.s for r in running_sum(df, ["k"], ["t", "i"], "t", 300, F.col("v"), "s").collect()} == want
+    assert {(r.k, r.i): r.s for r in running_sum(df, ["k"], ["t", "i"], "t", 300, {"s": F.col("v")}).collect()} == want
 
 
 def test_halo_frame_equals_window(spark):
