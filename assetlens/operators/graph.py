@@ -234,6 +234,19 @@ def assess_pairs(edges: DataFrame) -> DataFrame:
                     F.array_sort("kinds").alias("kinds"))
 
 
+def orient(pairs: DataFrame) -> DataFrame:
+    """Each undirected pair once, from its end with fewer pairs to the busier one: (lo, hi).
+
+    Following pairs from ``lo`` never expands a hub: no node keeps more than about the square
+    root of twice the number of pairs.
+    """
+    p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    deg = p.select(F.col("a").alias("n")).unionByName(p.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("d"))
+    j = p.join(deg.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    first = F.struct("da", "a") < F.struct("db", "b")
+    return j.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("hi"))
+
+
 # ---- clusters --------------------------------------------------------------------------
 
 

@@ -11,6 +11,13 @@ from assetlens.functions.text import fold_ticker
 SHORT, SHORT_BUDGET, LONG_BUDGET = 4, 1, 2
 
 
+def _piece_lengths(n):
+    """Lengths of the pieces a reference of ``n`` letters is cut into: all equal but the last ones."""
+    budget = F.when(n <= SHORT, SHORT_BUDGET).otherwise(LONG_BUDGET)
+    size = F.ceil(n / (budget + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), budget), lambda i: F.least(size, n - i * size))
+
+
 def near_matches(candidates: DataFrame, refs: DataFrame) -> DataFrame:
     """Candidate names within the edit budget of another key's reference name.
 
@@ -31,8 +38,9 @@ def near_matches(candidates: DataFrame, refs: DataFrame) -> DataFrame:
     solid = rp.where("length(piece) > 0")
     lens = rp.where("length(piece) = 0").select("ref", "budget", "len").distinct().withColumn("clen", F.explode(F.sequence(F.greatest(F.col("len") - F.col("budget"), F.lit(1)), F.col("len") + F.col("budget"))))
     shift = solid.withColumn("pos", F.explode(F.sequence(F.col("p") - F.col("budget"), F.col("p") + F.col("budget")))).where("pos >= 0")
-    widths = solid.select(F.length("piece").alias("w")).distinct()
-    grams = ct.crossJoin(F.broadcast(widths)).where(F.length("folded") >= F.col("w")).withColumn(
+    # Piece lengths a reference of about this length can have; two or three values per text.
+    parts = F.flatten(F.transform(F.sequence(F.greatest(F.length("folded") - LONG_BUDGET, F.lit(1)), F.length("folded") + LONG_BUDGET), _piece_lengths))
+    grams = ct.withColumn("w", F.explode(F.array_distinct(F.filter(parts, lambda w: w > 0)))).where(F.length("folded") >= F.col("w")).withColumn(
         "pos", F.explode(F.sequence(F.lit(0), F.length("folded") - F.col("w")))).withColumn("piece", F.substr("folded", F.col("pos") + 1, F.col("w")))
     pairs = grams.join(shift, ["piece", "pos"]).select("folded", "ref", "budget").unionByName(
         ct.withColumn("clen", F.length("folded")).join(lens, "clen").select("folded", "ref", "budget")).distinct()

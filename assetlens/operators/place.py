@@ -200,9 +200,8 @@ def pick_highlights(live: DataFrame, changes: DataFrame, now: int, n: int = 8, c
     row = None
     for role, (df, order) in lists.items():
         top = df.orderBy(*order).limit(2 * n).select("asset", F.row_number().over(Window.orderBy(*order)).alias("_r"))
-        one = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "asset"))), lambda x: x["asset"]).alias(role))
-        row = one if row is None else row.crossJoin(one)  # one row each
-    by_role = F.create_map(*[x for role in lists for x in (F.lit(role), F.col(role))])
+        one = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "asset"))), lambda x: x["asset"]).alias("picks")).select(F.lit(role).alias("role"), "picks")
+        row = one if row is None else row.unionByName(one)
     steps = F.array(*[F.lit(r) for r in HIGHLIGHT_ROLES + ["top"] * n])
 
     def fill(acc, role):
@@ -210,5 +209,5 @@ def pick_highlights(live: DataFrame, changes: DataFrame, now: int, n: int = 8, c
         return F.when((F.size(acc) < n) & free.isNotNull(), F.concat(acc, F.array(F.struct(free.alias("asset"), role.alias("role"))))).otherwise(acc)
 
     start = F.array().cast("array<struct<asset:string,role:string>>")
-    row = row.select(by_role.alias("by_role"), steps.alias("steps")).select(F.aggregate("steps", start, fill).alias("picked"))
+    row = row.agg(F.map_from_entries(F.collect_list(F.struct("role", "picks"))).alias("by_role")).withColumn("steps", steps).select(F.aggregate("steps", start, fill).alias("picked"))
     return row.select(F.posexplode("picked").alias("slot", "p")).select("slot", "p.*")

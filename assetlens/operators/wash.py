@@ -80,11 +80,14 @@ def cluster_volume(trades: DataFrame, clustered: DataFrame) -> DataFrame:
 def synchronized(trades: DataFrame, related: DataFrame) -> DataFrame:
     """Share of trades in slots where two related wallets both trade the asset.
 
-    Goes presence -> related partner -> presence, so a busy slot is never paired with itself.
+    Goes presence -> related partner -> presence, from the less connected end of each pair, so
+    neither a busy slot nor a hub wallet is ever multiplied out.
     """
+    from assetlens.operators.graph import orient
+
     here = trades.groupBy("asset", "slot", "wallet").agg(F.count("*").alias("n"))
-    partner = here.join(related.withColumnRenamed("a", "wallet"), "wallet").select(
-        "asset", "slot", F.col("b").alias("wallet")
+    partner = here.join(orient(related).withColumnRenamed("lo", "wallet"), "wallet").select(
+        "asset", "slot", F.col("hi").alias("wallet")
     )
     hit = partner.join(here.select("asset", "slot", "wallet"), ["asset", "slot", "wallet"], "left_semi")
     hit = hit.select("asset", "slot").distinct().withColumn("_hit", F.lit(True))
@@ -108,14 +111,14 @@ def _match_trips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (r.asset, r.grp, r.island) != unit:
                 unit, open_buys = (r.asset, r.grp, r.island), []
             open_buys = [b for b in open_buys if r.block_time - b[1] <= TRIP_WINDOW_MS]
+            partners = () if r.partners is None else set(r.partners)
             if r.side == "BUY":
-                partners = () if r.partners is None else set(r.partners)
                 open_buys.append((r.tx_id, r.block_time, r.wallet, r.amount, r.volume, partners))
                 continue
-            for i, (tx, _, wallet, amount, vol, partners) in enumerate(open_buys):
+            for i, (tx, _, wallet, amount, vol, others) in enumerate(open_buys):
                 same = wallet == r.wallet
                 fits = abs(amount - r.amount) <= max(amount, r.amount) * TRIP_TOLERANCE
-                if fits and (same or r.wallet in partners):
+                if fits and (same or r.wallet in others or wallet in partners):
                     out.append((r.asset, tx, r.tx_id, same, vol + r.volume))
                     del open_buys[i]
                     break
@@ -129,10 +132,10 @@ def round_trips(trades: DataFrame, related: DataFrame) -> DataFrame:
     minutes, so the unit of work is (asset, group, island of activity). Lone wallets form their
     own group. The matching streams each unit in order with a bounded set of open buys.
     """
-    from assetlens.operators.graph import components
+    from assetlens.operators.graph import components, orient
 
-    both = related.unionByName(related.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    partners = both.groupBy(F.col("a").alias("wallet")).agg(F.collect_set("b").alias("partners"))
+    # Each pair is listed at its less connected end only, so a hub carries no long list.
+    partners = orient(related).groupBy(F.col("lo").alias("wallet")).agg(F.collect_set("hi").alias("partners"))
     groups = components(related).select(F.col("node").alias("wallet"), "component")
     t = (
         trades.select("asset", "wallet", "tx_id", "side", "slot", "tx_index", "block_time",

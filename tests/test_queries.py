@@ -8,7 +8,8 @@ from oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 # Windows of the larger tables: at this scale these have nothing to show.
-MAY_BE_EMPTY = {"creator_dump", "wash_round_trips", "clustered_traders", "wallet_clusters", "gap_ledger", "edges_touching", "trusted_edges", "pair_assessment", "hard_fails", "escapes", "same_launch_participation", "linked_assets"}
+MAY_BE_EMPTY = {"creator_dump", "wash_round_trips", "clustered_traders", "wallet_clusters", "gap_ledger", "edges_touching", "trusted_edges", "pair_assessment", "hard_fails", "escapes", "same_launch_participation", "linked_assets",
+                "coordinated_entry", "network_edges", "wallets_funded_by", "finding_revisions"}
 
 
 @pytest.fixture(scope="module")
