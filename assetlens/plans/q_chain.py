@@ -205,7 +205,7 @@ def watch(t, hidden: bool = False):
     return e.select(F.col("event_id").cast("string").alias("tx_id"), addr("M", k % 10).alias("asset"), pool.alias("pool"))
 
 
-@query("T02", f"WITH {CH} SELECT tx_id, M AS asset, P AS pool_side, k%2=0 AS inferred FROM d WHERE NOT err")
+@query("T02", f"WITH {CH} SELECT tx_id, M AS asset, P AS pool_side, k%2=0 AS inferred FROM d WHERE NOT err AND cents>0")
 def pool_sides(t):
     w, p = dims(t)
     return T.pool_side(deltas(stored(t)), watch(t, True), w.unionByName(p)).select("tx_id", "asset", "pool_side", "inferred")
@@ -218,16 +218,16 @@ def pool_rows(t):
     return T.pool_activity(X.flatten_transactions(n), watch(t, True), deltas(n), X.token_deltas(n), w.unionByName(p), dec)
 
 
-@query("T03 T04 T05 T06", f"""WITH {CH} SELECT tx_id, CASE WHEN err THEN 'FAILED' WHEN liq THEN 'LIQUIDITY_ADDED' ELSE 'SWAP' END AS kind, NULL::VARCHAR AS reason, CASE WHEN NOT err THEN P END AS pool_side, NOT err AND k%2=0 AS pool_side_inferred,
- CASE WHEN NOT err AND NOT liq THEN CASE WHEN buy THEN 'BUY' ELSE 'SELL' END END AS direction, CASE WHEN NOT err AND NOT liq THEN W END AS trader, CASE WHEN NOT err AND NOT liq THEN 'EXACT' END AS trader_resolution,
- CASE WHEN NOT err THEN tok::DOUBLE END AS token_amount, CASE WHEN NOT err THEN CASE WHEN nq THEN 'NATIVE' ELSE '{STABLE_MINT}' END END AS quote_asset, CASE WHEN NOT err THEN cents::DOUBLE END AS quote_amount,
- CASE WHEN NOT err AND NOT liq THEN (cents/pow(10.0,CASE WHEN nq THEN 9 ELSE 6 END))/(tok/pow(10.0,6)) END AS price_in_quote, CASE WHEN liq THEN W END AS liquidity_actor,
- CASE WHEN NOT err THEN least(1.0::DOUBLE, ((tok::HUGEINT*1000000)//1000000000000)/1e6) END AS reserve_fraction, CASE WHEN err THEN 1.0::DOUBLE WHEN liq THEN CASE WHEN k%2=0 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END ELSE CASE WHEN k%2=0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END END AS confidence FROM d""")
+@query("T03 T04 T05 T06", f"""WITH {CH}, x AS (SELECT *, err OR cents=0 AS nx FROM d) SELECT tx_id, CASE WHEN err THEN 'FAILED' WHEN cents=0 THEN 'NO_POOL_ACTIVITY' WHEN liq THEN 'LIQUIDITY_ADDED' ELSE 'SWAP' END AS kind, NULL::VARCHAR AS reason, CASE WHEN NOT nx THEN P END AS pool_side, NOT nx AND k%2=0 AS pool_side_inferred,
+ CASE WHEN NOT nx AND NOT liq THEN CASE WHEN buy THEN 'BUY' ELSE 'SELL' END END AS direction, CASE WHEN NOT nx AND NOT liq THEN W END AS trader, CASE WHEN NOT nx AND NOT liq THEN 'EXACT' END AS trader_resolution,
+ CASE WHEN NOT nx THEN tok::DOUBLE END AS token_amount, CASE WHEN NOT nx THEN CASE WHEN nq THEN 'NATIVE' ELSE '{STABLE_MINT}' END END AS quote_asset, CASE WHEN NOT nx THEN cents::DOUBLE END AS quote_amount,
+ CASE WHEN NOT nx AND NOT liq THEN (cents/pow(10.0,CASE WHEN nq THEN 9 ELSE 6 END))/(tok/pow(10.0,6)) END AS price_in_quote, CASE WHEN liq AND NOT nx THEN W END AS liquidity_actor,
+ CASE WHEN NOT nx THEN least(1.0::DOUBLE, ((tok::HUGEINT*1000000)//1000000000000)/1e6) END AS reserve_fraction, CASE WHEN nx THEN 1.0::DOUBLE WHEN liq THEN CASE WHEN k%2=0 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END ELSE CASE WHEN k%2=0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END END AS confidence FROM x""")
 def pool_activity(t):
     return pool_rows(t).drop("asset", "pool", "slot", "block_time", "fee_payer").withColumns({c: F.col(c).cast("double") for c in ("token_amount", "quote_amount")})
 
 
-@query("T07", f"""WITH {CH} SELECT W AS wallet, tx_id, M AS asset, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS side, tok::DOUBLE AS token_amount, CASE WHEN nq THEN 'NATIVE' ELSE 'STABLE' END AS quote_asset, cents::DOUBLE AS quote_amount, true AS wallet_paid_fee FROM d WHERE NOT err AND NOT liq""")
+@query("T07", f"""WITH {CH} SELECT W AS wallet, tx_id, M AS asset, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS side, tok::DOUBLE AS token_amount, CASE WHEN nq THEN 'NATIVE' ELSE 'STABLE' END AS quote_asset, cents::DOUBLE AS quote_amount, true AS wallet_paid_fee FROM d WHERE NOT err AND NOT liq AND cents>0""")
 def wallet_trades(t):
     n = stored(t)
     w, _ = dims(t)
