@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _MULT, _SEED = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 
 

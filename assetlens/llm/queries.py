@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import sentencepieces
+from assetlens.llm import ranking, repetition, samples, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,3 +45,25 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = sentencepieces.decode(ids, PIECE_MODEL)
     out = both.mapInArrow(_ids_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, coverages and the verdict of the rules for every document."""
+    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUALITY_CUT = 0.3
+
+
+def quality_scores(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Scores of ``documents`` from a ranking learned on the labelled rows of the whole table."""
+    model = ranking.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, cut_score=QUALITY_CUT)
+    return ranking.rank(documents, model)
+
+
+@query
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, and whether it lies in the fold that learning left out."""
+    scored = quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scored.select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
