@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import ranking, repetition, samples, sentencepieces
+from assetlens.llm import ranking, repetition, samples, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,3 +67,11 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, and whether it lies in the fold that learning left out."""
     scored = quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
     return scored.select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and whether it lies in the fold that learning left out."""
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.rate(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows", "toxic_windows", "largest_distance")

@@ -1,10 +1,10 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes a window of text shorter.
 
-One dictionary is trained on toxic text, one on ordinary text. Both training sets are contrasted
-first: a text keeps only the words that its own class uses clearly more often than the other, so
-what both share weighs in neither. A text's words are cut into short windows (each is compressed
-with both dictionaries); a window's distance is the bytes the toxic dictionary saves over the ordinary
-one. A window counts as toxic beyond a distance that few ordinary training windows reach. A text's
+One dictionary is trained on ordinary text. The other is trained on toxic texts cut down to the words
+that far more toxic texts hold than the ordinary ones' share predicts; the ordinary content follows
+it, so what both classes share costs a window the same with either. A text's words are cut into short
+overlapping windows, each compressed with both dictionaries; a window's distance is the bytes the
+toxic dictionary saves. A window counts as toxic beyond a distance that few ordinary training windows reach. A text's
 score is a logistic function of its largest distance, its mean distance and its toxic windows, fitted
 on the training texts.
 
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from assetlens.llm.blocks import ALNUM, LOWER, flat_text, row_of, spans, text_blocks
 from assetlens.llm.samples import labelled_texts
 
-WINDOW, STEP = 6, 4  # words
-LEVEL = 3
+WINDOW, STEP = 8, 5  # words
+LEVEL = 6
 
 
 @dataclass(frozen=True)
@@ -112,26 +112,26 @@ def _contrast(texts: list[list[bytes]], other: list[list[bytes]], surprise: floa
     return [b for b in (b" " + b" ".join(w for w in d if w in chosen) + b" " for d in texts) if len(b) > 2]
 
 
-def _train(samples: list[bytes], size: int) -> bytes:
+def _train(samples: list[bytes], size: int, segment: int) -> bytes:
     """The content of a trained dictionary, or the samples' own end where there are too few to train on."""
     import zstandard
 
     try:
-        whole = zstandard.train_dictionary(size, samples).as_bytes()
+        whole = zstandard.train_dictionary(size + 256, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
     return whole[-size:] if len(whole) > size else whole
 
 
-def learn(texts: list[str], y: np.ndarray, size: int = 4096, quantile: float = 0.999, surprise: float = 5.0, sample_windows: int = 20_000) -> Distances:
+def learn(texts: list[str], y: np.ndarray, size: int = 16_384, toxic_size: int = 768, quantile: float = 0.999, surprise: float = 5.0, segment: int = 32, sample_windows: int = 20_000) -> Distances:
     data, offsets = flat_text(pa.array(texts, pa.string()))
     text, starts, ends, first = plain(data, offsets)
     words = [[text[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())] for i, j in zip(first[:-1], first[1:])]
     bad, good = [w for w, t in zip(words, y) if t], [w for w, t in zip(words, y) if not t]
     if not bad or not good:
         return Distances(b" ", b" ", 0.0, (4.0 if bad else -4.0, 0, 0, 0, 0, 0))
-    ordinary = _train([b" " + b" ".join(w[i : i + 40]) + b" " for w in good for i in range(0, len(w), 40)][:sample_windows], size)
-    toxic = ordinary + _train(_contrast(bad, good, surprise), size)
+    ordinary = _train([b" " + b" ".join(w[i : i + 40]) + b" " for w in good for i in range(0, len(w), 40)][:sample_windows], size, 64)
+    toxic = _train(_contrast(bad, good, surprise), toxic_size, segment) + ordinary  # the ordinary part stays as near to a window
     distance, at = window_distances(data, offsets, toxic, ordinary)
     limit = float(np.quantile(distance[~y.astype(bool)[row_of(at)]], quantile)) if len(distance) else 0.0
     x = summary(distance, at, limit)
