@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import ranking, repetition, samples, sentencepieces, toxicity
+from assetlens.llm import neardup, ranking, repetition, samples, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.rate(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows", "toxic_windows", "largest_distance")
+
+
+@query
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, and whether it is the one that stays."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
