@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import neardup, ranking, repetition, samples, sentencepieces, toxicity
+from assetlens.llm import neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn):
@@ -81,3 +82,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, and whether it is the one that stays."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), BYTE_MODEL))
