@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
+from assetlens.llm import imatch, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), BYTE_MODEL))
+
+
+@query
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
