@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import imatch, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
+from assetlens.llm import imatch, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the license phrases and the labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
