@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import imatch, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
+from assetlens.llm import imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,3 +100,13 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the license phrases and the labels of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the model learned from those outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = samples.fold("doc_id", 7) == 2
+    model = kneserney.train(documents.where(~held_out))
+    scored = kneserney.score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
