@@ -9,8 +9,10 @@ Texts with equal sets form a class (by a 128-bit fingerprint of the set) and onl
 on. Signatures are cut into bands. In a bucket (texts with one band in common) every member is held
 against the bucket's smallest id, so a bucket of any size makes as many pairs as it has members; the
 pairs are confirmed on the full sets and joined to components. Buckets whose members are then still in
-several components are gone through again with the largest id, and what is still apart after that
-is held against every member of the bucket's other components.
+several components are gone through again with the largest id. What is still apart after that is held
+against every member of the bucket's other components: pair by pair in buckets of a few members, and in
+larger ones block against block, where a product of 0/1 matrices gives the intersections of all sets of
+two blocks at once and only links that join components leave the task.
 
 Null and empty texts have no shingles and stay alone. Rows with equal texts are one class. An id with
 several texts is linked through any of them. A null id gets the component of its class and is kept only
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm.blocks import row_of, span_hashes, splitmix, text_blocks, words
+from assetlens.llm.blocks import flat_text, row_of, span_hashes, splitmix, text_blocks, words
 from assetlens.llm.components import components
 from assetlens.llm.staging import staged
 
@@ -41,6 +43,8 @@ class Settings:
     percent: int = 75  # least similarity, in hundredths
     bands: int = 32
     rows: int = 4
+    few: int = 16  # members of a bucket whose pairs are listed one by one
+    block: int = 256  # members in a block of a larger bucket
 
     @property
     def slots(self) -> int:
@@ -144,6 +148,52 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
+def intersections(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, slab: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other, by products of 0/1 matrices a slab of elements wide."""
+    out = np.zeros((len(a) - 1, len(b) - 1), np.float32)
+    common = np.intersect1d(left, right)
+    sides = []
+    for elements, first in ((left, a), (right, b)):
+        at = np.minimum(np.searchsorted(common, elements), max(len(common) - 1, 0))
+        hit = common[at] == elements if len(common) else np.zeros(len(elements), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], row_of(first)[hit][order], len(first) - 1))
+    for lo in range(0, len(common), slab):
+        x, y = (_indicator(at, row, n, lo, slab) for at, row, n in sides)
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _indicator(at: np.ndarray, row: np.ndarray, rows: int, lo: int, slab: int) -> np.ndarray:
+    m = np.zeros((rows, slab), np.float32)
+    i, j = np.searchsorted(at, [lo, lo + slab])
+    m[row[i:j], at[i:j] - lo] = 1
+    return m
+
+
+def _open_links(s: Settings):
+    """Links between different components of two blocks of one bucket, no more than join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (reps, comp, x, a), (other, comp2, y, b) = ((v.field("rep").to_numpy(), v.field("component").to_numpy(), *shingle_sets(*flat_text(v.field("text")), s.words)) for v in (batch.column(k)[i].values for k in (0, 1)))
+                both = intersections(x, a, y, b)
+                union = np.diff(a)[:, None] + np.diff(b)[None, :] - both
+                p, q = np.nonzero((both > 0) & (100 * both >= s.percent * union) & (comp[:, None] != comp2[None, :]))
+                _, one = np.unique(np.minimum(comp[p], comp2[q]).view(np.uint64) * _STEP ^ np.maximum(comp[p], comp2[q]).view(np.uint64), return_index=True)
+                u, v = reps[p[one]], other[q[one]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, name: str, s: Settings) -> DataFrame:
+    """Members of each bucket in blocks of bounded size, dealt by hash."""
+    size = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / s.block, F.sum("n") / (s.block * 200))).alias("blocks"))
+    return rows.join(size, "band").groupBy("band", F.pmod(F.xxhash64("rep"), "blocks").alias(name + "_block")).agg(F.collect_list(F.struct("rep", "component", "text")).alias(name))
+
+
 def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``df``."""
     described = staged(signatures(df, s, id_col, text_col), "signatures")
@@ -151,7 +201,7 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     single = classes.where("rep is not null")
     in_bands = single.select("rep", "n", F.explode("bands").alias("band"))
     crowded = in_bands.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).where("members > 1")
-    buckets = staged(in_bands.join(crowded, "band").select("band", "rep", "n", "low", "high"), "buckets")
+    buckets = staged(in_bands.join(crowded, "band").select("band", "rep", "n", "members", "low", "high"), "buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     texts = staged(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "texts")
 
@@ -164,25 +214,36 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_
         other = F.col(f"{side}.rep")
         return rows.where((F.col("rep") != other) & like(F.col("n"), F.col(f"{side}.n"))).select(F.least("rep", other).alias("u"), F.greatest("rep", other).alias("v")).distinct()
 
+    def still_open(group: DataFrame) -> DataFrame:
+        """Buckets whose members lie in several components."""
+        named = buckets.join(group, buckets.rep == group.node, "left").select("band", "rep", "n", "members", "low", "high", F.coalesce("component", "rep").alias("component"))
+        apart = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+        return named.join(apart, "band")
+
     tried = staged(against("low", buckets), "pairs")
     links = staged(confirmed(tried, texts, s), "links")
     group = staged(components(links), "groups")
-    for step in ("high", "all"):
-        named = buckets.join(group, buckets.rep == group.node, "left").select("band", "rep", "n", "low", "high", F.coalesce("component", "rep").alias("component"))
-        apart = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-        open_buckets = named.join(apart, "band")
-        if step == "high":
-            pairs = against("high", open_buckets)
-        else:
-            other = open_buckets.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            pairs = open_buckets.join(other, "band").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & like(F.col("n"), F.col("n2"))).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
-        pairs = staged(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = staged(confirmed(pairs, texts, s), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            group = staged(components(links), "groups")
-        tried = tried.unionByName(pairs)
-    of_class = classes.join(group, classes.rep == group.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("found"))
+    pairs = staged(against("high", still_open(group)).join(tried, ["u", "v"], "left_anti"), "pairs")
+    links = links.unionByName(staged(confirmed(pairs, texts, s), "links"))
+    tried = tried.unionByName(pairs)
+    group = staged(components(links), "groups")
+
+    rest = staged(still_open(group), "open")
+    few = rest.where(F.col("members") <= s.few)
+    other = few.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    each = few.join(other, "band").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & like(F.col("n"), F.col("n2")))
+    pairs = each.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    more = confirmed(pairs, texts, s)
+    # large buckets: all members of the smaller components against all members, block by block
+    many = rest.where(F.col("members") > s.few)
+    main = many.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    full = many.join(main, "band").join(texts.withColumnRenamed("id", "rep"), "rep").select("band", "rep", "n", "component", "text", "main")
+    left, right = _in_blocks(full.where("component <> main"), "left", s), _in_blocks(full, "right", s)
+    blocks = left.join(right, "band").select("left", "right").mapInArrow(_open_links(s), "u long, v long")
+    links = links.unionByName(staged(more.unionByName(blocks), "links"))
+    group = staged(components(links), "groups")
+
+    of_class = classes.join(group, classes.rep == group.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
