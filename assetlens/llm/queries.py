@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity
+from assetlens.llm import imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = kneserney.train(documents.where(~held_out))
     scored = kneserney.score(documents, model)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
