@@ -113,15 +113,16 @@ def describe(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
 
 
 def signatures(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, f1, f2, bands) of every row; bands are null for a text without words."""
+    """(id, n_shingles, f1, f2, bands, text_hash) of every row; bands are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
             n, f1, f2, band = describe(data, offsets, s)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * s.bands), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), keys], ["id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), keys, rows.column(2)], ["id", "n_shingles", "f1", "f2", "bands", "text_hash"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    read = df.select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    return read.mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>, text_hash long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -194,8 +195,8 @@ def _in_blocks(rows: DataFrame, name: str, s: Settings) -> DataFrame:
     return rows.join(size, "band").groupBy("band", F.pmod(F.xxhash64("rep"), "blocks").alias(name + "_block")).agg(F.collect_list(F.struct("rep", "component", "text")).alias(name))
 
 
-def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of ``df``."""
+def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep_text_hash: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row of ``df``, and a hash of its text if asked for."""
     described = staged(signatures(df, s, id_col, text_col), "signatures")
     classes = staged(described.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     single = classes.where("rep is not null")
@@ -244,6 +245,18 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     group = staged(components(links), "groups")
 
     of_class = classes.join(group, classes.rep == group.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
+    also = ["text_hash"] if keep_text_hash else []
+    out = described.select("id", "n_shingles", "f1", "f2", *also).join(of_class, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), *also).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def kept_rows(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, that stay: one of each group, rows that repeat an id and text once.
+
+    Rows are found again by id and text together, so a null id or an id with several texts does no harm.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    stays = near_duplicates(df, s, id_col, text_col, keep_text_hash=True).where("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = df.withColumn("_key", key)
+    return rows.join(stays, rows[id_col].eqNullSafe(stays["_id"]) & (rows["_key"] == stays["_hash"]), "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")

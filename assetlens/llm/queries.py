@@ -57,16 +57,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_CUT = 0.3
 
 
-def quality_scores(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Scores of ``documents`` from a ranking learned on the labelled rows of the whole table."""
-    model = ranking.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, cut_score=QUALITY_CUT)
-    return ranking.rank(documents, model)
+def quality_model(spark: SparkSession, sf_dir: str) -> ranking.Ranking:
+    """The ranking learned from the labelled rows outside fold 0."""
+    return ranking.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, cut_score=QUALITY_CUT)
 
 
 @query
 def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, and whether it lies in the fold that learning left out."""
-    scored = quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    scored = ranking.rank(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return scored.select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 

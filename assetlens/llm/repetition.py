@@ -89,6 +89,26 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     return out
 
 
+def verdicts(m: dict[str, np.ndarray], rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each text fails the base rules, and whether it is kept."""
+    failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+    bad = failed | (m["line_coverage"] > rules.max_line_coverage) | (m["n_symbols"] > rules.max_symbols_per_word * m["n_words"])
+    for n, most in rules.coverage:
+        bad |= m[f"coverage_{n}"] > most
+    return failed, ~bad
+
+
+def kept_rows(df: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, that the rules keep."""
+    lengths, at = tuple(n for n, _ in rules.coverage), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_blocks(batches, at):
+            yield rows.filter(pa.array(verdicts(measure(data, offsets, lengths), rules)[1]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def quality_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: its counts, coverages, whether the base rules fail, and whether it is kept."""
     lengths = tuple(n for n, _ in rules.coverage)
@@ -98,12 +118,9 @@ def quality_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
             m = measure(data, offsets, lengths)
-            failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
-            bad = failed | (m["line_coverage"] > rules.max_line_coverage) | (m["n_symbols"] > rules.max_symbols_per_word * m["n_words"])
-            for n, most in rules.coverage:
-                bad |= m[f"coverage_{n}"] > most
+            failed, kept = verdicts(m, rules)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), *(pa.array(m[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(~bad), *(pa.array(m[c].astype(np.float64)) for c in shares)],
+                [rows.column(0), *(pa.array(m[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept), *(pa.array(m[c].astype(np.float64)) for c in shares)],
                 [id_col, *counts, "base_failed", "kept", *shares],
             )
 
