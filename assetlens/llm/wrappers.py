@@ -172,7 +172,7 @@ def merge(a: list, b: list) -> list:
 
 
 def _group(nodes: list, often: str = "+") -> list:
-    return ["(" + " ".join(_keys(nodes)) + ")", often, sum(x[2] for x in nodes), sum(x[3] for x in nodes), None, nodes]
+    return ["(" + " ".join(_keys(nodes)) + ")", often, sum(x[2] for x in nodes), sum(x[3] for x in nodes), "", nodes]
 
 
 def _add_turn(group: list, turn: list) -> None:
