@@ -51,24 +51,48 @@ def creator_profiles(launches: DataFrame, events: DataFrame) -> DataFrame:
     ))
 
 
-def creator_linked(attributions: DataFrame, members: DataFrame, funding: DataFrame, payers: DataFrame) -> DataFrame:
-    """(asset, wallet): creator, deployers, paying wallets, the creator's cluster, wallets it funded.
+class Circle:
+    """Who belongs to the creator of an asset, asked by comparison instead of being listed.
+
+    A wallet is in the circle of an asset when it lies in the component of the asset's creator, or when
+    it is named with the asset: the creator, deployers, paying wallets, wallets the creator funded.
+    ``home(asset, component)`` has one row an asset, ``members(wallet, component)`` one a wallet, and
+    ``named(asset, wallet)`` a few an asset, so nothing grows with launches times members.
+    """
+
+    def __init__(self, home: DataFrame, members: DataFrame, named: DataFrame):
+        self.home, self.members, self.named = home, members, named
+
+    def flag(self, facts: DataFrame, wallet: str, out: str) -> DataFrame:
+        """Add ``out``: whether the fact's wallet is in its asset's circle."""
+        named = self.named.select("asset", F.col("wallet").alias(wallet)).distinct().withColumn("_named", F.lit(True))
+        at = self.members.select(F.col("wallet").alias(wallet), F.col("component").alias("_of_wallet"))
+        j = facts.join(named, ["asset", wallet], "left").join(at, wallet, "left").join(self.home.withColumnRenamed("component", "_of_asset"), "asset", "left")
+        inside = F.coalesce("_named", F.col("_of_wallet") == F.col("_of_asset"), F.lit(False))
+        return j.withColumn(out, inside).drop("_named", "_of_wallet", "_of_asset")
+
+    def sizes(self) -> DataFrame:
+        """(asset, wallets, first_wallet) of every circle that is not empty."""
+        size = self.members.groupBy("component").agg(F.count("*").alias("n"), F.min("wallet").alias("low"))
+        whole = self.home.join(size, "component").select("asset", "n", "low")
+        outside = Circle(self.home, self.members, self.named.where(F.lit(False))).flag(self.named.distinct(), "wallet", "_in").where(~F.col("_in"))
+        more = outside.groupBy("asset").agg(F.count("*").alias("n"), F.min("wallet").alias("low"))
+        return whole.unionByName(more).groupBy("asset").agg(F.sum("n").alias("wallets"), F.min("low").alias("first_wallet"))
+
+
+def creator_circle(attributions: DataFrame, members: DataFrame, funding: DataFrame, payers: DataFrame) -> Circle:
+    """The circles of the attributed assets.
 
     ``payers(asset, wallet)`` holds fee payers already known to be wallets and not hubs.
     """
     creator = attributions.where(F.col("creator").isNotNull()).select("asset", F.col("creator").alias("wallet"))
     deployers = attributions.select("asset", F.explode("deployers").alias("wallet"))
-    own = creator.join(members, "wallet").select("asset", "component")
-    peers = own.join(members, "component").select("asset", "wallet")
     funded = creator.join(
-        funding.where("classification = 'DIRECT'").select(F.col("funder").alias("creator"), F.col("wallet").alias("w")),
-        F.col("wallet") == F.col("creator"),
+        funding.where("classification = 'DIRECT'").select(F.col("funder").alias("wallet"), F.col("wallet").alias("w")), "wallet",
     ).select("asset", F.col("w").alias("wallet"))
-    parts = [deployers, payers.select("asset", "wallet"), peers, funded]
-    out = creator
-    for p in parts:
-        out = out.unionByName(p)
-    return out.distinct()
+    named = creator.unionByName(deployers).unionByName(payers.select("asset", "wallet")).unionByName(funded).distinct()
+    home = creator.join(members, "wallet").groupBy("asset").agg(F.min("component").alias("component"))
+    return Circle(home, members, named)
 
 
 def linked_assets(assets: DataFrame, attributions: DataFrame, events: DataFrame, launches: DataFrame, per_actor: int = 50) -> DataFrame:

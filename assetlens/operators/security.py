@@ -1,14 +1,14 @@
-"""Security events per asset from chain facts. ``linked(asset, wallet)`` is the creator's circle."""
+"""Security events per asset from chain facts. ``circle`` tells who belongs to an asset's creator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.functions.durable import cut
 from assetlens.functions.scalar import DAY_MS, HOUR_MS, known, ladder, lookup
 from assetlens.functions.skew import running_sum, with_halo
 from assetlens.functions.text import canonical_id
+from assetlens.operators.creators import Circle
 
 # Thresholds and the confidence of each status.
 SOLD_WITHIN_MS, DUMP_WINDOW_MS = DAY_MS, HOUR_MS
@@ -27,11 +27,6 @@ def after_launch(facts: DataFrame, launches: DataFrame) -> DataFrame:
     return j.where(~own & (F.col("launch_slot").isNull() | (F.col("slot") >= F.col("launch_slot")))).drop("launch_tx", "launch_slot")
 
 
-def _flag(df: DataFrame, linked: DataFrame, wallet: str, out: str) -> DataFrame:
-    tag = linked.select("asset", F.col("wallet").alias(wallet)).distinct().withColumn(out, F.lit(True))
-    return df.join(tag, ["asset", wallet], "left").withColumn(out, F.coalesce(out, F.lit(False)))
-
-
 def _event(df: DataFrame, kind: str, actor: str, amount) -> DataFrame:
     return df.where(F.col("status").isNotNull()).select(
         canonical_id("SECURITY", F.lit(kind), "asset", "tx_id").alias("id"), "asset", F.lit(kind).alias("type"), "status",
@@ -40,8 +35,8 @@ def _event(df: DataFrame, kind: str, actor: str, amount) -> DataFrame:
     )
 
 
-def linked_sales(sells: DataFrame, linked: DataFrame) -> DataFrame:
-    return sells.join(linked.select("asset", "wallet").distinct(), ["asset", "wallet"], "left_semi")
+def linked_sales(sells: DataFrame, circle: Circle) -> DataFrame:
+    return circle.flag(sells, "wallet", "_in").where("_in").drop("_in")
 
 
 def sold_after(mints: DataFrame, sales: DataFrame, width: int = DAY_MS) -> DataFrame:
@@ -68,40 +63,39 @@ def sold_after(mints: DataFrame, sales: DataFrame, width: int = DAY_MS) -> DataF
     ).drop("_t", "_u", "_a")
 
 
-def supply_expansion(mints: DataFrame, sells: DataFrame, linked: DataFrame, launches: DataFrame) -> DataFrame:
+def supply_expansion(mints: DataFrame, sells: DataFrame, circle: Circle, launches: DataFrame) -> DataFrame:
     """Mints after launch; confirmed when the circle received them and sold at least half."""
-    linked = cut(linked.select("asset", "wallet").distinct())  # three joins below read the circle
-    m = _flag(after_launch(mints, launches), linked, "recipient", "to_linked")
-    m = sold_after(m, linked_sales(sells, linked))
+    m = circle.flag(after_launch(mints, launches), "recipient", "to_linked")
+    m = sold_after(m, linked_sales(sells, circle))
     half = F.col("to_linked") & (F.col("sold") * 2 >= F.col("amount"))
-    m = _flag(m.withColumn("status", ladder("SUSPICIOUS", (half, "CONFIRMED"), (F.col("to_linked"), "STRONGLY_SUSPECTED"))),
-              linked, "authority", "creator_linked")
+    m = circle.flag(m.withColumn("status", ladder("SUSPICIOUS", (half, "CONFIRMED"), (F.col("to_linked"), "STRONGLY_SUSPECTED"))),
+              "authority", "creator_linked")
     return _event(m, "SUPPLY_EXPANSION", "authority", F.col("amount"))
 
 
-def authority_reassigned(changes: DataFrame, linked: DataFrame, launches: DataFrame) -> DataFrame:
+def authority_reassigned(changes: DataFrame, circle: Circle, launches: DataFrame) -> DataFrame:
     """Authority moved to another holder, instead of revoked, after launch."""
     c = after_launch(changes, launches).where(F.col("new_authority").isNotNull()).withColumn("status", F.lit("SUSPICIOUS"))
-    return _event(_flag(c, linked, "previous_authority", "creator_linked"), "AUTHORITY_REASSIGNED", "previous_authority", F.lit(None))
+    return _event(circle.flag(c, "previous_authority", "creator_linked"), "AUTHORITY_REASSIGNED", "previous_authority", F.lit(None))
 
 
-def freeze_abuse(freezes: DataFrame, linked: DataFrame, address_dim: DataFrame) -> DataFrame:
+def freeze_abuse(freezes: DataFrame, circle: Circle, address_dim: DataFrame) -> DataFrame:
     """Freezing holders outside the circle; three or more distinct holders confirm it."""
     f = freezes.where("kind = 'FREEZE'").join(
         address_dim.select(F.col("address").alias("owner"), "is_wallet"), "owner", "left"
     ).where(F.col("owner").isNull() | F.col("is_wallet"))
-    f = _flag(f, linked, "owner", "_l").where(~F.col("_l"))
+    f = circle.flag(f, "owner", "_l").where(~F.col("_l"))
     first = F.min_by(F.struct("tx_id", "slot", "at", "authority"), F.struct("slot", "tx_id")).alias("f")
     g = f.groupBy("asset").agg(F.countDistinct("owner").alias("holders"), first).select(
         "asset", "f.*", ladder("SUSPICIOUS", (F.col("holders") >= 3, "CONFIRMED"), (F.col("holders") >= 1, "STRONGLY_SUSPECTED")).alias("status"))
-    return _event(_flag(g, linked, "authority", "creator_linked"), "FREEZE_ABUSE", "authority", F.lit(None))
+    return _event(circle.flag(g, "authority", "creator_linked"), "FREEZE_ABUSE", "authority", F.lit(None))
 
 
-def liquidity_drain(removals: DataFrame, linked: DataFrame, address_dim: DataFrame) -> DataFrame:
+def liquidity_drain(removals: DataFrame, circle: Circle, address_dim: DataFrame) -> DataFrame:
     """Large removals of a pool's reserve by a wallet, direct readings only."""
     r = removals.where(F.col("confidence") >= DIRECT_READING).drop("confidence").join(
         address_dim.where("is_wallet").select(F.col("address").alias("actor")), "actor", "left_semi")
-    r = _flag(r, linked, "actor", "creator_linked")
+    r = circle.flag(r, "actor", "creator_linked")
     share = F.coalesce("reserve_fraction", F.lit(0.0))
     r = r.withColumn("status", ladder(
         F.lit(None).cast("string"), (F.col("creator_linked") & (share >= DRAIN_CONFIRMED), "CONFIRMED"),
@@ -109,9 +103,9 @@ def liquidity_drain(removals: DataFrame, linked: DataFrame, address_dim: DataFra
     return _event(r, "LIQUIDITY_DRAIN", "actor", F.col("amount"))
 
 
-def creator_dump(sells: DataFrame, linked: DataFrame, supply: DataFrame, width: int = DAY_MS) -> DataFrame:
+def creator_dump(sells: DataFrame, circle: Circle, supply: DataFrame, width: int = DAY_MS) -> DataFrame:
     """Best one-hour sum of the circle's sales as a share of initial supply."""
-    s = with_halo(linked_sales(sells, linked), "at", width, 0, DUMP_WINDOW_MS)
+    s = with_halo(linked_sales(sells, circle), "at", width, 0, DUMP_WINDOW_MS)
     w = Window.partitionBy("asset", "_b").orderBy("at").rangeBetween(0, DUMP_WINDOW_MS)
     s = s.withColumn("_sum", F.sum("amount").over(w)).where("_core")
     best = s.groupBy("asset").agg(F.max_by(

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from assetlens.functions.durable import cut
 from assetlens.operators import creators as C
 from assetlens.operators import security as X
 from assetlens.plans.registry import query
@@ -49,14 +48,11 @@ def attributions(t):
     return t.launches().select("asset", "creator", F.array().cast("array<string>").alias("deployers"))
 
 
-def linked(t, only=None):
-    """(asset, wallet) circles; ``only`` keeps the assets that have facts to judge."""
+def linked(t):
+    """The circles of all launched assets."""
     none = t.launches().where(F.lit(False))
-    att = attributions(t)
-    if only is not None:
-        att = att.join(only.select("asset").distinct(), "asset", "left_semi")
-    return C.creator_linked(
-        att, members(t),
+    return C.creator_circle(
+        attributions(t), members(t),
         none.select(F.col("creator").alias("funder"), F.col("asset").alias("wallet"), F.lit("DIRECT").alias("classification")),
         none.select("asset", F.col("creator").alias("wallet")),
     )
@@ -83,7 +79,7 @@ EXPANSION = f"""mt AS (SELECT lx.* FROM lx JOIN lau ON lx.asset=lau.asset WHERE
 @query("X01 X06", f"WITH {LX}, {LKS}, {LAU}, {SALES}, {EXPANSION} SELECT *, {STAT} FROM exp_ev")
 def supply_expansion(t):
     m = lines(t).where("rf = 'R'").select("asset", "tx_id", "slot", "at", "amount", "path", F.col("wallet").alias("recipient"), F.col("pool").alias("authority"))
-    return shown(X.supply_expansion(m, sells(t), linked(t, t.line_assets()), launches(t)))
+    return shown(X.supply_expansion(m, sells(t), linked(t), launches(t)))
 
 
 AUTH = """au_ev AS (SELECT 'AUTHORITY_REASSIGNED' AS type, lx.asset, tx_id, 'SUSPICIOUS' AS status, wallet AS actor,
@@ -95,7 +91,7 @@ AUTH = """au_ev AS (SELECT 'AUTHORITY_REASSIGNED' AS type, lx.asset, tx_id, 'SUS
 def authority_reassigned(t):
     c = lines(t).where("rf = 'A'").select("asset", "tx_id", "slot", "at", F.col("wallet").alias("previous_authority"),
                                          F.when(F.col("ln") % 2 == 1, F.col("pool")).alias("new_authority"))
-    return shown(X.authority_reassigned(c, linked(t, t.line_assets()), launches(t)))
+    return shown(X.authority_reassigned(c, linked(t), launches(t)))
 
 
 FREEZE = """fz AS (SELECT lx.* FROM lx WHERE rf='N' AND ls='F' AND ln<>3 AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.asset=lx.asset AND lk.wallet=lx.wallet)),
@@ -108,7 +104,7 @@ def freeze_abuse(t):
     f = lines(t).where("rf = 'N' AND ls = 'F'").select(
         "asset", "tx_id", "slot", "at", F.when(F.col("ln") == 3, "THAW").otherwise("FREEZE").alias("kind"),
         F.col("wallet").alias("owner"), F.col("pool").alias("authority"))
-    return shown(X.freeze_abuse(f, linked(t, t.line_assets()), t.address_dim()))
+    return shown(X.freeze_abuse(f, linked(t), t.address_dim()))
 
 
 DRAIN = """dr0 AS (SELECT lx.*, EXISTS (SELECT 1 FROM lk WHERE lk.asset=lx.asset AND lk.wallet=lx.wallet) AS ol FROM lx WHERE conf>=0.9),
@@ -120,7 +116,7 @@ DRAIN = """dr0 AS (SELECT lx.*, EXISTS (SELECT 1 FROM lk WHERE lk.asset=lx.asset
 def liquidity_drain(t):
     r = lines(t).select("asset", "tx_id", "slot", "at", F.col("wallet").alias("actor"), F.col("frac").alias("reserve_fraction"),
                         F.col("conf").alias("confidence"), "amount")
-    return shown(X.liquidity_drain(r, linked(t, t.line_assets()), t.address_dim()))
+    return shown(X.liquidity_drain(r, linked(t), t.address_dim()))
 
 
 DUMP = """sw AS (SELECT s.asset, s.slot, s.at_ms, (SELECT sum(o.amount) FROM sa o WHERE o.asset=s.asset AND o.at_ms BETWEEN s.at_ms AND s.at_ms+3600000) AS tot FROM sa s),
@@ -133,7 +129,7 @@ DUMP = """sw AS (SELECT s.asset, s.slot, s.at_ms, (SELECT sum(o.amount) FROM sa
 @query("X05", f"WITH {LX}, {LKS}, {SALES}, {DUMP} SELECT *, {STAT} FROM du_ev")
 def creator_dump(t):
     supply = lines(t).where("rf = 'R'").groupBy("asset").agg(F.sum("amount").alias("supply"))
-    return shown(X.creator_dump(sells(t), linked(t, t.line_assets()), supply)).drop("tx_id", "actor")
+    return shown(X.creator_dump(sells(t), linked(t), supply)).drop("tx_id", "actor")
 
 
 @query("X07", f"""WITH {EV} SELECT 'A'||(k%10) AS asset, CASE event_type WHEN 'purchase' THEN 'CONFIRMED' WHEN 'signup' THEN 'STRONGLY_SUSPECTED' ELSE 'SUSPICIOUS' END AS status, count(*) AS n
@@ -172,7 +168,7 @@ EVS = f"evs AS (SELECT asset, status FROM exp_ev UNION ALL SELECT asset, status
 def some_events(t):
     m = lines(t).where("rf = 'R'").select("asset", "tx_id", "slot", "at", "amount", "path", F.col("wallet").alias("recipient"), F.col("pool").alias("authority"))
     r = lines(t).select("asset", "tx_id", "slot", "at", F.col("wallet").alias("actor"), F.col("frac").alias("reserve_fraction"), F.col("conf").alias("confidence"), "amount")
-    lk = cut(linked(t, t.line_assets()))
+    lk = linked(t)
     return X.supply_expansion(m, sells(t), lk, launches(t)).unionByName(X.liquidity_drain(r, lk, t.address_dim()))
 
 
@@ -191,7 +187,7 @@ def creator_profiles(t):
 
 @query("N18", f"""WITH {LKS} SELECT asset, count(*) AS wallets, min(wallet) AS first_wallet FROM lk GROUP BY 1""")
 def creator_linked(t):
-    return linked(t).groupBy("asset").agg(F.count("*").alias("wallets"), F.min("wallet").alias("first_wallet"))
+    return linked(t).sizes()
 
 
 @query("N16", """WITH c AS (SELECT 'T'||o_orderkey AS asset, 'C'||o_custkey AS fee_payer, o_orderkey%7 AS r, 'C'||(o_orderkey%100) AS other FROM orders WHERE o_orderstatus<>'P')
