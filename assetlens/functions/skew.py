@@ -11,15 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a scan that arrived in fewer splits than there are cores.
-
-    For heavy per-row work behind a few small files. A scan with enough splits is left alone.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
-
-
 def bucket_of(pos: str | Column, width: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(pos / F.lit(width))

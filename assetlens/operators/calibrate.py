@@ -14,6 +14,7 @@ NEAR_MS = 10 * 60_000
 COLLAPSE, SUSTAINED, THROUGH, PROXY, MIN_LIQUIDITY = 0.2, 0.5, 0.9, 0.5, 1_000
 BAD = ["CONFIRMED_DRAIN", "CONFIRMED_ABUSE", "LIQUIDITY_COLLAPSE"]
 # How blocker texts are grouped.
+UNDER_MARKET, UNDER_INTEL = 0.7, 0.5  # least coverage of a high potential verdict
 MASK_DIGITS, MASK_NEEDS = r"\d+(\.\d+)?%?", r"\(needs [^)]*\)"
 ORDER = ["observed_at", "seq"]
 
@@ -116,16 +117,27 @@ def replay_stability(verdicts: DataFrame, k: int) -> DataFrame:
 
 
 def current_audit(decisions: DataFrame) -> DataFrame:
-    """Invariant breaches and blocker texts with their digits masked, counted."""
-    checks = [
-        ("rejected_has_rank", (F.col("verdict") == "REJECTED") & F.col("rank_score").isNotNull()),
-        ("live_without_rank", (F.col("verdict") != "REJECTED") & F.col("rank_score").isNull()),
-    ]
-    out = decisions.groupBy(F.lit("verdict").alias("what"), F.col("verdict").alias("key")).agg(F.count("*").alias("n"))
-    for name, cond in checks:
-        out = out.unionByName(decisions.where(known(cond)).groupBy(F.lit("invariant").alias("what"), F.lit(name).alias("key")).agg(F.count("*").alias("n")))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("blocker", MASK_DIGITS, "#"), MASK_NEEDS, ""))
-    return out.unionByName(decisions.where("blocker IS NOT NULL").groupBy(F.lit("blocker").alias("what"), masked.alias("key")).agg(F.count("*").alias("n")))
+    """(what, key, n) over the current decisions: verdicts, breached invariants, risk groups, blockers.
+
+    ``decisions`` has verdict, market_coverage, intel_coverage, n_fails, analyzed_at, codes, families and
+    blockers (arrays), disputed, corroborated, automation_alone, momentum. Blocker texts, of qualified
+    assets only, are counted with their numbers masked. One pass: each row lists what it counts for.
+    """
+    v = F.col("verdict")
+    entry = lambda what, key, when=F.lit(True): F.when(when, F.struct(F.lit(what).alias("what"), key.alias("key")))
+    automated = F.array_contains("codes", "AUTOMATION")
+    single = F.array(
+        entry("verdict", v),
+        entry("invariant", F.lit("high_potential_under_covered"), (v == "HIGH_POTENTIAL") & ((F.col("market_coverage") < UNDER_MARKET) | (F.col("intel_coverage") < UNDER_INTEL))),
+        entry("invariant", F.lit("rejected_without_hard_fail"), (v == "REJECTED") & (F.col("n_fails") == 0)),
+        entry("invariant", F.lit("qualified_unanalysed"), (v == "QUALIFIED") & F.col("analyzed_at").isNull()),
+        entry("automation", v, automated), entry("automation_alone", v, automated & (v == "HIGH_RISK") & F.col("automation_alone")),
+        entry("disputed", v, F.col("disputed")), entry("corroborated", v, F.col("disputed") & F.col("corroborated")), entry("momentum", F.col("momentum")),
+    )
+    each = lambda what, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: entry(what, x, x.isNotNull()))
+    masked = F.transform("blockers", lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, MASK_DIGITS, "#"), MASK_NEEDS, "")))
+    rows = F.concat(single, each("code", F.array_distinct("codes")), each("family", F.col("families")), each("blocker", F.when(v == "QUALIFIED", masked)))
+    return decisions.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).groupBy("r.what", "r.key").agg(F.count("*").alias("n"))
 
 
 def history_span(verdicts: DataFrame) -> DataFrame:

@@ -33,24 +33,28 @@ TIERS = len(NAMES)
 
 
 def _machine(k: int) -> np.ndarray:
-    """Next-state table [state, reading]. State 0 is "nothing shown yet"; the others encode the
-    shown tier and the pending upgrade (none, or its worst tier and its confirmations so far)."""
+    """Next-state table [repeated, state, reading]. State 0 is "nothing shown yet"; the others encode
+    the shown tier and the pending upgrade (none, or its worst tier and its confirmations so far).
+    A reading of the same instant as the one before it (repeated) may worsen a pending upgrade but
+    does not confirm it."""
     pend = 1 + TIERS * (k - 1)
-    table = np.zeros((1 + TIERS * pend, TIERS), dtype=np.int16)
+    table = np.zeros((2, 1 + TIERS * pend, TIERS), dtype=np.int16)
     settled = lambda v: 1 + v * pend
     for raw in range(TIERS):
-        table[0, raw] = settled(raw)
+        table[:, 0, raw] = settled(raw)
         for shown in range(TIERS):
             for p in range(pend):
                 n, worst = (0, -1) if p == 0 else ((p - 1) // TIERS + 1, (p - 1) % TIERS)
                 conservative = max(worst, raw)
-                if raw >= shown:
-                    nxt = settled(raw)
-                elif n + 1 >= k:
-                    nxt = settled(conservative)
-                else:
-                    nxt = 1 + shown * pend + 1 + n * TIERS + conservative
-                table[1 + shown * pend + p, raw] = nxt
+                for repeated in (0, 1):
+                    seen = n if repeated and n else n + 1
+                    if raw >= shown:
+                        nxt = settled(raw)
+                    elif seen >= k:
+                        nxt = settled(conservative)
+                    else:
+                        nxt = 1 + shown * pend + 1 + (seen - 1) * TIERS + conservative
+                    table[repeated, 1 + shown * pend + p, raw] = nxt
     return table
 
 
@@ -63,16 +67,18 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
 
     A worse or equal verdict applies at once; a better one after ``k`` confirming readings, as
     the most conservative of them. A previous decision older than ``hold_ms`` does not hold
-    (None: never expires, the calibration replay). One reading per instant is assumed.
+    (None: never expires, the calibration replay). A reading of the same instant as the last is no
+    new confirmation.
     """
     table = _machine(k)
-    states = table.shape[0]
+    states = table.shape[1]
     order = ["observed_at", "seq"]
     r = lag_across(readings.select("asset", *order, "verdict"), ["asset"], order, "observed_at", width, {"prev_at": "observed_at"})
     fresh = F.col("prev_at").isNull()
     if hold_ms is not None:
         fresh = fresh | (F.col("observed_at") - F.col("prev_at") > hold_ms)
-    r = r.select("asset", *order, "verdict", lookup("verdict", VERDICT_TIER).alias("tier"), fresh.alias("fresh"), bucket_of("observed_at", width).alias("day"))
+    r = r.select("asset", *order, "verdict", lookup("verdict", VERDICT_TIER).alias("tier"), fresh.alias("fresh"),
+                 known(F.col("prev_at") == F.col("observed_at")).cast("int").alias("repeated"), bucket_of("observed_at", width).alias("day"))
     r = r.repartition("asset", "day").sortWithinPartitions("asset", "day", *order)
 
     def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +90,7 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
                     if key is not None:
                         out.append((*key, cur.tolist()))
                     key, cur = (row.asset, row.day), np.arange(states)
-                cur = np.full(states, table[0, row.tier]) if row.fresh else table[cur, row.tier]
+                cur = np.full(states, table[0, 0, row.tier]) if row.fresh else table[row.repeated, cur, row.tier]
             yield pd.DataFrame(out, columns=["asset", "day", "map"])
         if key is not None:
             yield pd.DataFrame([(*key, cur.tolist())], columns=["asset", "day", "map"])
@@ -107,7 +113,7 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
             for i, row in enumerate(pdf.itertuples(index=False)):
                 if (row.asset, row.day) != key:
                     key, state = (row.asset, row.day), int(row.start)
-                state = int(table[0 if row.fresh else state, row.tier])
+                state = int(table[row.repeated, 0 if row.fresh else state, row.tier])
                 seen[i] = state
             out = pdf[["asset", "observed_at", "seq", "verdict"]].copy()
             out["stable"] = [NAMES[v] for v in _shown(seen, k)]

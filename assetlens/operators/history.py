@@ -112,6 +112,8 @@ def change_feed(changes: DataFrame) -> DataFrame:
 
 
 MEASURED = ["MEASURED", "CONFLICTED"]
+# The steps of the coverage histogram.
+COVERAGE_STEPS = [(float("-inf"), 0.35), (0.35, 0.6), (0.6, 0.8), (0.8, float("inf"))]
 
 
 def signal_counts(ledger: DataFrame) -> DataFrame:
@@ -155,13 +157,16 @@ def dossier(assets: DataFrame, evidence: DataFrame, market: DataFrame, findings:
     return assets.join(e, "asset", "left").join(m, "asset", "left").join(f, "asset", "left").na.fill(0, ["measured", "metrics", "conflicts", "confirmed", "suspected"])
 
 
-def coverage_overview(live: DataFrame) -> DataFrame:
-    """Mean coverage and confidence, and the four-bucket coverage histogram, of live assets."""
+def coverage_overview(live: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Mean coverage and confidence and the coverage histogram of live assets, and how many have a ledger.
+
+    :func:`unknown_signals` of the same ledger gives the metrics that are not known.
+    """
     c = F.col("coverage")
+    kept = ledger.join(live.select("asset"), "asset", "left_semi").agg(F.countDistinct("asset").alias("with_ledger"))
     return live.agg(
         F.count("*").alias("assets"), half_up(F.avg(c), 3).alias("mean_coverage"), half_up(F.avg("confidence"), 3).alias("mean_confidence"),
-        F.count_if(c < 0.25).alias("b0"), F.count_if((c >= 0.25) & (c < 0.5)).alias("b1"),
-        F.count_if((c >= 0.5) & (c < 0.75)).alias("b2"), F.count_if(c >= 0.75).alias("b3"))
+        *(F.count_if((c >= lo) & (c < hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(COVERAGE_STEPS))).withColumn("_k", F.lit(1)).join(kept.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
 
 
 def veto_counts(vetoes: DataFrame) -> DataFrame:

@@ -61,10 +61,23 @@ def best_pool(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("asset").agg(F.max_by(F.struct("pool", "liquidity"), order).alias("b")).select("asset", "b.*")
 
 
-def pool_refs(pairs: DataFrame, n: int = 20) -> DataFrame:
-    """The pools of an asset by 24 h volume, ranked."""
-    r = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc(F.coalesce("volume24h", F.lit(-1.0))), "pool"))
-    return pairs.withColumn("rank", r).where(F.col("rank") <= n)
+def pool_refs(pairs: DataFrame) -> DataFrame:
+    """All pools of an asset by 24 h volume, ranked from 1.
+
+    Ranked by counts: steps of volume are counted for each asset, volumes inside a step, and pools of
+    one volume are put in order by name, so an asset's pools are never one sort.
+    """
+    volume = F.coalesce("volume24h", F.lit(-1.0))
+    p = pairs.withColumn("_v", volume)
+    level = p.groupBy("asset", "_v").agg(F.count("*").alias("_n")).withColumn("_c", F.floor(F.log2(F.greatest("_v", F.lit(0.0)) + 1) * 8))
+    coarse = level.groupBy("asset", "_c").agg(F.sum("_n").alias("_n"))
+    above = Window.partitionBy("asset").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select("asset", "_c", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("asset", "_c").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    level = level.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(coarse, ["asset", "_c"])
+    level = level.select("asset", "_v", (F.col("_base") + F.col("_in")).alias("_before"))
+    tie = F.row_number().over(Window.partitionBy("asset", "_v").orderBy("pool"))
+    return p.withColumn("_t", tie).join(level, ["asset", "_v"]).withColumn("rank", F.col("_before") + F.col("_t")).drop("_v", "_t", "_before")
 
 
 def select_pools(pairs: DataFrame, n: int, min_share: float = 0.2) -> DataFrame:

@@ -6,9 +6,11 @@ from assetlens.operators import calibrate as C
 from assetlens.operators import folds as FO
 from assetlens.operators import history as H
 from assetlens.operators import monitor as M
+from assetlens.operators import place as P
 from assetlens.plans.q_tables import findings_sql
 from assetlens.plans.registry import query
-from assetlens.plans.sqltext import ACT, AS, EV, TR, VD, half_up as hu, tier
+from assetlens.plans.sqltext import ACT, AS, EV, PLACE, TR, VD, half_up as hu, tier
+from assetlens.sources.tables import ASSET_NOW
 
 LAST = 1_706_659_200_000
 DAY = 86_400_000
@@ -169,9 +171,31 @@ def findings(t):
                                   F.when(k % 4 == 0, "v0").otherwise("v1").alias("rule_version"), F.when(k % 9 == 0, F.col("at")).alias("superseded_at"), F.col("at").alias("revised_at"))
 
 
-@query("H19", f"WITH {VD} SELECT count(*) AS assets, {hu('avg(coverage)', 3)} AS mean_coverage, {hu('avg(score/100)', 3)} AS mean_confidence, count(*) FILTER (coverage<0.25) AS b0, count(*) FILTER (coverage>=0.25 AND coverage<0.5) AS b1, count(*) FILTER (coverage>=0.5 AND coverage<0.75) AS b2, count(*) FILTER (coverage>=0.75) AS b3 FROM vd")
+# Live assets with a coverage of their own and the states of four metrics, one without weight.
+COVERED = f"""{AS}, {PLACE}, cv AS (SELECT asset, (seq%100)/100.0::DOUBLE AS coverage, score/100 AS confidence, seq FROM pl WHERE universe='LIVE'),
+ ml AS (SELECT asset, metric, CASE WHEN metric='audit' THEN 0 ELSE 1 END AS weight, CASE (seq+length(metric))%4 WHEN 0 THEN 'MEASURED' WHEN 1 THEN 'CONFLICTED' WHEN 2 THEN 'UNKNOWN' ELSE 'FAILED' END AS state
+  FROM cv, (SELECT unnest(['liquidity','holders','mint','audit']) AS metric) WHERE seq%3<>0)"""
+
+
+def covered(t):
+    return P.place(t.assets(), ASSET_NOW).where(P.is_live()).select("asset", ((F.col("seq") % 100) / 100.0).alias("coverage"), (F.col("score") / 100).alias("confidence"), "seq")
+
+
+def metric_ledger(t):
+    m = covered(t).where("seq % 3 <> 0").select("asset", "seq", F.explode(F.array(*map(F.lit, ("liquidity", "holders", "mint", "audit")))).alias("metric"))
+    state = F.element_at(F.array(*map(F.lit, ("MEASURED", "CONFLICTED", "UNKNOWN", "FAILED"))), ((F.col("seq") + F.length("metric")) % 4 + 1).cast("int"))
+    return m.select("asset", "metric", F.when(F.col("metric") == "audit", 0).otherwise(1).alias("weight"), state.alias("state"))
+
+
+@query("H19", f"""WITH {COVERED} SELECT count(*) AS assets, {hu('avg(coverage)', 3)} AS mean_coverage, {hu('avg(confidence)', 3)} AS mean_confidence, count(*) FILTER (coverage<0.35) AS b0,
+ count(*) FILTER (coverage>=0.35 AND coverage<0.6) AS b1, count(*) FILTER (coverage>=0.6 AND coverage<0.8) AS b2, count(*) FILTER (coverage>=0.8) AS b3, (SELECT count(DISTINCT asset) FROM ml) AS with_ledger FROM cv""")
 def coverage_overview(t):
-    return H.coverage_overview(t.verdicts().withColumn("confidence", F.col("score") / 100))
+    return H.coverage_overview(covered(t), metric_ledger(t))
+
+
+@query("H19", f"WITH {COVERED} SELECT metric, count(*) AS n FROM ml WHERE weight>0 AND state NOT IN ('MEASURED','CONFLICTED') GROUP BY 1")
+def unknown_signal_counts(t):
+    return H.unknown_signals(metric_ledger(t)).groupBy("metric").agg(F.count("*").alias("n"))
 
 
 @query("H20", f"""WITH {EV}, {findings_sql("'U'||user_id")} SELECT asset, count(*) FILTER (rv='v1' AND sup IS NULL AND status='CONFIRMED') AS confirmed, count(*) FILTER (rv='v1' AND sup IS NULL AND status<>'CONFIRMED') AS suspected, count(*) FILTER (NOT (rv='v1' AND sup IS NULL)) AS superseded FROM fnd GROUP BY 1""")
@@ -269,10 +293,11 @@ def stable_sql(hold: str) -> str:
     """The confirmation fold, one reading of every asset per recursion step; defines ``sv``."""
     fresh = f"o.observed_at-r.observed_at>{hold}" if hold else "false"
     keep = f"({fresh}) OR o.tier>=r.cur"
-    done = "r.n+1>=2"
+    count = "CASE WHEN r.n>0 AND o.observed_at=r.observed_at THEN r.n ELSE r.n+1 END"  # the same instant again is no confirmation
+    done = f"{count}>=2"
     return f"""{VD}, so AS (SELECT *, {tier('verdict')} AS tier, row_number() OVER (PARTITION BY asset ORDER BY observed_at, seq) AS rn FROM vd),
  rc AS (SELECT asset, rn, observed_at, seq, verdict, tier AS cur, -1 AS pend, 0 AS n FROM so WHERE rn=1 UNION ALL SELECT o.asset, o.rn, o.observed_at, o.seq, o.verdict, CASE WHEN {keep} THEN o.tier WHEN {done} THEN greatest(r.pend,o.tier) ELSE r.cur END,
-  CASE WHEN {keep} OR {done} THEN -1 ELSE greatest(r.pend,o.tier) END, CASE WHEN {keep} OR {done} THEN 0 ELSE r.n+1 END FROM rc r JOIN so o ON o.asset=r.asset AND o.rn=r.rn+1),
+  CASE WHEN {keep} OR {done} THEN -1 ELSE greatest(r.pend,o.tier) END, CASE WHEN {keep} OR {done} THEN 0 ELSE {count} END FROM rc r JOIN so o ON o.asset=r.asset AND o.rn=r.rn+1),
  sv AS (SELECT asset, observed_at, seq, verdict, CASE cur WHEN 0 THEN 'HIGH_POTENTIAL' WHEN 1 THEN 'QUALIFIED' WHEN 2 THEN 'WATCH' WHEN 3 THEN 'INSUFFICIENT_DATA' WHEN 4 THEN 'HIGH_RISK' ELSE 'REJECTED' END AS stable FROM rc)"""
 
 
@@ -383,12 +408,27 @@ def verdict_reversals(t):
     return C.raw_reversals(t.verdicts())
 
 
-@query("C08", f"""WITH {AS}, d AS (SELECT verdict, rank_score, CASE WHEN seq%4=0 THEN 'opportunity '||(seq%90)||' (needs 65)' END AS blocker FROM ast WHERE verdict IS NOT NULL)
- SELECT 'verdict' AS what, verdict AS key, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'invariant', 'rejected_has_rank', count(*) FROM d WHERE verdict='REJECTED' AND rank_score IS NOT NULL HAVING count(*)>0
- UNION ALL SELECT 'invariant', 'live_without_rank', count(*) FROM d WHERE verdict<>'REJECTED' AND rank_score IS NULL HAVING count(*)>0 UNION ALL SELECT 'blocker', 'opportunity #', count(*) FROM d WHERE blocker IS NOT NULL""")
+CODES = ["AUTOMATION", "WASH_ELEVATED", "WASH_HIGH", "CREATOR_SUSPICIOUS", "CREATOR_MALICIOUS", "NETWORK_MODERATE", "NETWORK_STRONG"]
+FAMILIES = ["EXTREME_MARKET_MANIPULATION", "STRONG_SERIAL_RUGGER", "CONFIRMED_CURRENT_RUG"]
+AUDITED = f"""{AS}, d AS (SELECT verdict, seq, (seq%10)/10.0::DOUBLE AS market_coverage, (seq%9)/10.0::DOUBLE AS intel_coverage, seq%3 AS n_fails, CASE WHEN seq%4<>0 THEN at_ms END AS analyzed_at,
+  CASE WHEN seq%4=0 THEN 'opportunity '||(seq%90)||' (needs 65)' END AS blocker, {CODES!r}[1+seq%7] AS code, seq%5=0 AS disputed, seq%10=0 AS corroborated, {FAMILIES!r}[1+seq%3] AS family,
+  seq%21=0 AS automation_alone, CASE seq%3 WHEN 0 THEN 'RISING' WHEN 1 THEN 'FLAT' ELSE 'INSUFFICIENT_HISTORY' END AS momentum FROM ast WHERE verdict IS NOT NULL)"""
+
+
+@query("C08", f"""WITH {AUDITED}, r AS (SELECT 'verdict' AS what, verdict AS key FROM d UNION ALL SELECT 'invariant', 'high_potential_under_covered' FROM d WHERE verdict='HIGH_POTENTIAL' AND (market_coverage<0.7 OR intel_coverage<0.5)
+ UNION ALL SELECT 'invariant', 'rejected_without_hard_fail' FROM d WHERE verdict='REJECTED' AND n_fails=0 UNION ALL SELECT 'invariant', 'qualified_unanalysed' FROM d WHERE verdict='QUALIFIED' AND analyzed_at IS NULL
+ UNION ALL SELECT 'code', code FROM d UNION ALL SELECT 'automation', verdict FROM d WHERE code='AUTOMATION' UNION ALL SELECT 'automation_alone', 'HIGH_RISK' FROM d WHERE code='AUTOMATION' AND verdict='HIGH_RISK' AND automation_alone
+ UNION ALL SELECT 'disputed', verdict FROM d WHERE disputed UNION ALL SELECT 'corroborated', verdict FROM d WHERE disputed AND corroborated UNION ALL SELECT 'family', family FROM d WHERE n_fails>0
+ UNION ALL SELECT 'momentum', momentum FROM d UNION ALL SELECT 'blocker', 'opportunity #' FROM d WHERE verdict='QUALIFIED' AND blocker IS NOT NULL)
+ SELECT what, key, count(*) AS n FROM r GROUP BY 1,2""")
 def current_audit(t):
     s = F.col("seq")
-    d = t.assets().where("verdict IS NOT NULL").withColumn("blocker", F.when(s % 4 == 0, F.concat(F.lit("opportunity "), (s % 90).cast("string"), F.lit(" (needs 65)"))))
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (s % k + 1).cast("int"))
+    d = t.assets().where("verdict IS NOT NULL").select(
+        "verdict", ((s % 10) / 10.0).alias("market_coverage"), ((s % 9) / 10.0).alias("intel_coverage"), (s % 3).alias("n_fails"), F.when(s % 4 != 0, F.col("at")).alias("analyzed_at"),
+        F.array(F.when(s % 4 == 0, F.concat(F.lit("opportunity "), (s % 90).cast("string"), F.lit(" (needs 65)")))).alias("blockers"), F.array(pick(CODES, 7)).alias("codes"),
+        (s % 5 == 0).alias("disputed"), (s % 10 == 0).alias("corroborated"), F.when(s % 3 > 0, F.array(pick(FAMILIES, 3))).alias("families"), (s % 21 == 0).alias("automation_alone"),
+        pick(("RISING", "FLAT", "INSUFFICIENT_HISTORY"), 3).alias("momentum"))
     return C.current_audit(d)
 
 

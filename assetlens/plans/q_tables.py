@@ -52,7 +52,7 @@ def best_pool(t):
     return P.best_pool(pairs(t)).select("asset", "pool", F.coalesce("liquidity", F.lit(-1.0)).alias("depth"))
 
 
-@query("F05", f"WITH {PAIRS}, r AS (SELECT asset, pool, volume24h, row_number() OVER (PARTITION BY asset ORDER BY coalesce(volume24h,-1.0) DESC, pool) AS rank FROM pp) SELECT * FROM r WHERE rank<=20")
+@query("F05", f"WITH {PAIRS}, r AS (SELECT asset, pool, volume24h, row_number() OVER (PARTITION BY asset ORDER BY coalesce(volume24h,-1.0) DESC, pool) AS rank FROM pp) SELECT * FROM r")
 def pool_list(t):
     return P.pool_refs(pairs(t)).select("asset", "pool", "volume24h", F.col("rank").cast("long").alias("rank"))
 
@@ -252,9 +252,9 @@ def merged_edges(t):
     return N.merge_edges(side("F", 0.55), side("O", 0.9))
 
 
-MF = f"""{EV}, st AS (SELECT event_id%4000 AS id, 'A'||(event_id%4000%10) AS asset, CASE event_id%4000%3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'SUSPICIOUS' ELSE 'UNKNOWN' END AS status, 0.5::DOUBLE AS confidence,
-  CASE WHEN event_id%4000%4=0 THEN 'v0' ELSE 'v1' END AS rv, CASE WHEN event_id%4000%9=0 THEN 5 END AS sup FROM ev WHERE event_id<4000),
- fr AS (SELECT event_id AS id, 'A'||(event_id%10) AS asset, CASE event_id%2 WHEN 0 THEN 'STRONGLY_SUSPECTED' ELSE 'SUSPICIOUS' END AS status, 0.75::DOUBLE AS confidence FROM ev WHERE event_id>=2000 AND event_id%10<8),
+MF = f"""{EV}, st AS (SELECT event_id AS id, 'A'||(event_id%10) AS asset, CASE event_id%3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'SUSPICIOUS' ELSE 'UNKNOWN' END AS status, 0.5::DOUBLE AS confidence,
+  CASE WHEN event_id%4=0 THEN 'v0' ELSE 'v1' END AS rv, CASE WHEN event_id%9=0 THEN 5 END AS sup FROM ev WHERE event_id%5<>0),
+ fr AS (SELECT event_id AS id, 'A'||(event_id%10) AS asset, CASE event_id%2 WHEN 0 THEN 'STRONGLY_SUSPECTED' ELSE 'SUSPICIOUS' END AS status, 0.75::DOUBLE AS confidence FROM ev WHERE event_id%3<>0 AND event_id%10<8),
  j AS (SELECT coalesce(st.id,fr.id) AS id, coalesce(st.asset,fr.asset) AS asset, st.status AS ss, fr.status AS fs, st.confidence AS sc, fr.confidence AS fcf, rv, sup, st.id AS sid, fr.id AS fid FROM st FULL JOIN fr ON st.id=fr.id),
  a AS (SELECT *, CASE WHEN fid IS NOT NULL AND sid IS NULL THEN 'NEW' WHEN fid IS NOT NULL AND rv='v1' AND sup IS NULL AND ss='CONFIRMED' THEN 'KEEP' WHEN fid IS NOT NULL AND rv='v1' AND sup IS NULL THEN 'UPDATE'
   WHEN fid IS NOT NULL THEN 'REINTERPRETED' WHEN asset IN (SELECT asset FROM fr) AND sup IS NULL AND rv<>'v1' THEN 'SUPERSEDED' ELSE 'KEEP' END AS act FROM j)"""
@@ -263,10 +263,10 @@ MF = f"""{EV}, st AS (SELECT event_id%4000 AS id, 'A'||(event_id%4000%10) AS ass
 def merge_inputs(t):
     e = t.event_facts().select(F.col("event_id").alias("id"))
     i = F.col("id")
-    st = e.where("id < 4000").select(
+    st = e.where("id % 5 <> 0").select(
         "id", F.concat(F.lit("A"), (i % 10).cast("string")).alias("asset"), F.when(i % 3 == 0, "CONFIRMED").when(i % 3 == 1, "SUSPICIOUS").otherwise("UNKNOWN").alias("status"),
         F.lit(0.5).alias("confidence"), F.when(i % 4 == 0, "v0").otherwise("v1").alias("rule_version"), F.when(i % 9 == 0, F.lit(5)).cast("long").alias("superseded_at"), F.lit(1).cast("long").alias("detected_at"))
-    fr = e.where("id >= 2000 AND id % 10 < 8").select("id", F.concat(F.lit("A"), (i % 10).cast("string")).alias("asset"),
+    fr = e.where("id % 3 <> 0 AND id % 10 < 8").select("id", F.concat(F.lit("A"), (i % 10).cast("string")).alias("asset"),
                                                      F.when(i % 2 == 0, "STRONGLY_SUSPECTED").otherwise("SUSPICIOUS").alias("status"), F.lit(0.75).alias("confidence"))
     return st, fr
 

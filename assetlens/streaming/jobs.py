@@ -63,7 +63,7 @@ def stabilize(stream: DataFrame, k: int = FO.CONFIRMATIONS, hold_ms: int = FO.HO
         for r in pdf.itertuples(index=False):
             if last is None or r.observed_at - last > hold_ms:
                 code = 0
-            code, last = int(table[code, r.tier]), int(r.observed_at)
+            code, last = int(table[int(r.observed_at == last), code, r.tier]), int(r.observed_at)
             out.append(FO.NAMES[int(FO._shown(code, k))])
         state.update((code, last))
         yield pdf[["asset", "observed_at", "seq", "verdict"]].assign(stable=out)
