@@ -169,37 +169,47 @@ def same_launches(trades: DataFrame, launches: DataFrame, pairs: DataFrame | Non
             .where("a < b").select("a", "b").distinct()
         )
     members = e.select("wallet", "asset")
-    counted = (
-        pairs.join(members.withColumnRenamed("wallet", "a"), "a")
-        .join(members.withColumnRenamed("wallet", "b"), ["b", "asset"])
-        .groupBy("a", "b").agg(F.count("*").alias("launches"), F.min("asset").alias("asset")).where("launches >= 2")
-    )
-    return _edge(counted, "SAME_LAUNCH_PARTICIPATION", "a", "b", False, 0.3, F.lit(None), F.col("asset"),
+    shared = pairs.join(members.withColumnRenamed("wallet", "a"), "a").join(members.withColumnRenamed("wallet", "b"), ["b", "asset"]).select("a", "b", "asset")
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("launches")).where("launches >= 2")
+    named = smallest(shared, ["a", "b"], "asset", SHOWN_LAUNCHES)
+    return _edge(counted.join(named, ["a", "b"]), "SAME_LAUNCH_PARTICIPATION", "a", "b", False, 0.3, F.lit(None), F.array_join("asset", ","),
                  F.col("launches").cast("string"))
 
 
-def creator_edges(edges: DataFrame, creators: DataFrame) -> DataFrame:
-    """Annotate hard edges that touch a launch creator."""
-    hard = edges.where(F.col("type").isin(*HARD))
-    c = creators.select(F.col("creator").alias("c")).distinct()
-    touch = hard.join(c, F.col("a") == F.col("c"), "left_semi").unionByName(
-        hard.join(c, F.col("b") == F.col("c"), "left_semi")
-    ).dropDuplicates(["type", "a", "b", "at", "evidence"])
-    return _edge(touch, "CREATOR_ASSOCIATION", "a", "b", True, F.least(F.lit(0.9), F.col("confidence")), F.col("at"),
-                 F.col("evidence"), F.col("type"))
+def creator_edges(folded: DataFrame, creators: DataFrame) -> DataFrame:
+    """Annotate folded hard edges that touch a launch creator, once for each creator they touch.
 
+    ``creators(creator, asset)`` lists launches; the detail names the edge's type, the creator and up to
+    three of its launches.
+    """
+    hard = folded.where(F.col("type").isin(*HARD))
+    c = smallest(creators.distinct(), ["creator"], "asset", SHOWN_LAUNCHES).select(F.col("creator").alias("c"), "asset")
+    touch = hard.join(c, F.col("a") == F.col("c")).unionByName(hard.where("a <> b").join(c, F.col("b") == F.col("c")))
+    return _edge(touch, "CREATOR_ASSOCIATION", "a", "b", True, F.least(F.lit(0.9), F.col("confidence")), F.col("first_at"),
+                 F.get("evidence", F.lit(0)), F.concat_ws("|", "type", "c", F.array_join("asset", ",")))
 
-def fold_edges(raw: DataFrame) -> DataFrame:
-    """One row per (type, a, b): best confidence, count, span, smallest evidence, canonical id.
 
-    Evidence keeps the five smallest ids through a bounded ``min`` chain, not a full list.
-    """
-    f = raw.groupBy("type", "a", "b", "directed").agg(
+# How many ids an edge shows.
+SHOWN_EVIDENCE, SHOWN_LAUNCHES = 5, 3
+
+
+def smallest(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """The ``n`` smallest distinct values of each key as a sorted array; a map side keeps ``n`` a key too."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    few = df.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_r", rank).where(F.col("_r") <= n)
+    return few.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value))
+
+
+def fold_edges(raw: DataFrame) -> DataFrame:
+    """One row per (type, a, b): best confidence, count, span, the five smallest evidence ids, canonical id."""
+    key = ["type", "a", "b", "directed"]
+    f = raw.groupBy(*key).agg(
         F.max("confidence").alias("confidence"), F.count("*").alias("count"), F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"), F.min("evidence").alias("evidence"), F.max("detail").alias("detail"),
+        F.max("at").alias("last_at"), F.max("detail").alias("detail"),
         F.bool_or((F.col("type") == "FUNDED") & known(F.col("detail") == "DIRECT")).alias("direct_funding"),
     )
-    return f.withColumn("id", canonical_id("WALLET_EDGE", "type", "a", "b"))
+    shown = smallest(raw, key, "evidence", SHOWN_EVIDENCE)
+    return f.join(shown, key, "left").withColumn("id", canonical_id("WALLET_EDGE", "type", "a", "b"))
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def shared_order_sizes(t):
 
 
 SL = f"""{LT}, {LA}, el AS (SELECT DISTINCT wallet, asset FROM (SELECT wallet, lt.asset, min(block_time) AS bt FROM lt WHERE side='BUY' GROUP BY 1,2) f JOIN la USING (asset) WHERE (bt-launch_time)/1000.0<=60),
- sl AS (SELECT x.wallet AS a, y.wallet AS b, count(*) AS n, min(x.asset) AS asset FROM el x JOIN el y ON x.asset=y.asset AND x.wallet<y.wallet GROUP BY 1,2 HAVING count(*)>=2)"""
+ sl AS (SELECT x.wallet AS a, y.wallet AS b, count(*) AS n, array_to_string(list_sort(list(x.asset))[1:3], ',') AS asset FROM el x JOIN el y ON x.asset=y.asset AND x.wallet<y.wallet GROUP BY 1,2 HAVING count(*)>=2)"""
 
 
 @query("N07", f"WITH {SL} SELECT 'SAME_LAUNCH_PARTICIPATION' AS type, a, b, false AS directed, 0.3::DOUBLE AS confidence, NULL::BIGINT AS at_ms, asset AS evidence, CAST(n AS VARCHAR) AS detail FROM sl")
@@ -104,17 +104,17 @@ def same_launch_participation(t):
     return N.same_launches(t.line_trades(), t.launches()).withColumnRenamed("at", "at_ms")
 
 
-@query("N08", f"""WITH {IF}, {FS}, {FE}, {TX.replace(LT + ', ', '')}, h AS (SELECT DISTINCT type, a, b, confidence, at_ms, evidence FROM (SELECT * FROM fe WHERE type='FUNDED' UNION ALL SELECT * FROM tx)),
- cr AS (SELECT DISTINCT 'C'||o_custkey AS c FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderkey%10=0)
- SELECT 'CREATOR_ASSOCIATION' AS type, a, b, true AS directed, least(0.9::DOUBLE, confidence) AS confidence, at_ms, evidence, type AS detail FROM h WHERE a IN (SELECT c FROM cr) OR b IN (SELECT c FROM cr)""")
+@query("N08", f"""WITH {IF}, {FS}, {FE}, {TX.replace(LT + ', ', '')}, h AS (SELECT type, a, b, max(confidence) AS confidence, min(at_ms) AS at_ms, min(evidence) AS evidence FROM (SELECT * FROM fe WHERE type='FUNDED' UNION ALL SELECT * FROM tx) GROUP BY 1,2,3),
+ cr AS (SELECT 'C'||o_custkey AS c, array_to_string(list_sort(list('T'||o_orderkey))[1:3], ',') AS mints FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1)
+ SELECT 'CREATOR_ASSOCIATION' AS type, a, b, true AS directed, least(0.9::DOUBLE, confidence) AS confidence, at_ms, evidence, type||'|'||c||'|'||mints AS detail FROM h JOIN cr ON a=c OR b=c""")
 def creator_edges(t):
-    e = N.funding_edges(funding(t)).unionByName(wallet_transfers(t))
-    c = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("creator"))
+    e = N.fold_edges(N.funding_edges(funding(t)).unionByName(wallet_transfers(t)))
+    c = t.orders.where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("creator"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("asset"))
     return N.creator_edges(e, c).withColumnRenamed("at", "at_ms")
 
 
 RAW = f"""{CO}, {SIZES}, raw AS (SELECT * FROM co UNION ALL SELECT 'REPEATED_ORDER_SIZE', a, b, false, 0.5::DOUBLE, at_ms, size, CAST(shared AS VARCHAR) FROM rel),
- fold AS (SELECT type, a, b, directed, max(confidence) AS confidence, count(*) AS count, min(at_ms) AS first_at, max(at_ms) AS last_at, min(evidence) AS evidence, max(detail) AS detail,
+ fold AS (SELECT type, a, b, directed, max(confidence) AS confidence, count(*) AS count, min(at_ms) AS first_at, max(at_ms) AS last_at, array_to_string(list_sort(list_distinct(list(evidence)))[1:5], ',') AS evidence, max(detail) AS detail,
   substr(sha256('WALLET_EDGE|'||type||'|'||a||'|'||b),1,32) AS id FROM raw GROUP BY 1,2,3,4)"""
 
 
@@ -125,7 +125,7 @@ def folded(t):
 
 @query("N09", f"WITH {TR}, {RAW} SELECT * FROM fold")
 def folded_edges(t):
-    return folded(t).drop("direct_funding")
+    return folded(t).drop("direct_funding").withColumn("evidence", F.array_join("evidence", ","))
 
 
 PAIRS = """pr0 AS (SELECT a, b, bool_or(type='COORDINATED_ENTRY') AS c, bool_or(type='REPEATED_ORDER_SIZE') AS r FROM fold GROUP BY 1,2),
