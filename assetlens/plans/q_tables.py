@@ -127,11 +127,23 @@ def selected_wallets(t):
     return P.select_wallets(arr, bought, creators, 6).select("asset", "wallet", F.col("rank").cast("long").alias("rank"))
 
 
-@query("F10")
+ROLES = [*P.HIGHLIGHT_ROLES, *["top"] * 8]
+PICKS = f"""{AS}, {PLACE}, live AS (SELECT * FROM pl WHERE universe='LIVE'),
+ ch AS (SELECT ast.asset, ast.verdict, CASE WHEN ast.seq%2=0 THEN 'WATCH' END AS prev, CAST({NOW}-ast.score*60000 AS BIGINT) AS t, live.verdict AS now_ FROM ast JOIN live USING (asset) WHERE ast.verdict IS NOT NULL),
+ li AS (SELECT 'changed' AS role, list(asset ORDER BY t DESC, asset) AS l FROM (SELECT asset, max(t) AS t FROM ch WHERE prev<>verdict AND {NOW}-t<=86400000 AND now_=verdict GROUP BY 1)
+  UNION ALL SELECT 'newest', list(asset ORDER BY t DESC, asset) FROM (SELECT asset, max(t) AS t FROM ch WHERE prev IS NULL GROUP BY 1)
+  UNION ALL SELECT 'top', list(asset ORDER BY {tier('verdict')}, coalesce(rank_score,score) DESC, at_ms DESC, asset) FROM live WHERE verdict IN ('HIGH_POTENTIAL','QUALIFIED')
+  UNION ALL SELECT 'watch', list(asset ORDER BY at_ms DESC, asset) FROM live WHERE verdict='WATCH' UNION ALL SELECT 'rejected', list(asset ORDER BY at_ms DESC, asset) FROM live WHERE verdict='REJECTED'),
+ st AS (SELECT unnest({ROLES!r}) AS role, unnest(range(1,{len(ROLES) + 1})) AS i),
+ go AS (SELECT 0 AS i, []::VARCHAR[] AS picked, []::VARCHAR[] AS roles UNION ALL SELECT st.i, CASE WHEN len(picked)<8 AND f IS NOT NULL THEN list_append(picked, f) ELSE picked END, CASE WHEN len(picked)<8 AND f IS NOT NULL THEN list_append(roles, st.role) ELSE roles END
+  FROM (SELECT go.*, s2.i AS ni, (SELECT list_filter(l, lambda x: NOT list_contains(go.picked, x))[1] FROM li WHERE li.role=s2.role) AS f FROM go JOIN st s2 ON s2.i=go.i+1) x JOIN st ON st.i=x.ni)"""
+
+
+@query("F10", f"WITH RECURSIVE {PICKS} SELECT CAST(unnest(range(len(picked))) AS INTEGER) AS slot, unnest(picked) AS asset, unnest(roles) AS role FROM go WHERE i={len(ROLES)}")
 def highlights(t):
     live = P.place(t.assets(), NOW).where(P.is_live())
     s = F.col("seq")
-    ch = t.assets().where("verdict IS NOT NULL AND seq % 3 = 0").select(
+    ch = t.assets().where("verdict IS NOT NULL").select(
         "asset", "verdict", F.when(s % 2 == 0, "WATCH").alias("prev_verdict"), (F.lit(NOW) - F.col("score") * 60_000).cast("long").alias("changed_at"))
     return P.pick_highlights(live, ch, NOW)
 
