@@ -321,7 +321,12 @@ def verdicts(t):
     return v.select("asset", "verdict", F.array_join("blockers", ",").alias("blockers"), "rank_score")
 
 
-@query("D18")
+@query("D18", f"""WITH {VERDICT}, vr AS (SELECT vf.*, vh.blockers AS bk FROM vf JOIN vh ON vf.asset=vh.asset),
+ good AS (SELECT asset, unnest(list_filter([CASE WHEN effective>=10 AND oc_participation>=0.9 THEN 'INDEPENDENT_BUYERS' END, CASE WHEN o_liquidity>=0.6 THEN 'HEALTHY_LIQUIDITY' END, CASE WHEN momentum IN ('SUSTAINED','ACCELERATING') THEN 'MOMENTUM_'||momentum END,
+  CASE WHEN creator_status='AVAILABLE' AND creator_level='CLEAN' THEN 'CREATOR_CLEAN' END, CASE WHEN wash_u AND wash_raw='LOW' AND wash_coverage>=0.5 THEN 'WASH_LOW' END], lambda x: x IS NOT NULL)) AS code FROM vr)
+ SELECT vr.asset, 'hard_fail' AS kind, f.code FROM vr JOIN (SELECT asset, code, row_number() OVER (PARTITION BY asset ORDER BY code) AS r FROM (SELECT DISTINCT asset, code FROM hf)) f ON f.asset=vr.asset AND r<=3
+ UNION ALL SELECT asset, 'positive', code FROM good UNION ALL SELECT vr.asset, 'risk', c.code FROM vr JOIN (SELECT asset, code, row_number() OVER (PARTITION BY asset ORDER BY risk DESC, code DESC) AS r FROM (SELECT DISTINCT asset, risk, code FROM co)) c ON c.asset=vr.asset AND r<=5
+ UNION ALL SELECT asset, 'risk', 'MOMENTUM_'||momentum FROM vr WHERE momentum IN ('UNSTABLE','DECLINING') UNION ALL SELECT asset, 'blocker', unnest(string_split(bk, ',')) FROM vr WHERE bk<>'' UNION ALL SELECT asset, 'coverage', 'COVERAGE' FROM vr""")
 def verdict_reasons(t):
     return D.reasons(*decided(t))
 
