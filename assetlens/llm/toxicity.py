@@ -2,7 +2,7 @@
 
 One dictionary is trained on ordinary text. The other is trained on toxic texts cut down to the words
 that far more toxic texts hold than the ordinary ones' share predicts; the ordinary content follows
-it, so what both classes share costs a window the same with either. A text's words are cut into short
+it, so what both classes share costs a window the same with either. Copies of a text count once there. A text's words are cut into short
 overlapping windows, each compressed with both dictionaries; a window's distance is the bytes the
 toxic dictionary saves. A window counts as toxic beyond a distance that few ordinary training windows reach. A text's
 score is a logistic function of its largest distance, its mean distance and its toxic windows, fitted
@@ -14,6 +14,8 @@ Only the id and the text column are read. With one class of labels only, every s
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlens.llm.blocks import ALNUM, LOWER, flat_text, row_of, spans, text_blocks
@@ -100,6 +103,17 @@ def score(x: np.ndarray, weights) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30)))
 
 
+def _apart(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """One of each group of copies: texts that share their three words of smallest checksum are taken as such."""
+    seen, out = set(), []
+    for words in texts:
+        key = tuple(heapq.nsmallest(3, {zlib.crc32(w) for w in words}))
+        if key not in seen:
+            seen.add(key)
+            out.append(words)
+    return out
+
+
 def _contrast(texts: list[list[bytes]], other: list[list[bytes]], surprise: float) -> list[bytes]:
     """The texts with only the words that far more of them hold than the others' share predicts (in standard deviations)."""
     mine, theirs = Counter(), Counter()
@@ -123,7 +137,7 @@ def _train(samples: list[bytes], size: int, segment: int) -> bytes:
     return whole[-size:] if len(whole) > size else whole
 
 
-def learn(texts: list[str], y: np.ndarray, size: int = 16_384, toxic_size: int = 768, quantile: float = 0.999, surprise: float = 5.0, segment: int = 32, sample_windows: int = 20_000) -> Distances:
+def learn(texts: list[str], y: np.ndarray, share: float | None = None, size: int = 16_384, toxic_size: int = 768, quantile: float = 0.999, surprise: float = 5.0, segment: int = 32, sample_windows: int = 20_000) -> Distances:
     data, offsets = flat_text(pa.array(texts, pa.string()))
     text, starts, ends, first = plain(data, offsets)
     words = [[text[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())] for i, j in zip(first[:-1], first[1:])]
@@ -131,24 +145,28 @@ def learn(texts: list[str], y: np.ndarray, size: int = 16_384, toxic_size: int =
     if not bad or not good:
         return Distances(b" ", b" ", 0.0, (4.0 if bad else -4.0, 0, 0, 0, 0, 0))
     ordinary = _train([b" " + b" ".join(w[i : i + 40]) + b" " for w in good for i in range(0, len(w), 40)][:sample_windows], size, 64)
-    toxic = _train(_contrast(bad, good, surprise), toxic_size, segment) + ordinary  # the ordinary part stays as near to a window
+    toxic = _train(_contrast(_apart(bad), _apart(good), surprise), toxic_size, segment) + ordinary  # the ordinary part stays as near to a window
     distance, at = window_distances(data, offsets, toxic, ordinary)
     limit = float(np.quantile(distance[~y.astype(bool)[row_of(at)]], quantile)) if len(distance) else 0.0
     x = summary(distance, at, limit)
     scale = np.maximum(x.std(0), 1e-6)
     scale[0] = 1
     z, w = x / scale, np.zeros(x.shape[1])
+    # each class weighs what it weighs among all labelled rows
+    share = float(np.mean(y)) if share is None else min(max(share, 1e-3), 1 - 1e-3)
+    weight = np.where(y == 1, share / np.mean(y), (1 - share) / np.mean(1 - y))
     for _ in range(30):  # Newton steps with a small ridge
         p = score(z, w)
-        hessian = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.eye(len(w)) * 0.5
-        w = w + np.linalg.solve(hessian, z.T @ (y - p) - 0.5 * w)
+        hessian = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + np.eye(len(w)) * 0.5
+        w = w + np.linalg.solve(hessian, z.T @ (weight * (y - p)) - 0.5 * w)
     return Distances(toxic, ordinary, limit, tuple(w / scale))
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 3_000) -> Distances:
     """Learn from at most ``per_class`` labelled texts of each class outside fold 0."""
     got = labelled_texts(documents, labels, label, per_class, folds).toPandas().sort_values("id", kind="stable")
-    return learn(got["text"].tolist(), got["y"].to_numpy(int))
+    share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return learn(got["text"].tolist(), got["y"].to_numpy(int), share)
 
 
 def rate(df: DataFrame, model: Distances, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
