@@ -30,8 +30,8 @@ class Rules:
 
     min_words: int = 50
     max_repeat_percent: int = 50  # words in repeated 3-word windows, of all words
-    coverage: tuple[tuple[int, float], ...] = ((2, 0.65), (4, 0.40), (6, 0.30), (10, 0.25))  # n-gram length, most coverage
-    max_line_coverage: float = 0.30
+    coverage: tuple[tuple[int, float], ...] = ((2, 0.75), (4, 0.60), (6, 0.55), (10, 0.50))  # n-gram length, most coverage
+    max_line_coverage: float = 0.55
     max_symbols_per_word: float = 0.5
 
 

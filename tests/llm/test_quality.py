@@ -28,7 +28,7 @@ def direct(text):
     out["line_coverage"] = sum(len(w) for x in lines if count[x] > 1 for w in WORD.findall(x)) / max(chars, 1)
     out |= {f"coverage_{n}": sum(len(words[i]) for i in covered[n]) / max(chars, 1) for n in (2, 4, 6, 10)}
     out["base_failed"] = len(words) < 50 or 100 * len(covered[3]) > 50 * len(words)
-    limits = {"coverage_2": 0.65, "coverage_4": 0.40, "coverage_6": 0.30, "coverage_10": 0.25, "line_coverage": 0.30}
+    limits = {"coverage_2": 0.75, "coverage_4": 0.60, "coverage_6": 0.55, "coverage_10": 0.50, "line_coverage": 0.55}
     out["kept"] = not out["base_failed"] and out["n_symbols"] <= 0.5 * len(words) and all(out[k] <= v for k, v in limits.items())
     return out
 
