@@ -16,8 +16,10 @@ PAGE = 1000
 
 
 def append_idempotent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose natural key is not stored yet, each key once."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose natural key is not stored yet, each key once: of several its smallest row."""
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest)) if rest else new.distinct()
+    return once.select(*new.columns).join(existing.select(*keys), keys, "left_anti")
 
 
 def known_keys(page: DataFrame, existing: DataFrame, key: str = "tx_id") -> DataFrame:
@@ -68,9 +70,14 @@ def fan_out_history(snapshots: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_history(frames: dict[str, DataFrame], root: str, mode: str = "append") -> None:
-    """Append each history table under ``root``, partitioned by day and clustered by asset."""
+    """Append each history table under ``root``, partitioned by day and clustered by asset.
+
+    Rows are dealt by day and asset, so a day is written by several tasks and an asset's rows of a day by one.
+    """
     for name, df in frames.items():
         out = df.withColumn("dt", F.to_date(F.timestamp_millis("observed_at")))
+        if "asset" in df.columns:
+            out = out.repartition("dt", F.pmod(F.hash("asset"), F.lit(16))).sortWithinPartitions("dt", "asset")
         out.write.mode(mode).partitionBy("dt").parquet(f"{root}/{name}")
 
 

@@ -10,11 +10,13 @@ from assetlens.streaming import jobs as J
 
 
 class Streamed(Tables):
-    """The same tapes, with the event table read as a stream."""
+    """The same tapes, with the event table read as a stream, a few files a micro-batch."""
+
+    FILES = 8
 
     def read(self, name):
         batch = super().read(name)
-        return J.read_stream(self.spark, self.dir, batch.schema, f"{name}.parquet") if name == "events" else batch
+        return J.read_stream(self.spark, self.dir, batch.schema, f"{name}.parquet", self.FILES) if name == "events" else batch
 
 
 def streamed(t):

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -142,9 +141,11 @@ def append_once(path: str, keys: list[str]):
     A replayed batch overwrites its own folder, so a restart changes nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") != batch_id)
-        except AnalysisException:  # nothing stored yet
+        spark = batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            stored = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
+        else:
             stored = batch.withColumn("batch_id", F.lit(-1)).where(F.lit(False))
         fresh = append_idempotent(batch, stored, keys)
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
