@@ -135,7 +135,7 @@ MNOW = 1_706_659_200_000
 
 def series(t):
     e = t.event_facts()
-    return e.select(F.concat(F.lit("G"), (F.col("user_id") % 40).cast("string")).alias("asset"), F.col("at").alias("t"), F.when(F.col("event_id") % 9 != 0, 100 + F.col("value") * F.col("k") / 1000).alias("price"),
+    return e.select(F.concat(F.lit("G"), F.col("user_id").cast("string")).alias("asset"), F.col("at").alias("t"), F.when(F.col("event_id") % 9 != 0, 100 + F.col("value") * F.col("k") / 1000).alias("price"),
                     F.when(F.col("k") % 6 != 0, F.col("k") * 100.0).alias("liquidity"), F.when(F.col("k") % 4 != 0, F.col("k").cast("double")).alias("holders"))
 
 
@@ -143,7 +143,7 @@ def anchor(w: int) -> str:
     return f"(SELECT max((x.t, x.price)) FROM p x WHERE x.asset=b.asset AND x.t<=b.tl-{w}+{w}*0.25 AND x.t<b.tl)"
 
 
-MOM = f"""{EV}, p AS (SELECT 'G'||(user_id%40) AS asset, at_ms AS t, 100+value*k/1000 AS price, CASE WHEN k%6<>0 THEN k*100.0::DOUBLE END AS liq, CASE WHEN k%4<>0 THEN k::DOUBLE END AS hol FROM ev WHERE event_id%9<>0 AND at_ms<={MNOW} AND {MNOW}-at_ms<=86400000),
+MOM = f"""{EV}, p AS (SELECT 'G'||user_id AS asset, at_ms AS t, 100+value*k/1000 AS price, CASE WHEN k%6<>0 THEN k*100.0::DOUBLE END AS liq, CASE WHEN k%4<>0 THEN k::DOUBLE END AS hol FROM ev WHERE event_id%9<>0 AND at_ms<={MNOW} AND {MNOW}-at_ms<=86400000),
  b0 AS (SELECT asset, count(*) AS n, min(t) AS t0, max(t) AS tl, arg_max(price,t) AS pl, arg_min(price,t) AS p0 FROM p GROUP BY 1), b1 AS (SELECT b.*, {anchor(30 * 60_000)} AS a3, {anchor(2 * H)} AS a2, {anchor(6 * H)} AS a6 FROM b0 b),
  b2 AS (SELECT *, coalesce(a6[1],a2[1],a3[1],t0) AS ft FROM b1), sx AS (SELECT asset, t, price, liq, hol, lag(t) OVER w AS pt, lag(price) OVER w AS pp FROM p WINDOW w AS (PARTITION BY asset ORDER BY t)),
  sy AS (SELECT sx.*, ft, CASE WHEN pt>=ft THEN ln(price/pp) END AS s FROM sx JOIN b2 USING (asset)),
@@ -163,11 +163,11 @@ def momentum(t):
     return D.momentum(series(t), MNOW)
 
 
-@query("D20", f"""WITH {EV}, m AS (SELECT 'G'||(user_id%40) AS asset, at_ms AS t, 'P'||(k%3) AS pool, k*100.0::DOUBLE AS liquidity, event_id FROM ev WHERE {MNOW}-at_ms<=86400000)
+@query("D20", f"""WITH {EV}, m AS (SELECT 'G'||user_id AS asset, at_ms AS t, 'P'||(k%3) AS pool, k*100.0::DOUBLE AS liquidity, event_id FROM ev WHERE {MNOW}-at_ms<=86400000)
  SELECT asset, m.t AS t_ms, CASE WHEN asset='G7' OR pool='P1' THEN liquidity END AS liquidity, CASE WHEN event_id%3=0 THEN event_id END AS holders FROM m""")
 def decision_history(t):
     e = t.event_facts()
-    a = F.concat(F.lit("G"), (F.col("user_id") % 40).cast("string"))
+    a = F.concat(F.lit("G"), F.col("user_id").cast("string"))
     m = e.select(a.alias("asset"), F.col("at").alias("t"), F.concat(F.lit("P"), (F.col("k") % 3).cast("string")).alias("pool"), (F.col("k") * 100.0).alias("liquidity"))
     h = e.where("event_id % 3 = 0").select(a.alias("asset"), F.col("at").alias("t"), F.col("event_id").alias("holders"))
     own = m.select("asset").distinct().where("asset <> 'G7'").withColumn("pool", F.lit("P1"))

@@ -206,24 +206,24 @@ def attribute_launches(t):
     return C.attribute_launches(c).select("asset", "fee_payer", "status", "creator", "confidence")
 
 
-@query("S27", """WITH a AS (SELECT 'T'||o_orderkey AS asset, 'C'||o_custkey AS creator FROM orders WHERE o_orderkey%3=0),
- l AS (SELECT 'T'||o_orderkey AS asset, CASE WHEN o_orderkey%5<>0 THEN epoch_us(o_orderdate)//1000 END AS launch_time, 'C'||(o_orderkey%200) AS fee_payer FROM orders WHERE o_orderkey%2=0),
+@query("S27", """WITH a AS (SELECT 'T'||o_orderkey AS asset, 'C'||o_custkey AS creator FROM orders),
+ l AS (SELECT 'T'||o_orderkey AS asset, CASE WHEN o_orderkey%5<>0 THEN epoch_us(o_orderdate)//1000 END AS launch_time, 'C'||(o_orderkey%200) AS fee_payer FROM orders),
  u AS (SELECT a.creator, a.asset, launch_time FROM a LEFT JOIN l ON a.asset=l.asset UNION SELECT fee_payer, asset, launch_time FROM l)
  SELECT creator, asset, max(launch_time) AS launch_time FROM u GROUP BY 1,2""")
 def creator_launches(t):
     o = t.orders.select("o_orderkey", F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("asset"),
                         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("creator"), millis("o_orderdate").alias("ms"))
-    launch = o.where("o_orderkey % 2 = 0").select("asset", F.when(F.col("o_orderkey") % 5 != 0, F.col("ms")).alias("launch_time"),
+    launch = o.select("asset", F.when(F.col("o_orderkey") % 5 != 0, F.col("ms")).alias("launch_time"),
                                                   F.concat(F.lit("C"), (F.col("o_orderkey") % 200).cast("string")).alias("fee_payer"))
-    return C.launches_of(o.where("o_orderkey % 3 = 0").select("asset", "creator"), launch)
+    return C.launches_of(o.select("asset", "creator"), launch)
 
 
 @query("N19", f"""WITH {LX}, {LA}, a AS (SELECT DISTINCT asset FROM lx WHERE frac>=0.9 AND rf='R'),
  ac AS (SELECT a.asset, creator AS actor FROM a JOIN la ON a.asset=la.asset UNION SELECT lx.asset, wallet FROM lx JOIN a ON lx.asset=a.asset WHERE rf='A'),
- tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY launch_time, asset) AS r FROM la) WHERE r<=5)
+ tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY launch_time, asset) AS r FROM la) WHERE r<=50)
  SELECT DISTINCT tp.asset AS asset FROM ac JOIN tp ON ac.actor=tp.creator WHERE tp.asset<>ac.asset""")
 def linked_assets(t):
     ln = lines(t)
     assets = ln.where("frac >= 0.9 AND rf = 'R'").select("asset")
     ev = ln.where("rf = 'A'").select("asset", F.col("wallet").alias("actor"))
-    return C.linked_assets(assets, t.launches(), ev, t.launches(), per_actor=5)
+    return C.linked_assets(assets, t.launches(), ev, t.launches())
