@@ -401,6 +401,30 @@ def network_level(subjects: DataFrame, edges: DataFrame, profiles: DataFrame) ->
     )
 
 
+def network_findings(subjects: DataFrame, edges: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every address with bad history within two hops of a subject, by its best path, in both orders.
+
+    ``by_path`` ranks by path confidence, ``by_confirmed`` by confirmed launches first. Only strong edges
+    lead on. A path's second half is counted once for each (middle, target) before the subjects join it.
+    """
+    strong = edges.where(F.col("type").isin(*STRONG_PATHS)).select("a", "b", "confidence")
+    both = cut(strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence")).groupBy("a", "b").agg(F.max("confidence").alias("confidence")))
+    bad = profiles.where("confirmed > 0 OR strongly_suspected > 0").select(F.col("address").alias("target"), "confirmed")
+    subj = subjects.select("address").distinct()
+    path = lambda hops, conf: F.struct(conf.alias("conf"), F.lit(-hops).alias("nh")).alias("path")
+    zero = bad.join(subj, bad.target == subj.address).select("address", "target", path(0, F.lit(1.0)))
+    one = both.join(bad.select("target"), both.b == bad.target).select(F.col("a").alias("address"), "target", F.col("confidence").alias("c"))
+    first = both.join(subj, both.a == subj.address).select("address", "b", F.col("confidence").alias("c1"))
+    two = first.join(one.select(F.col("address").alias("b"), "target", "c"), "b").select("address", "target", path(2, F.col("c1") * F.col("c")))
+    near = one.join(subj, "address", "left_semi").select("address", "target", path(1, F.col("c")))
+    best = zero.unionByName(near).unionByName(two).groupBy("address", "target").agg(F.max("path").alias("p")).join(bad, "target")
+    rows = best.select("address", "target", "confirmed", (-F.col("p.nh")).alias("hops"), half_up(F.col("p.conf"), 2).alias("path_confidence"))
+    near_first = [F.desc("path_confidence"), "hops", "target"]
+    return rows.withColumns({
+        "by_path": F.row_number().over(Window.partitionBy("address").orderBy(*near_first)),
+        "by_confirmed": F.row_number().over(Window.partitionBy("address").orderBy(F.desc("confirmed"), *near_first))})
+
+
 # ---- lookups ---------------------------------------------------------------------------
 
 

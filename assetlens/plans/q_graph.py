@@ -218,6 +218,16 @@ def network_level(t):
     return N.network_level(c, e.unionByName(weak), bad)
 
 
+@query("N15", f"""WITH {IF}, {FS}, {FE}, {BAD}, ne AS (SELECT * FROM fe), {net_sql('s', "type IN ('FUNDED','TOKEN_TRANSFER','SHARED_FUNDER','CLUSTER')")},
+ bp AS (SELECT zs.address, target, max((conf, nh)) AS m FROM zs JOIN customer ON zs.address='C'||c_custkey GROUP BY 1,2), r AS (SELECT bp.address, target, bad.confirmed, -m[2] AS hops, floor(m[1]*100+0.5)/100 AS path_confidence FROM bp JOIN bad ON bad.address=bp.target)
+ SELECT address, target, confirmed, CAST(hops AS INTEGER) AS hops, path_confidence, row_number() OVER (PARTITION BY address ORDER BY path_confidence DESC, hops, target) AS by_path,
+  row_number() OVER (PARTITION BY address ORDER BY confirmed DESC, path_confidence DESC, hops, target) AS by_confirmed FROM r""")
+def network_findings(t):
+    c = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("address"), "c_acctbal")
+    bad = c.where("c_acctbal < -800").select("address", (F.col("c_acctbal") < -900).cast("int").alias("confirmed"), F.lit(1).alias("strongly_suspected"))
+    return N.network_findings(c, N.funding_edges(funding(t)), bad).withColumns({k: F.col(k).cast("long") for k in ("by_path", "by_confirmed")})
+
+
 @query("N20", f"""WITH {TR}, {RAW} SELECT id, type, a, b, last_at FROM fold WHERE a IN ('W1','W7','W42') OR b IN ('W1','W7','W42') ORDER BY last_at DESC NULLS LAST, id LIMIT 25""")
 def edges_touching(t):
     who = t.activity().where(F.col("wallet").isin("W1", "W7", "W42")).select(F.col("wallet").alias("address")).distinct()
