@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, toxicity, wrappers
+from assetlens.llm import imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, sql, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,3 +115,6 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by its host's wrapper."""
     return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL |= {"op5_quality_rules": sql.quality_rules(), "op9_superminhash": sql.near_duplicates()}
