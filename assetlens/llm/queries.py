@@ -42,8 +42,7 @@ def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded with begin and end ids and decoded again, as digests."""
-    ids = sentencepieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
-    both = sentencepieces.decode(ids, PIECE_MODEL)
+    both = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
     out = both.mapInArrow(_ids_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 

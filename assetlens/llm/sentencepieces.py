@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from assetlens.llm.blocks import flat_text, lists, ragged, span_hashes, text_blocks
+from assetlens.llm.blocks import lists, ragged, span_hashes, text_blocks
 
 MARK = 0x2581  # the visible space
 NEVER = np.int64(1 << 40)
@@ -237,8 +237,8 @@ def _id_field(df: DataFrame, id_col: str) -> T.StructField:
     return T.StructField(id_col, df.schema[id_col].dataType)
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
-    """(id, ids array<int>) of every row: the ids of its whole text."""
+def encoder(model_path: str, id_col: str, bos: bool = True, eos: bool = True):
+    """From batches (id, text) to batches (id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
@@ -246,12 +246,11 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             ids, first = encode_block(model, data, offsets, bos, eos)
             yield pa.RecordBatch.from_arrays([rows.column(0), lists(ids, first)], [id_col, "ids"])
 
-    schema = T.StructType([_id_field(df, id_col), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, decoded string) of every row of ids."""
+def decoder(model_path: str, id_col: str, ids_col: str = "ids"):
+    """From batches (id, ids) to batches (id, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import codecs
@@ -267,5 +266,24 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
                 text = [decode_row(model, values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([rows.column(0), column, pa.array(text, pa.string())], [id_col, ids_col, "decoded"])
 
-    schema = T.StructType([_id_field(df, id_col), T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    return run
+
+
+def _ids_schema(df: DataFrame, id_col: str, ids_col: str = "ids", *more: T.StructField) -> T.StructType:
+    return T.StructType([_id_field(df, id_col), T.StructField(ids_col, T.ArrayType(T.IntegerType())), *more])
+
+
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
+    """(id, ids array<int>) of every row: the ids of its whole text."""
+    return df.select(id_col, text_col).mapInArrow(encoder(model_path, id_col, bos, eos), _ids_schema(df, id_col))
+
+
+def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, ids, decoded string) of every row of ids."""
+    return df.select(id_col, ids_col).mapInArrow(decoder(model_path, id_col, ids_col), _ids_schema(df, id_col, ids_col, T.StructField("decoded", T.StringType())))
+
+
+def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded string) of every row, both ways in one worker, with begin and end ids."""
+    there, back = encoder(model_path, id_col), decoder(model_path, id_col)
+    return df.select(id_col, text_col).mapInArrow(lambda batches: back(there(batches)), _ids_schema(df, id_col, "ids", T.StructField("decoded", T.StringType())))

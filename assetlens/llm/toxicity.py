@@ -137,17 +137,34 @@ def _train(samples: list[bytes], size: int, segment: int) -> bytes:
     return whole[-size:] if len(whole) > size else whole
 
 
+def _by_parts(texts: list[str], size: int = 200) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(texts), size):
+        yield flat_text(pa.array(texts[at : at + size], pa.string()))
+
+
+def _words(texts: list[str], of: np.ndarray) -> list[list[bytes]]:
+    """Words of the chosen texts, equal words held once, copies left out."""
+    held: dict[bytes, bytes] = {}
+    out = []
+    for data, offsets in _by_parts([t for t, chosen in zip(texts, of) if chosen]):
+        text, starts, ends, first = plain(data, offsets)
+        out += [[held.setdefault(w, w) for w in (text[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist()))] for i, j in zip(first[:-1], first[1:])]
+    return _apart(out)
+
+
 def learn(texts: list[str], y: np.ndarray, share: float | None = None, size: int = 16_384, toxic_size: int = 768, quantile: float = 0.999, surprise: float = 5.0, segment: int = 32, sample_windows: int = 20_000) -> Distances:
-    data, offsets = flat_text(pa.array(texts, pa.string()))
-    text, starts, ends, first = plain(data, offsets)
-    words = [[text[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())] for i, j in zip(first[:-1], first[1:])]
-    bad, good = [w for w, t in zip(words, y) if t], [w for w, t in zip(words, y) if not t]
-    if not bad or not good:
-        return Distances(b" ", b" ", 0.0, (4.0 if bad else -4.0, 0, 0, 0, 0, 0))
+    """Fit on a sample of texts; ``share`` is the share of label 1 among all labelled rows."""
+    y = np.asarray(y)
+    if not y.any() or y.all():
+        return Distances(b" ", b" ", 0.0, (4.0 if y.any() else -4.0, 0, 0, 0, 0, 0))
+    bad, good = _words(texts, y == 1), _words(texts, y == 0)
     ordinary = _train([b" " + b" ".join(w[i : i + 40]) + b" " for w in good for i in range(0, len(w), 40)][:sample_windows], size, 64)
-    toxic = _train(_contrast(_apart(bad), _apart(good), surprise), toxic_size, segment) + ordinary  # the ordinary part stays as near to a window
-    distance, at = window_distances(data, offsets, toxic, ordinary)
-    limit = float(np.quantile(distance[~y.astype(bool)[row_of(at)]], quantile)) if len(distance) else 0.0
+    toxic = _train(_contrast(bad, good, surprise), toxic_size, segment) + ordinary  # the ordinary part stays as near to a window
+    del bad, good
+    parts = [window_distances(data, offsets, toxic, ordinary) for data, offsets in _by_parts(texts)]
+    distance = np.concatenate([d for d, _ in parts])
+    at = np.r_[0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))]
+    limit = float(np.quantile(distance[(y == 0)[row_of(at)]], quantile)) if (y == 0)[row_of(at)].any() else 0.0
     x = summary(distance, at, limit)
     scale = np.maximum(x.std(0), 1e-6)
     scale[0] = 1
@@ -162,11 +179,11 @@ def learn(texts: list[str], y: np.ndarray, share: float | None = None, size: int
     return Distances(toxic, ordinary, limit, tuple(w / scale))
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 3_000) -> Distances:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 2_000) -> Distances:
     """Learn from at most ``per_class`` labelled texts of each class outside fold 0."""
-    got = labelled_texts(documents, labels, label, per_class, folds).toPandas().sort_values("id", kind="stable")
+    got = sorted((r["id"], r["y"], r["text"]) for r in labelled_texts(documents, labels, label, per_class, folds).collect())
     share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return learn(got["text"].tolist(), got["y"].to_numpy(int), share)
+    return learn([t for _, _, t in got], np.array([y for _, y, _ in got], int), share)
 
 
 def rate(df: DataFrame, model: Distances, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
