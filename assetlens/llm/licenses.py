@@ -9,7 +9,9 @@ much longer than the template. A phrase has to stand word for word: all its plac
 The join's small side is the template table, of fixed size. Words are compared by 64-bit hashes: the
 chance that any of n text places falsely equals any of t template places is n * t / 2**64.
 
-Null and empty texts have no words and no labels. Equal rows give equal rows, each its own. Only the id
+Null and empty texts have no words and no labels. Equal rows give equal rows, each its own: rows are told
+apart by their place, so ``df`` has to be a table or a staged result, which reads alike when a task is
+run again. Only the id
 and text columns are read.
 """
 

@@ -41,8 +41,9 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("s
 FURNITURE = frozenset("nav aside footer form button select dialog menu head search fieldset label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|promotions?|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|rail|widgets?|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations?)|share|sharing|social|newsletters?|subscribe|signup|login|search|tags|pagination|pager|toolbar|skip)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|promotions?|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|rail|widgets?|footers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations?)|share|sharing|social|newsletters?|subscribe|signup|login|search|tags|pagination|pager|toolbar|skip)(?:$|[^a-z])"
 )
+HEADER_WORD = re.compile(r"(?:^|[^a-z])headers?(?:$|[^a-z])")  # furniture outside the main text only
 MAIN_WORD = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|post|entry|story|main|text|body)(?:$|[^a-z])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -305,7 +306,7 @@ def extract(page: str, path: list[str]) -> str:
                 block = value in BLOCK
                 if block or value == "br":
                     end()
-                header = value == "header" and not inside
+                header = not inside and bool(HEADER_WORD.search(key))
                 # what the wrapper points at is no furniture, whatever it is called
                 entered = False
                 if block:

@@ -39,6 +39,12 @@ def test_furniture_is_left_out():
     assert wrappers.extract(FULL, path).split("\n") == ["T & x", "one two three", "3 < 4 é", "a", "b", "four"]
 
 
+def test_headers_belong_to_the_text_only_inside_it():
+    page = "<body><div class='site-header'>S</div><article><header><h1>T</h1></header><div class='article-header'>by x</div><p>one</p></article></body>"
+    assert wrappers.extract(page, ["body", "article"]).split("\n") == ["T", "by x", "one"]
+    assert wrappers.extract(page, ["nowhere"]).split("\n") == ["T", "by x", "one"]
+
+
 def test_op7_odd_pages(spark):
     deep = "<div>" * 3000 + "hi" + "</div>" * 10
     rows = [(1, "http://a.b/x", FULL), (2, "http://a.b/y", None), (3, None, "<p>a<p>b"), (4, "no url", ""), (5, "http://a.b/z", deep), (6, "http://c.d", "text only"), (6, "http://c.d", "text only"), (7, "http://e", "<p unclosed"), (8, "http://f", "<a href='x>y</a> z")]
