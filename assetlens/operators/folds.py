@@ -128,18 +128,20 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
 def thin_snapshots(readings: DataFrame, width: int = DAY_MS) -> DataFrame:
     """Readings worth storing, with the reason: first, transition, material-change, heartbeat.
 
-    Input (asset, observed_at, seq, verdict, score, coverage, price, liquidity, volume24h). Of
-    several readings at one instant only the first is kept.
+    Input (asset, observed_at, seq, verdict, score, coverage, price, liquidity, volume24h) and, where
+    there is one, state: a change of state is a transition like one of verdict, also from or to none.
+    Of several readings at one instant only the first is kept.
     """
     cols = ["verdict", "score", "coverage", "price", "liquidity", "volume24h"]
-    r = readings.groupBy("asset", "observed_at").agg(F.min_by(F.struct("seq", *cols), "seq").alias("v")).select("asset", "observed_at", "v.*")
+    readings = readings if "state" in readings.columns else readings.withColumn("state", F.lit(None).cast("string"))
+    r = readings.groupBy("asset", "observed_at").agg(F.min_by(F.struct("seq", *cols, "state"), "seq").alias("v")).select("asset", "observed_at", "v.*")
     order = ["observed_at", "seq"]
-    r = lag_across(r, ["asset"], order, "observed_at", width, {"_pv": "verdict", "_pt": "observed_at"})
+    r = lag_across(r, ["asset"], order, "observed_at", width, {"_pv": "verdict", "_ps": "state", "_pt": "observed_at"})
     first = F.col("_pt").isNull()
-    moved = ~first & ~F.col("verdict").eqNullSafe(F.col("_pv"))
+    moved = ~first & ~(F.col("verdict").eqNullSafe(F.col("_pv")) & F.col("state").eqNullSafe(F.col("_ps")))
     silent = known(F.col("observed_at") - F.col("_pt") >= HEARTBEAT_MS)
     restart = first | moved | silent
-    r = r.withColumns({"why": F.when(first, "first").when(moved, "transition"), "restart": restart}).drop("_pv", "_pt")
+    r = r.withColumns({"why": F.when(first, "first").when(moved, "transition"), "restart": restart}).drop("_pv", "_ps", "_pt", "state")
     r = running_sum(r, ["asset"], order, "observed_at", width, {"piece": F.col("restart").cast("long")})
     # A silent gap always stores, but whether it counts as a material change depends on the last
     # stored row, which may lie in the piece before. That row is each piece's hand-over.

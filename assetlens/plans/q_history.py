@@ -321,6 +321,18 @@ def thinned_history(t):
     return FO.thin_snapshots(t.verdicts().withColumn("volume24h", F.col("price") * 10)).select("asset", "observed_at", "seq", "verdict", "reason")
 
 
+STATE = "CASE seq%11 WHEN 0 THEN 'SETTLED' WHEN 5 THEN 'OPEN' WHEN 7 THEN NULL ELSE 'OPEN' END"
+STATE_THIN_SQL = THIN_SQL.replace("to_ AS (SELECT *,", f"to_ AS (SELECT *, {STATE} AS state,").replace("price*10 AS lv FROM to_", "price*10 AS lv, state AS lst FROM to_").replace("o.verdict<>r.lvd", "o.verdict<>r.lvd OR o.state IS DISTINCT FROM r.lst").replace(
+    "\n  FROM rt r JOIN", f", CASE WHEN {WHY.replace('o.verdict<>r.lvd', 'o.verdict<>r.lvd OR o.state IS DISTINCT FROM r.lst')} IS NOT NULL THEN o.state ELSE r.lst END\n  FROM rt r JOIN")
+
+
+@query("S23", STATE_THIN_SQL)
+def thinned_with_state(t):
+    s = F.col("seq") % 11
+    v = t.verdicts().withColumns({"volume24h": F.col("price") * 10, "state": F.when(s == 0, "SETTLED").when(s != 7, "OPEN")})
+    return FO.thin_snapshots(v).select("asset", "observed_at", "seq", "verdict", "reason")
+
+
 @query("D17", STABLE_SQL)
 def stable_verdicts(t):
     return FO.stabilize(t.verdicts())
