@@ -127,13 +127,17 @@ def unknown_signals(ledger: DataFrame) -> DataFrame:
 
 
 def watchpoints(df: DataFrame, floor: float = 3_000, qualify: float = 0.6, watch: float = 0.35, concentration: float = 90) -> DataFrame:
-    """Distance-to-threshold notes per asset, one row each."""
+    """Distance-to-threshold notes per asset, one row each.
+
+    ``top_holders`` counts only where its state is measured or conflicted and the audit feed gave it
+    (``top_state``, ``top_audited``).
+    """
     v, c = F.col("verdict"), F.col("coverage")
     live = v != "REJECTED"
     notes = codes(
         (live & (F.col("liquidity") > 0) & (F.col("liquidity") < floor * 3), "LIQUIDITY_NEAR_FLOOR"),
         (v.isin("QUALIFIED", "HIGH_POTENTIAL") & (c < qualify + 0.1), "COVERAGE_NEAR_WATCH"), (v == "WATCH", "COVERAGE_TO_QUALIFY"),
-        (v == "INSUFFICIENT_DATA", "COVERAGE_TO_WATCH"), (live & (F.col("top_holders") >= concentration - 20), "CONCENTRATION_NEAR_VETO"),
+        (v == "INSUFFICIENT_DATA", "COVERAGE_TO_WATCH"), (live & F.col("top_state").isin(*MEASURED) & F.col("top_audited") & (F.col("top_holders") >= concentration - 20), "CONCENTRATION_NEAR_VETO"),
         (~live & (F.col("clearable") > 0), "VETO_CAN_CLEAR"), (~live & (F.col("permanent") > 0), "VETO_PERMANENT"),
         ((v == "QUALIFIED") & (F.col("blockers") > 0), "HIGH_POTENTIAL_NEEDS"), ((v == "HIGH_RISK") & F.col("driver").isNotNull(), "RISK_DRIVER"))
     return df.select("asset", F.explode(notes).alias("note"))

@@ -138,13 +138,14 @@ def unknown_signals(t):
     return H.unknown_signals(ledger(t))
 
 
-@query("H16", f"""WITH {AS}, w AS (SELECT asset, verdict, liquidity, (seq%100)/100.0::DOUBLE AS coverage, (seq%95)::DOUBLE AS top_holders, seq%3 AS clearable, seq%4 AS permanent, seq%5 AS blockers, CASE WHEN seq%2=0 THEN 'rugHistory' END AS driver FROM ast WHERE verdict IS NOT NULL)
+@query("H16", f"""WITH {AS}, w AS (SELECT asset, verdict, liquidity, (seq%100)/100.0::DOUBLE AS coverage, (seq%95)::DOUBLE AS top_holders, CASE seq%3 WHEN 0 THEN 'MEASURED' WHEN 1 THEN 'CONFLICTED' ELSE 'STALE' END AS top_state, seq%5<>0 AS top_audited, seq%3 AS clearable, seq%4 AS permanent, seq%5 AS blockers, CASE WHEN seq%2=0 THEN 'rugHistory' END AS driver FROM ast WHERE verdict IS NOT NULL)
  SELECT asset, unnest(list_filter([CASE WHEN verdict<>'REJECTED' AND liquidity>0 AND liquidity<9000 THEN 'LIQUIDITY_NEAR_FLOOR' END, CASE WHEN verdict IN ('QUALIFIED','HIGH_POTENTIAL') AND coverage<0.6::DOUBLE+0.1::DOUBLE THEN 'COVERAGE_NEAR_WATCH' END, CASE WHEN verdict='WATCH' THEN 'COVERAGE_TO_QUALIFY' END,
-  CASE WHEN verdict='INSUFFICIENT_DATA' THEN 'COVERAGE_TO_WATCH' END, CASE WHEN verdict<>'REJECTED' AND top_holders>=70 THEN 'CONCENTRATION_NEAR_VETO' END, CASE WHEN verdict='REJECTED' AND clearable>0 THEN 'VETO_CAN_CLEAR' END, CASE WHEN verdict='REJECTED' AND permanent>0 THEN 'VETO_PERMANENT' END,
+  CASE WHEN verdict='INSUFFICIENT_DATA' THEN 'COVERAGE_TO_WATCH' END, CASE WHEN verdict<>'REJECTED' AND top_state IN ('MEASURED','CONFLICTED') AND top_audited AND top_holders>=70 THEN 'CONCENTRATION_NEAR_VETO' END, CASE WHEN verdict='REJECTED' AND clearable>0 THEN 'VETO_CAN_CLEAR' END, CASE WHEN verdict='REJECTED' AND permanent>0 THEN 'VETO_PERMANENT' END,
   CASE WHEN verdict='QUALIFIED' AND blockers>0 THEN 'HIGH_POTENTIAL_NEEDS' END, CASE WHEN verdict='HIGH_RISK' AND driver IS NOT NULL THEN 'RISK_DRIVER' END], lambda x: x IS NOT NULL)) AS note FROM w""")
 def watchpoints(t):
     s = F.col("seq")
-    a = t.assets().where("verdict IS NOT NULL").withColumns({"coverage": (s % 100) / 100.0, "top_holders": (s % 95).cast("double"), "clearable": s % 3, "permanent": s % 4,
+    a = t.assets().where("verdict IS NOT NULL").withColumns({"coverage": (s % 100) / 100.0, "top_holders": (s % 95).cast("double"),
+                                                             "top_state": F.when(s % 3 == 0, "MEASURED").when(s % 3 == 1, "CONFLICTED").otherwise("STALE"), "top_audited": s % 5 != 0, "clearable": s % 3, "permanent": s % 4,
                                                              "blockers": s % 5, "driver": F.when(s % 2 == 0, "rugHistory")})
     return H.watchpoints(a)
 
