@@ -115,8 +115,8 @@ def merge_findings(stored: DataFrame, fresh: DataFrame, version: str, at: int) -
     return current, revisions
 
 
-def gap_ledger(page: DataFrame, known_tx: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Stretches of a page not collected, per key.
+def gap_ledger(page: DataFrame, known_tx: DataFrame, budgets: DataFrame, missed: DataFrame | None = None) -> DataFrame:
+    """Stretches of a page not collected, per key; ``missed(key, slot)`` are rows that could not be fetched.
 
     ``page(key, tx_id, slot, failed)``; ``budgets(key, budget, had_cursor)``. Only the newest
     ``budget`` unknown successful rows are chosen; how many fit is found from per-slot counts,
@@ -133,7 +133,10 @@ def gap_ledger(page: DataFrame, known_tx: DataFrame, budgets: DataFrame) -> Data
     full = page.groupBy("key").agg(F.count("*").alias("n"), F.min("slot").alias("to_slot")).join(budgets, "key").where(
         F.col("had_cursor") & (F.col("n") >= PAGE)).select(
         "key", F.lit("page_limit").alias("reason"), F.lit(None).cast("long").alias("skipped"), F.lit(None).cast("long").alias("from_slot"), "to_slot")
-    return over.unionByName(full)
+    out = over.unionByName(full)
+    if missed is None:
+        return out
+    return out.unionByName(missed.groupBy("key").agg(F.lit("fetch_failed").alias("reason"), F.count("*").alias("skipped"), F.min("slot").alias("from_slot"), F.max("slot").alias("to_slot")))
 
 
 def newest(df: DataFrame, n: int, *order: Column | str) -> DataFrame:

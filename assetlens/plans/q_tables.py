@@ -248,6 +248,11 @@ def history_fan_out(t):
     return u
 
 
+@query("S22", f"WITH {VD} SELECT DISTINCT observed_at, 'jupiter' AS provider, 'TIMEOUT' AS kind FROM vd WHERE seq%10=0")
+def failure_history(t):
+    return S.fan_out_history(snapshots(t))["failures"]
+
+
 @query("S24", """WITH e AS (SELECT l_partkey||'/'||l_suppkey AS id, l_partkey, l_suppkey, count(*) AS c, min(epoch_us(l_shipdate)//1000) AS f, max(epoch_us(l_shipdate)//1000) AS l, l_linestatus AS st FROM lineitem GROUP BY l_partkey, l_suppkey, l_linestatus)
  SELECT id, 'FUNDED' AS type, 'S'||l_suppkey AS a, 'T'||l_partkey AS b, coalesce(max(CASE WHEN st='O' THEN 0.9::DOUBLE END), 0.55::DOUBLE) AS confidence, CASE WHEN bool_or(st='O') THEN 'O' ELSE 'F' END AS detail, max(c) AS count, min(f) AS first_at, max(l) AS last_at FROM e GROUP BY 1,3,4""")
 def merged_edges(t):
@@ -302,13 +307,15 @@ GAPQ = f"""{ACT}, b AS (SELECT asset AS key, CASE WHEN asset<'A5' THEN 200 ELSE
 
 
 @query("S28", f"""WITH {GAPQ} SELECT key, CASE WHEN hc THEN 'over_budget' ELSE 'before_collection_began' END AS reason, CAST(sum(lf) AS BIGINT) AS skipped, min(slot) AS from_slot, max(slot) AS to_slot FROM l WHERE lf>0 GROUP BY key, hc
- UNION ALL SELECT b.key, 'page_limit', NULL, NULL, min(slot) FROM act JOIN b ON act.asset=b.key WHERE hc GROUP BY b.key HAVING count(*)>=1000""")
+ UNION ALL SELECT b.key, 'page_limit', NULL, NULL, min(slot) FROM act JOIN b ON act.asset=b.key WHERE hc GROUP BY b.key HAVING count(*)>=1000
+ UNION ALL SELECT asset, 'fetch_failed', count(*), min(slot), max(slot) FROM act WHERE status='SUCCESS' AND tx_index%3<>0 AND slot%7=3 GROUP BY 1""")
 def gap_ledger(t):
     a = t.activity()
     b = a.select(F.col("asset").alias("key")).distinct().select(
         "key", F.when(F.col("key") < "A5", 200).otherwise(100_000).alias("budget"), (F.col("key") != "A0").alias("had_cursor"))
     page = a.select(F.col("asset").alias("key"), "tx_id", "slot", (F.col("status") == "FAILED").alias("failed"))
-    return S.gap_ledger(page, a.where("tx_index % 3 = 0"), b)
+    missed = a.where("status = 'SUCCESS' AND tx_index % 3 <> 0 AND slot % 7 = 3").select(F.col("asset").alias("key"), "slot")
+    return S.gap_ledger(page, a.where("tx_index % 3 = 0"), b, missed)
 
 
 RET_NOW = 1_706_659_200_000
