@@ -77,7 +77,8 @@ def label_outcomes(points: DataFrame, obs: DataFrame, events: DataFrame, horizon
 
 
 def outcome_tables(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("verdict", "label", "class").agg(F.count("*").alias("n"))
+    """Outcomes counted for each policy that decided and each verdict it gave."""
+    return labelled.groupBy("policy", "verdict", "label", "class").agg(F.count("*").alias("n"))
 
 
 def outcomes_by_veto(labelled: DataFrame) -> DataFrame:

@@ -399,9 +399,9 @@ def outcomes_6h(t):
     return labelled(t, DAY // 4).select("asset", "observed_at", "seq", "label", "class")
 
 
-@query("C04", f"WITH {outcome_sql(DAY)} SELECT verdict, label, class, count(*) AS n FROM lc GROUP BY 1,2,3")
+@query("C04", f"WITH {outcome_sql(DAY)} SELECT CASE WHEN seq%6=0 THEN 'phase-1' ELSE 'decision@1' END AS policy, verdict, label, class, count(*) AS n FROM lc GROUP BY 1,2,3,4")
 def outcome_tables(t):
-    return C.outcome_tables(labelled(t, DAY))
+    return C.outcome_tables(labelled(t, DAY).withColumn("policy", F.when(F.col("seq") % 6 == 0, "phase-1").otherwise("decision@1")))
 
 
 @query("C04", f"WITH {outcome_sql(DAY)}, v AS (SELECT label, unnest(CASE WHEN seq%3=0 THEN ['UNTRADEABLE','LIQUIDITY_TOO_LOW'] ELSE ['(none recorded)'] END) AS veto FROM lc WHERE verdict='REJECTED') SELECT veto, label, count(*) AS n FROM v GROUP BY 1,2")
