@@ -42,7 +42,7 @@ class Band:
 def terms(text: Column) -> Column:
     """Hashes of the distinct words of a text: runs of letters, digits and all beyond ASCII, in lower case."""
     found = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.array_distinct(F.transform(F.filter(found, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lexicon(df: DataFrame, band: Band, text_col: str) -> DataFrame:
@@ -52,29 +52,38 @@ def lexicon(df: DataFrame, band: Band, text_col: str) -> DataFrame:
     return each.where((F.col("count") >= band.min_share * rows) & (F.col("count") <= max(2.0, band.max_share * rows))).select("term")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fingerprint(kept: Column, everything: Column, band: Band) -> Column:
     """Hashes of the parts of a sorted term array, empty where a part has no term."""
 
-    def part(slot):
-        chosen = F.filter(kept, slot)
-        return F.when(F.size(chosen) > 0, F.substring(F.lower(F.lpad(F.hex(F.xxhash64(chosen)), 16, "0")), 1, 8)).otherwise(F.lit(""))
+    def family(slot, width: int) -> Column:
+        """Parts 0, 1, ... of the 2 ** width that the terms fall in by ``slot``."""
+
+        def part(terms, k):
+            return bound(F.filter(terms, lambda t: slot(t) == k), lambda chosen: F.when(F.size(chosen) > 0, F.substring(F.lower(F.lpad(F.hex(F.xxhash64(chosen)), 16, "0")), 1, 8)).otherwise(F.lit("")))
+
+        used = F.filter(kept, lambda t: slot(t) < min(band.parts, 1 << width))
+        return bound(used, lambda terms: F.transform(F.sequence(F.lit(0), F.lit(band.parts - 1)), lambda k: part(terms, k)))
 
-    first = F.transform(F.sequence(F.lit(0), F.lit(band.parts - 1)), lambda k: part(lambda t: t.bitwiseAND(F.lit((1 << band.large) - 1)) == k))
-    second = F.transform(F.sequence(F.lit(0), F.lit(band.parts - 1)), lambda k: part(lambda t: F.shiftright(t, band.large).bitwiseAND(F.lit((1 << band.small) - 1)) == k))
-    return F.concat_ws("-", everything, F.concat_ws("-", first), F.concat_ws("-", second))
+    large = family(lambda t: t.bitwiseAND(F.lit((1 << band.large) - 1)), band.large)
+    small = family(lambda t: F.shiftright(t, band.large).bitwiseAND(F.lit((1 << band.small) - 1)), band.small)
+    return F.concat_ws("-", everything, F.concat_ws("-", large), F.concat_ws("-", small))
 
 
 def likeness(a: Column, b: Column, band: Band) -> Column:
     """From 0 to 1: the share of equal hashes among the parts used by either fingerprint."""
-    x, y = F.split(a, "-"), F.split(b, "-")
 
-    def share(begin: int) -> Column:
-        pairs = F.filter(F.arrays_zip(F.slice(x, begin, band.parts).alias("p"), F.slice(y, begin, band.parts).alias("q")), lambda z: (z["p"] != "") | (z["q"] != ""))
-        used = F.size(pairs)
-        equal = F.size(F.filter(pairs, lambda z: z["p"] == z["q"]))
-        return F.when(used >= 4, equal / used).otherwise(F.when(used > 0, equal / F.lit(4.0)).otherwise(F.lit(0.0)))
+    def share(x: Column, y: Column, begin: int) -> Column:
+        both = F.filter(F.arrays_zip(F.slice(x, begin, band.parts).alias("p"), F.slice(y, begin, band.parts).alias("q")), lambda z: (z["p"] != "") | (z["q"] != ""))
+        # a few used parts say little: they count as four
+        return bound(both, lambda pairs: F.size(F.filter(pairs, lambda z: z["p"] == z["q"])) / F.greatest(F.size(pairs), F.lit(4)))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(share(2), share(2 + band.parts)))
+    unlike = bound(F.split(a, "-"), lambda x: bound(F.split(b, "-"), lambda y: F.greatest(share(x, y, 2), share(x, y, 2 + band.parts))))
+    return F.when(a == b, F.lit(1.0)).otherwise(unlike)
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
