@@ -13,7 +13,9 @@ LX = """lx AS (SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_supp
   CAST(l_quantity AS BIGINT) AS amount, (epoch_us(l_shipdate)//86400000000) AS slot, (epoch_us(l_shipdate)//1000) AS at_ms,
   l_returnflag AS rf, l_linestatus AS ls, l_discount*10 AS frac, 1-l_tax AS conf, l_linenumber AS ln, l_discount, l_tax, l_extendedprice AS px FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"""
 LKS = """lk AS (SELECT DISTINCT 'T'||o_orderkey AS asset, 'C'||m.c_custkey AS wallet FROM orders JOIN customer c ON c.c_custkey=o_custkey
-  JOIN customer m ON m.c_nationkey=c.c_nationkey AND m.c_mktsegment=c.c_mktsegment)"""
+  JOIN customer m ON m.c_nationkey=c.c_nationkey AND m.c_mktsegment=c.c_mktsegment
+  UNION SELECT 'T'||o_orderkey, 'C'||(o_orderkey%100+1) FROM orders WHERE o_orderkey%4=0 UNION SELECT 'T'||o_orderkey, 'C'||(o_orderkey%70+1) FROM orders WHERE o_orderkey%9=0
+  UNION SELECT 'T'||o_orderkey, 'C'||(o_custkey+1) FROM orders WHERE o_custkey%5=0)"""
 LAU = "lau AS (SELECT 'T'||o_orderkey AS asset, (epoch_us(o_orderdate)//86400000000) AS launch_slot FROM orders)"
 COLS = "type, asset, tx_id, status, actor, creator_linked, slot, amount, confidence"
 
@@ -45,17 +47,19 @@ def members(t):
 
 
 def attributions(t):
-    return t.launches().select("asset", "creator", F.array().cast("array<string>").alias("deployers"))
+    k = F.expr("cast(substring(asset, 2) as bigint)")
+    deployer = F.concat(F.lit("C"), (k % 100 + 1).cast("string"))
+    return t.launches().select("asset", "creator", F.when(k % 4 == 0, F.array(deployer)).otherwise(F.array().cast("array<string>")).alias("deployers"))
 
 
 def linked(t):
-    """The circles of all launched assets."""
-    none = t.launches().where(F.lit(False))
-    return C.creator_circle(
-        attributions(t), members(t),
-        none.select(F.col("creator").alias("funder"), F.col("asset").alias("wallet"), F.lit("DIRECT").alias("classification")),
-        none.select("asset", F.col("creator").alias("wallet")),
-    )
+    """The circles of all launched assets: a second signer for some, a paying wallet, wallets that some creators funded."""
+    o = t.orders.select("o_orderkey", "o_custkey")
+    c = lambda x: F.concat(F.lit("C"), x.cast("string"))
+    creators = o.select("o_custkey").distinct()
+    funding = creators.select(c(F.col("o_custkey")).alias("funder"), c(F.col("o_custkey") + 1).alias("wallet"), F.when(F.col("o_custkey") % 5 == 0, "DIRECT").otherwise("LIKELY").alias("classification"))
+    payers = o.where("o_orderkey % 9 = 0").select(F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("asset"), c(F.col("o_orderkey") % 70 + 1).alias("wallet"))
+    return C.creator_circle(attributions(t), members(t), funding, payers)
 
 
 def sells(t):
