@@ -76,7 +76,7 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, slots: int) -> np.nda
     for j in range(slots):
         if not len(h):
             break
-        x = splitmix(h + np.uint64(j + 1) * _STEP)
+        x = splitmix(h + np.uint64((j + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         k = j + (((x & _LOW) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)
         if places is None:
             place = k
