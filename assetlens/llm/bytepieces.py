@@ -17,7 +17,7 @@ from assetlens.llm.blocks import ragged, row_of, span_hashes
 
 LIMIT = 0x250
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
-CACHE = 400_000  # pieces kept by a worker
+CACHE = 1_000_000  # pieces kept by a worker
 
 
 @lru_cache(maxsize=1)
@@ -73,6 +73,7 @@ class ByteModel:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self):
@@ -83,16 +84,33 @@ class ByteModel:
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def piece_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, flat, and how many each has.
+
+        Pieces other than white space are encoded as the lines of one text: a line break is a piece of
+        its own between them, and no such piece has its id.
+        """
+        lines = [t for t in texts if not t.isspace()]
+        ids = np.array(self.tokenizer.encode("\n".join(lines), add_special_tokens=False).ids, np.int32)
+        cut = np.flatnonzero(ids == self.line_break)
+        if len(cut) != len(lines) - 1 or len(lines) != len(texts):
+            single = self.library(texts)
+            return np.array([x for own in single for x in own], np.int32), np.array([len(own) for own in single], np.int64)
+        return np.delete(ids, cut), np.diff(np.r_[-1, cut, len(ids)]) - 1
+
     def learn(self, hashes: list[int], texts: list[str]):
-        ids = self.library(texts)
-        size = np.array([len(x) for x in ids], np.int64)
-        end = self.at[-1]
-        total = int(size.sum())
-        if end + total > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), total), np.int32)]
-        self.flat[end : end + total] = np.concatenate([np.array(x, np.int32) for x in ids]) if total else 0
-        self.number.update(zip(hashes, range(len(self.at) - 1, len(self.at) - 1 + len(hashes))))
-        self.at = np.r_[self.at, end + np.cumsum(size)]
+        blank = np.array([t.isspace() for t in texts], bool)
+        for chosen in (np.flatnonzero(~blank), np.flatnonzero(blank)):
+            if not len(chosen):
+                continue
+            ids, size = self.piece_ids([texts[i] for i in chosen])
+            end = self.at[-1]
+            if end + len(ids) > len(self.flat):
+                self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)]
+            self.flat[end : end + len(ids)] = ids
+            first = len(self.at) - 1
+            self.number.update(zip((hashes[i] for i in chosen), range(first, first + len(chosen))))
+            self.at = np.r_[self.at, end + np.cumsum(size)]
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every text of a block, flat, and each text's first position."""
