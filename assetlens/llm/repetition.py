@@ -26,12 +26,17 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules; a text beyond any of them is rejected."""
+    """Limits of the rules; a text beyond any of them is rejected.
+
+    Any word in a repeated window of four words or more is also in a repeated 3-word window, so a limit
+    on long windows or lines says something of its own only well below ``max_repeat_percent``: the longer
+    the passage that comes again, the less of a text it may fill.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50  # words in repeated 3-word windows, of all words
-    coverage: tuple[tuple[int, float], ...] = ((2, 0.75), (4, 0.60), (6, 0.55), (10, 0.50))  # n-gram length, most coverage
-    max_line_coverage: float = 0.55
+    coverage: tuple[tuple[int, float], ...] = ((2, 0.65), (4, 0.40), (6, 0.30), (10, 0.25))  # n-gram length, most coverage
+    max_line_coverage: float = 0.30
     max_symbols_per_word: float = 0.5
 
 

@@ -52,6 +52,20 @@ def test_op5_odd_rows(spark):
     assert repetition.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_op5_rejects_pasted_passages(spark):
+    """Passages pasted again, 30 to 45 % of a text, pass the base rules and fail the method's."""
+    fresh = lambda n, at: [f"w{at + i:05d}" for i in range(n)]
+    texts = []
+    for percent in (0, 10, 30, 35, 40, 45):
+        block = fresh(5 * percent, 0)
+        texts.append(" ".join(block + fresh(500, 5000) + block + fresh(500 - 10 * percent, 7000)))
+    line = " ".join(fresh(40, 0))
+    texts.append("\n".join(x for i in range(8) for x in (line, " ".join(fresh(80, 1000 * i + 1000)))))
+    rows = sorted(repetition.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert not any(r["base_failed"] for r in rows)
+    assert [r["kept"] for r in rows] == [True, True, False, False, False, False, False]
+
+
 def _judged(rows, labels, label):
     pairs = [(r, labels[r["doc_id"]][label]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     return np.array([r["score"] for r, _ in pairs]), np.array([r["predicted"] for r, _ in pairs]), np.array([y for _, y in pairs])
