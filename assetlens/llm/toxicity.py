@@ -24,11 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlens.llm.blocks import ALNUM, LOWER, flat_text, row_of, spans, text_blocks
-from assetlens.llm.samples import labelled_texts
+from assetlens.llm.samples import class_share, labelled_texts
 
 WINDOW, STEP = 8, 5  # words
 LEVEL = 6
@@ -153,7 +152,7 @@ def _words(texts: list[str], of: np.ndarray) -> list[list[bytes]]:
 
 
 def learn(texts: list[str], y: np.ndarray, share: float | None = None, size: int = 16_384, toxic_size: int = 768, quantile: float = 0.999, surprise: float = 5.0, segment: int = 32, sample_windows: int = 20_000) -> Distances:
-    """Fit on a sample of texts; ``share`` is the share of label 1 among all labelled rows."""
+    """Fit on a sample of texts; ``share`` is the share of label 1 among all training rows."""
     y = np.asarray(y)
     if not y.any() or y.all():
         return Distances(b" ", b" ", 0.0, (4.0 if y.any() else -4.0, 0, 0, 0, 0, 0))
@@ -169,7 +168,7 @@ def learn(texts: list[str], y: np.ndarray, share: float | None = None, size: int
     scale = np.maximum(x.std(0), 1e-6)
     scale[0] = 1
     z, w = x / scale, np.zeros(x.shape[1])
-    # each class weighs what it weighs among all labelled rows
+    # each class weighs what it weighs among all training rows
     share = float(np.mean(y)) if share is None else min(max(share, 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, share / np.mean(y), (1 - share) / np.mean(1 - y))
     for _ in range(30):  # Newton steps with a small ridge
@@ -182,7 +181,7 @@ def learn(texts: list[str], y: np.ndarray, share: float | None = None, size: int
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 2_000) -> Distances:
     """Learn from at most ``per_class`` labelled texts of each class outside fold 0."""
     got = sorted((r["id"], r["y"], r["text"]) for r in labelled_texts(documents, labels, label, per_class, folds).collect())
-    share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = class_share(documents, labels, label, folds)
     return learn([t for _, _, t in got], np.array([y for _, y, _ in got], int), share)
 
 

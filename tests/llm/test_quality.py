@@ -99,6 +99,21 @@ def test_classifiers_take_odd_rows(spark):
     assert ranking.rank(docs.limit(0), model).count() == 0
 
 
+def test_held_out_labels_change_nothing(spark):
+    """Held-out labels, repeated label rows and labels of unknown ids leave every score as it is."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["quality"], r["toxic"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    unknown = 1 + max(r["doc_id"] for r in docs.select("doc_id").collect())
+    more = [(i, 1 - q, 1 - t) if out(i) else (i, q, t) for i, q, t in rows]
+    more += [r for r in rows if not out(r[0]) and r[1] == 0] * 3 + [(unknown + k, 0, 1) for k in range(100)]
+    first, second = (spark.createDataFrame(x, "doc_id long, quality int, toxic int") for x in (rows, more))
+    assert any(map(out, (i for i, _, _ in rows)))
+    for fit, rate in ((lambda x: ranking.fit(docs, x, "quality", folds=5), ranking.rank), (lambda x: toxicity.fit(docs, x), toxicity.rate)):
+        a, b = ({r["doc_id"]: r["score"] for r in rate(docs, fit(x)).collect()} for x in (first, second))
+        assert a == b
+
+
 def test_windows_cover_every_word():
     for n in range(40):
         begin, last, at = toxicity.windows(np.array([0, n, n + 3]))
