@@ -1,12 +1,13 @@
 """I-Match fingerprints in DataFrame operations only.
 
 A lexicon holds the terms whose share of documents lies in a band: common terms say nothing about a
-text, rare ones change with any edit. A text keeps its distinct lexicon terms, sorted; each of several
-random parts of the lexicon gives one hash of the kept terms that fall in it. There are two families
-of parts, of larger and of smaller size, so that long and short texts both have parts with a term
-or two. One more hash covers all distinct terms, so texts without lexicon terms differ too. The
-likeness of two fingerprints is the share of equal hashes among the parts in which either has a term,
-in the family where it is larger.
+text, rare ones change with any edit. A text keeps its distinct lexicon terms, sorted; the lexicon is
+dealt at random into parts that together hold all of it, and each part in which the text has a term
+gives its number and one hash of those terms. There are two such divisions, into larger and into
+smaller parts, so that long and short texts both have parts with a term or two. One more hash covers
+all distinct terms, so texts without lexicon terms differ too. The likeness of two fingerprints is the
+share of equal hashes among the parts in which either has a term, in the division where it is larger;
+the hash of all terms counts as one part more, so only equal fingerprints have likeness 1.
 
 The lexicon's size has a bound that does not grow with the table: a term counts only with
 ``min_share`` of the documents, and the terms of all documents are the mean number of distinct terms
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 from assetlens.llm.staging import staged
 
 NO_ID = -(2**63)
+_PLACES = 4  # hex digits of a part's number
 
 
 @dataclass(frozen=True)
 class Band:
     min_share: float = 0.001
     max_share: float = 0.05
-    parts: int = 24  # hashes of each family
-    large: int = 6  # a part of the first family holds a term in 2 ** large
+    large: int = 6  # the first division has 2 ** large parts
     small: int = 9
     broadcast_terms: int = 1_000_000
 
@@ -58,31 +59,37 @@ def bound(value: Column, body) -> Column:
 
 
 def fingerprint(kept: Column, everything: Column, band: Band) -> Column:
-    """Hashes of the parts of a sorted term array, empty where a part has no term."""
+    """Numbers and hashes of the parts in which a sorted term array has a term, for both divisions."""
 
-    def family(slot, width: int) -> Column:
-        """Parts 0, 1, ... of the 2 ** width that the terms fall in by ``slot``."""
+    def division(terms: Column, width: int) -> Column:
+        """Terms of a part have their first ``width`` bits in common, so they lie together."""
+        slot = lambda t: F.shiftrightunsigned(t, 64 - width)
 
-        def part(terms, k):
-            return bound(F.filter(terms, lambda t: slot(t) == k), lambda chosen: F.when(F.size(chosen) > 0, F.substring(F.lower(F.lpad(F.hex(F.xxhash64(chosen)), 16, "0")), 1, 8)).otherwise(F.lit("")))
+        def part(begin, end):
+            digest = F.substring(F.lpad(F.hex(F.xxhash64(F.slice(terms, begin + 1, end - begin))), 16, "0"), 1, 8)
+            return F.lower(F.concat(F.lpad(F.hex(slot(F.get(terms, begin))), _PLACES, "0"), digest))
 
-        used = F.filter(kept, lambda t: slot(t) < min(band.parts, 1 << width))
-        return bound(used, lambda terms: F.transform(F.sequence(F.lit(0), F.lit(band.parts - 1)), lambda k: part(terms, k)))
+        begins = F.filter(F.transform(terms, lambda t, i: F.when((i == 0) | (slot(t) != slot(F.get(terms, i - 1))), i)), lambda i: i.isNotNull())
+        return F.array_join(bound(begins, lambda b: F.transform(b, lambda begin, k: part(begin, F.coalesce(F.get(b, k + 1), F.size(terms))))), ".")
 
-    large = family(lambda t: t.bitwiseAND(F.lit((1 << band.large) - 1)), band.large)
-    small = family(lambda t: F.shiftright(t, band.large).bitwiseAND(F.lit((1 << band.small) - 1)), band.small)
-    return F.concat_ws("-", everything, F.concat_ws("-", large), F.concat_ws("-", small))
+    return bound(kept, lambda terms: F.concat_ws("-", everything, division(terms, band.large), division(terms, band.small)))
 
 
-def likeness(a: Column, b: Column, band: Band) -> Column:
-    """From 0 to 1: the share of equal hashes among the parts used by either fingerprint."""
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1: the share of equal hashes among the parts used by either fingerprint, and 1 only if they are equal."""
 
-    def share(x: Column, y: Column, begin: int) -> Column:
-        both = F.filter(F.arrays_zip(F.slice(x, begin, band.parts).alias("p"), F.slice(y, begin, band.parts).alias("q")), lambda z: (z["p"] != "") | (z["q"] != ""))
-        # a few used parts say little: they count as four
-        return bound(both, lambda pairs: F.size(F.filter(pairs, lambda z: z["p"] == z["q"])) / F.greatest(F.size(pairs), F.lit(4)))
+    def share(x: Column, y: Column) -> Column:
+        used = F.size(F.array_union(*(F.transform(parts, lambda p: F.substring(p, 1, _PLACES)) for parts in (x, y))))
+        # a few used parts say little: they count as four, the hash of all terms included
+        return F.size(F.array_intersect(x, y)) / F.greatest(used + 1, F.lit(4))
 
-    unlike = bound(F.split(a, "-"), lambda x: bound(F.split(b, "-"), lambda y: F.greatest(share(x, y, 2), share(x, y, 2 + band.parts))))
+    def parts(prints: Column, k: int) -> Column:
+        return F.array_remove(F.split(F.get(prints, F.lit(k)), r"\."), "")
+
+    def of(x: Column, y: Column, k: int) -> Column:
+        return bound(parts(x, k), lambda p: bound(parts(y, k), lambda q: share(p, q)))
+
+    unlike = bound(F.split(a, "-"), lambda x: bound(F.split(b, "-"), lambda y: F.greatest(of(x, y, 1), of(x, y, 2))))
     return F.when(a == b, F.lit(1.0)).otherwise(unlike)
 
 
@@ -148,5 +155,5 @@ def edited_fingerprints(df: DataFrame, band: Band = Band(), id_col: str = "doc_i
     following = prints.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("b").orderBy("place"))).where(~F.col("copy"))
     return following.select(
         F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), band).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next"), band).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )

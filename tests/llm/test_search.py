@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assetlens.llm import components, imatch, kneserney, licenses, neardup, queries
 from assetlens.llm.blocks import splitmix
@@ -245,6 +246,20 @@ def test_op10_lexicon_is_the_band(spark):
     assert imatch.lexicon(spark.read.parquet(f"{SF}/documents.parquet"), band, "text").count() == want
 
 
+def test_op10_parts_cover_the_lexicon(spark):
+    """A change of any one term shows in the likeness, and near copies of short texts are alike."""
+    r = random.Random(5)
+    terms = sorted(r.randrange(-(2**63), 2**63) for _ in range(200))
+    pairs = [(terms, terms[:k] + terms[k + 1 :]) for k in range(200)]
+    pairs += [(x, x) for x in (sorted(r.sample(terms, 3 + 2 * (k % 2))) for k in range(100))]
+    rows = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(pairs)], "k int, x array<long>, y array<long>").coalesce(1)
+    band = imatch.Band()
+    prints = rows.select("k", *(imatch.fingerprint(F.col(c), F.lit(w), band).alias(c) for c, w in (("x", "all of one"), ("y", "all of another"))))
+    near = [r["near"] for r in prints.select("k", imatch.likeness(F.col("x"), F.col("y")).alias("near")).orderBy("k").collect()]
+    assert all(0.9 < x < 1 for x in near[:200])
+    assert all(0.4 < x < 1 for x in near[200:]) and np.mean(near[200:]) > 0.7
+
+
 def test_op10_odd_rows(spark):
     docs = odd_documents(spark)
     rows = imatch.edited_fingerprints(docs).collect()
