@@ -5,18 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, sql, toxicity, wrappers
+from assetlens.llm import chat, codes, imatch, kneserney, licenses, neardup, packing, ranking, repetition, samples, sentencepieces, sql, toxicity, treap, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
-BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
+#: Vocabulary files, found only when a query asks for one.
+MODELS = {"PIECE_MODEL": "piece_bpe_32k.model", "BYTE_MODEL": "byte_bpe_50k.json"}
+
+
+def __getattr__(name: str) -> str:
+    if name not in MODELS:
+        raise AttributeError(name)
+    return model(name)
+
+
+def model(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(MODELS[name])
 
 
 def query(fn):
@@ -42,7 +53,7 @@ def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded with begin and end ids and decoded again, as digests."""
-    both = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    both = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), model("PIECE_MODEL"))
     out = both.mapInArrow(_ids_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -85,7 +96,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), BYTE_MODEL))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), model("BYTE_MODEL")))
 
 
 @query
@@ -116,4 +127,34 @@ def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks learned from all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.learn(vectors)
+    coded = codes.with_label_errors(codes.encode(vectors, books))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).alias("codebooks_sha256"))
+
+
+@query
+def op12_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return treap.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose two turns hold the template's own control strings."""
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+
+
+@query
+def op13_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests read back from every formatted conversation."""
+    return chat.digests(chat.format_conversations(conversations(spark, sf_dir)))
+
+
+ORACLE_SQL |= {"op11_member_lloyd": sql.member_lloyd(), "op12_k2_treap": sql.ranked_search(), "op13_chat_grammar": sql.chat_digests()}
 ORACLE_SQL |= {"op5_quality_rules": sql.quality_rules(), "op9_superminhash": sql.near_duplicates()}

@@ -50,3 +50,48 @@ def near_duplicates(words: int = 5, percent: int = 75) -> str:
  t AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM t UNION SELECT r.node, t.b FROM r JOIN t ON r.reach = t.a),
  k AS (SELECT node, min(reach) AS low FROM r GROUP BY 1)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.node = d.doc_id"""
+
+
+def member_lloyd(parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8, scale: int = 4096) -> str:
+    """Every round written out; ``width`` is the length of a part of the given vectors."""
+    nearest = f"arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, v.p, v.x AS x, e, list_sum([{', '.join(f'(v.x[{i}] - b.x[{i}]) * (v.x[{i}] - b.x[{i}])' for i in range(1, width + 1))}]) AS d"
+    mean = ", ".join(f"floor(sum(x[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, width + 1))
+    steps = "".join(
+        f""",
+ a{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, {nearest} FROM v JOIN b{k} b ON b.p = v.p) GROUP BY r, p),
+ b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, [{mean}] AS x FROM a{k} GROUP BY 1, 2) m ON m.p = b.p AND m.e = b.e)"""
+        for k in range(rounds)
+    )
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ v AS MATERIALIZED (SELECT r, p, list_transform(embedding[p * {width} + 1 : (p + 1) * {width}], lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM k, range({parts}) t(p)),
+ b0 AS (SELECT p, r - 1 AS e, x FROM v WHERE r <= {entries}){steps},
+ f AS (SELECT r, p, {nearest} FROM v JOIN b{rounds} b ON b.p = v.p) GROUP BY r, p),
+ c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM f GROUP BY 1),
+ s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c ON c.r = k.r, s"""
+
+
+def ranked_search(best: int = 20) -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def terms(table: str, key: str) -> str:
+        return f"SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{term}')) AS t FROM {table}"
+
+    return f"""WITH c AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM ({terms('documents', 'doc_id')}) GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY 1),
+ s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n), q AS (SELECT item_id, t, count(*) AS times FROM ({terms('benchmark', 'item_id')}) GROUP BY 1, 2),
+ w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM c, s GROUP BY 1),
+ x AS (SELECT item_id, c.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::BIGINT AS score FROM q JOIN w ON w.t = q.t JOIN c ON c.t = q.t JOIN n ON n.doc_id = c.doc_id, s GROUP BY 1, 2),
+ r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+ SELECT * FROM r WHERE rank <= {best}"""
+
+
+def chat_digests() -> str:
+    def escape(text: str) -> str:
+        return rf"regexp_replace(regexp_replace({text}, '(\[)(\\|/?(INST|TURN)\])', '\1\\\2', 'g'), '(<)(\\|/?s>|</?SYS>>)', '\1\\\2', 'g')"
+
+    marks = "CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 17 + length(name) + length(length(name)::VARCHAR) END"
+    return f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, turn, CASE turn WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(turn)),
+ t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c), e AS (SELECT *, {escape('text')} AS body, {escape('role')} AS name FROM t),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS said, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, body) FILTER (role = 'assistant'), '') AS loss,
+  sum({marks} + length(body))::BIGINT AS formatted_chars, sum((body <> text)::INTEGER)::BIGINT AS escaped_turns FROM e GROUP BY 1)
+ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, escaped_turns FROM g"""
