@@ -15,8 +15,10 @@ larger ones block against block, where a product of 0/1 matrices gives the inter
 two blocks at once and only links that join components leave the task.
 
 Null and empty texts have no shingles and stay alone. Rows with equal texts are one class. An id with
-several texts is linked through any of them. A null id gets the component of its class and is kept only
-where no row of its class has an id. Only the id and text columns are read.
+several texts is linked through any of them. Classes whose rows all have a null id take part under a key
+made from their set's fingerprint, above all ids (ids are below 2 ** 62); a component of such classes alone
+has a null id, and the text of least hash in the class of least key is the one that stays. A very long text
+is a block of its own. An empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from assetlens.llm.staging import staged
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(0xFFFFFFFF)
+NAMELESS = 1 << 62  # keys of classes without an id begin here
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,8 @@ class Settings:
     rows: int = 4
     few: int = 16  # members of a bucket whose pairs are listed one by one
     block: int = 256  # members in a block of a larger bucket
+    block_bytes: int = 1 << 18  # text that is signed at once: each distinct shingle holds a byte for each slot
+    wide_bytes: int = 1 << 23  # text in a block of a larger bucket
 
     @property
     def slots(self) -> int:
@@ -72,6 +77,7 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, slots: int) -> np.nda
     rows = len(first) - 1
     signature = np.full(rows * slots, np.iinfo(np.uint64).max, np.uint64)
     row, h = row_of(first), elements
+    place_type = np.uint8 if slots <= 256 else np.uint16
     places = None
     for j in range(slots):
         if not len(h):
@@ -88,12 +94,12 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, slots: int) -> np.nda
         live = signature.reshape(rows, slots).max(1) >= np.uint64(j + 1) << np.uint64(32)
         keep = live[row]
         if places is None:
-            k = k[keep]
-            places = np.tile(np.arange(slots, dtype=np.uint16), (len(k), 1))
+            row, h, k = row[keep], h[keep], k[keep]
+            places = np.tile(np.arange(slots, dtype=place_type), (len(k), 1))
             places[np.arange(len(k)), k] = 0
-        else:
-            places = places[keep]
-        row, h = row[keep], h[keep]
+        elif 2 * np.count_nonzero(keep) <= len(keep):
+            # a finished text's elements change nothing any more, so they may wait until they are half of all
+            row, h, places = row[keep], h[keep], places[keep]
     return signature.reshape(rows, slots)
 
 
@@ -103,7 +109,7 @@ def describe(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
     n = np.diff(first)
     halves = []
     for seed in (1, 2):
-        total = np.r_[np.uint64(0), np.cumsum(splitmix(elements + np.uint64(seed) * _STEP), dtype=np.uint64)]
+        total = np.r_[np.uint64(0), np.cumsum(splitmix(elements + np.uint64(seed * int(_STEP) & 0xFFFFFFFFFFFFFFFF)), dtype=np.uint64)]
         halves.append(splitmix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64))
     signature = super_minhash(elements, first, s.slots).reshape(len(n), s.bands, s.rows)
     band = np.broadcast_to(splitmix(np.arange(s.bands) + 1), (len(n), s.bands))
@@ -116,7 +122,7 @@ def signatures(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
     """(id, n_shingles, f1, f2, bands, text_hash) of every row; bands are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches):
+        for rows, data, offsets in text_blocks(batches, limit=s.block_bytes):
             n, f1, f2, band = describe(data, offsets, s)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * s.bands), pa.array(band.ravel()))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), keys, rows.column(2)], ["id", "n_shingles", "f1", "f2", "bands", "text_hash"])
@@ -191,20 +197,24 @@ def _open_links(s: Settings):
 
 def _in_blocks(rows: DataFrame, name: str, s: Settings) -> DataFrame:
     """Members of each bucket in blocks of bounded size, dealt by hash."""
-    size = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / s.block, F.sum("n") / (s.block * 200))).alias("blocks"))
+    size = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / s.block, F.sum("n") / (s.block * 200), F.sum(F.octet_length("text")) / s.wide_bytes)).alias("blocks"))
     return rows.join(size, "band").groupBy("band", F.pmod(F.xxhash64("rep"), "blocks").alias(name + "_block")).agg(F.collect_list(F.struct("rep", "component", "text")).alias(name))
 
 
 def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep_text_hash: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``df``, and a hash of its text if asked for."""
     described = staged(signatures(df, s, id_col, text_col), "signatures")
-    classes = staged(described.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.first("n_shingles").alias("n")), "classes")
-    single = classes.where("rep is not null")
-    in_bands = single.select("rep", "n", F.explode("bands").alias("band"))
+    key = F.coalesce(F.col("id"), F.lit(NAMELESS) + F.col("f1").bitwiseAND(F.lit(NAMELESS // 2 - 1)))
+    keyed = described.where("n_shingles > 0").withColumn("key", key)
+    classes = staged(keyed.groupBy("f1", "f2").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"), F.first("n_shingles").alias("n"), F.min("text_hash").alias("first_text")), "classes")
+    in_bands = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowded = in_bands.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).where("members > 1")
     buckets = staged(in_bands.join(crowded, "band").select("band", "rep", "n", "members", "low", "high"), "buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = staged(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "texts")
+    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    nameless = keyed.where("id is null").select(F.col("key").alias("id"), "text_hash").distinct().join(wanted, "id", "left_semi")
+    unnamed = df.where(F.col(id_col).isNull()).select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text")).groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = staged(named.unionByName(nameless.join(unnamed, "text_hash").select("id", "text")), "texts")
 
     def like(m, n):
         """Sets whose sizes differ more cannot be similar enough."""
@@ -244,11 +254,13 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     links = links.unionByName(staged(more.unionByName(blocks), "links"))
     group = staged(components(links), "groups")
 
-    of_class = classes.join(group, classes.rep == group.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    also = ["text_hash"] if keep_text_hash else []
-    out = described.select("id", "n_shingles", "f1", "f2", *also).join(of_class, ["f1", "f2"], "left")
+    label = F.coalesce("component", "rep")
+    of_class = classes.join(group, classes.rep == group.node, "left").select("f1", "f2", F.when(label < NAMELESS, label).alias("component_id"), F.when(label == F.col("rep"), F.col("first_text")).alias("first_text"))
+    out = described.select("id", "n_shingles", "f1", "f2", "text_hash").join(of_class, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), *also).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    stays = F.col("id").eqNullSafe(component) & (F.col("id").isNotNull() | (F.col("n_shingles") == 0) | F.col("first_text").eqNullSafe(F.col("text_hash")))
+    also = ["text_hash"] if keep_text_hash else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), *also, stays.alias("kept"))
 
 
 def kept_rows(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -185,6 +185,20 @@ def test_op9_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("settings", [neardup.Settings(), neardup.Settings(few=2, block=2, wide_bytes=40, block_bytes=64)])
+def test_op9_null_ids(spark, settings):
+    """Near copies among rows without an id are linked; one of them stays, or the row with an id."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in (0, 58, 59)] + [" ".join(words)]
+    other = [" ".join(["z", *near[3].split()[:40], f"y{k}"]) for k in range(3)]
+    docs = spark.createDataFrame([(None, t) for t in near[:3]] + [(5, near[3]), (None, near[1])] + [(None, t) for t in other] + [(None, other[0]), (None, None)], "doc_id long, text string")
+    rows = neardup.near_duplicates(docs, settings, keep_text_hash=True).collect()
+    assert sorted((r["component_id"] or 0, r["kept"]) for r in rows if r["component_id"]) == [(5, False)] * 4 + [(5, True)]
+    assert sorted(r["kept"] for r in rows if r["doc_id"] is None and r["component_id"] is None and r["n_shingles"]) in ([False] * 3 + [True], [False] * 2 + [True] * 2)
+    kept = [(r["doc_id"], r["text"]) for r in neardup.kept_rows(docs, settings).collect()]
+    assert len(kept) == 3 and (5, near[3]) in kept and (None, None) in kept and sum(t in other for _, t in kept) == 1
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(2)
     for share in (0.3, 0.75):
