@@ -1,6 +1,13 @@
 """From raw documents to packed training sequences: reject by rules, reject by quality, drop near copies, pack.
 
 Each stage reads what the one before it wrote. All but the last return the columns of ``documents``.
+
+Null texts count as empty. The rules reject empty and blank texts with all that have too few words, so
+nothing of them goes further; given to the later stages by themselves they get the score of an empty text,
+are linked with nothing, and pack as their closing token. Very long texts are taken whole by every stage.
+Ties go as the operators state. A row that repeats another's id and text is kept or rejected like it by the
+first two stages and goes in near_dedup, which also keeps one of the near copies among rows without an id.
+An empty table passes through as an empty table. Columns beyond id and text are carried along unread.
 """
 
 from __future__ import annotations
@@ -8,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assetlens.llm import neardup, packing, ranking, repetition
-from assetlens.llm.queries import BYTE_MODEL, quality_model, table
+from assetlens.llm.queries import model, quality_model, table
 from assetlens.llm.staging import staged
 
 
@@ -29,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of what is left, with its sequence and place."""
-    return packing.pack(packing.pieces(docs, BYTE_MODEL))
+    return packing.pack(packing.pieces(docs, model("BYTE_MODEL")))
 
 
 STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("best_fit_packing", pack)]
