@@ -11,6 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows dealt by key to as many partitions as the session shuffles to.
+
+    A repartition without a number is coalesced by the size of its rows, which puts small rows that
+    are costly to work on into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bucket_of(pos: str | Column, width: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(pos / F.lit(width))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.functions.scalar import DAY_MS, known, lookup
-from assetlens.functions.skew import bucket_of, lag_across, running_sum
+from assetlens.functions.skew import bucket_of, dealt, lag_across, running_sum
 from assetlens.operators.place import VERDICT_TIER
 
 # Confirmations needed, how long a hold may last, and the storing policy.
@@ -79,7 +79,7 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
         fresh = fresh | (F.col("observed_at") - F.col("prev_at") > hold_ms)
     r = r.select("asset", *order, "verdict", lookup("verdict", VERDICT_TIER).alias("tier"), fresh.alias("fresh"),
                  known(F.col("prev_at") == F.col("observed_at")).cast("int").alias("repeated"), bucket_of("observed_at", width).alias("day"))
-    r = r.repartition("asset", "day").sortWithinPartitions("asset", "day", *order)
+    r = dealt(r, "asset", "day").sortWithinPartitions("asset", "day", *order)
 
     def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, cur = None, None
@@ -120,8 +120,8 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
             yield out
 
     days = r.mapInPandas(maps, "asset string, day long, map array<int>")
-    starts = days.repartition("asset").sortWithinPartitions("asset", "day").mapInPandas(chain, "asset string, day long, start int")
-    j = r.join(starts, ["asset", "day"]).repartition("asset", "day").sortWithinPartitions("asset", "day", *order)
+    starts = dealt(days, "asset").sortWithinPartitions("asset", "day").mapInPandas(chain, "asset string, day long, start int")
+    j = dealt(r.join(starts, ["asset", "day"]), "asset", "day").sortWithinPartitions("asset", "day", *order)
     return j.mapInPandas(replay, "asset string, observed_at long, seq long, verdict string, stable string")
 
 
@@ -186,7 +186,7 @@ def _stream_pieces(r: DataFrame, cols: list[str]) -> DataFrame:
             pdf["reason"] = out
             yield pdf.loc[pdf["reason"].notna(), ["asset", "observed_at", "seq", "verdict", *num, "reason", "piece"]]
 
-    p = r.repartition("asset", "piece").sortWithinPartitions("asset", "piece", "observed_at", "seq")
+    p = dealt(r, "asset", "piece").sortWithinPartitions("asset", "piece", "observed_at", "seq")
     stored = p.mapInPandas(walk, schema)
     # Name the stored restarts that were neither first nor a transition: heartbeat unless material
     # against the last row stored in the piece before. One row per piece, so this join is small.

@@ -7,6 +7,7 @@ explicit schema, so parsing and derivation do the full work for every event.
 from pyspark.sql import functions as F
 
 from assetlens.functions.durable import cut
+from assetlens.functions.skew import dealt
 from assetlens.operators import trades as T
 from assetlens.plans.registry import query
 from assetlens.plans.sqltext import EV, TR
@@ -27,7 +28,7 @@ def asql(p: str, c: str) -> str:
 
 
 def documents(t):
-    e = t.event_facts().repartition("event_id")
+    e = dealt(t.event_facts(), "event_id")
     i, k, c = F.col("event_id"), F.col("k"), F.col("cents").cast("long")
     kind = F.col("event_type")
     tok = c * (k % 5 + 1)

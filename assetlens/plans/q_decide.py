@@ -4,6 +4,7 @@ that Spark and the checking engine both read."""
 from pyspark.sql import functions as F
 
 from assetlens.functions.durable import cut
+from assetlens.functions.skew import dealt
 from assetlens.operators import decide as D
 from assetlens.operators import place as P
 from assetlens.plans.registry import query
@@ -49,7 +50,7 @@ CH = f"{AS}, dr0 AS (SELECT asset, liquidity, seq AS s FROM ast), dr AS (SELECT
 
 
 def row(t):
-    a = t.assets().select("asset", "liquidity", F.col("seq").alias("s")).repartition("asset")
+    a = dealt(t.assets().select("asset", "liquidity", F.col("seq").alias("s")), "asset")
     fam = F.filter(F.array(F.lit("ROUND_TRIPS"), F.when(F.col("s") % 2 == 0, "PATTERN"), F.when(F.col("s") % 3 == 0, "CONCENTRATION")), lambda x: x.isNotNull())
     cols = {n: F.expr(e) for n, e in ROW.items()}
     versions = F.create_map(*[x for n, e in VERS.items() for x in (F.lit(n), F.expr(e))])
