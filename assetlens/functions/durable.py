@@ -1,8 +1,9 @@
-"""Lineage cuts that survive losing an executor: reliable checkpoints in the shared folder."""
+"""Lineage cuts that survive losing an executor: tables written to the shared folder and read back."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,22 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder named by ``spark.checkpoint.dir``; only a local master may fall back."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+        return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="assetlens-checkpoint-")
-    sc.setCheckpointDir(folder)
+    folder = "file://" + tempfile.mkdtemp(prefix="assetlens-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise to the checkpoint folder and restart the plan from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared folder and restart the plan from that table.
+
+    Readers prune columns and skip row groups; the folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

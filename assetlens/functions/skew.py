@@ -20,6 +20,20 @@ def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def spread_lookup(rows: DataFrame, key: str, table: DataFrame, spread_by: str, most: int = 100_000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key; rows whose key it lacks go.
+
+    A key with more than ``most`` rows is split into as many shares as it takes, by a hash of ``spread_by``,
+    and its row of ``table`` is repeated for each share, so no share has many more than ``most`` rows. The
+    broadcast lists those keys: at most the number of rows divided by ``most``.
+    """
+    heavy = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_ways")))
+    ways = F.coalesce("_ways", F.lit(1))
+    left = rows.join(heavy, key, "left").withColumn("_share", F.pmod(F.xxhash64(spread_by), ways).cast("int")).drop("_ways")
+    right = table.join(heavy, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    return left.join(right, [key, "_share"]).drop("_share")
+
+
 def bucket_of(pos: str | Column, width: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(pos / F.lit(width))

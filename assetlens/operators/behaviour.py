@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import (
     DAY_MS, HOUR_MS, codes, exact_ratio, half_up, known, ladder,
 )
@@ -33,7 +34,7 @@ def wallet_age(tx: DataFrame, trades: DataFrame) -> DataFrame:
     seen = tx.groupBy("wallet").agg(F.min("block_time").alias("first_seen_at"))
     first = trades.groupBy("wallet").agg(F.min_by("block_time", F.struct("slot", "tx_index")).alias("_t"))
     return seen.join(first, "wallet", "left").select(
-        "wallet", "first_seen_at",
+        "wallet", "first_seen_at", F.col("_t").alias("first_trade_at"),
         F.when(F.col("_t").isNotNull(), F.greatest(F.lit(0.0), (F.col("_t") - F.col("first_seen_at")) / 1000.0))
         .alias("age_at_first_trade_sec"),
     )
@@ -78,9 +79,9 @@ def cadence(tx: DataFrame, width: int = DAY_SLOTS) -> DataFrame:
     t = lag_across(t, ["wallet"], ["slot", "tx_index"], "slot", width, {"prev": "block_time"})
     gaps = t.where(F.col("prev").isNotNull()).select("wallet", ((F.col("block_time") - F.col("prev")) / 1000.0).alias("gap"))
     g = gaps.groupBy("wallet").agg(F.count("*").alias("gaps"), F.avg("gap").alias("_m"), F.stddev_pop("gap").alias("_s"))
-    return g.join(exact_median(gaps, ["wallet"], "gap", "_med"), "wallet").select(
+    return g.join(exact_median(gaps, ["wallet"], "gap", "median_of_gaps"), "wallet").select(
         "wallet", "gaps", F.when((F.col("gaps") >= 10) & (F.col("_m") > 0), F.col("_s") / F.col("_m")).alias("cadence_cv"),
-        F.when(F.col("gaps") >= 3, F.col("_med")).alias("median_gap_sec"),
+        F.when(F.col("gaps") >= 3, F.col("median_of_gaps")).alias("median_gap_sec"), "median_of_gaps",
     )
 
 
@@ -91,8 +92,8 @@ def burst(tx: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     return t.withColumn("n", n).where("_core").groupBy("wallet").agg(F.max("n").alias("burst10s"))
 
 
-def repeated_sizes(trades: DataFrame) -> DataFrame:
-    """Share of priced buys that have a twin within 1 % (five priced buys needed).
+def size_twins(trades: DataFrame) -> DataFrame:
+    """(wallet, x, n, twin): each buy size of a wallet, how often it occurs, and whether another buy lies within 1 %.
 
     Equal amounts collapse to one row; the nearest different amount is a neighbour in sorted
     order, looked for inside overlapping log-size ranges.
@@ -103,9 +104,13 @@ def repeated_sizes(trades: DataFrame) -> DataFrame:
     staged = with_halo(sized.withColumn("_ln", F.log("x") * 1000), "_ln", 500, 11, 11)
     w = Window.partitionBy("wallet", "_b").orderBy("x")
     near = lambda o: known(F.abs(o - F.col("x")) <= F.col("x") * 0.01)
-    staged = staged.withColumn("_twin", (F.col("n") >= 2) | near(F.lag("x").over(w)) | near(F.lead("x").over(w)))
-    g = staged.where("_core").groupBy("wallet").agg(
-        F.sum("n").alias("priced_buys"), F.sum(F.when(F.col("_twin"), F.col("n")).otherwise(0)).alias("_r")
+    return staged.withColumn("twin", (F.col("n") >= 2) | near(F.lag("x").over(w)) | near(F.lead("x").over(w))).where("_core").select("wallet", "x", "n", "twin")
+
+
+def repeated_sizes(trades: DataFrame) -> DataFrame:
+    """Share of priced buys that have a twin within 1 % (five priced buys needed)."""
+    g = size_twins(trades).groupBy("wallet").agg(
+        F.sum("n").alias("priced_buys"), F.sum(F.when(F.col("twin"), F.col("n")).otherwise(0)).alias("_r")
     )
     return g.select("wallet", "priced_buys", F.when(F.col("priced_buys") >= 5, F.col("_r") / F.col("priced_buys")).alias("repeated_size_share"))
 
@@ -129,18 +134,101 @@ def round_trip_summary(trades: DataFrame) -> DataFrame:
     holds = round_trip_holds(trades)
     g = holds.groupBy("wallet").agg(F.count("*").alias("round_trips"), F.count("hold").alias("_h"))
     return g.join(exact_median(holds, ["wallet"], "hold", "_m"), "wallet", "left").select(
-        "wallet", "round_trips", F.when(F.col("_h") >= 2, F.col("_m")).alias("median_hold_sec")
+        "wallet", "round_trips", F.col("_h").alias("holds"), F.when(F.col("_h") >= 2, F.col("_m")).alias("median_hold_sec")
     )
 
 
+TX_COLS = ["wallet", "tx_id", "slot", "tx_index", "block_time", "status"]
+TRADE_COLS = ["wallet", "asset", "side", "tx_id", "slot", "tx_index", "block_time", "quote_amount"]
+
+
 def wallet_features(tx: DataFrame, trades: DataFrame, launches: DataFrame) -> DataFrame:
-    """All features, one wide row per wallet."""
+    """All features, one wide row per wallet. Both tapes are read once and written with the columns they need."""
+    return _features(cut(tx.select(TX_COLS)), cut(trades.select(TRADE_COLS)), launches)
+
+
+def _features(tx: DataFrame, trades: DataFrame, launches: DataFrame) -> DataFrame:
     out = wallet_rates(tx)
     for part in (wallet_age(tx, trades), trade_counts(trades), entry_speed(trades, launches), cadence(tx), burst(tx),
                  repeated_sizes(trades), round_trip_summary(trades)):
         out = out.join(part, "wallet", "left")
-    zero = ["trades", "buys", "sells", "token_diversity", "round_trips", "gaps"]
-    return out.na.fill(0, zero).withColumn("burst10s", F.when(F.col("timed") >= 5, F.col("burst10s")))
+    zero = ["trades", "buys", "sells", "token_diversity", "round_trips", "gaps", "priced_buys", "holds"]
+    out = out.na.fill(0, zero).withColumn("burst_seen", F.coalesce("burst10s", F.lit(0)))
+    return out.withColumn("burst10s", F.when(F.col("timed") >= 5, F.col("burst10s")))
+
+
+# ---- how sure a feature is, and the transactions it rests on ---------------------------
+
+EVIDENCE_IDS = 5
+
+
+def feature_evidence(tx: DataFrame, trades: DataFrame, launches: DataFrame) -> DataFrame:
+    """(wallet, feature, ids): the earliest five transactions behind each feature that names some.
+
+    Every candidate is one narrow row; the rank limit cuts each task's candidates to five a wallet and
+    feature before they are shuffled, so a busy wallet is never gathered.
+    """
+    at = ["slot", "tx_index", "tx_id"]
+    candidate = lambda df, name, key=None: df.select("wallet", F.lit(name).alias("feature"), (F.lit(0.0) if key is None else F.col(key)).alias("key"), *at)
+    order = F.struct("slot", "tx_index", "tx_id")
+    first = trades.where("side = 'BUY'").groupBy("wallet", "asset").agg(F.min(F.struct(*at, "block_time")).alias("f")).select("wallet", "asset", "f.*")
+    entries = first.join(launches.select("asset", "launch_time"), "asset").withColumn("sec", F.greatest(F.lit(0.0), (F.col("block_time") - F.col("launch_time")) / 1000.0)).where("sec IS NOT NULL")
+    twins = size_twins(trades).where("twin").select("wallet", "x")
+    repeated = trades.where("side = 'BUY' AND quote_amount > 0").withColumn("x", F.col("quote_amount").cast("double")).join(twins, ["wallet", "x"], "left_semi")
+    seen = tx.where("block_time IS NOT NULL").groupBy("wallet").agg(F.min(order).alias("f")).select("wallet", "f.*")
+    traded = trades.groupBy("wallet").agg(F.min(order).alias("f")).select("wallet", "f.*")
+    parts = [
+        candidate(seen, "first_seen_at"), candidate(traded, "age_at_first_trade_sec"), candidate(tx.where("status = 'FAILED'"), "failed_share"),
+        candidate(entries.where(F.col("sec") <= EARLY_SEC), "fresh_launch_buys"), candidate(entries, "fastest_entry_sec", "sec"), candidate(repeated, "repeated_size_share"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rank = F.row_number().over(Window.partitionBy("wallet", "feature").orderBy("key", *at))
+    kept = rows.withColumn("n", rank).where(F.col("n") <= EVIDENCE_IDS)
+    kept = kept.where((F.col("feature") != "fastest_entry_sec") | (F.col("n") == 1))
+    return kept.groupBy("wallet", "feature").agg(F.array_sort(F.collect_list(F.struct("n", "tx_id"))).alias("_e")).select(
+        "wallet", "feature", F.transform("_e", lambda x: x["tx_id"]).alias("ids"))
+
+
+def measured_features(tx: DataFrame, trades: DataFrame, launches: DataFrame, history: DataFrame) -> DataFrame:
+    """(wallet, feature, value, quality, evidence): every feature with how sure it is and what it rests on.
+
+    ``history(wallet, complete, earliest_at, earliest_tx)`` says whether the transactions at hand are all of
+    a wallet's, and names its first transaction where that is known. A feature is MEASURED on a complete
+    history, PARTIAL on part of one, and INSUFFICIENT where there is too little to state it; counts are
+    never INSUFFICIENT, only PARTIAL. A wallet that ``history`` does not name counts as incomplete.
+    """
+    tx, trades = cut(tx.select(TX_COLS)), cut(trades.select(TRADE_COLS))
+    f = cut(_features(tx, trades, launches).join(history.select("wallet", "complete", "earliest_at", "earliest_tx"), "wallet", "left"))
+    c = F.col
+    complete = F.coalesce(c("complete"), F.lit(False))
+    window = F.when(complete, "MEASURED").otherwise("PARTIAL")
+    enough = lambda cond: F.when(cond, window).otherwise("INSUFFICIENT")
+    count = F.when(c("trades") >= MIN_TRADES, window).otherwise("PARTIAL")
+    entered = F.coalesce(c("launches_entered"), F.lit(0))
+    entry = enough(entered >= 1)
+    seen_at = F.when(c("earliest_at").isNotNull(), c("earliest_at")).when(complete, c("first_seen_at"))
+    seen = F.when(seen_at.isNotNull(), "MEASURED").otherwise("INSUFFICIENT")
+    first_trade = c("first_trade_at")
+    age = F.when(seen_at.isNotNull() & first_trade.isNotNull(), F.greatest(F.lit(0.0), (first_trade - seen_at) / 1000.0))
+    rules = {
+        "first_seen_at": (seen_at, seen), "age_at_first_trade_sec": (age, F.when(age.isNotNull(), "MEASURED").otherwise("INSUFFICIENT")),
+        "tx_per_hour": (F.when(c("timed") >= 5, c("tx_per_hour")), enough(c("timed") >= 5)), "failed_share": (c("failed_share"), enough(c("transactions") >= 5)),
+        "trades": (c("trades"), count), "buys": (c("buys"), count), "sells": (c("sells"), count), "token_diversity": (c("token_diversity"), count),
+        "fresh_launch_buys": (F.coalesce(c("fresh_launch_buys"), F.lit(0)), entry), "early_entry_share": (c("early_entry_share"), enough(entered >= 3)),
+        "fastest_entry_sec": (c("fastest_entry_sec"), entry), "median_entry_sec": (c("median_entry_sec"), entry), "launches_entered": (entered, entry),
+        "cadence_cv": (c("cadence_cv"), enough(c("cadence_cv").isNotNull())), "median_gap_sec": (c("median_of_gaps"), enough(c("gaps") >= 3)),
+        "burst10s": (c("burst_seen"), enough(c("timed") >= 5)), "repeated_size_share": (c("repeated_size_share"), enough(c("priced_buys") >= 5)),
+        "round_trips": (c("round_trips"), count), "median_hold_sec": (c("median_hold_sec"), enough(c("holds") >= 2)),
+    }
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.cast("double").alias("value"), q.alias("quality")) for k, (v, q) in rules.items()]))
+    rows = f.select("wallet", "earliest_at", "earliest_tx", long.alias("r")).select("wallet", "earliest_at", "earliest_tx", "r.*")
+    named = feature_evidence(tx, trades, launches)
+    ids = F.when((c("feature") == "first_seen_at") & c("earliest_at").isNotNull(), F.array("earliest_tx")).otherwise(c("ids"))
+    # a value that could not be stated rests on nothing
+    stated = c("value").isNotNull() & ((c("quality") != "INSUFFICIENT") | ~c("feature").isin("failed_share", "repeated_size_share"))
+    return rows.join(named, ["wallet", "feature"], "left").select("wallet", "feature", "value", "quality", F.coalesce(F.when(stated, ids), F.array().cast("array<string>")).alias("evidence"))
 
 
 def classify_wallets(f: DataFrame, complete: bool = True, entry_sec: str | None = None) -> DataFrame:

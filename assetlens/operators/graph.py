@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlens.functions.durable import cut
 from assetlens.functions.scalar import DAY_MS, half_up, known, ladder, lookup, sig3
-from assetlens.functions.skew import with_halo
+from assetlens.functions.skew import spread_lookup, with_halo
 from assetlens.functions.text import canonical_id
 
 # Hub limits, entry window, crowd size, early entry, confidences.
@@ -260,30 +260,26 @@ def orient(pairs: DataFrame) -> DataFrame:
 # ---- clusters --------------------------------------------------------------------------
 
 
-def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, most: int = 100_000) -> DataFrame:
     """Connected components: every node gets the smallest id it can reach.
 
-    Each round takes the minimum over neighbours (a map-side combined aggregate, so a hub is no
-    problem) and then jumps to the label's own label, which halves the remaining distance. State
-    is checkpointed every round; the driver only ever sees one changed-count.
+    Each round takes the minimum over neighbours, a map-side combined aggregate, and then jumps to the
+    label's own label, which halves the remaining distance; rounds go on until no label changes. A node's
+    neighbours are never gathered: they meet as a minimum, and both lookups, of a neighbour's label and of a
+    label's label, split keys with more than ``most`` rows. The driver only ever sees one changed-count.
     """
     edges = pairs.select("a", "b").where("a <> b").distinct()
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("component").alias("near")
-        )
-        hop = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
+    while True:
+        near = spread_lookup(both, "b", labels.withColumnRenamed("node", "b"), "a", most).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hop = cut(labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next")))
         up = labels.select(F.col("node").alias("next"), F.col("component").alias("up"))
-        nxt = cut(hop.join(up, "next", "left").select(
-            "node", F.least("next", F.coalesce("up", "next")).alias("component"), F.col("component").alias("old")
-        ))
-        changed = nxt.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = nxt.select("node", "component")
+        after = cut(spread_lookup(hop, "next", up, "node", most).select("node", F.least("next", "up").alias("component"), F.col("component").alias("old")))
+        changed = after.where(F.col("component") != F.col("old")).limit(1).count()
+        labels = after.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -401,28 +397,68 @@ def network_level(subjects: DataFrame, edges: DataFrame, profiles: DataFrame) ->
     )
 
 
-def network_findings(subjects: DataFrame, edges: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every address with bad history within two hops of a subject, by its best path, in both orders.
+def _steps(edges: DataFrame) -> DataFrame:
+    """Both directions of every linked pair with its best strong edge and its best edge of any kind.
+
+    ``strong`` and ``any`` are (minus, type, evidence), minus the confidence so that the least is best; equal
+    confidences go by type and evidence. Parallel edges meet only in this aggregate.
+    """
+    e = edges.select("a", "b", "type", "confidence", "evidence")
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "type", "confidence", "evidence"))
+    edge = F.struct((-F.col("confidence")).alias("minus"), "type", "evidence")
+    return both.groupBy("a", "b").agg(F.min(F.when(F.col("type").isin(*STRONG_PATHS), edge)).alias("strong"), F.min(edge).alias("any"))
+
+
+def _best_paths(steps: DataFrame, kind: str, subj: DataFrame, bad: DataFrame) -> DataFrame:
+    """(address, target, best): the best path of at most two edges from each subject to each bad address.
 
-    ``by_path`` ranks by path confidence, ``by_confirmed`` by confirmed launches first. Only strong edges
-    lead on. A path's second half is counted once for each (middle, target) before the subjects join it.
+    ``best`` orders by confidence, then fewer hops, then the smaller address in the middle, and carries the
+    edges of the path. A second edge is looked up once for each (middle, target) before the subjects join it.
+    """
+    step = steps.where(F.col(kind).isNotNull()).select("a", "b", F.col(kind).alias("e"))
+    conf = lambda e: -e["minus"]
+    edge = lambda a, b, e: F.struct(F.col(a).alias("from"), F.col(b).alias("to"), e["type"].alias("type"), conf(e).alias("confidence"), e["evidence"].alias("evidence"))
+
+    def best(confidence, hops: int, middle, *path):
+        path = F.array(*path) if path else F.array().cast("array<struct<from:string,to:string,type:string,confidence:double,evidence:string>>")
+        return F.struct((-confidence).alias("minus"), F.lit(hops).alias("hops"), middle.alias("middle"), path.alias("path")).alias("best")
+
+    zero = subj.join(bad, subj.address == bad.target).select("address", "target", best(F.lit(1.0), 0, F.lit("")))
+    last = step.join(bad.withColumnRenamed("target", "b"), "b", "left_semi")
+    one = last.join(subj.withColumnRenamed("address", "a"), "a", "left_semi").select(F.col("a").alias("address"), F.col("b").alias("target"), best(conf(F.col("e")), 1, F.lit(""), edge("a", "b", F.col("e"))))
+    first = step.join(subj.withColumnRenamed("address", "a"), "a", "left_semi").select(F.col("a").alias("address"), F.col("b").alias("middle"), F.col("e").alias("e1"))
+    rest = last.select(F.col("a").alias("middle"), F.col("b").alias("target"), F.col("e").alias("e2"))
+    two = first.join(rest, "middle").where(F.col("address") != F.col("target")).select(
+        "address", "target", best(conf(F.col("e1")) * conf(F.col("e2")), 2, F.col("middle"), edge("address", "middle", F.col("e1")), edge("middle", "target", F.col("e2"))))
+    return zero.unionByName(one).unionByName(two).groupBy("address", "target").agg(F.min("best").alias("best"))
+
+
+def network_findings(subjects: DataFrame, edges: DataFrame, profiles: DataFrame, events: DataFrame, most_events: int = 5) -> DataFrame:
+    """Every address with bad history within two hops of a subject, with the best path to it and its events.
+
+    ``STRONG`` findings follow funding, transfers, shared funders and clusters. ``WEAK_ASSOCIATION`` rows are
+    reached only when behavioural edges count too; they are no finding against anyone. ``path`` lists the
+    edges in order; ``events`` are the earliest confirmed or strongly suspected ones of the target.
+    ``by_path`` and ``by_confirmed`` rank a subject's rows of one kind, by path confidence or by confirmed
+    events first. ``events(address, asset, type, status, tx_id, at)``.
     """
-    strong = edges.where(F.col("type").isin(*STRONG_PATHS)).select("a", "b", "confidence")
-    both = cut(strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence")).groupBy("a", "b").agg(F.max("confidence").alias("confidence")))
-    bad = profiles.where("confirmed > 0 OR strongly_suspected > 0").select(F.col("address").alias("target"), "confirmed")
+    steps = cut(_steps(edges))
+    bad = profiles.where("confirmed > 0 OR strongly_suspected > 0").select(F.col("address").alias("target"), "confirmed", "strongly_suspected")
     subj = subjects.select("address").distinct()
-    path = lambda hops, conf: F.struct(conf.alias("conf"), F.lit(-hops).alias("nh")).alias("path")
-    zero = bad.join(subj, bad.target == subj.address).select("address", "target", path(0, F.lit(1.0)))
-    one = both.join(bad.select("target"), both.b == bad.target).select(F.col("a").alias("address"), "target", F.col("confidence").alias("c"))
-    first = both.join(subj, both.a == subj.address).select("address", "b", F.col("confidence").alias("c1"))
-    two = first.join(one.select(F.col("address").alias("b"), "target", "c"), "b").select("address", "target", path(2, F.col("c1") * F.col("c")))
-    near = one.join(subj, "address", "left_semi").select("address", "target", path(1, F.col("c")))
-    best = zero.unionByName(near).unionByName(two).groupBy("address", "target").agg(F.max("path").alias("p")).join(bad, "target")
-    rows = best.select("address", "target", "confirmed", (-F.col("p.nh")).alias("hops"), half_up(F.col("p.conf"), 2).alias("path_confidence"))
+    strong = cut(_best_paths(steps, "strong", subj, bad.select("target")))
+    weak = _best_paths(steps, "any", subj, bad.select("target")).join(strong, ["address", "target"], "left_anti")
+    found = strong.withColumn("kind", F.lit("STRONG")).unionByName(weak.withColumn("kind", F.lit("WEAK_ASSOCIATION")))
+    told = events.where(F.col("status").isin("CONFIRMED", "STRONGLY_SUSPECTED")).join(bad.select(F.col("target").alias("address")), "address", "left_semi")
+    order = Window.partitionBy("address").orderBy("at", "tx_id")
+    told = told.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_events).groupBy(F.col("address").alias("target")).agg(
+        F.array_sort(F.collect_list(F.struct("_n", "asset", "type", "status", "tx_id"))).alias("_e"))
+    told = told.select("target", F.transform("_e", lambda x: x.dropFields("_n")).alias("events"))
+    rows = found.join(bad, "target").join(told, "target", "left").select(
+        "address", "target", "kind", "confirmed", "strongly_suspected", F.col("best.hops").alias("hops"), half_up(-F.col("best.minus"), 2).alias("path_confidence"), F.col("best.path").alias("path"), "events")
     near_first = [F.desc("path_confidence"), "hops", "target"]
     return rows.withColumns({
-        "by_path": F.row_number().over(Window.partitionBy("address").orderBy(*near_first)),
-        "by_confirmed": F.row_number().over(Window.partitionBy("address").orderBy(F.desc("confirmed"), *near_first))})
+        "by_path": F.row_number().over(Window.partitionBy("address", "kind").orderBy(*near_first)),
+        "by_confirmed": F.row_number().over(Window.partitionBy("address", "kind").orderBy(F.desc("confirmed"), *near_first))})
 
 
 # ---- lookups ---------------------------------------------------------------------------

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.functions.durable import cut
 from assetlens.functions.scalar import clamp, codes, half_up, ladder, sig3
-from assetlens.functions.skew import islands
+from assetlens.functions.skew import bucket_of, with_halo
+from assetlens.operators.graph import components, orient
 
 # Sample minimums and signal thresholds.
 MIN_TRADES, MIN_WALLETS, MIN_RESOLVED = 30, 5, 0.5
@@ -83,8 +81,6 @@ def synchronized(trades: DataFrame, related: DataFrame) -> DataFrame:
     Goes presence -> related partner -> presence, from the less connected end of each pair, so
     neither a busy slot nor a hub wallet is ever multiplied out.
     """
-    from assetlens.operators.graph import orient
-
     here = trades.groupBy("asset", "slot", "wallet").agg(F.count("*").alias("n"))
     partner = here.join(orient(related).withColumnRenamed("lo", "wallet"), "wallet").select(
         "asset", "slot", F.col("hi").alias("wallet")
@@ -97,58 +93,63 @@ def synchronized(trades: DataFrame, related: DataFrame) -> DataFrame:
     )
 
 
-def _match_trips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy matching over time-ordered units; holds only buys younger than the window.
+TRIP_REACH = 0.0514  # beyond the distance of the logarithms of two amounts 5 % apart
+
+
+def trip_candidates(trades: DataFrame, related: DataFrame) -> DataFrame:
+    """(asset, buy, sell, same_wallet, volume): every sell that could close a buy.
 
-    A sell takes the oldest open buy it fits. Buys prefer early sells and sells prefer early
-    buys, so this gives the same pairs as walking the buys in order.
+    A sell comes after the buy, at most ten minutes and 5 % in size away, by the same wallet or a related
+    one. Trades meet only inside (asset, wallet, ten-minute range, size range). For related wallets the
+    trades of the less connected one are given the other's name, so a hub's trades are never multiplied.
+    ``buy`` and ``sell`` are (slot, tx_index, tx_id). A trade without a time or amount takes no part.
     """
-    open_buys: list[tuple] = []
-    unit = None
-    for pdf in frames:
-        out = []
-        for r in pdf.itertuples(index=False):
-            if (r.asset, r.grp, r.island) != unit:
-                unit, open_buys = (r.asset, r.grp, r.island), []
-            open_buys = [b for b in open_buys if r.block_time - b[1] <= TRIP_WINDOW_MS]
-            partners = () if r.partners is None else set(r.partners)
-            if r.side == "BUY":
-                open_buys.append((r.tx_id, r.block_time, r.wallet, r.amount, r.volume, partners))
-                continue
-            for i, (tx, _, wallet, amount, vol, others) in enumerate(open_buys):
-                same = wallet == r.wallet
-                fits = abs(amount - r.amount) <= max(amount, r.amount) * TRIP_TOLERANCE
-                if fits and (same or r.wallet in others or wallet in partners):
-                    out.append((r.asset, tx, r.tx_id, same, vol + r.volume))
-                    del open_buys[i]
-                    break
-        yield pd.DataFrame(out, columns=["asset", "buy_tx", "sell_tx", "same_wallet", "volume"])
+    t = trades.select("asset", "wallet", "side", "block_time", F.struct("slot", "tx_index", "tx_id").alias("trade"), F.col("token_amount").cast("double").alias("amount"),
+                      F.coalesce("quote_amount", F.lit(0)).cast("double").alias("volume"))
+    # no amount lies below 1 but 0, which only equals itself
+    t = t.where("block_time IS NOT NULL AND amount IS NOT NULL").withColumn("_ln", F.log(F.greatest("amount", F.lit(0.5))))
+    links = cut(orient(related))
+    lent = t.join(links.select(F.col("lo").alias("wallet"), "hi"), "wallet").withColumn("wallet", F.col("hi")).drop("hi").withColumn("lent", F.lit(True))
+    seen = t.withColumn("lent", F.lit(False))
+    wide = seen.unionByName(lent)
+    wide = with_halo(with_halo(wide, "block_time", 2 * TRIP_WINDOW_MS, TRIP_WINDOW_MS, TRIP_WINDOW_MS).withColumnRenamed("_b", "at").drop("_core"), "_ln", 2 * TRIP_REACH, TRIP_REACH, TRIP_REACH)
+    core = seen.withColumn("at", bucket_of("block_time", 2 * TRIP_WINDOW_MS)).withColumn("_b", bucket_of("_ln", 2 * TRIP_REACH))
+    key = ["asset", "wallet", "at", "_b"]
+    side = lambda df, name: df.select(*key, *[F.col(c).alias(f"{name}_{c}") for c in ("side", "block_time", "trade", "amount", "volume", "lent")])
+    # the wide side is copied into neighbouring ranges; the other side stays where it is, so a pair meets once
+    met = side(wide, "x").join(side(core, "y"), key)
+    buys = F.col("x_side") == "BUY"
+    pick = lambda c: F.when(buys, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
+    other = lambda c: F.when(buys, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))
+    # a wallet's own pairs are taken from the buy's side only
+    met = met.where((F.col("x_side") != F.col("y_side")) & (F.col("x_lent") | buys))
+    fits = (pick("trade") < other("trade")) & (other("block_time") - pick("block_time") <= TRIP_WINDOW_MS) & (
+        F.abs(F.col("x_amount") - F.col("y_amount")) <= F.greatest("x_amount", "y_amount") * TRIP_TOLERANCE)
+    return met.where(fits).select("asset", pick("trade").alias("buy"), other("trade").alias("sell"), (~F.col("x_lent")).alias("same_wallet"), (F.col("x_volume") + F.col("y_volume")).alias("volume"))
 
 
 def round_trips(trades: DataFrame, related: DataFrame) -> DataFrame:
     """Matched buy -> sell pairs within ten minutes and 5 % size, same or related wallet.
 
-    Wallets only interact inside a connected group of related wallets, and only within ten
-    minutes, so the unit of work is (asset, group, island of activity). Lone wallets form their
-    own group. The matching streams each unit in order with a bounded set of open buys.
+    Buys in order each take the earliest sell still free. Buys prefer early sells and sells early buys, so
+    walking the sells in order, each taking the earliest buy still free, gives the same pairs. Trades that
+    cannot compete for each other do not matter to each other: the unit of work is a component of the
+    candidate pairs, so a group of related wallets, however busy, falls apart by asset, time and size.
+    Candidates of a component are folded as one array, sell by sell.
     """
-    from assetlens.operators.graph import components, orient
-
-    # Each pair is listed at its less connected end only, so a hub carries no long list.
-    partners = orient(related).groupBy(F.col("lo").alias("wallet")).agg(F.collect_set("hi").alias("partners"))
-    groups = components(related).select(F.col("node").alias("wallet"), "component")
-    t = (
-        trades.select("asset", "wallet", "tx_id", "side", "slot", "tx_index", "block_time",
-                      F.col("token_amount").cast("double").alias("amount"),
-                      F.coalesce("quote_amount", F.lit(0)).cast("double").alias("volume"))
-        .join(groups, "wallet", "left").join(partners, "wallet", "left")
-        .withColumn("grp", F.coalesce("component", "wallet")).drop("component")
-    )
-    unit = ["asset", "grp", "island"]
-    t = islands(t, ["asset", "grp"], "block_time", TRIP_WINDOW_MS)
-    t = t.repartition(*unit).sortWithinPartitions(*unit, "slot", "tx_index")
-    schema = "asset string, buy_tx string, sell_tx string, same_wallet boolean, volume double"
-    return t.mapInPandas(_match_trips, schema)
+    candidates = cut(trip_candidates(trades, related))
+    node = lambda c: F.concat_ws("/", "asset", F.lit("b" if c == "buy" else "s"), F.col(f"{c}.tx_id"))
+    found = components(candidates.select(node("buy").alias("a"), node("sell").alias("b")))
+    grouped = candidates.withColumn("node", node("buy")).join(found, "node").groupBy("asset", "component").agg(
+        F.array_sort(F.collect_list(F.struct("sell", "buy", "same_wallet", "volume"))).alias("c"))
+    begin = F.slice("c", 1, 0)
+
+    def step(taken, x):
+        free = ~F.exists(taken, lambda y: (y["sell"] == x["sell"]) | (y["buy"] == x["buy"]))
+        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
+
+    return grouped.select("asset", F.explode(F.aggregate("c", begin, step)).alias("t")).select(
+        "asset", F.col("t.buy.tx_id").alias("buy_tx"), F.col("t.sell.tx_id").alias("sell_tx"), "t.same_wallet", "t.volume")
 
 
 def wash_signals(trades: DataFrame, related: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assetlens.operators import graph as N
 from assetlens.operators import trades as T
 from assetlens.plans.registry import query
-from assetlens.plans.sqltext import LA, LT, TR
+from assetlens.plans.sqltext import EV, LA, LT, TR
 from assetlens.plans.q_wash import SIZES
 
 # ---- funding ---------------------------------------------------------------------------
@@ -195,6 +195,30 @@ def network_edges(t):
 BAD = """bad AS (SELECT 'C'||c_custkey AS address, CASE WHEN c_acctbal<-900 THEN 1 ELSE 0 END AS confirmed, 1 AS strongly FROM customer WHERE c_acctbal<-800)"""
 
 
+# Users of the event tape meet the ten customers that share their number's tens, so weak edges reach every customer.
+WEAK = "wk AS (SELECT 'C'||user_id AS a, 'C'||(user_id*10+k%10) AS b, 0.4::DOUBLE AS confidence, min(event_id)::VARCHAR AS evidence FROM ev WHERE user_id<>user_id*10+k%10 GROUP BY 1,2)"
+
+
+def weak_edges(t):
+    name = lambda c: F.concat(F.lit("C"), c.cast("string"))
+    met = t.event_facts().select(name(F.col("user_id")).alias("a"), name(F.col("user_id") * 10 + F.col("k") % 10).alias("b"), "event_id").where("a <> b")
+    return met.groupBy("a", "b").agg(F.min("event_id").cast("string").alias("evidence")).select(F.lit("BEHAVIOURAL").alias("type"), "a", "b", F.lit(0.4).alias("confidence"), "evidence")
+
+
+def bad_creators(t):
+    c = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("address"), "c_acctbal")
+    return c, c.where("c_acctbal < -800").select("address", (F.col("c_acctbal") < -900).cast("int").alias("confirmed"), F.lit(1).alias("strongly_suspected"))
+
+
+def creator_events(t):
+    """Security events of creators: one for each order, its number deciding how sure it is."""
+    from assetlens.sources.tables import millis
+
+    sure = F.element_at(F.array(*map(F.lit, ("CONFIRMED", "STRONGLY_SUSPECTED", "SUSPICIOUS"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return t.orders.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("address"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("asset"),
+                           F.col("o_orderpriority").alias("type"), sure.alias("status"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("tx_id"), millis("o_orderdate").alias("at"))
+
+
 def net_sql(tag: str, cond: str) -> str:
     return f"""b{tag} AS (SELECT a, b, max(confidence) AS c FROM (SELECT a, b, confidence FROM ne WHERE {cond} UNION ALL SELECT b, a, confidence FROM ne WHERE {cond}) GROUP BY 1,2),
  z{tag} AS (SELECT address, 1.0::DOUBLE AS conf, 0 AS nh, confirmed, address AS target FROM bad UNION ALL SELECT b{tag}.a, c, -1, confirmed, b FROM b{tag} JOIN bad ON b{tag}.b=bad.address
@@ -202,30 +226,42 @@ def net_sql(tag: str, cond: str) -> str:
  t{tag} AS (SELECT address, max((conf, nh, confirmed, target)) AS m FROM z{tag} GROUP BY 1), r{tag} AS (SELECT address, m[1] AS conf, m[2] AS nh, m[3] AS confirmed, m[4] AS target FROM t{tag})"""
 
 
-@query("N15", f"""WITH {IF}, {FS}, {FE}, {TR}, {BAD}, ne AS (SELECT type, a, b, confidence FROM fe UNION ALL SELECT 'BEHAVIOURAL', 'C'||(user_id), 'C'||(user_id*3%150), 0.4::DOUBLE FROM events WHERE user_id<>user_id*3%150),
+@query("N15", f"""WITH {IF}, {FS}, {FE}, {TR}, {WEAK}, {BAD}, ne AS (SELECT type, a, b, confidence FROM fe UNION ALL SELECT 'BEHAVIOURAL', a, b, confidence FROM wk),
  {net_sql('s', "type IN ('FUNDED','TOKEN_TRANSFER','SHARED_FUNDER','CLUSTER')")}, {net_sql('w', 'true')}
  SELECT 'C'||c_custkey AS address, CASE WHEN rs.confirmed>0 AND floor(rs.conf*100+0.5)/100>=0.5 THEN 'STRONG' WHEN rs.address IS NOT NULL THEN 'MODERATE' WHEN rw.address IS NOT NULL THEN 'WEAK_ASSOCIATION' ELSE 'NONE' END AS level,
   rs.target AS target, CAST(-rs.nh AS INTEGER) AS hops, floor(rs.conf*100+0.5)/100 AS path_confidence,
   CASE WHEN rs.address IS NULL THEN 0.0::DOUBLE ELSE floor(floor(rs.conf*100+0.5)/100*(CASE WHEN rs.confirmed>0 THEN 0.95::DOUBLE ELSE 0.7::DOUBLE END)*100+0.5)/100 END AS confidence
  FROM customer LEFT JOIN rs ON rs.address='C'||c_custkey LEFT JOIN rw ON rw.address='C'||c_custkey""")
 def network_level(t):
-    c = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("address"), "c_acctbal")
-    bad = c.where("c_acctbal < -800").select("address", (F.col("c_acctbal") < -900).cast("int").alias("confirmed"), F.lit(1).alias("strongly_suspected"))
+    c, bad = bad_creators(t)
     e = N.funding_edges(funding(t)).select("type", "a", "b", "confidence")
-    u = F.col("user_id")
-    weak = t.events.where(u != u * 3 % 150).select(F.lit("BEHAVIOURAL").alias("type"), F.concat(F.lit("C"), u.cast("string")).alias("a"),
-                                                  F.concat(F.lit("C"), (u * 3 % 150).cast("string")).alias("b"), F.lit(0.4).alias("confidence")).distinct()
-    return N.network_level(c, e.unionByName(weak), bad)
-
-
-@query("N15", f"""WITH {IF}, {FS}, {FE}, {BAD}, ne AS (SELECT * FROM fe), {net_sql('s', "type IN ('FUNDED','TOKEN_TRANSFER','SHARED_FUNDER','CLUSTER')")},
- bp AS (SELECT zs.address, target, max((conf, nh)) AS m FROM zs JOIN customer ON zs.address='C'||c_custkey GROUP BY 1,2), r AS (SELECT bp.address, target, bad.confirmed, -m[2] AS hops, floor(m[1]*100+0.5)/100 AS path_confidence FROM bp JOIN bad ON bad.address=bp.target)
- SELECT address, target, confirmed, CAST(hops AS INTEGER) AS hops, path_confidence, row_number() OVER (PARTITION BY address ORDER BY path_confidence DESC, hops, target) AS by_path,
-  row_number() OVER (PARTITION BY address ORDER BY confirmed DESC, path_confidence DESC, hops, target) AS by_confirmed FROM r""")
+    return N.network_level(c, e.unionByName(weak_edges(t).drop("evidence")), bad)
+
+
+def path_sql(tag: str, cond: str) -> str:
+    """Best edge of each pair and direction under ``cond``, and the best path of each subject and target."""
+    return f"""s{tag} AS (SELECT a, b, arg_min(type, (-confidence, type, evidence)) AS type, max(confidence) AS c, arg_min(evidence, (-confidence, type, evidence)) AS evidence FROM ne2 WHERE {cond} GROUP BY 1,2),
+ l{tag} AS (SELECT s.*, a||'>'||b||':'||type||':'||(c*100)::INTEGER||':'||evidence AS step FROM s{tag} s),
+ p{tag} AS (SELECT address, address AS target, 1.0::DOUBLE AS conf, 0 AS hops, '' AS middle, '' AS path FROM bad UNION ALL SELECT a, b, c, 1, '', step FROM l{tag} JOIN bad ON b=bad.address
+  UNION ALL SELECT x.a, y.b, x.c*y.c, 2, x.b, x.step||' '||y.step FROM l{tag} x JOIN l{tag} y ON x.b=y.a JOIN bad ON y.b=bad.address WHERE x.a<>y.b),
+ q{tag} AS (SELECT * FROM p{tag} JOIN sj USING (address) QUALIFY row_number() OVER (PARTITION BY address, target ORDER BY conf DESC, hops, middle)=1)"""
+
+
+@query("N15", f"""WITH {IF}, {FS}, {FE}, {EV}, {WEAK}, {BAD}, sj AS (SELECT 'C'||c_custkey AS address FROM customer),
+ ne AS (SELECT type, a, b, confidence, evidence FROM fe UNION ALL SELECT 'BEHAVIOURAL', a, b, confidence, evidence FROM wk), ne2 AS (SELECT * FROM ne UNION ALL SELECT type, b, a, confidence, evidence FROM ne),
+ {path_sql('s', "type<>'BEHAVIOURAL'")}, {path_sql('w', 'true')},
+ r AS (SELECT *, 'STRONG' AS kind FROM qs UNION ALL SELECT *, 'WEAK_ASSOCIATION' FROM qw WHERE NOT EXISTS (SELECT 1 FROM qs WHERE qs.address=qw.address AND qs.target=qw.target)),
+ ev5 AS (SELECT 'C'||o_custkey AS target, 'T'||o_orderkey||':'||o_orderpriority||':'||CASE o_orderkey%3 WHEN 0 THEN 'CONFIRMED' ELSE 'STRONGLY_SUSPECTED' END||':O'||o_orderkey AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'O'||o_orderkey) AS n
+  FROM orders WHERE o_orderkey%3<2), et AS (SELECT target, string_agg(e, ' ' ORDER BY n) AS events FROM ev5 WHERE n<=5 GROUP BY 1),
+ f AS (SELECT r.address, r.target, kind, bad.confirmed, strongly AS strongly_suspected, hops, floor(conf*100+0.5)/100 AS path_confidence, path, coalesce(events, '') AS events FROM r JOIN bad ON bad.address=r.target LEFT JOIN et ON et.target=r.target)
+ SELECT *, row_number() OVER (PARTITION BY address, kind ORDER BY path_confidence DESC, hops, target) AS by_path, row_number() OVER (PARTITION BY address, kind ORDER BY confirmed DESC, path_confidence DESC, hops, target) AS by_confirmed FROM f""")
 def network_findings(t):
-    c = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("address"), "c_acctbal")
-    bad = c.where("c_acctbal < -800").select("address", (F.col("c_acctbal") < -900).cast("int").alias("confirmed"), F.lit(1).alias("strongly_suspected"))
-    return N.network_findings(c, N.funding_edges(funding(t)), bad).withColumns({k: F.col(k).cast("long") for k in ("by_path", "by_confirmed")})
+    c, bad = bad_creators(t)
+    e = N.funding_edges(funding(t)).select("type", "a", "b", "confidence", "evidence")
+    out = N.network_findings(c, e.unionByName(weak_edges(t).select("type", "a", "b", "confidence", "evidence")), bad, creator_events(t))
+    steps = F.transform("path", lambda x: F.concat(x["from"], F.lit(">"), x["to"], F.lit(":"), x["type"], F.lit(":"), F.round(x["confidence"] * 100).cast("int").cast("string"), F.lit(":"), x["evidence"]))
+    told = F.transform("events", lambda x: F.concat_ws(":", x["asset"], x["type"], x["status"], x["tx_id"]))
+    return out.withColumns({"path": F.array_join(steps, " "), "events": F.coalesce(F.array_join(told, " "), F.lit("")), **{k: F.col(k).cast("long") for k in ("by_path", "by_confirmed")}})
 
 
 @query("N20", f"""WITH {TR}, {RAW} SELECT id, type, a, b, last_at FROM fold WHERE a IN ('W1','W7','W42') OR b IN ('W1','W7','W42') ORDER BY last_at DESC NULLS LAST, id LIMIT 25""")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import half_up
 from assetlens.operators import behaviour as B
 from assetlens.operators import graph as N
@@ -53,14 +54,16 @@ def wash_concentration_lines(t):
     return W.concentration(t.line_trades())
 
 
-# The event tape folded to 25 wallets and five round sizes: dense enough for round trips.
-DT = ACT + """, tr AS (SELECT tx_id, 'W'||(CAST(substr(wallet,2) AS INT)%25) AS wallet, asset, pool, side, (quote_amount%5+1)*1000 AS token_amount, quote_amount, quote_asset, slot, tx_index, block_time, status FROM act WHERE status='SUCCESS')"""
+# All wallets and assets of the event tape; thirty days pass in two hours and amounts go by steps of a fifth, so round trips occur.
+DENSE_FROM, DENSE_BY = 1_704_067_200_000, 360
+DT = ACT + f""", tr AS (SELECT tx_id, wallet, asset, pool, side, floor(ln(quote_amount+1)/ln(1.2))::BIGINT AS token_amount, quote_amount, quote_asset, ({DENSE_FROM}+(block_time-{DENSE_FROM})//{DENSE_BY})//60000 AS slot, tx_index,
+ {DENSE_FROM}+(block_time-{DENSE_FROM})//{DENSE_BY} AS block_time, status FROM act WHERE status='SUCCESS')"""
 
 
 def dense(t):
-    return t.trades().withColumns({
-        "wallet": F.concat(F.lit("W"), (F.expr("substring(wallet, 2)").cast("int") % 25).cast("string")),
-        "token_amount": ((F.col("quote_amount").cast("long") % 5 + 1) * 1000).cast("decimal(20,0)")})
+    at = F.lit(DENSE_FROM) + F.floor((F.col("block_time") - DENSE_FROM) / DENSE_BY)
+    size = F.floor(F.log(F.col("quote_amount").cast("double") + 1) / F.log(F.lit(1.2)))
+    return t.trades().withColumns({"block_time": at, "slot": F.floor(at / 60_000), "token_amount": size.cast("decimal(20,0)")})
 
 
 TRIPS = """tn AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY slot, tx_index) AS rn FROM tr),
@@ -103,7 +106,7 @@ def wash_synchronized(t):
     return W.synchronized(t.trades(), related(t))
 
 
-LINKED = "clw AS (SELECT DISTINCT asset, wallet FROM tr WHERE wallet IN ('W1','W2','W3','W5','W8','W13'))"
+LINKED = "clw AS (SELECT DISTINCT asset, wallet FROM tr WHERE wallet IN (SELECT a FROM rel UNION SELECT b FROM rel))"
 RISK = f"""WITH RECURSIVE {DT}, {SIZES}, {TRIPS}, {LINKED}, p AS (SELECT asset, wallet, sum(quote_amount) AS v, count(*) AS n FROM tr GROUP BY 1,2),
  r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY v DESC, wallet) AS rv, row_number() OVER (PARTITION BY asset ORDER BY n DESC, wallet) AS rn FROM p),
  cn AS (SELECT asset, sum(n) AS trades, count(*) AS wallets, sum(v)::DOUBLE AS tv, sum(CASE WHEN rv<=3 THEN v ELSE 0 END)::DOUBLE/greatest(sum(v)::DOUBLE,1.0) AS t3v, sum(CASE WHEN rn<=3 THEN n ELSE 0 END)::DOUBLE/sum(n)::DOUBLE AS t3n, sum(n)::DOUBLE/count(*) AS tpw FROM r GROUP BY 1),
@@ -123,8 +126,9 @@ RISK = f"""WITH RECURSIVE {DT}, {SIZES}, {TRIPS}, {LINKED}, p AS (SELECT asset,
 @query("W03 W07", RISK)
 def wash_risk(t):
     d = dense(t)
-    clustered = d.where(F.col("wallet").isin("W1", "W2", "W3", "W5", "W8", "W13")).select("asset", "wallet").distinct()
-    out = W.wash_analysis(d, unresolved(t), N.shared_sizes(d).select("a", "b"), clustered)
+    pairs = cut(N.shared_sizes(d).select("a", "b"))
+    linked = pairs.select(F.col("a").alias("wallet")).union(pairs.select(F.col("b").alias("wallet"))).distinct()
+    out = W.wash_analysis(d, unresolved(t), pairs, d.select("asset", "wallet").distinct().join(linked, "wallet", "left_semi"))
     return out.withColumns({"families": F.array_join("families", ","), "counter_signals": F.array_join("counter_signals", ",")})
 
 
@@ -135,7 +139,7 @@ def wash_risk(t):
  t AS (SELECT wallet, arg_min(block_time, tx_index) AS b FROM act WHERE status='SUCCESS' GROUP BY 1)
  SELECT s.wallet, f AS first_seen_at, CASE WHEN b IS NOT NULL THEN greatest(0.0::DOUBLE,(b-f)/1000.0::DOUBLE) END AS age_at_first_trade_sec FROM s LEFT JOIN t ON s.wallet=t.wallet""")
 def wallet_age(t):
-    return B.wallet_age(t.activity(), t.trades())
+    return B.wallet_age(t.activity(), t.trades()).drop("first_trade_at")
 
 
 @query("B02", f"""WITH {ACT} SELECT wallet, count(*) AS transactions, count(block_time) AS timed, min(block_time) AS from_ms, max(block_time) AS to_ms,
@@ -167,7 +171,7 @@ GAPS = f"""{ACT}, g AS (SELECT wallet, (block_time - lag(block_time) OVER (PARTI
 @query("B05", f"""WITH {GAPS} SELECT wallet, count(gap) AS gaps, CASE WHEN count(gap)>=10 AND avg(gap)>0 THEN stddev_pop(gap)/avg(gap) END AS cadence_cv,
  CASE WHEN count(gap)>=3 THEN median(gap) END AS median_gap_sec FROM g WHERE gap IS NOT NULL GROUP BY 1""")
 def wallet_cadence(t):
-    return B.cadence(t.activity())
+    return B.cadence(t.activity()).drop("median_of_gaps")
 
 
 BURST = """SELECT wallet, max(n) AS burst10s FROM (SELECT wallet, count(*) OVER (PARTITION BY wallet ORDER BY block_time RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW) AS n FROM act) GROUP BY 1"""
@@ -198,7 +202,7 @@ HOLD_SEL = "SELECT wallet, count(*) AS round_trips, CASE WHEN count(*)>=2 THEN m
 
 @query("B08", f"WITH {TR}, {HOLDS} {HOLD_SEL}")
 def wallet_round_trips(t):
-    return B.round_trip_summary(t.trades())
+    return B.round_trip_summary(t.trades()).drop("holds")
 
 
 def event_launches(t):
@@ -242,6 +246,42 @@ def wallet_classes(t):
     return B.classify_wallets(features(t)).drop("signals", "counter_signals")
 
 
+def history(t):
+    """Two wallets in three are read to their end; of one in four the first transaction is known."""
+    n = F.expr("cast(substring(wallet, 2) as int)")
+    first = t.activity().groupBy("wallet").agg(F.min("block_time").alias("at"), F.min_by("tx_id", F.struct("slot", "tx_index")).alias("tx"))
+    return first.select("wallet", (n % 3 != 0).alias("complete"), F.when(n % 4 == 1, F.col("at") - 5000).alias("earliest_at"), F.when(n % 4 == 1, F.concat(F.lit("first-"), "tx")).alias("earliest_tx"))
+
+
+def ids_sql(src: str, cond: str = "true", order: str = "slot, tx_index, tx_id", most: int = 5) -> str:
+    return f"(SELECT wallet, string_agg(tx_id, ',' ORDER BY n) AS ids FROM (SELECT wallet, tx_id, row_number() OVER (PARTITION BY wallet ORDER BY {order}) AS n FROM {src} WHERE {cond}) WHERE n<={most} GROUP BY 1)"
+
+
+_IDS = {"first_seen_at": ids_sql("act", most=1), "age_at_first_trade_sec": ids_sql("tr", most=1), "failed_share": ids_sql("act", "status='FAILED'"), "fresh_launch_buys": ids_sql("en", "sec<=60"),
+        "fastest_entry_sec": ids_sql("en", order="sec, slot, tx_index, tx_id", most=1), "repeated_size_share": ids_sql("tr", "tx_id IN (SELECT tx_id FROM tw WHERE twin)")}
+_W, _C = "CASE WHEN complete THEN 'MEASURED' ELSE 'PARTIAL' END", "CASE WHEN trades>=3 AND complete THEN 'MEASURED' ELSE 'PARTIAL' END"
+_E = lambda cond: f"CASE WHEN {cond} THEN {_W} ELSE 'INSUFFICIENT' END"
+_S = "coalesce(earliest_at, CASE WHEN complete THEN lo END)"
+_LONG = {"first_seen_at": (_S, f"CASE WHEN {_S} IS NULL THEN 'INSUFFICIENT' ELSE 'MEASURED' END"),
+         "age_at_first_trade_sec": (f"CASE WHEN {_S} IS NOT NULL AND ft IS NOT NULL THEN greatest(0.0::DOUBLE,(ft-{_S})/1000.0::DOUBLE) END", f"CASE WHEN {_S} IS NULL OR ft IS NULL THEN 'INSUFFICIENT' ELSE 'MEASURED' END"),
+         "tx_per_hour": ("rate", _E("tx>=5")), "failed_share": ("fs", _E("tx>=5")), "trades": ("trades", _C), "buys": ("buys", _C), "sells": ("sells", _C), "token_diversity": ("div", _C),
+         "fresh_launch_buys": ("coalesce(fr,0)", _E("le>=1")), "early_entry_share": ("es", _E("le>=3")), "fastest_entry_sec": ("fastest", _E("le>=1")), "median_entry_sec": ("me", _E("le>=1")), "launches_entered": ("coalesce(le,0)", _E("le>=1")),
+         "cadence_cv": ("cv", _E("cv IS NOT NULL")), "median_gap_sec": ("mg", _E("gaps>=3")), "burst10s": ("coalesce(braw,0)", _E("tx>=5")), "repeated_size_share": ("rs", _E("pb>=5")), "round_trips": ("trips", _C), "median_hold_sec": ("hold", _E("trips>=2"))}
+
+
+@query("B01 B02 B03 B04 B05 B06 B07 B08", f"""WITH {FEATURES}, en AS (SELECT * FROM (SELECT tr.wallet, tr.slot, tr.tx_index, tr.tx_id, greatest(0.0::DOUBLE,(block_time-launch_time)/1000.0::DOUBLE) AS sec, row_number() OVER (PARTITION BY wallet, tr.asset ORDER BY slot, tx_index) AS n
+  FROM tr JOIN fl ON fl.asset=tr.asset WHERE side='BUY') WHERE n=1),
+ h AS (SELECT wallet, min(block_time) AS lo, CAST(substr(wallet,2) AS INT)%3<>0 AS complete, CASE WHEN CAST(substr(wallet,2) AS INT)%4=1 THEN min(block_time)-5000 END AS earliest_at, 'first-'||arg_min(tx_id, (slot, tx_index)) AS earliest_tx FROM act GROUP BY 1),
+ x AS (SELECT f.*, h.*, ft, fastest, mg, gaps, braw, pb FROM f JOIN h USING (wallet) LEFT JOIN (SELECT wallet, arg_min(block_time, (slot, tx_index)) AS ft FROM tr GROUP BY 1) USING (wallet) LEFT JOIN (SELECT wallet, min(sec) AS fastest FROM en GROUP BY 1) USING (wallet)
+  LEFT JOIN (SELECT wallet, median(gap) AS mg, count(gap) AS gaps FROM g WHERE gap IS NOT NULL GROUP BY 1) USING (wallet) LEFT JOIN (SELECT wallet, burst10s AS braw FROM bu) USING (wallet) LEFT JOIN (SELECT wallet, priced_buys AS pb FROM sz) USING (wallet)),
+ l AS ({" UNION ALL ".join(f"SELECT wallet, '{k}' AS feature, ({v})::DOUBLE AS value, {q} AS quality, earliest_at, earliest_tx FROM x" for k, (v, q) in _LONG.items())}),
+ i AS ({" UNION ALL ".join(f"SELECT *, '{k}' AS feature FROM {v}" for k, v in _IDS.items())})
+ SELECT l.wallet, l.feature, value, quality, CASE WHEN value IS NULL THEN '' WHEN l.feature='first_seen_at' AND earliest_at IS NOT NULL THEN earliest_tx ELSE coalesce(ids, '') END AS evidence FROM l LEFT JOIN i ON i.wallet=l.wallet AND i.feature=l.feature""")
+def wallet_feature_quality(t):
+    out = B.measured_features(t.activity(), t.trades(), event_launches(t), history(t))
+    return out.withColumn("evidence", F.array_join("evidence", ","))
+
+
 Q_CNT = ", ".join(f"sum(CASE WHEN cat='{k}' THEN w ELSE 0.0::DOUBLE END) AS {k}_count" for k in B.CATEGORIES)
 Q_SHARE = ", ".join(
     f"CASE WHEN wc>=5 AND cv>=0.3 AND total>0 THEN {hu(f'{k}_count/total', 3)} END AS {k}_share" for k in B.CATEGORIES)

@@ -327,3 +327,59 @@ def test_reasons_list_each_kind(spark):
     assert got["hard_fail"] == ["CONFIRMED_CURRENT_RUG"] and got["blocker"] == ["opportunity"] and got["coverage"] == ["COVERAGE"]
     assert got["positive"] == ["INDEPENDENT_BUYERS", "HEALTHY_LIQUIDITY", "CREATOR_CLEAN", "WASH_LOW"]
     assert got["risk"] == ["R7", "R6", "R5", "R4", "R3", "MOMENTUM_DECLINING"]
+
+
+def test_network_paths_by_hand(spark):
+    """Best path wins over fewer hops only by confidence; weak rows leave out what strong edges reach; loops do not lead back."""
+    edges = spark.createDataFrame([
+        ("FUNDED", "s", "m", 0.9, "t1"), ("FUNDED", "s", "m", 0.8, "t0"), ("FUNDED", "m", "x", 0.9, "t2"), ("SHARED_FUNDER", "s", "x", 0.7, "t3"),
+        ("BEHAVIOURAL", "s", "y", 0.4, "t4"), ("BEHAVIOURAL", "s", "x", 1.0, "t5"), ("FUNDED", "y", "z", 0.9, "t6"), ("FUNDED", "z", "far", 0.9, "t7"),
+        ("FUNDED", "s", "k1", 0.5, "t8"), ("FUNDED", "s", "k2", 0.5, "t9"), ("FUNDED", "k2", "q", 0.6, "ta"), ("FUNDED", "k1", "q", 0.6, "tb"),
+    ], "type string, a string, b string, confidence double, evidence string")
+    profiles = spark.createDataFrame([("s", 0, 1), ("x", 2, 0), ("y", 0, 1), ("z", 1, 0), ("far", 1, 0), ("q", 0, 3), ("m", 0, 0)], "address string, confirmed int, strongly_suspected int")
+    events = spark.createDataFrame([("x", f"T{i}", "DUMP", s, f"e{i}", 100 - i) for i, s in enumerate(["CONFIRMED"] * 4 + ["SUSPICIOUS"] + ["STRONGLY_SUSPECTED"] * 4)],
+                                   "address string, asset string, type string, status string, tx_id string, at long")
+    rows = {(r["target"], r["kind"]): r for r in graph.network_findings(spark.createDataFrame([("s",)], "address string"), edges, profiles, events).collect()}
+    assert {k: (r["hops"], r["path_confidence"]) for k, r in rows.items()} == {
+        ("s", "STRONG"): (0, 1.0), ("x", "STRONG"): (2, 0.81), ("q", "STRONG"): (2, 0.3), ("y", "WEAK_ASSOCIATION"): (1, 0.4), ("z", "WEAK_ASSOCIATION"): (2, 0.36)}
+    assert [(e["from"], e["to"], e["evidence"]) for e in rows["x", "STRONG"]["path"]] == [("s", "m", "t1"), ("m", "x", "t2")]
+    assert [e["evidence"] for e in rows["q", "STRONG"]["path"]] == ["t8", "tb"] and rows["s", "STRONG"]["path"] == []
+    assert [e["tx_id"] for e in rows["x", "STRONG"]["events"]] == ["e8", "e7", "e6", "e5", "e3"] and rows["y", "WEAK_ASSOCIATION"]["events"] is None
+    assert rows["x", "STRONG"]["by_confirmed"] == 1 and rows["x", "STRONG"]["by_path"] == 2
+
+
+def test_related_group_with_most_trades_splits(spark):
+    """One group of related wallets holds nearly all trades of one asset; its units of work stay small."""
+    rng = random.Random(3)
+    rows = [("hot", f"w{rng.randrange(40)}", f"t{i}", rng.choice(["BUY", "SELL"]), i, i, i * 20_000, rng.choice([100, 200, 400, 800, 1600, 3200, 6400])) for i in range(1500)]
+    trades = spark.createDataFrame([(*r, 1) for r in rows], "asset string, wallet string, tx_id string, side string, slot long, tx_index long, block_time long, token_amount long, quote_amount long")
+    related = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(39)], "a string, b string")
+    candidates = wash.trip_candidates(trades, related)
+    pairs = candidates.select(F.col("buy.tx_id").alias("a"), F.col("sell.tx_id").alias("b"))
+    largest = graph.components(pairs).groupBy("component").count().agg(F.max("count")).first()[0]
+    assert 2 < largest < 300
+    used = [x for r in wash.round_trips(trades, related).collect() for x in (r["buy_tx"], r["sell_tx"])]
+    assert len(used) == len(set(used)) > 0
+
+
+def test_feature_quality_states(spark):
+    """Complete, partial and unknown histories; counts are never insufficient; evidence is bounded and ordered."""
+    from assetlens.operators import behaviour
+
+    tx = [(w, f"{w}-{i}", i, i, i * 1000, "FAILED" if i % 2 else "SUCCESS") for w in ("full", "part", "none") for i in range(20)] + [("few", "few-0", 0, 0, 7000, "FAILED"), ("few", "few-1", 1, 1, None, "SUCCESS")]
+    trades = [(w, f"A{i % 4}", "BUY" if i % 4 < 2 else "SELL", f"{w}-{i}", i, i, i * 1000, 1000) for w in ("full", "part", "none") for i in range(0, 20, 2)]
+    txs = spark.createDataFrame(tx, "wallet string, tx_id string, slot long, tx_index long, block_time long, status string")
+    tr = spark.createDataFrame(trades, "wallet string, asset string, side string, tx_id string, slot long, tx_index long, block_time long, quote_amount long")
+    launches = spark.createDataFrame([("A0", 0), ("A1", 0), ("A2", 0)], "asset string, launch_time long")
+    history = spark.createDataFrame([("full", True, None, None), ("part", False, -5000, "born"), ("few", True, None, None)], "wallet string, complete boolean, earliest_at long, earliest_tx string")
+    rows = {(r["wallet"], r["feature"]): r for r in behaviour.measured_features(txs, tr, launches, history).collect()}
+    assert len(rows) == 4 * 19
+    state = lambda w, f: (rows[w, f]["value"], rows[w, f]["quality"], rows[w, f]["evidence"])
+    assert state("full", "failed_share") == (0.5, "MEASURED", [f"full-{i}" for i in (1, 3, 5, 7, 9)])
+    assert state("part", "failed_share")[1] == "PARTIAL" and state("few", "failed_share") == (None, "INSUFFICIENT", [])
+    assert state("full", "first_seen_at") == (0.0, "MEASURED", ["full-0"]) and state("part", "first_seen_at") == (-5000.0, "MEASURED", ["born"])
+    assert state("none", "first_seen_at") == (None, "INSUFFICIENT", []) and state("none", "age_at_first_trade_sec") == (None, "INSUFFICIENT", [])
+    assert state("part", "age_at_first_trade_sec") == (5.0, "MEASURED", ["part-0"])
+    assert state("few", "trades") == (0.0, "PARTIAL", []) and state("few", "launches_entered") == (0.0, "INSUFFICIENT", [])
+    assert state("full", "repeated_size_share") == (1.0, "MEASURED", ["full-0", "full-4", "full-8", "full-12", "full-16"])
+    assert state("full", "fastest_entry_sec") == (0.0, "MEASURED", ["full-0"]) and state("none", "round_trips")[1] == "PARTIAL"

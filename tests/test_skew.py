@@ -79,3 +79,25 @@ def test_components_with_a_hub_and_a_long_chain(spark):
             parent[rb] = ra
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_spread_lookup_splits_a_hot_key(spark):
+    """A key with most rows is split; every row finds its one match, and no share is much above the bound."""
+    from pyspark.sql import functions as F
+
+    from assetlens.functions.skew import spread_lookup
+
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(40)], "k string, v int")
+    out = spread_lookup(rows, "k", table, "id", 250)
+    assert out.groupBy("v").count().orderBy("v").collect() == [(1, 5000), (2, 800)]
+    shares = out.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(20))).count().collect()
+    assert len(shares) == 20 and max(r["count"] for r in shares) < 500
+
+
+def test_components_of_a_star_and_a_long_chain(spark):
+    """One component with most nodes, split lookups, and more rounds than any fixed limit would allow by neighbours alone."""
+    star = [("a0", f"s{i:04d}") for i in range(1500)]
+    chain = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(300)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(star + chain, "a string, b string"), most=100).collect()}
+    assert {v for k, v in got.items() if k[0] in "as"} == {"a0"} and {v for k, v in got.items() if k[0] == "c"} == {"c0000"} and len(got) == 1802
