@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+SMALL_BLOCK = 1 << 18  # where stages share their workers, whose memory stays at the highest of them
 _MULT, _SEED = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 
 

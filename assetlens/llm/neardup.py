@@ -136,11 +136,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_blocks([batch], text=2):
+            for rows, data, offsets in text_blocks([batch], text=2, limit=s.block_bytes):
                 left, a = shingle_sets(data, offsets, s.words)
                 keep = np.zeros(rows.num_rows, bool)
                 done = 0
-                for _, other, bounds in text_blocks([rows], text=3):
+                for _, other, bounds in text_blocks([rows], text=3, limit=s.block_bytes):
                     right, b = shingle_sets(other, bounds, s.words)
                     for i in range(len(b) - 1):
                         x, y = left[a[done] : a[done + 1]], right[b[i] : b[i + 1]]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from assetlens.llm.blocks import NOT_SPACE, row_of, span_hashes, spans, splitmix, text_blocks, words
+from assetlens.llm.blocks import SMALL_BLOCK, NOT_SPACE, row_of, span_hashes, spans, splitmix, text_blocks, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -108,7 +108,7 @@ def kept_rows(df: DataFrame, rules: Rules = Rules(), text_col: str = "text") ->
     lengths, at = tuple(n for n, _ in rules.coverage), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, at):
+        for rows, data, offsets in text_blocks(batches, at, SMALL_BLOCK):
             yield rows.filter(pa.array(verdicts(measure(data, offsets, lengths), rules)[1]))
 
     return df.mapInArrow(run, df.schema)
@@ -121,7 +121,7 @@ def quality_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     shares = ["line_coverage", *(f"coverage_{n}" for n in lengths)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches):
+        for rows, data, offsets in text_blocks(batches, limit=SMALL_BLOCK):
             m = measure(data, offsets, lengths)
             failed, kept = verdicts(m, rules)
             yield pa.RecordBatch.from_arrays(
