@@ -6,7 +6,7 @@ explicit schema, so parsing and derivation do the full work for every event.
 
 from pyspark.sql import functions as F
 
-from assetlens.functions.durable import cut
+from assetlens.functions.durable import cut, new_folder
 from assetlens.functions.skew import dealt
 from assetlens.operators import trades as T
 from assetlens.plans.registry import query
@@ -79,13 +79,23 @@ def documents(t):
     return e.select(F.to_json(doc).alias("json"))
 
 
-def norm(t):
-    return X.normalize(X.parse_transactions(documents(t)))
+LANDED: dict[tuple[str, str], str] = {}
 
 
-def stored(t):
-    """The normalised table, written once for the steps that read it several times."""
-    return cut(norm(t))
+def landed(t):
+    """The documents as a landing zone holds them, written once a session and directory."""
+    spark = t.spark
+    place = spark.sparkContext.applicationId, t.dir
+    if place not in LANDED:
+        LANDED[place] = new_folder(spark, "landed")
+        documents(t).write.parquet(LANDED[place])
+    return spark.read.schema("json string").parquet(LANDED[place])
+
+
+def norm(t, *parts):
+    """Normalised transactions with the named parts; none named means all."""
+    parts = parts or tuple(X.PARTS)
+    return X.normalize(X.parse_transactions(landed(t), parts=parts), parts)
 
 
 CH = f"""{EV}, c AS (SELECT *, CAST(event_id AS VARCHAR) AS tx_id, at_ms//60000 AS slot, cents*(k%5+1) AS tok, event_type='error' AS err, event_type IN ('purchase','signup') AS buy, event_type='view' AND k%10=9 AS liq, event_type='signup' AS lau,
@@ -96,7 +106,7 @@ CH = f"""{EV}, c AS (SELECT *, CAST(event_id AS VARCHAR) AS tx_id, at_ms//60000
 @query("S01", f"""WITH {CH} SELECT tx_id, slot, at_ms//1000*1000 AS block_time, CASE WHEN err THEN 'FAILED' ELSE 'SUCCESS' END AS status, W AS fee_payer, 5000.0::DOUBLE AS fee, W AS signers,
  CASE WHEN lau THEN '{PAD}' ELSE '{DEX}' END||',{X.TOKEN_PROGRAMS[0]}'||CASE WHEN lau OR (nq AND NOT err) THEN ',{X.SYSTEM_PROGRAM}' ELSE '' END AS program_ids FROM d""")
 def transaction_headers(t):
-    return X.flatten_transactions(norm(t)).drop("error").withColumns({
+    return X.flatten_transactions(norm(t, "ixs")).drop("error").withColumns({
         "fee": F.col("fee").cast("double"), "signers": F.array_join("signers", ","), "program_ids": F.array_join("program_ids", ",")})
 
 
@@ -104,25 +114,25 @@ def transaction_headers(t):
  UNION ALL SELECT tx_id, '0.1', '{X.SYSTEM_PROGRAM}', 'transfer' FROM d WHERE nq AND NOT err UNION ALL SELECT tx_id, u.p, CASE WHEN u.p='4' THEN '{X.SYSTEM_PROGRAM}' ELSE '{X.TOKEN_PROGRAMS[0]}' END, u.t FROM d,
  (VALUES ('1','initializeMint2'),('2','mintTo'),('3','setAuthority'),('4','createAccount'),('5','freezeAccount'),('6','initializeAccount3')) u(p,t) WHERE lau""")
 def transaction_instructions(t):
-    return X.flatten_instructions(norm(t)).select("tx_id", "path", "program_id", "type")
+    return X.flatten_instructions(norm(t, "ixs")).select("tx_id", "path", "program_id", "type")
 
 
 @query("S03", f"""WITH {CH}, x AS (SELECT tx_id, W AS address, CASE WHEN nq THEN qs*cents ELSE 0 END-5000 AS delta FROM d UNION ALL SELECT tx_id, P, CASE WHEN nq THEN -qs*cents ELSE 0 END FROM d) SELECT tx_id, address, delta::DOUBLE AS delta FROM x WHERE delta<>0""")
 def native_balance_deltas(t):
-    return X.native_deltas(norm(t)).withColumn("delta", F.col("delta").cast("double"))
+    return X.native_deltas(norm(t, "native")).withColumn("delta", F.col("delta").cast("double"))
 
 
 @query("S04", f"""WITH {CH} SELECT tx_id, WA AS account, W AS owner, M AS asset, (ts*tok)::DOUBLE AS delta FROM d UNION ALL SELECT tx_id, PA, P, M, (-ts*tok)::DOUBLE FROM d
  UNION ALL SELECT tx_id, {asql('c', 'event_id')}, W, '{STABLE_MINT}', (qs*cents)::DOUBLE FROM d WHERE NOT nq UNION ALL SELECT tx_id, {asql('d', 'event_id')}, P, '{STABLE_MINT}', (-qs*cents)::DOUBLE FROM d WHERE NOT nq""")
 def token_balance_deltas(t):
-    return X.token_deltas(norm(t)).select("tx_id", "account", "owner", "asset", F.col("delta").cast("double").alias("delta"))
+    return X.token_deltas(norm(t, "tokens")).select("tx_id", "account", "owner", "asset", F.col("delta").cast("double").alias("delta"))
 
 
 @query("S05", f"""WITH {CH} SELECT 'token_transfers' AS kind, count(*) AS n, sum(tok)::DOUBLE AS amount FROM d UNION ALL SELECT 'native_transfers', count(*), sum(cents)::DOUBLE FROM d WHERE nq AND NOT err UNION ALL SELECT 'account_creations', count(*), (count(*)*100)::DOUBLE FROM d WHERE lau
  UNION ALL SELECT 'mint_inits', count(*), NULL FROM d WHERE lau UNION ALL SELECT 'mint_tos', count(*), sum(tok*10)::DOUBLE FROM d WHERE lau UNION ALL SELECT 'authority_changes', count(*), NULL FROM d WHERE lau UNION ALL SELECT 'freezes', count(*), NULL FROM d WHERE lau
  UNION ALL SELECT 'token_account_inits', count(*), NULL FROM d WHERE lau""")
 def instruction_fact_counts(t):
-    f = cut(X.facts(norm(t)))
+    f = cut(X.facts(norm(t, "tokens", "ixs")))
     out = None
     for kind in X.FACT_KINDS:
         x = X.fact_table(f, kind)
@@ -134,11 +144,11 @@ def instruction_fact_counts(t):
 
 @query("S05", f"""WITH {CH} SELECT tx_id, '0.0' AS path, M AS asset, CASE WHEN buy THEN P ELSE W END AS src_owner, CASE WHEN buy THEN W ELSE P END AS dst_owner, tok::DOUBLE AS amount FROM d""")
 def token_transfer_facts(t):
-    return X.fact_table(X.facts(norm(t)), "token_transfers").select("tx_id", "path", "asset", "src_owner", "dst_owner", F.col("amount").cast("double").alias("amount"))
+    return X.fact_table(X.facts(norm(t, "tokens", "ixs"), ["token_transfers"]), "token_transfers").select("tx_id", "path", "asset", "src_owner", "dst_owner", F.col("amount").cast("double").alias("amount"))
 
 
 def launches(t):
-    return X.extract_launches(X.facts(norm(t)), PAD, AUTH)
+    return X.extract_launches(X.facts(norm(t, "tokens", "ixs"), X.LAUNCH_KINDS), PAD, AUTH)
 
 
 LAUNCH = f"""lx AS (SELECT tx_id, slot, CASE WHEN err THEN 'failed' WHEN NOT lau THEN 'not_launchpad' END AS rejection, CASE WHEN lau THEN N END AS asset, CASE WHEN lau THEN (tok*10)::DOUBLE END AS initial_supply, CASE WHEN lau THEN P END AS pool,
@@ -158,7 +168,7 @@ def pool_created_events(t):
 @query("S08", f"""WITH {CH} SELECT substr(sha256('TOKEN_MINT|'||tx_id||'|2'),1,32) AS id, 'TOKEN_MINT' AS type, N AS asset, tx_id, '{AUTH}' AS actor, (tok*10)::DOUBLE AS amount, NULL::BOOLEAN AS revoked FROM d WHERE lau
  UNION ALL SELECT substr(sha256('AUTHORITY_CHANGE|'||tx_id||'|3'),1,32), 'AUTHORITY_CHANGE', N, tx_id, '{AUTH}', NULL, k%2=0 FROM d WHERE lau""")
 def supply_and_authority_events(t):
-    return X.mint_events(cut(X.facts(norm(t)))).drop("slot").withColumn("amount", F.col("amount").cast("double"))
+    return X.mint_events(X.facts(norm(t, "tokens", "ixs"), ["mint_tos", "authority_changes"])).drop("slot").withColumn("amount", F.col("amount").cast("double"))
 
 
 def dims(t):
@@ -171,7 +181,7 @@ def dims(t):
 @query("S09", f"""WITH {CH} SELECT substr(sha256('TOKEN_TRANSFER|'||tx_id||'|0.0'),1,32) AS id, 'TOKEN_TRANSFER' AS kind, M AS asset, CASE WHEN buy THEN P ELSE W END AS src, CASE WHEN buy THEN W ELSE P END AS dst, tok::DOUBLE AS amount FROM d WHERE NOT err AND k%3<>0""")
 def transfer_edges(t):
     w, p = dims(t)
-    return X.transfer_edges(cut(X.facts(norm(t))), p.where(F.col("address").startswith("P") & F.col("address").endswith("z")), w).select(
+    return X.transfer_edges(X.facts(norm(t, "tokens", "ixs"), ["token_transfers", "native_transfers"]), p.where(F.col("address").startswith("P") & F.col("address").endswith("z")), w).select(
         "id", "kind", "asset", "src", "dst", F.col("amount").cast("double").alias("amount"))
 
 
@@ -186,15 +196,15 @@ def canonical_ids(t):
 # ---- trade derivation ------------------------------------------------------------------
 
 
-def deltas(n):
-    return T.owner_deltas(X.token_deltas(n), X.native_deltas(n))
+def balances(t):
+    return norm(t, "native", "tokens")
 
 
 @query("T01", f"""WITH {CH}, x AS (SELECT tx_id, W AS owner, M AS asset, ts*tok AS delta FROM d UNION ALL SELECT tx_id, P, M, -ts*tok FROM d UNION ALL SELECT tx_id, W, 'NATIVE', CASE WHEN nq THEN qs*cents ELSE 0 END-5000 FROM d
  UNION ALL SELECT tx_id, P, 'NATIVE', CASE WHEN nq THEN -qs*cents ELSE 0 END FROM d UNION ALL SELECT tx_id, W, '{STABLE_MINT}', qs*cents FROM d WHERE NOT nq UNION ALL SELECT tx_id, P, '{STABLE_MINT}', -qs*cents FROM d WHERE NOT nq)
  SELECT tx_id, owner, asset, delta::DOUBLE AS delta FROM x WHERE delta<>0""")
 def owner_deltas(t):
-    return deltas(stored(t)).withColumn("delta", F.col("delta").cast("double"))
+    return T.owner_deltas(balances(t)).withColumn("delta", F.col("delta").cast("double"))
 
 
 def watch(t, hidden: bool = False):
@@ -208,14 +218,12 @@ def watch(t, hidden: bool = False):
 @query("T02", f"WITH {CH} SELECT tx_id, M AS asset, P AS pool_side, k%2=0 AS inferred FROM d WHERE NOT err AND cents>0")
 def pool_sides(t):
     w, p = dims(t)
-    return T.pool_side(deltas(stored(t)), watch(t, True), w.unionByName(p)).select("tx_id", "asset", "pool_side", "inferred")
+    return T.pool_side(balances(t), watch(t, True), w.unionByName(p)).where("movers > 0").select("tx_id", "asset", "pool_side", "inferred")
 
 
 def pool_rows(t):
-    n = stored(t)
     w, p = dims(t)
-    dec = X.asset_decimals(n).unionByName(t.spark.range(1).select(F.lit("NATIVE").alias("asset"), F.lit(9).alias("decimals")))
-    return T.pool_activity(X.flatten_transactions(n), watch(t, True), deltas(n), X.token_deltas(n), w.unionByName(p), dec)
+    return T.pool_activity(balances(t), watch(t, True), w.unionByName(p))
 
 
 @query("T03 T04 T05 T06", f"""WITH {CH}, x AS (SELECT *, err OR cents=0 AS nx FROM d) SELECT tx_id, CASE WHEN err THEN 'FAILED' WHEN cents=0 THEN 'NO_POOL_ACTIVITY' WHEN liq THEN 'LIQUIDITY_ADDED' ELSE 'SWAP' END AS kind, NULL::VARCHAR AS reason, CASE WHEN NOT nx THEN P END AS pool_side, NOT nx AND k%2=0 AS pool_side_inferred,
@@ -229,17 +237,15 @@ def pool_activity(t):
 
 @query("T07", f"""WITH {CH} SELECT W AS wallet, tx_id, M AS asset, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS side, tok::DOUBLE AS token_amount, CASE WHEN nq THEN 'NATIVE' ELSE 'STABLE' END AS quote_asset, cents::DOUBLE AS quote_amount, true AS wallet_paid_fee FROM d WHERE NOT err AND NOT liq AND cents>0""")
 def wallet_trades(t):
-    n = stored(t)
     w, _ = dims(t)
-    d = deltas(n).withColumn("asset", F.when(F.col("asset") == STABLE_MINT, "STABLE").otherwise(F.col("asset")))
-    return T.wallet_trades(d, X.flatten_transactions(n), w.select(F.col("address").alias("wallet"))).drop("slot", "block_time").withColumns(
+    return T.wallet_trades(balances(t), w.select(F.col("address").alias("wallet")), (STABLE_MINT,)).drop("slot", "block_time").withColumns(
         {c: F.col(c).cast("double") for c in ("token_amount", "quote_amount")})
 
 
 @query("T08", f"""WITH {CH}, i AS (SELECT P AS src, W AS dst, tx_id, slot, cents AS amount FROM d WHERE nq AND NOT err AND NOT buy AND NOT liq UNION ALL SELECT W, P, tx_id, slot, cents FROM d WHERE nq AND NOT err AND (buy OR liq) UNION ALL SELECT W, P, tx_id, slot, 100 FROM d WHERE lau)
  SELECT dst AS wallet, arg_min(src,(slot,tx_id,src)) AS funder, arg_min(tx_id,(slot,tx_id,src)) AS tx_id FROM i GROUP BY 1""")
 def chain_initial_funding(t):
-    return T.initial_funding(X.funding_candidates(cut(X.facts(norm(t))))).select("wallet", "funder", "tx_id")
+    return T.initial_funding(X.funding_candidates(X.facts(norm(t, "tokens", "ixs"), ["native_transfers", "account_creations"]))).select("wallet", "funder", "tx_id")
 
 
 @query("T09", f"WITH {TR}, g AS (SELECT asset, quote_asset, count(*) AS n, min(slot) AS s FROM tr GROUP BY 1,2) SELECT asset, arg_max(quote_asset,(n,-s)) AS quote_asset, max(n) AS trades FROM g GROUP BY 1")

@@ -6,6 +6,8 @@ normalising and exploding facts needs no shuffle however many transactions there
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,24 @@ def once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def parse_transactions(df: DataFrame, column: str = "json") -> DataFrame:
-    return df.select(F.inline(F.array(F.from_json(column, RAW_SCHEMA))))
+#: What a normalised row can carry beyond its header, and the parts of a document each is made from.
+PARTS = {"native": {"balances"}, "tokens": {"tokens"}, "ixs": {"instructions"}}
+
+
+def parse_transactions(df: DataFrame, column: str = "json", parts: Iterable[str] = PARTS) -> DataFrame:
+    """Documents as rows; only the fields that ``parts`` are made from are read."""
+    wanted = set().union(*(PARTS[p] for p in parts))
+    meta = ["err:string", "fee:decimal(20,0)"]
+    if "balances" in wanted:
+        meta += ["preBalances:array<decimal(20,0)>", "postBalances:array<decimal(20,0)>"]
+    if "tokens" in wanted:
+        meta += [f"preTokenBalances:array<{_TB}>", f"postTokenBalances:array<{_TB}>"]
+    message = ["accountKeys:array<struct<pubkey:string,signer:boolean>>"]
+    if "instructions" in wanted:
+        meta.append(f"innerInstructions:array<struct<index:int,instructions:array<{_IX}>>>")
+        message.append(f"instructions:array<{_IX}>")
+    schema = f"slot long, blockTime long, version string, transaction struct<signatures:array<string>,message:struct<{','.join(message)}>>, meta struct<{','.join(meta)}>"
+    return df.select(F.inline(F.array(F.from_json(column, schema))))
 
 
 def _addr(c: Column) -> Column:
@@ -63,11 +81,14 @@ def _first(arr: Column, cond) -> Column:
     return F.get(F.filter(arr, cond), F.lit(0))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """One row per readable transaction: header, balances and instructions as arrays.
+def normalize(raw: DataFrame, parts: Iterable[str] = PARTS) -> DataFrame:
+    """One row per readable transaction: header, and the named ``parts`` as arrays.
 
-    Documents without a signature, slot, meta, message or fee payer are dropped.
+    ``native`` are balance changes by address, ``tokens`` token balances before and after, ``ixs`` instructions
+    in order (with ``program_ids``). A part that is not named is neither read nor computed. Documents without a
+    signature, slot, meta, message or fee payer are dropped.
     """
+    parts = set(parts)
     msg = F.col("transaction.message")
     keys = F.transform(msg["accountKeys"], lambda k: F.coalesce(_addr(k["pubkey"]), F.lit("")))
     d = raw.withColumns({
@@ -76,6 +97,59 @@ def normalize(raw: DataFrame) -> DataFrame:
     })
     payer = F.get("keys", F.lit(0))
     d = once(d).where(F.col("tx_id").isNotNull() & (F.length("tx_id") > 0) & (F.col("slot") >= 0) & F.col("meta").isNotNull() & msg.isNotNull() & (payer != ""))
+    columns = [
+        "tx_id", "slot", F.when(F.col("blockTime") > 0, F.col("blockTime") * 1000).alias("block_time"), "version",
+        F.when(F.col("meta.err").isNull(), "SUCCESS").otherwise("FAILED").alias("status"), F.substring("meta.err", 1, 160).alias("error"),
+        payer.alias("fee_payer"), "signers", F.col("meta.fee").alias("fee"),
+    ]
+    staged = {}
+    if "native" in parts:
+        staged["_zip"] = F.arrays_zip(F.col("keys"), F.col("meta.preBalances").alias("pre"), F.col("meta.postBalances").alias("post"))
+        columns.append(_native_moves().alias("native"))
+    if "tokens" in parts:
+        staged |= {"_pre": _token_side("preTokenBalances"), "_post": _token_side("postTokenBalances")}
+        index = F.array_distinct(F.concat(F.transform("_pre", lambda b: b["i"]), F.transform("_post", lambda b: b["i"])))
+        columns.append(F.filter(F.transform(index, _token_balance), lambda b: F.coalesce(b["account"], F.lit("")) != "").alias("tokens"))
+    if "ixs" in parts:
+        columns.append(_instructions(msg).alias("ixs"))
+    d = (once(d.withColumns(staged)) if staged else d).select(columns)
+    if "ixs" not in parts:
+        return once(d)
+    programs = F.array_distinct(F.filter(F.transform("ixs", lambda x: x["program_id"]), lambda p: p.isNotNull()))
+    return once(d).withColumn("program_ids", programs)
+
+
+def _native_moves() -> Column:
+    """Balance change of each address that changed; an address listed twice counts once."""
+    return F.filter(
+        F.transform(F.array_distinct("keys"), lambda a: F.struct(a.alias("address"), F.aggregate(
+            F.filter(F.col("_zip"), lambda z: (z["keys"] == a) & z["pre"].isNotNull() & z["post"].isNotNull()),
+            F.lit(0).cast("decimal(38,0)"), lambda s, z: (s + z["post"] - z["pre"]).cast("decimal(38,0)")).alias("delta"))),
+        lambda m: (m["address"] != "") & (m["delta"] != 0))
+
+
+def _token_side(name: str) -> Column:
+    """Readable token balances of one side of a transaction."""
+    empty = F.array().cast(f"array<{_TB}>")
+    amount = lambda b: _amount(b["uiTokenAmount"]["amount"])
+    ok = F.filter(F.coalesce(F.col(f"meta.{name}"), empty), lambda b: amount(b).isNotNull() & _addr(b["mint"]).isNotNull())
+    return F.transform(ok, lambda b: F.struct(
+        b["accountIndex"].alias("i"), b["mint"].alias("asset"), _addr(b["owner"]).alias("owner"), b["uiTokenAmount"]["decimals"].alias("decimals"), amount(b).alias("amount")))
+
+
+def _token_balance(i: Column) -> Column:
+    """Both sides of one account; a side that is missing is zero."""
+    p, q = _first(F.col("_pre"), lambda b: b["i"] == i), _first(F.col("_post"), lambda b: b["i"] == i)
+    zero = F.lit(0).cast("decimal(20,0)")
+    asset = F.coalesce(p["asset"], q["asset"])
+    return F.struct(
+        F.get("keys", i).alias("account"), F.coalesce(p["owner"], q["owner"]).alias("owner"),
+        F.when(asset == WRAPPED_NATIVE, NATIVE).otherwise(asset).alias("asset"), F.coalesce(p["decimals"], q["decimals"]).alias("decimals"),
+        F.coalesce(p["amount"], zero).alias("pre"), F.coalesce(q["amount"], zero).alias("post"))
+
+
+def _instructions(msg: Column) -> Column:
+    """Outer instructions, each followed by its inner ones; path ``i`` or ``i.j``."""
 
     def one(ix: Column, path: Column) -> Column:
         return F.struct(path.alias("path"), ix["programId"].alias("program_id"), ix["parsed"]["type"].alias("type"), ix["parsed"]["info"].alias("info"))
@@ -88,39 +162,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         subs = F.transform(F.coalesce(group, F.array().cast(f"array<{_IX}>")), lambda x, j: one(x, F.concat(i_text, F.lit("."), j.cast("string"))))
         return F.concat(F.array(one(ix, i_text)), subs)
 
-    zipped = F.arrays_zip(F.col("keys"), F.col("meta.preBalances").alias("pre"), F.col("meta.postBalances").alias("post"))
-    moved = F.filter(
-        F.transform(F.array_distinct("keys"), lambda a: F.struct(a.alias("address"), F.aggregate(
-            F.filter(F.col("_zip"), lambda z: (z["keys"] == a) & z["pre"].isNotNull() & z["post"].isNotNull()),
-            F.lit(0).cast("decimal(38,0)"), lambda s, z: (s + z["post"] - z["pre"]).cast("decimal(38,0)")).alias("delta"))),
-        lambda m: (m["address"] != "") & (m["delta"] != 0))
-
-    def side(name: str) -> Column:
-        empty = F.array().cast(f"array<{_TB}>")
-        amount = lambda b: _amount(b["uiTokenAmount"]["amount"])
-        ok = F.filter(F.coalesce(F.col(f"meta.{name}"), empty), lambda b: amount(b).isNotNull() & _addr(b["mint"]).isNotNull())
-        return F.transform(ok, lambda b: F.struct(
-            b["accountIndex"].alias("i"), b["mint"].alias("asset"), _addr(b["owner"]).alias("owner"), b["uiTokenAmount"]["decimals"].alias("decimals"), amount(b).alias("amount")))
-
-    def token(i: Column) -> Column:
-        p, q = _first(F.col("_pre"), lambda b: b["i"] == i), _first(F.col("_post"), lambda b: b["i"] == i)
-        zero = F.lit(0).cast("decimal(20,0)")
-        asset = F.coalesce(p["asset"], q["asset"])
-        return F.struct(
-            F.get("keys", i).alias("account"), F.coalesce(p["owner"], q["owner"]).alias("owner"),
-            F.when(asset == WRAPPED_NATIVE, NATIVE).otherwise(asset).alias("asset"), F.coalesce(p["decimals"], q["decimals"]).alias("decimals"),
-            F.coalesce(p["amount"], zero).alias("pre"), F.coalesce(q["amount"], zero).alias("post"))
-
-    d = once(d.withColumns({"_zip": zipped, "_pre": side("preTokenBalances"), "_post": side("postTokenBalances")}))
-    index = F.array_distinct(F.concat(F.transform("_pre", lambda b: b["i"]), F.transform("_post", lambda b: b["i"])))
-    d = d.select(
-        "tx_id", "slot", F.when(F.col("blockTime") > 0, F.col("blockTime") * 1000).alias("block_time"), "version",
-        F.when(F.col("meta.err").isNull(), "SUCCESS").otherwise("FAILED").alias("status"), F.substring("meta.err", 1, 160).alias("error"),
-        payer.alias("fee_payer"), "signers", F.col("meta.fee").alias("fee"), moved.alias("native"),
-        F.filter(F.transform(index, token), lambda b: F.coalesce(b["account"], F.lit("")) != "").alias("tokens"),
-        F.flatten(F.transform(F.coalesce(msg["instructions"], F.array().cast(f"array<{_IX}>")), with_inner)).alias("ixs"))
-    programs = F.array_distinct(F.filter(F.transform("ixs", lambda x: x["program_id"]), lambda p: p.isNotNull()))
-    return once(d).withColumn("program_ids", programs)
+    return F.flatten(F.transform(F.coalesce(msg["instructions"], F.array().cast(f"array<{_IX}>")), with_inner))
 
 
 HEADER = ["tx_id", "slot", "block_time", "status", "fee_payer", "fee"]
@@ -152,8 +194,8 @@ def _field(x: Column, name: str) -> Column:
     return F.get_json_object(x["info"], f"$.{name}")
 
 
-def facts(norm: DataFrame) -> DataFrame:
-    """Add one array column per instruction fact kind. Lookups stay within the transaction."""
+def facts(norm: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """Add one array column per instruction fact kind, or for the named ones. Lookups stay within the transaction."""
     tok = F.col("tokens")
     owner_of = lambda a: _first(tok, lambda b: b["account"] == a)["owner"]
     asset_of = lambda a: _first(tok, lambda b: b["account"] == a)["asset"]
@@ -167,7 +209,7 @@ def facts(norm: DataFrame) -> DataFrame:
         return _amount(F.when(x["type"] == plain, _field(x, name)).otherwise(_field(x, "tokenAmount.amount")))
 
     T, have = TOKEN_PROGRAMS, lambda *n: (lambda s: sum((s[c].isNotNull().cast("int") for c in n[1:]), s[n[0]].isNotNull().cast("int")) == len(n))
-    return norm.withColumns({
+    every = {
         "token_transfers": pick(T, ["transfer", "transferChecked"], lambda x: F.struct(
             x["path"].alias("path"), F.coalesce(addr(x, "mint"), asset_of(_field(x, "source")), asset_of(_field(x, "destination"))).alias("asset"),
             addr(x, "source").alias("source"), addr(x, "destination").alias("destination"), owner_of(_field(x, "source")).alias("src_owner"),
@@ -191,7 +233,8 @@ def facts(norm: DataFrame) -> DataFrame:
             addr(x, "mint").alias("asset"), addr(x, "freezeAuthority").alias("authority"), owner_of(_field(x, "account")).alias("owner")), have("account", "asset")),
         "token_account_inits": pick(T, ["initializeAccount", "initializeAccount2", "initializeAccount3"], lambda x: F.struct(
             x["path"].alias("path"), addr(x, "account").alias("account"), addr(x, "mint").alias("asset"), addr(x, "owner").alias("owner")), have("account", "asset", "owner")),
-    })
+    }
+    return norm.withColumns({k: v for k, v in every.items() if kinds is None or k in set(kinds)})
 
 
 FACT_KINDS = ["token_transfers", "native_transfers", "account_creations", "mint_inits", "mint_tos", "authority_changes", "freezes", "token_account_inits"]
@@ -202,6 +245,10 @@ def fact_table(f: DataFrame, kind: str) -> DataFrame:
     return f.select(*HEADER, F.explode(kind).alias("x")).select(*HEADER, "x.*")
 
 
+#: The fact kinds that launches are read from.
+LAUNCH_KINDS = ["mint_inits", "mint_tos", "token_account_inits", "account_creations", "authority_changes"]
+
+
 def extract_launches(f: DataFrame, program: str, authority: str) -> DataFrame:
     """Launches by a launchpad, one row per transaction, with a rejection reason otherwise.
 
