@@ -251,3 +251,48 @@ def chain_initial_funding(t):
 @query("T09", f"WITH {TR}, g AS (SELECT asset, quote_asset, count(*) AS n, min(slot) AS s FROM tr GROUP BY 1,2) SELECT asset, arg_max(quote_asset,(n,-s)) AS quote_asset, max(n) AS trades FROM g GROUP BY 1")
 def dominant_quote(t):
     return T.dominant_quote(t.trades())
+
+
+# ---- every way a trade can be read ------------------------------------------------------
+
+OR = f"""o AS (SELECT o_orderkey AS i, 'o'||o_orderkey AS tx_id, o_orderkey%9 AS v, round(o_totalprice*100)::BIGINT AS c, {asql('W', 'o_custkey')} AS W, {asql('P', 'o_orderkey%7')} AS P FROM orders)"""
+
+
+def odd_documents(t):
+    """One document an order, by its number: exact, approximate, ambiguous and ownerless swaps, a second seller, removed liquidity, and three kinds nothing can be said about."""
+    i, c = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    v = i % 9
+    W, P, X_, M = addr("W", F.col("o_custkey")), addr("P", i % 7), addr("X", i), addr("M", i % 10)
+    case = lambda default, **by: F.coalesce(*[F.when(v == int(k[1:]), e) for k, e in by.items()], default)
+    zero = F.lit(0).cast("long")
+    pool = case(-c, v8=c)  # of the asset
+    wallet = case(c, v1=c - F.floor(c / 10), v2=F.floor(c / 2), v3=zero, v5=F.floor(c / 2), v8=-c)
+    other = case(zero, v2=c - F.floor(c / 2) - 1, v5=c - F.floor(c / 2), v8=F.lit(-5).cast("long"))
+    loose = case(zero, v3=c)  # an account without an owner
+    native = case(c, v4=-c, v6=zero, v8=-c)  # of the pool
+    stable = case(zero, v7=c)
+    accounts = [(1, M, P, pool), (2, M, W, wallet), (3, M, X_, other), (4, M, F.lit(None).cast("string"), loose), (5, F.lit(STABLE_MINT), P, stable)]
+    side = lambda moved: F.array(*[
+        F.struct(F.lit(n).alias("accountIndex"), mint.alias("mint"), owner.alias("owner"), F.struct((F.lit(BASE) + (d if moved else zero)).cast("string").alias("amount"), F.lit(6).alias("decimals")).alias("uiTokenAmount"))
+        for n, mint, owner, d in accounts])
+    key = lambda a, s=False: F.struct(a.alias("pubkey"), F.lit(s).alias("signer"))
+    doc = F.struct(
+        i.alias("slot"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("blockTime"), F.lit("0").alias("version"),
+        F.struct(F.array(F.concat(F.lit("o"), i.cast("string"))).alias("signatures"), F.struct(F.array(key(W, True), key(P), key(addr("a", i)), key(addr("b", i)), key(addr("c", i)), key(addr("d", i))).alias("accountKeys")).alias("message")).alias("transaction"),
+        F.struct(F.lit(FEE).alias("fee"), F.array(F.lit(BASE), F.lit(BASE)).alias("preBalances"), F.array(BASE - native - FEE, BASE + native).alias("postBalances"), side(False).alias("preTokenBalances"), side(True).alias("postTokenBalances")).alias("meta"))
+    return dealt(t.orders, "o_orderkey").select(F.to_json(doc).alias("json"))
+
+
+@query("T02 T03 T04 T05 T06", f"""WITH {OR} SELECT tx_id, CASE WHEN v IN (5,6,7) THEN 'UNRESOLVED' WHEN v=4 THEN 'LIQUIDITY_REMOVED' ELSE 'SWAP' END AS kind,
+ CASE v WHEN 5 THEN 'pool_side_not_found' WHEN 6 THEN 'no_counter_asset' WHEN 7 THEN 'pool_side_mixed_assets' END AS reason, CASE WHEN v<>5 THEN P END AS pool_side, false AS pool_side_inferred,
+ CASE WHEN v<4 THEN 'BUY' WHEN v=8 THEN 'SELL' END AS direction, CASE WHEN v IN (0,1,8) THEN W END AS trader, CASE v WHEN 0 THEN 'EXACT' WHEN 1 THEN 'APPROXIMATE' WHEN 2 THEN 'AMBIGUOUS' WHEN 3 THEN 'NET_ZERO' WHEN 8 THEN 'EXACT' END AS trader_resolution,
+ CASE WHEN v NOT IN (5,6,7) THEN c::DOUBLE END AS token_amount, CASE WHEN v NOT IN (5,6,7) THEN 'NATIVE' END AS quote_asset, CASE WHEN v NOT IN (5,6,7) THEN c::DOUBLE END AS quote_amount, CASE WHEN v IN (0,1,2,3,8) THEN 0.001::DOUBLE END AS price_in_quote,
+ CASE WHEN v=4 THEN W END AS liquidity_actor, CASE WHEN v NOT IN (5,6,7) THEN least(1.0::DOUBLE, ((c::HUGEINT*1000000)//{BASE})/1e6) END AS reserve_fraction,
+ CASE WHEN v IN (5,6,7) THEN 0.0::DOUBLE WHEN v=4 THEN 0.9::DOUBLE WHEN v=1 THEN 0.8::DOUBLE WHEN v IN (2,3) THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM o""")
+def pool_activity_branches(t):
+    parts = ("native", "tokens")
+    i = F.col("o_orderkey")
+    watched = t.orders.select(F.concat(F.lit("o"), i.cast("string")).alias("tx_id"), addr("M", i % 10).alias("asset"), F.when(i % 9 == 5, addr("Q", i % 7)).otherwise(addr("P", i % 7)).alias("pool"))
+    own = t.orders.select(addr("P", i % 7).alias("address")).distinct().withColumn("is_wallet", F.lit(False))
+    out = T.pool_activity(X.normalize(X.parse_transactions(odd_documents(t), parts=parts), parts), watched, own)
+    return out.drop("asset", "pool", "slot", "block_time", "fee_payer").withColumns({c: F.col(c).cast("double") for c in ("token_amount", "quote_amount")})
