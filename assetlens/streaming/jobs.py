@@ -1,8 +1,10 @@
-"""Structured Streaming jobs: file-source streams, keyed state, idempotent sinks.
+"""Structured Streaming jobs: file-source streams, keyed state in event-time order, idempotent sinks.
 
-Each stateful job has a batch twin with the same result on the same readings. A key's state is
-one small tuple; a micro-batch bounds the rows a key holds at once (cap it with
-``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
+Each stateful job has a batch twin with the same result on the same readings, however late they come within
+the watermark's delay. A job that depends on order keeps a key's readings in a state list until the watermark
+has passed them, then works them off by time from one small tuple of state; timers wake a key, so nothing is
+read for keys that have nothing due. A key's history never meets in one frame: a call holds the readings
+between two watermarks.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from types import SimpleNamespace
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from assetlens.functions.durable import ensure_checkpoint_dir
+from assetlens.functions.durable import new_folder
 from assetlens.functions.scalar import lookup
 from assetlens.operators import folds as FO
 from assetlens.operators import monitor as M
@@ -23,11 +26,13 @@ from assetlens.operators.place import VERDICT_TIER
 from assetlens.operators.tables import append_idempotent
 
 NUM = ["score", "coverage", "price", "liquidity"]
+CHUNK = 10_000  # readings handed over at once
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; the schema is always stated."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     return (r.option("maxFilesPerTrigger", files) if files else r).parquet(folder)
 
 
@@ -37,131 +42,225 @@ def dedupe(stream: DataFrame, keys: list[str], time: str, late: str = "24 hours"
 
 
 def windowed_activity(stream: DataFrame, time: str, late: str = "24 hours", size: str = "6 hours", slide: str = "30 minutes") -> DataFrame:
-    """Sliding-window trades, volume and last price per asset."""
+    """Sliding-window trades, volume and last price per asset; a window is final and leaves the state when the watermark passes it."""
     return stream.withWatermark(time, late).groupBy("asset", F.window(time, size, slide)).agg(
         F.count("*").alias("trades"), F.sum("quote_amount").cast("double").alias("volume"), F.max_by("price", F.col(time)).alias("last_price"))
 
 
-def wallet_registry(stream: DataFrame) -> DataFrame:
-    """Running first and last sighting per wallet: min and max, so late rows repair it."""
-    return stream.groupBy("wallet").agg(F.min("block_time").alias("first_observed_at"), F.max("block_time").alias("last_observed_at"), F.count("*").alias("sightings"))
+# ---- work in event-time order ----------------------------------------------------------
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(["observed_at", "seq"], kind="stable")
+class InOrder(StatefulProcessor):
+    """Holds a key's readings until the watermark has passed them, then hands them on by (observed_at, seq).
 
+    ``fold(last, readings)`` takes the small state (None at first) and some readings in order, and gives the
+    new state and the rows to emit. ``row``, ``state`` and ``out`` are the schemas.
+    """
+
+    def __init__(self, row: StructType, state: StructType, out: StructType, fold):
+        self.row, self.state_type, self.out, self.fold = row, state, out, fold
+        self.at, self.seq = row.names.index("observed_at"), row.names.index("seq")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.last = handle.getValueState("last", self.state_type)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for pdf in rows:
+            listed = [tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in r) for r in pdf[self.row.names].itertuples(index=False, name=None)]
+            self.waiting.appendList(listed)
+            top = int(pdf["observed_at"].max())
+            newest = top if newest is None else max(newest, top)
+        if newest is not None:
+            self.handle.registerTimer(newest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for r in self.waiting.get():
+            (ready if r[self.at] <= passed else later).append(tuple(r))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        ready.sort(key=lambda r: (r[self.at], r[self.seq]))
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for at in range(0, len(ready), CHUNK):
+            last, out = self.fold(last, ready[at : at + CHUNK])
+            yield pd.DataFrame(out, columns=self.out.names)
+        if ready:
+            self.last.update(last)
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, row: str, state: str, out: str, fold, late: str = "24 hours") -> DataFrame:
+    """Run ``fold`` over each asset's readings by event time; readings later than ``late`` are dropped."""
+    kinds = [_parse_datatype_string(s) for s in (row, state, out)]
+    s = stream.select(*kinds[0].names).withColumn("_ts", F.timestamp_millis("observed_at")).withWatermark("_ts", late)
+    processor = InOrder(*kinds, fold)
+    return s.groupBy("asset").transformWithStateInPandas(processor, kinds[2], "append", "EventTime")
 
-def stabilize(stream: DataFrame, k: int = FO.CONFIRMATIONS, hold_ms: int = FO.HOLD_MS) -> DataFrame:
+
+def stabilize(stream: DataFrame, k: int = FO.CONFIRMATIONS, hold_ms: int = FO.HOLD_MS, late: str = "24 hours") -> DataFrame:
     """Stable verdict per reading; keeps the machine state and the time of the last reading."""
     table = FO._machine(k)
+    tiers = VERDICT_TIER
 
-    def step(key, frames, state: GroupState):
-        code, last = state.get if state.exists else (0, None)
-        pdf = _ordered(frames)
+    def fold(last, readings):
+        code, seen = last or (0, None)
         out = []
-        for r in pdf.itertuples(index=False):
-            if last is None or r.observed_at - last > hold_ms:
+        for asset, at, seq, verdict in readings:
+            if seen is None or at - seen > hold_ms:
                 code = 0
-            code, last = int(table[int(r.observed_at == last), code, r.tier]), int(r.observed_at)
-            out.append(FO.NAMES[int(FO._shown(code, k))])
-        state.update((code, last))
-        yield pdf[["asset", "observed_at", "seq", "verdict"]].assign(stable=out)
+            code, seen = int(table[int(at == seen), code, tiers[verdict]]), at
+            out.append((asset, at, seq, verdict, FO.NAMES[int(FO._shown(code, k))]))
+        return (code, seen), out
 
-    s = stream.select("asset", "observed_at", "seq", "verdict", lookup("verdict", VERDICT_TIER).alias("tier"))
-    return s.groupBy("asset").applyInPandasWithState(
-        step, "asset string, observed_at long, seq long, verdict string, stable string", "code int, last long", "append", GroupStateTimeout.NoTimeout)
+    row = "asset string, observed_at long, seq long, verdict string"
+    return in_order(stream, row, "code int, last long", row + ", stable string", fold, late)
 
 
-def thin(stream: DataFrame) -> DataFrame:
-    """Readings worth storing; keeps the last stored reading."""
+def thin(stream: DataFrame, late: str = "24 hours") -> DataFrame:
+    """Readings worth storing; keeps the last stored reading and the time of the last one seen."""
     num = [*NUM, "volume24h"]
+    stream = stream if "state" in stream.columns else stream.withColumn("state", F.lit(None).cast("string"))
+    names = ["observed_at", "verdict", "state", *num]
+
+    def named(values):
+        d = dict(zip(names, values))
+        return SimpleNamespace(**{c: float("nan") if c in num and d[c] is None else d[c] for c in names})
 
-    def step(key, frames, state: GroupState):
-        last = SimpleNamespace(**dict(zip(["observed_at", "verdict", *num], state.get))) if state.exists else None
-        pdf = _ordered(frames)
-        pdf[num] = pdf[num].astype(float)
+    def fold(last, readings):
+        stored, seen = (named(last[1:]), last[0]) if last else (None, None)
         out = []
-        for r in pdf.itertuples(index=False):
-            if last is None:
+        for asset, at, seq, *values in readings:
+            if at == seen:
+                continue
+            seen, r = at, named([at, *values])
+            if stored is None:
                 why = "first"
-            elif r.observed_at == last.observed_at:
-                why = None
-            elif r.verdict != last.verdict:
+            elif (r.verdict, r.state) != (stored.verdict, stored.state):
                 why = "transition"
-            elif FO._material(r, last):
+            elif FO._material(r, stored):
                 why = "material-change"
             else:
-                why = "heartbeat" if r.observed_at - last.observed_at >= FO.HEARTBEAT_MS else None
+                why = "heartbeat" if at - stored.observed_at >= FO.HEARTBEAT_MS else None
             if why:
-                last = r
-            out.append(why)
-        state.update((int(last.observed_at), last.verdict, *[float(getattr(last, c)) for c in num]))
-        pdf["reason"] = out
-        yield pdf.loc[pdf["reason"].notna(), ["asset", "observed_at", "seq", "verdict", "reason"]]
+                stored = r
+                out.append((asset, at, seq, r.verdict, why))
+        return (seen, *(getattr(stored, c) for c in names)), out
 
-    schema = "observed_at long, verdict string, " + ", ".join(f"{c} double" for c in num)
-    return stream.select("asset", "observed_at", "seq", "verdict", *num).groupBy("asset").applyInPandasWithState(
-        step, "asset string, observed_at long, seq long, verdict string, reason string", schema, "append", GroupStateTimeout.NoTimeout)
+    numbers = ", ".join(f"{c} double" for c in num)
+    return in_order(stream, f"asset string, observed_at long, seq long, verdict string, state string, {numbers}", f"seen long, observed_at long, verdict string, state string, {numbers}",
+                    "asset string, observed_at long, seq long, verdict string, reason string", fold, late)
 
 
-def with_previous(stream: DataFrame) -> DataFrame:
+def with_previous(stream: DataFrame, late: str = "24 hours") -> DataFrame:
     """Each reading beside the one before it, the state being that one reading."""
-    keep = ["verdict", "score", "price", "liquidity", "seq"]
 
-    def step(key, frames, state: GroupState):
-        pdf = _ordered(frames)
-        prev = state.get if state.exists else (None, None, None, None, None)
-        lagged = pdf[keep].shift(1).astype(object)
-        lagged.iloc[0] = list(prev)
-        last = pdf.iloc[-1]
-        state.update((last["verdict"], float(last["score"]), float(last["price"]), float(last["liquidity"]), int(last["seq"])))
-        out = pdf.copy()
-        for c in keep:
-            out[f"p_{c}"] = lagged[c] if c == "verdict" else pd.to_numeric(lagged[c])
-        out["p_seq"] = out["p_seq"].astype("Int64")
-        out["first"] = out["p_seq"].isna()
-        yield out
+    def fold(last, readings):
+        out = []
+        for r in readings:
+            _, _, seq, verdict, score, _, price, liquidity = r
+            out.append((*r, *(last or (None,) * 5), last is None))
+            last = (verdict, score, price, liquidity, seq)
+        return last, out
 
-    cols = "asset string, observed_at long, seq long, verdict string, score double, coverage double, price double, liquidity double"
-    out = cols + ", p_verdict string, p_score double, p_price double, p_liquidity double, p_seq long, first boolean"
-    s = stream.select("asset", "observed_at", "seq", "verdict", *NUM)
-    return s.groupBy("asset").applyInPandasWithState(step, out, "verdict string, score double, price double, liquidity double, seq long", "append", GroupStateTimeout.NoTimeout)
+    row = "asset string, observed_at long, seq long, verdict string, score double, coverage double, price double, liquidity double"
+    out = row + ", p_verdict string, p_score double, p_price double, p_liquidity double, p_seq long, first boolean"
+    return in_order(stream, row, "verdict string, score double, price double, liquidity double, seq long", out, fold, late)
 
 
-def alerts(stream: DataFrame) -> DataFrame:
-    return M.all_alerts(with_previous(stream))
+def alerts(stream: DataFrame, late: str = "24 hours") -> DataFrame:
+    return M.all_alerts(with_previous(stream, late))
 
 
 # ---- sinks -----------------------------------------------------------------------------
 
 
-def append_once(path: str, keys: list[str]):
-    """``foreachBatch`` writer: rows whose key is not stored yet, into a folder per batch id.
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
-    A replayed batch overwrites its own folder, so a restart changes nothing.
+
+def append_once(path: str, keys: list[str], time: str | None = None, buckets: int = 16):
+    """``foreachBatch`` writer: rows whose key is not stored yet.
+
+    With ``time``, the epoch-millisecond column that a key's rows agree in, the table is laid out by day and by
+    a hash of the key. A batch reads only the stored days and buckets that its own keys lie in, so what it reads
+    does not grow with the history; equal keys always lie in the same ones. Without ``time`` it is laid out by
+    bucket alone. A replayed batch overwrites its own partitions, so a restart changes nothing.
     """
+    parts = ["day", "bucket"] if time else ["bucket"]
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            stored = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        placed = placed.withColumn("day", F.floor(F.col(time) / 86_400_000).cast("int")) if time else placed
+        if _exists(spark, path):
+            # one row for each day and bucket of the batch reaches the driver
+            touched = [tuple(r) for r in placed.select(*parts).distinct().collect()]
+            stored = stored_in(spark.read.parquet(path), parts, touched).where(F.col("batch_id") != batch_id)
+            fresh = append_idempotent(placed, stored, [*keys, *parts])
         else:
-            stored = batch.withColumn("batch_id", F.lit(-1)).where(F.lit(False))
-        fresh = append_idempotent(batch, stored, keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            fresh = append_idempotent(placed, placed.where(F.lit(False)), [*keys, *parts])
+        out = fresh.withColumn("batch_id", F.lit(batch_id))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch_id").parquet(path)
 
     return write
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", foreach=None) -> DataFrame:
-    """Run a stream over what is there now into the shared folder, and read the result back."""
-    import uuid
+def stored_in(table: DataFrame, parts: list[str], touched: list[tuple]) -> DataFrame:
+    """The rows of the touched partitions, by a condition that partition pruning understands."""
+    by_first: dict = {}
+    for t in touched:
+        by_first.setdefault(t[0], []).append(t[1:])
+    condition = F.lit(False)
+    for first, rest in by_first.items():
+        mine = F.col(parts[0]) == first
+        condition = condition | ((mine & F.col(parts[1]).isin(*[r[0] for r in rest])) if len(parts) > 1 else mine)
+    return table.where(condition)
 
+
+def registry_parts(path: str, buckets: int = 16):
+    """``foreachBatch`` writer of first and last sightings: a batch's own minimum, maximum and count per wallet.
+
+    A batch writes only what it saw, by bucket of the wallet, and a replay overwrites its own parts. No state is
+    kept in the stream, and late rows need no care. :func:`registry` merges the parts.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.groupBy("wallet").agg(F.min("block_time").alias("first_observed_at"), F.max("block_time").alias("last_observed_at"), F.count("*").alias("sightings"))
+        out = seen.withColumns({"bucket": F.pmod(F.xxhash64("wallet"), F.lit(buckets)).cast("int"), "batch_id": F.lit(batch_id)})
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path)
+
+    return write
+
+
+def registry(parts: DataFrame) -> DataFrame:
+    """One row per wallet from the parts of all batches."""
+    return parts.groupBy("wallet").agg(F.min("first_observed_at").alias("first_observed_at"), F.max("last_observed_at").alias("last_observed_at"), F.sum("sightings").alias("sightings"))
+
+
+def run_to_table(stream: DataFrame, name: str, foreach=None) -> DataFrame:
+    """Run a stream over what is there now into the shared folder, and read the result back.
+
+    ``foreach`` makes a ``foreachBatch`` writer for the table's path.
+    """
     spark = stream.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").outputMode(mode)
-    if foreach is None and mode == "complete":
-        foreach = lambda df, i: df.write.mode("overwrite").parquet(f"{root}/table")
-    q = w.foreachBatch(foreach).start() if foreach is not None else w.format("parquet").start(f"{root}/table")
-    q.awaitTermination()
+    root = new_folder(spark, f"stream-{name}")
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
+        q = w.foreachBatch(foreach(f"{root}/table")).start() if foreach is not None else w.format("parquet").start(f"{root}/table")
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.parquet(f"{root}/table")
