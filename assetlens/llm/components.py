@@ -47,6 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = staged(edges.select("u", "v").mapInArrow(_forest, "u long, v long").distinct(), "links")
     while True:
+        most = 2 * edges.count()  # a round makes at most one edge more for each it has
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -54,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = staged(after, "links")
+        after = staged(after, "links", most)
         # done when every node has one edge and no node that is pointed at points further
         tops = after.select(F.col("v").alias("node")).distinct()
         further = after.join(tops, after.u == tops.node, "left_semi").limit(1).count()

@@ -204,9 +204,10 @@ def _in_blocks(rows: DataFrame, name: str, s: Settings) -> DataFrame:
 def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep_text_hash: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``df``, and a hash of its text if asked for."""
     described = staged(signatures(df, s, id_col, text_col), "signatures")
+    rows = described.count()
     key = F.coalesce(F.col("id"), F.lit(NAMELESS) + F.col("f1").bitwiseAND(F.lit(NAMELESS // 2 - 1)))
     keyed = described.where("n_shingles > 0").withColumn("key", key)
-    classes = staged(keyed.groupBy("f1", "f2").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"), F.first("n_shingles").alias("n"), F.min("text_hash").alias("first_text")), "classes")
+    classes = staged(keyed.groupBy("f1", "f2").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"), F.first("n_shingles").alias("n"), F.min("text_hash").alias("first_text")), "classes", rows)
     in_bands = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowded = in_bands.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).where("members > 1")
     buckets = staged(in_bands.join(crowded, "band").select("band", "rep", "n", "members", "low", "high"), "buckets")
@@ -231,13 +232,13 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_
         apart = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
         return named.join(apart, "band")
 
-    tried = staged(against("low", buckets), "pairs")
+    tried = staged(against("low", buckets), "pairs", s.bands * rows)
     links = staged(confirmed(tried, texts, s), "links")
-    group = staged(components(links), "groups")
+    group = staged(components(links), "groups", rows)
     pairs = staged(against("high", still_open(group)).join(tried, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(staged(confirmed(pairs, texts, s), "links"))
     tried = tried.unionByName(pairs)
-    group = staged(components(links), "groups")
+    group = staged(components(links), "groups", rows)
 
     rest = staged(still_open(group), "open")
     few = rest.where(F.col("members") <= s.few)
@@ -252,7 +253,7 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     left, right = _in_blocks(full.where("component <> main"), "left", s), _in_blocks(full, "right", s)
     blocks = left.join(right, "band").select("left", "right").mapInArrow(_open_links(s), "u long, v long")
     links = links.unionByName(staged(more.unionByName(blocks), "links"))
-    group = staged(components(links), "groups")
+    group = staged(components(links), "groups", rows)
 
     label = F.coalesce("component", "rep")
     of_class = classes.join(group, classes.rep == group.node, "left").select("f1", "f2", F.when(label < NAMELESS, label).alias("component_id"), F.when(label == F.col("rep"), F.col("first_text")).alias("first_text"))

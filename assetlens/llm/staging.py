@@ -28,8 +28,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
+ROWS_A_FILE = 50_000  # of narrow tables
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    ``rows`` is a bound of a narrow table's rows: it is then written by as many tasks as that takes, not by
+    one for each shuffle partition, since each file of a few rows costs more than its rows do.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
