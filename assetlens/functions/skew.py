@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
+
 
 def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows dealt by key to as many partitions as the session shuffles to.
@@ -131,6 +133,46 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str, upper: bo
     )
 
 
+def global_median(df: DataFrame, value: str, upper: bool = False, most: int = 10_000, accuracy: int = 10_000) -> float | None:
+    """Exact median of a whole column (midpoint, or the upper element), found by narrowing a range.
+
+    Each level asks quantile sketches, which combine on the map side, for bounds just below and above the
+    wanted rank, counts what lies under the range, and goes on inside it, until the range has at most ``most``
+    distinct values; those are counted and ranked. A level leaves about four in ``accuracy`` of the rows, so a
+    few levels do for any column, however its values lie. No task and not the driver sees more than a sketch
+    or ``most`` rows. Nulls do not count; without values the median is None.
+    """
+    v = F.col(value).cast("double")
+    rows = cut(df.where(v.isNotNull()).select(v.alias("v")))
+    total, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not total:
+        return None
+
+    def ranked(rank: int) -> float:
+        lo, hi, before, n = low, high, 0, total
+        while lo < hi:
+            inside = rows.where(F.col("v").between(lo, hi))
+            values = inside.groupBy("v").agg(F.count("*").alias("n"))
+            if values.limit(most + 1).count() <= most:
+                for r in values.orderBy("v").collect():
+                    before += r["n"]
+                    if before >= rank:
+                        return r["v"]
+            share, slack = (rank - before) / n, 2 / accuracy
+            a, b = inside.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], accuracy)).first()[0]
+            under, within = inside.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+            if not under < rank - before <= under + within or within == n:
+                # the sketch was no help: halve the range
+                left = F.col("v") <= lo / 2 + hi / 2
+                lower, a, b = inside.agg(F.count_if(left), F.max(F.when(left, F.col("v"))), F.min(F.when(~left, F.col("v")))).first()
+                a, b, under, within = (lo, a, 0, lower) if rank - before <= lower else (b, hi, lower, n - lower)
+            lo, hi, before, n = a, b, before + under, within
+        return lo
+
+    top = total // 2 + 1
+    return (ranked(top if upper else (total + 1) // 2) + ranked(top)) / 2
+
+
 def islands(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:
     """Add ``island``: rows of a key more than two empty-bucket gaps apart get different ids.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.functions.scalar import DAY_MS, codes, half_up, known, ladder
-from assetlens.functions.skew import exact_median, lag_across
+from assetlens.functions.durable import cut
+from assetlens.functions.skew import global_median, lag_across
 from assetlens.operators.place import tier
 
 
@@ -91,11 +92,10 @@ def chain_lead(discoveries: DataFrame, launches: DataFrame, since: int) -> DataF
     g = discoveries.groupBy("asset").agg(
         F.min(F.when(chain & (F.col("first_seen_at") >= since), F.col("first_seen_at"))).alias("chain_at"),
         F.min(F.when(~chain, F.col("first_seen_at"))).alias("feed_at")).where("chain_at IS NOT NULL AND feed_at IS NOT NULL")
-    j = g.join(launches.select("asset", "launch_time"), "asset", "left").select(
-        F.lit(1).alias("one"), (F.col("feed_at") - F.col("chain_at")).alias("lead"), (F.col("feed_at") - F.col("launch_time")).alias("delay"))
-    n = j.groupBy("one").agg(F.count("*").alias("assets"))
-    return (n.join(exact_median(j, ["one"], "lead", "median_lead_ms", upper=True), "one", "left")
-            .join(exact_median(j, ["one"], "delay", "median_feed_delay_ms", upper=True), "one", "left").drop("one"))
+    j = cut(g.join(launches.select("asset", "launch_time"), "asset", "left").select((F.col("feed_at") - F.col("chain_at")).alias("lead"), (F.col("feed_at") - F.col("launch_time")).alias("delay")))
+    lead, delay = (global_median(j, c, upper=True) for c in ("lead", "delay"))
+    rows = j.agg(F.count("*").alias("assets")).where("assets > 0")
+    return rows.withColumns({"median_lead_ms": F.lit(lead).cast("double"), "median_feed_delay_ms": F.lit(delay).cast("double")})
 
 
 def recent_intel(rows: DataFrame, n: int) -> DataFrame:

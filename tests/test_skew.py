@@ -3,6 +3,8 @@
 import random
 import statistics
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,17 @@ def test_components_of_a_star_and_a_long_chain(spark):
     chain = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(star + chain, "a string, b string"), most=100).collect()}
     assert {v for k, v in got.items() if k[0] in "as"} == {"a0"} and {v for k, v in got.items() if k[0] == "c"} == {"c0000"} and len(got) == 1802
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_global_median_narrows_to_few_rows(spark, upper):
+    """Wide, dense and repeated values of one global key; ranges are narrowed until few values are left."""
+    from assetlens.functions.skew import global_median
+
+    rng = random.Random(7)
+    for n in (1, 2, 501):
+        values = [rng.choice([rng.random() * 1e-6 + 5, rng.uniform(-1e308, 1e308), float(rng.randrange(5))]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        want = statistics.median_high(values) if upper else statistics.median(values)
+        assert global_median(df, "x", upper, most=8, accuracy=50) == want
+    assert global_median(spark.createDataFrame([(None,)], "x double"), "x") is None
