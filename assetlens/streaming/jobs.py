@@ -69,8 +69,9 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = None
         for pdf in rows:
-            listed = [tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in r) for r in pdf[self.row.names].itertuples(index=False, name=None)]
-            self.waiting.appendList(listed)
+            pdf = pdf[self.row.names]
+            plain = pdf.astype(object).where(pdf.notna(), None)
+            self.waiting.appendList(list(plain.itertuples(index=False, name=None)))
             top = int(pdf["observed_at"].max())
             newest = top if newest is None else max(newest, top)
         if newest is not None:
