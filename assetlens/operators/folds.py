@@ -3,9 +3,9 @@
 Neither is a window function: thinning compares with the last row that was *stored*, stability
 carries a pending upgrade. Both avoid walking one asset's whole history in one task.
 
-* Stability has few states, so every day of an asset becomes a table "state in -> state out".
-  Days run in parallel; composing the tables per asset is one step per day; a second parallel
-  pass replays each day from its true starting state.
+* Stability has few states, so every day of an asset becomes a table "state in -> state out", an
+  array folded over the day's readings. Days run in parallel; composing the tables per asset is one
+  step per day; a second parallel pass replays each day from its true starting state.
 * Thinning restarts at every change of verdict (always stored) and after a silence of a
   heartbeat (always stored). Those restarts are found in parallel; the pieces between them are
   independent and are streamed in order with one row of state.
@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import DAY_MS, known, lookup
 from assetlens.functions.skew import bucket_of, dealt, lag_across, running_sum
 from assetlens.operators.place import VERDICT_TIER
@@ -70,59 +71,36 @@ def stabilize(readings: DataFrame, k: int = CONFIRMATIONS, hold_ms: int | None =
     (None: never expires, the calibration replay). A reading of the same instant as the last is no
     new confirmation.
     """
-    table = _machine(k)
-    states = table.shape[1]
+    machine = _machine(k)
+    states = machine.shape[1]
+    table = F.split(F.lit(",".join(map(str, machine.ravel()))), ",").cast("array<int>")
+    names = F.array(*map(F.lit, NAMES))
     order = ["observed_at", "seq"]
     r = lag_across(readings.select("asset", *order, "verdict"), ["asset"], order, "observed_at", width, {"prev_at": "observed_at"})
     fresh = F.col("prev_at").isNull()
     if hold_ms is not None:
         fresh = fresh | (F.col("observed_at") - F.col("prev_at") > hold_ms)
-    r = r.select("asset", *order, "verdict", lookup("verdict", VERDICT_TIER).alias("tier"), fresh.alias("fresh"),
-                 known(F.col("prev_at") == F.col("observed_at")).cast("int").alias("repeated"), bucket_of("observed_at", width).alias("day"))
-    r = dealt(r, "asset", "day").sortWithinPartitions("asset", "day", *order)
-
-    def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, cur = None, None
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if (row.asset, row.day) != key:
-                    if key is not None:
-                        out.append((*key, cur.tolist()))
-                    key, cur = (row.asset, row.day), np.arange(states)
-                cur = np.full(states, table[0, 0, row.tier]) if row.fresh else table[row.repeated, cur, row.tier]
-            yield pd.DataFrame(out, columns=["asset", "day", "map"])
-        if key is not None:
-            yield pd.DataFrame([(*key, cur.tolist())], columns=["asset", "day", "map"])
-
-    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asset, state = None, 0
-        for pdf in frames:
-            start = []
-            for row in pdf.itertuples(index=False):
-                if row.asset != asset:
-                    asset, state = row.asset, 0
-                start.append(state)
-                state = int(row.map[state])
-            yield pdf[["asset", "day"]].assign(start=start)
-
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, 0
-        for pdf in frames:
-            seen = np.empty(len(pdf), dtype=np.int64)
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                if (row.asset, row.day) != key:
-                    key, state = (row.asset, row.day), int(row.start)
-                state = int(table[row.repeated, 0 if row.fresh else state, row.tier])
-                seen[i] = state
-            out = pdf[["asset", "observed_at", "seq", "verdict"]].copy()
-            out["stable"] = [NAMES[v] for v in _shown(seen, k)]
-            yield out
-
-    days = r.mapInPandas(maps, "asset string, day long, map array<int>")
-    starts = dealt(days, "asset").sortWithinPartitions("asset", "day").mapInPandas(chain, "asset string, day long, start int")
-    j = dealt(r.join(starts, ["asset", "day"]), "asset", "day").sortWithinPartitions("asset", "day", *order)
-    return j.mapInPandas(replay, "asset string, observed_at long, seq long, verdict string, stable string")
+    row = F.struct(*order, "verdict", lookup("verdict", VERDICT_TIER).cast("int").alias("tier"), fresh.alias("fresh"), known(F.col("prev_at") == F.col("observed_at")).cast("int").alias("repeated"))
+    days = cut(r.groupBy("asset", bucket_of("observed_at", width).alias("day")).agg(F.array_sort(F.collect_list(row)).alias("rows")))
+
+    def step(state: Column, x: Column) -> Column:
+        return F.get(table, (x["repeated"] * states + F.when(x["fresh"], 0).otherwise(state)) * TIERS + x["tier"])
+
+    # a day as a map of states: where each state at its beginning leads
+    through = F.aggregate("rows", F.sequence(F.lit(0), F.lit(states - 1)), lambda m, x: F.transform(m, lambda c: step(c, x)))
+    chained = days.select("asset", F.struct("day", through.alias("map")).alias("d")).groupBy("asset").agg(F.array_sort(F.collect_list("d")).alias("days"))
+    begin = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("starts"))
+    walked = F.aggregate("days", begin, lambda s, d: F.struct(F.get(d["map"], s["state"]).alias("state"), F.concat(s["starts"], F.array(s["state"])).alias("starts")), lambda s: s["starts"])
+    starts = chained.select("asset", F.explode(F.arrays_zip(F.col("days.day").alias("day"), walked.alias("start"))).alias("x")).select("asset", "x.day", "x.start")
+    begin = F.struct(F.col("start").alias("state"), F.array().cast("array<int>").alias("seen"))
+
+    def replay(s: Column, x: Column) -> Column:
+        after = F.array(step(s["state"], x))
+        return F.struct(F.get(after, F.lit(0)).alias("state"), F.concat(s["seen"], after).alias("seen"))
+
+    seen = days.join(starts, ["asset", "day"]).select("asset", F.arrays_zip("rows", F.aggregate("rows", begin, replay, lambda s: s["seen"]).alias("seen")).alias("z"))
+    shown = F.get(names, F.floor((F.col("x.seen") - 1) / (1 + TIERS * (k - 1))).cast("int"))
+    return seen.select("asset", F.explode("z").alias("x")).select("asset", "x.rows.observed_at", "x.rows.seq", "x.rows.verdict", shown.alias("stable"))
 
 
 def thin_snapshots(readings: DataFrame, width: int = DAY_MS) -> DataFrame:
