@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import DAY_MS, known, ladder
 from assetlens.functions.skew import lag_across
 from assetlens.operators.folds import stabilize
@@ -91,7 +92,8 @@ def escapes(labelled: DataFrame, verdicts: DataFrame, width: int = 30 * DAY_MS)
     The next rejection is found by collapsing rejections to the first per bucket, so an asset's
     rejections are never paired with all its points.
     """
-    bad = labelled.where(~F.col("verdict").isin("REJECTED", "HIGH_RISK") & F.col("label").isin(*BAD)).withColumn("_b", F.floor(F.col("observed_at") / F.lit(width)))
+    bad = labelled.where(~F.col("verdict").isin("REJECTED", "HIGH_RISK") & F.col("label").isin(*BAD)).select("asset", *ORDER, "verdict", "label")
+    bad = cut(bad.withColumn("_b", F.floor(F.col("observed_at") / F.lit(width))))
     rej = verdicts.where("verdict = 'REJECTED'").select("asset", F.col("observed_at").alias("t")).withColumn("_b", F.floor(F.col("t") / F.lit(width)))
     key = ["asset", *ORDER]
     same = bad.select(*key, "_b").join(rej, ["asset", "_b"]).where(F.col("t") > F.col("observed_at")).groupBy(*key).agg(F.min("t").alias("t1"))
@@ -111,7 +113,7 @@ def raw_reversals(verdicts: DataFrame, column: str = "verdict", width: int = 30
 
 def replay_stability(verdicts: DataFrame, k: int) -> DataFrame:
     """Raw against stabilised change and reversal counts with ``k`` confirmations."""
-    s = stabilize(verdicts, k, hold_ms=None)
+    s = cut(stabilize(verdicts, k, hold_ms=None))
     raw = raw_reversals(s).select("asset", F.col("changes").alias("raw"), "reversals")
     st = raw_reversals(s, "stable").select("asset", F.col("changes").alias("stable"), F.col("reversals").alias("stable_reversals"))
     return raw.join(st, "asset")

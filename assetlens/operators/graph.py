@@ -329,9 +329,8 @@ def trusted_edges(edges: DataFrame, probed: DataFrame, hubs: DataFrame) -> DataF
 
 def network_edges(subjects: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """Edges within ``depth`` hops of the subjects, each once with the hop it was first met at."""
-    both = edges.select("a", "b", "type", "confidence").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "type", "confidence")
-    )
+    edges = cut(edges.select("a", "b", "type", "confidence"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "type", "confidence"))
     frontier = subjects.select(F.col("address").alias("a")).distinct()
     seen, found = frontier, None
     for hop in range(1, depth + 1):

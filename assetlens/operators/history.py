@@ -167,10 +167,10 @@ def coverage_overview(live: DataFrame, ledger: DataFrame) -> DataFrame:
     :func:`unknown_signals` of the same ledger gives the metrics that are not known.
     """
     c = F.col("coverage")
-    kept = ledger.join(live.select("asset"), "asset", "left_semi").agg(F.countDistinct("asset").alias("with_ledger"))
-    return live.agg(
+    kept = ledger.select("asset").distinct().withColumn("_ledger", F.lit(True))
+    return live.join(kept, "asset", "left").agg(
         F.count("*").alias("assets"), half_up(F.avg(c), 3).alias("mean_coverage"), half_up(F.avg("confidence"), 3).alias("mean_confidence"),
-        *(F.count_if((c >= lo) & (c < hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(COVERAGE_STEPS))).withColumn("_k", F.lit(1)).join(kept.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
+        *(F.count_if((c >= lo) & (c < hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(COVERAGE_STEPS)), F.count("_ledger").alias("with_ledger"))
 
 
 def veto_counts(vetoes: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def test_thinning_equals_the_sequential_fold(spark):
     rows, t = [], 0
     for i in range(300):
         t += rng.choice([60_000, 120_000, 2_400_000])
-        rows.append(("hot", t, i, rng.choice(NAMES[:2]), 50.0 + rng.choice([0, 0.2, 3]), rng.choice([0.5, 0.52, None]), 100.0 + rng.choice([0, 0.5]), rng.choice([None, 0.0, 10.0]), 5.0))
+        rows.append(("hot", t, i, rng.choice(NAMES[:2]), 50.0 + rng.choice([0, 0.2, 3]), rng.choice([0.5, 0.52, None]), 100.0 + rng.choice([0, 0.5]), rng.choice([None, 0.0, 10.0]), rng.choice([None, 5.0, 5.05, 6.0])))
     last, want = None, {}
     for a, t, i, v, s, c, p, liq, vol in rows:
         def move(x, y):
@@ -77,7 +77,7 @@ def test_thinning_equals_the_sequential_fold(spark):
             why = "first"
         elif v != last[3]:
             why = "transition"
-        elif abs(s - last[4]) >= 1 or (c is not None and last[5] is not None and abs(c - last[5]) >= 0.05) or move(p, last[6]) >= 0.02 or move(liq, last[7]) >= 0.02:
+        elif abs(s - last[4]) >= 1 or (c is not None and last[5] is not None and abs(c - last[5]) >= 0.05) or move(p, last[6]) >= 0.02 or move(liq, last[7]) >= 0.02 or move(vol, last[8]) >= 0.02:
             why = "material-change"
         else:
             why = "heartbeat" if t - last[1] >= 1_800_000 else None
