@@ -30,6 +30,6 @@ def test_stages_take_odd_rows(spark):
         if name == "best_fit_packing":  # every document is there whole, the empty ones too
             assert out.where("piece = 0").count() == rows
         else:
-            assert out.columns == docs.columns and out.exceptAll(docs).count() == 0, name
+            assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(map(tuple, docs.collect())), name
             assert out.count() == left.get(name, out.count()), name
         assert stage(spark, docs.limit(0), SF).count() == 0
