@@ -1,24 +1,29 @@
-"""A two-word language model with interpolated modified Kneser-Ney smoothing.
-
-Counting is Spark work: tasks combine what their blocks hold, one shuffle by hash range brings equal
-words and word pairs together, already sorted, and each range is written as sorted arrays of hashes
-and counts to the shared folder. A pair's hash is a one-to-one mix of its words' numbers (a word's
-number is its place in the sorted vocabulary), so pairs never collide. From the pairs each task also
-gives what it saw of every first word (total, pairs seen once, twice, more often) and of every second
-word (how many different words precede it); summed up, they become the weights of the lower order.
-Scoring workers map the arrays into memory and look up each block's distinct words and pairs in sorted
-order. Nothing is pruned: the model grows with the text it learned from.
+"""An n-gram language model (two or three words) with interpolated modified Kneser-Ney smoothing.
+
+Counting is Spark work: tasks combine what their blocks hold and hand on one packed piece of sorted keys
+and counts for each hash range; one shuffle brings the pieces of a range together, and each range is
+written as sorted arrays of hashes and counts to the shared folder. A pair's hash is a one-to-one mix of
+its words' numbers (a word's number is its place in the sorted vocabulary), so pairs never collide. Three
+words lie in the range of their first two: there the first two are found by their hash, and the third by
+the place of the first two and its own number. From its different triples each range also gives how many
+different words precede each pair, which are the pair's counts in the middle order; from its different
+pairs each range gives what it saw of every first word (total, pairs counted once, twice, more often) and
+of every second word (how many different words precede it), the counts of the lowest order. Scoring
+workers map the arrays into memory and look up each block's distinct words, pairs and triples in sorted
+order. Nothing is pruned: the model grows with the text it learned from, and the number of ranges with
+its tokens, so that no task holds more than about ``range_tokens`` of them.
 
 The shared folder has to be mounted on every node, as arrays are mapped from it.
 
-Null and empty texts are the end token alone. An unknown word has the share of one unseen word. Equal
-rows get equal scores. With no training text every token has the same probability. Only the id and the
-text column are read.
+Null and empty texts are the end token alone; very long texts are taken whole. An unknown word has the
+share of one unseen word. Equal rows get equal scores. With no training text every token has the same
+probability; an empty table gives no rows. Only the id and the text column are read.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,6 +40,7 @@ from assetlens.llm.staging import new_folder, staged
 
 END = np.uint64(0x5DEECE66D1234567)  # the end token's hash
 _WORD = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -59,68 +65,103 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *(np.add.reduceat(v[order], at) if len(keys) else v for v in values)
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Parts (hash, more key columns, counts) as one, sorted by key, counts of equal keys summed."""
+    *keys, n = map(np.concatenate, zip(*parts))
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    return [*(k[first] for k in keys), np.add.reduceat(n[order], first)]
+
+
+def _pack(hashes: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted hashes as differences and further columns, byte by byte: high bytes are mostly zero and compress to nothing."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in (np.diff(hashes, prepend=np.uint64(0)), *columns))
+
+
+def _unpack(piece: bytes, types: tuple) -> list[np.ndarray]:
+    sizes = [np.dtype(t).itemsize for t in types]
+    rows, at, out = len(piece) // sum(sizes), 0, []
+    for t, size in zip(types, sizes):
+        out.append(np.ascontiguousarray(np.frombuffer(piece, np.uint8, rows * size, at).reshape(size, rows).T).view(t).ravel())
+        at += rows * size
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+PAIRS = (np.uint64, np.int64)  # hash, count
+TRIPLES = (np.uint64, np.uint32, np.int64)  # hash of the first two words, number of the third, count
+_PIECES = "shard int, piece binary"
+
+
 class Combiner:
-    """Counts of keys over several blocks, handed on when there are many."""
+    """Counts of keys over several blocks, handed on as one packed piece for each hash range when there are many."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.held, self.size = most, [], 0
+    def __init__(self, bits: int, most: int = 1_000_000):
+        self.bits, self.most, self.held, self.size = bits, most, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, count = np.unique(keys, return_counts=True)
-        self.held.append((key, count))
-        self.size += len(key)
+    def add(self, *part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(part)
+        self.size += len(part[0])
         if self.size > self.most:
-            self.held = [_sums(*map(np.concatenate, zip(*self.held)))]
+            self.held = [_merged(self.held)]
             self.size = len(self.held[0][0])
             if self.size > self.most // 2:
                 yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            key, count = _sums(*map(np.concatenate, zip(*self.held)))
+        if self.size:
+            part = _merged(self.held)
             self.held, self.size = [], 0
-            for at in range(0, len(key), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 50_000].view(np.int64)), pa.array(count[at : at + 50_000].astype(np.int64))], ["key", "n"])
+            edges = np.searchsorted(_shard(part[0], self.bits), np.arange((1 << self.bits) + 1))
+            full = np.flatnonzero(np.diff(edges))
+            for some in np.array_split(full, -(-len(full) // 64)):
+                pieces = [_pack(*(c[edges[s] : edges[s + 1]] for c in part)) for s in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(pieces, pa.binary())], ["shard", "piece"])
+
+
+def _shard(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _save(path: str, values: np.ndarray) -> None:
-    """Whole or not at all, so a task that runs again or twice does no harm."""
-    part = f"{path}.{os.getpid()}.part"
+    """Whole or not at all, under a name of its own until then, so a task that runs again or twice does no harm."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as f:
         np.save(f, values)
     os.replace(part, path)
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(range, keys, counts) of rows (range, key, n) sorted by range and key, equal keys summed."""
-    at, keys, counts = None, [], []
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return n.astype(np.min_scalar_type(int(n.max())))
 
-    def joined():
-        key, n = np.concatenate(keys).view(np.uint64), np.concatenate(counts)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return at, key[first], np.add.reduceat(n, first)
 
+def _ranges(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[tuple]:
+    """(range, key columns, counts) of pieces sorted by range; pieces of range -1 are handed through as four numbers."""
+    at, parts = None, []
     for batch in batches:
-        shard, key, n = (batch.column(i).to_numpy() for i in range(3))
-        for s in np.unique(shard):
-            lo, hi = np.searchsorted(shard, [s, s + 1])
-            if s != at and keys:
-                yield joined()
-                keys, counts = [], []
-            at = int(s)
-            keys.append(key[lo:hi])
-            counts.append(n[lo:hi])
-    if keys:
-        yield joined()
+        for shard, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if shard < 0:
+                yield -1, np.frombuffer(piece.as_py(), np.int64)
+                continue
+            if shard != at and parts:
+                yield at, *_merged(parts)
+                parts = []
+            at = shard
+            parts.append(_unpack(piece.as_py(), types))
+    if parts:
+        yield at, *_merged(parts)
 
 
 @dataclass(frozen=True)
 class Model:
     folder: str
-    bits: int  # 2 ** bits hash ranges
+    order: int  # words of the longest n-grams
+    bits: int  # 2 ** bits hash ranges of words
+    wide: int  # and of pairs and triples
     begins: tuple[int, ...]  # number of the first word of each range, and the vocabulary's size
     total: int  # tokens learned from
-    discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]  # of pairs, and of triples
     per: int  # words in a file of weights
     unseen: float  # lower-order probability of an unknown word
 
@@ -132,8 +173,8 @@ class Model:
 class Arrays:
     """The arrays of a model, each mapped when it is first needed."""
 
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits = folder, bits
+    def __init__(self, folder: str):
+        self.folder = folder
         self.maps: dict[str, np.ndarray | None] = {}
 
     def get(self, name: str) -> np.ndarray | None:
@@ -142,21 +183,19 @@ class Arrays:
             self.maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[name]
 
-    def find(self, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place and count of sorted keys in their range (count 0: absent), and the range."""
-        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        place, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        edges = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
-        for s in np.unique(shard):
-            lo, hi = edges[s], edges[s + 1]
+    def find(self, kind: str, keys: np.ndarray, shard: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Place and counts (``width`` each; 0: absent) in their range of keys that are sorted by range and key."""
+        place, count = np.zeros(len(keys), np.int64), np.zeros((len(keys), width), np.int64)
+        present, edges = np.unique(shard, return_index=True)
+        for s, lo, hi in zip(present, edges, np.r_[edges[1:], len(keys)]):
             stored = self.get(f"{kind}-{s}")
             if stored is None:
                 continue
             at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
             hit = stored[at] == keys[lo:hi]
             place[lo:hi] = at
-            count[lo:hi] = np.where(hit, self.get(f"{kind}-n-{s}")[at], 0)
-        return place, count, shard
+            count[lo:hi] = np.where(hit[:, None], self.get(f"{kind}-n-{s}")[at].reshape(-1, width), 0)
+        return place, count[:, 0] if width == 1 else count
 
     def weights(self, ids: np.ndarray, per: int) -> np.ndarray:
         """(total, weight of the lower order, lower-order probability) of word numbers, a row each."""
@@ -169,18 +208,23 @@ class Arrays:
 
 
 @lru_cache(maxsize=1)
-def _open(folder: str, bits: int) -> Arrays:
-    return Arrays(folder, bits)
+def _open(folder: str) -> Arrays:
+    return Arrays(folder)
 
 
-def _number(arrays: Arrays, begins: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _number(arrays: Arrays, begins: np.ndarray, bits: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers (-1: unknown) and counts of the distinct hashes of ``h``, and where each of ``h`` is among them."""
     distinct, which = np.unique(h, return_inverse=True)
-    place, count, shard = arrays.find("word", distinct)
+    shard = _shard(distinct, bits)
+    place, count = arrays.find("word", distinct, shard)
     return np.where(count > 0, begins[shard] + place, -1), count, which
 
 
-def _pairs(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+def _joined(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (u.astype(np.uint64) << _WORD) | w.astype(np.uint64)
+
+
+def _before(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     """The word before each token; ``start`` before the first of a text."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -206,68 +250,101 @@ def _taken(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3)]
 
 
-def train(df: DataFrame, text_col: str = "text") -> Model:
-    """Learn from every text of ``df``."""
+def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: int = 4_000_000) -> Model:
+    """Learn n-grams of up to ``order`` (2 or 3) words from every text of ``df``."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = df.sparkSession
     root = _mounted(new_folder(spark, "kneser-ney"))
     os.makedirs(root, exist_ok=True)
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    ranges = 1 << bits
     texts = df.select(F.lit(0).alias("none"), text_col)
 
-    def sorted_ranges(rows: DataFrame) -> DataFrame:
-        return rows.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), "key", "n").repartition(ranges, "shard").sortWithinPartitions("shard", "key")
+    def by_range(pieces: DataFrame, bits: int) -> DataFrame:
+        return pieces.repartition(1 << bits, "shard").sortWithinPartitions("shard")
 
     def count_words(batches):
-        held = Combiner()
+        held = Combiner(bits)
         for _, data, offsets in text_blocks(batches):
-            yield from held.add(tokens(data, offsets)[0])
+            yield from held.add(*np.unique(tokens(data, offsets)[0], return_counts=True))
         yield from held.rest()
 
     def write_words(batches):
-        for shard, key, n in _ranges(batches):
+        for shard, key, n in _ranges(batches, PAIRS):
             _save(f"{root}/word-{shard}.npy", key)
             _save(f"{root}/word-n-{shard}.npy", n)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "words", "tokens"])
 
-    written = sorted_ranges(texts.mapInArrow(count_words, "key long, n long")).mapInArrow(write_words, "shard int, words long, tokens long").collect()  # a row for each range
-    sizes = np.zeros(ranges, np.int64)
+    written = by_range(texts.mapInArrow(count_words, _PIECES), bits).mapInArrow(write_words, "shard int, words long, tokens long").collect()  # a row for each range
+    sizes = np.zeros(1 << bits, np.int64)
     for r in written:
         sizes[r["shard"]] = r["words"]
     begins = np.r_[0, np.cumsum(sizes)]
     start = int(begins[-1])  # the number of the word before a text
+    tokens_seen = sum(r["tokens"] for r in written)
+    wide = max(bits, (tokens_seen // range_tokens).bit_length())
 
-    def count_pairs(batches):
-        arrays, held = _open(root, bits), Combiner()
+    def count_grams(batches):
+        arrays, held = _open(root), Combiner(wide)
         for _, data, offsets in text_blocks(batches):
             h, first = tokens(data, offsets)
-            distinct, _, which = _number(arrays, begins, h)
-            ids = distinct[which]
-            yield from held.add(splitmix((_pairs(ids, first, start).astype(np.uint64) << _WORD) | ids.astype(np.uint64)))
+            distinct, _, which = _number(arrays, begins, bits, h)
+            w = distinct[which]
+            v = _before(w, first, start)
+            if order == 2:
+                yield from held.add(*np.unique(splitmix(_joined(v, w)), return_counts=True))
+                continue
+            pair, place = np.unique(splitmix(_joined(_before(v, first, start), v)), return_inverse=True)
+            both, n = np.unique(_joined(place, w), return_counts=True)
+            yield from held.add(pair[(both >> _WORD).astype(np.int64)], both.astype(np.uint32), n)
         yield from held.rest()
 
+    def write_triples(batches):
+        """Writes the triples and hands on the pairs they end with, each as often as different words precede it."""
+        held = Combiner(wide)
+        for shard, pair, w, n in _ranges(batches, TRIPLES):
+            new = np.r_[True, pair[1:] != pair[:-1]]
+            first = np.flatnonzero(new)
+            _save(f"{root}/context-{shard}.npy", pair[first])
+            _save(f"{root}/context-n-{shard}.npy", _narrow(np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (n, n == 1, n == 2, n > 2)], 1)))
+            _save(f"{root}/triple-{shard}.npy", _joined(np.cumsum(new) - 1, w))
+            _save(f"{root}/triple-n-{shard}.npy", _narrow(n))
+            seen = np.array([int((n == k).sum()) for k in (1, 2, 3, 4)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], ["shard", "piece"])
+            yield from held.add(*np.unique(splitmix(_joined(unmix(pair) & _LOW, w)), return_counts=True))
+        yield from held.rest()
+
+    columns = ["id", "total", "once", "twice", "more", "before"]
+
     def write_pairs(batches):
-        for shard, key, n in _ranges(batches):
+        for shard, *found in _ranges(batches, PAIRS):
+            if shard < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (-2, *found[0].tolist(), 0)], columns)
+                continue
+            key, n = found
             _save(f"{root}/pair-{shard}.npy", key)
-            _save(f"{root}/pair-n-{shard}.npy", n.astype(np.uint32) if n.max() < 1 << 32 else n)
+            _save(f"{root}/pair-n-{shard}.npy", _narrow(n))
             both = unmix(key)
-            one, two, more = (n == 1), (n == 2), (n > 2)
-            u, total, a, b, c = _sums((both >> _WORD).astype(np.int64), n, one.astype(np.int64), two.astype(np.int64), more.astype(np.int64))
-            w, before = _sums((both & np.uint64(0xFFFFFFFF)).astype(np.int64), np.ones(len(n), np.int64))
-            none = np.zeros(len(w), np.int64)
-            yield from pa.Table.from_arrays([pa.array(np.r_[u, w]), *(pa.array(np.r_[x, y]) for x, y in ((total, none), (a, none), (b, none), (c, none), (np.zeros(len(u), np.int64), before)))], ["id", "total", "once", "twice", "more", "before"]).to_batches(max_chunksize=50_000)
-            seen = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x]) for x in (seen[0], seen[1], seen[2], seen[3], 0))], ["id", "total", "once", "twice", "more", "before"])
-
-    seen = staged(sorted_ranges(texts.mapInArrow(count_pairs, "key long, n long")).mapInArrow(write_pairs, "id long, total long, once long, twice long, more long, before long"), "pairs")
-    sums = staged(seen.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("total", "once", "twice", "more", "before"))), "words")
-    counted = sums.where("id < 0").first()
-    d = discounts(*(counted[c] for c in ("total", "once", "twice", "more"))) if counted else (0.5, 1.0, 1.5)
+            u, w = (both >> _WORD).astype(np.int64), (both & _LOW).astype(np.int64)
+            none, each = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
+            rows = _sums(np.r_[u, w], *(np.r_[x.astype(np.int64), none] for x in (n, n == 1, n == 2, n > 2)), np.r_[none, each])
+            yield from pa.Table.from_arrays([pa.array(x) for x in rows], columns).to_batches(max_chunksize=50_000)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (-1, *(int((n == k).sum()) for k in (1, 2, 3, 4)), 0)], columns)
+
+    pieces = texts.mapInArrow(count_grams, _PIECES)
+    if order == 3:
+        pieces = by_range(pieces, wide).mapInArrow(write_triples, _PIECES)
+    seen = by_range(pieces, wide).mapInArrow(write_pairs, ", ".join(f"{c} long" for c in columns))
+    sums = staged(seen.groupBy("id").agg(*(F.sum(c).alias(c) for c in columns[1:])), "words")
+    counted = {r["id"]: r for r in sums.where("id < 0").collect()}  # a row for each order
+    steps = tuple(discounts(*(counted[k][c] for c in columns[1:5])) if k in counted else (0.5, 1.0, 1.5) for k in range(-1, -order, -1))
+    d = steps[0]
     low = sums.where("id >= 0").agg(*(F.count(F.when(F.col("before") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count(F.when(F.col("before") > 2, 1)).alias("more"), F.coalesce(F.sum("before"), F.lit(0)).alias("all")).first()
     e = discounts(low["n1"], low["n2"], low["n3"], low["n4"])
     every = max(low["all"], 1)
     unseen = (e[0] * low["n1"] + e[1] * low["n2"] + e[2] * low["more"]) / every / (start + 1) if low["all"] else 1 / (start + 1)
-    per = -(-(start + 1) // ranges)
+    parts = 1 << bits
+    per = -(-(start + 1) // parts)
 
     def write_weights(batches):
         at, held = None, []
@@ -297,9 +374,9 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
         if held:
             yield save()
 
-    parts = sums.where("id >= 0").select("id", "total", "once", "twice", "more", "before")
-    parts.repartition(ranges, F.expr(f"id div {per}")).sortWithinPartitions("id").mapInArrow(write_weights, "part long").collect()  # a row for each file
-    return Model(root, bits, tuple(begins.tolist()), sum(r["tokens"] for r in written), d, per, unseen)
+    numbered = sums.where("id >= 0").select(*columns)
+    numbered.repartition(parts, F.expr(f"id div {per}")).sortWithinPartitions("id").mapInArrow(write_weights, "part long").collect()  # a row for each file
+    return Model(root, order, bits, wide, tuple(begins.tolist()), tokens_seen, steps, per, unseen)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,27 +385,44 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     floor = model.total + start + 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = _open(model.folder, model.bits)
+        arrays = _open(model.folder)
         for rows, data, offsets in text_blocks(batches):
             h, first = tokens(data, offsets)
-            number, count, which = _number(arrays, begins, h)
+            number, count, which = _number(arrays, begins, model.bits, h)
             known = number >= 0
             weight = np.zeros((len(number), 3))
             weight[:, 2] = model.unseen
             weight[known] = arrays.weights(number[known], model.per)
             ids = number[which]
-            before = _pairs(ids, first, start)
+            before = _before(ids, first, start)
             # what a text begins with has weights of its own
             lead = arrays.weights(np.array([start]), model.per)[0] if arrays.get(f"weights-{start // model.per}") is not None else np.zeros(3)
             both = (ids >= 0) & (before >= 0)
-            key, at = np.unique(splitmix((before[both].astype(np.uint64) << _WORD) | ids[both].astype(np.uint64)), return_inverse=True)
+            key, at = np.unique(splitmix(_joined(before[both], ids[both])), return_inverse=True)
             seen = np.zeros(len(ids), np.int64)
-            seen[both] = arrays.find("pair", key)[1][at]
+            seen[both] = arrays.find("pair", key, _shard(key, model.wide))[1][at]
             total, back = np.zeros(len(ids)), np.ones(len(ids))
             total[1:], back[1:] = weight[which[:-1], 0], weight[which[:-1], 1]
             total[first[:-1]], back[first[:-1]] = lead[0], lead[1]
             back = np.where(total > 0, back, 1.0)
-            p = np.maximum(seen - _taken(seen, model.discounts), 0) / np.maximum(total, 1) + back * weight[which, 2]
+            p = np.maximum(seen - _taken(seen, model.discounts[0]), 0) / np.maximum(total, 1) + back * weight[which, 2]
+            if model.order == 3:
+                d = model.discounts[1]
+                earlier = _before(before, first, start)
+                both = np.flatnonzero((earlier >= 0) & (before >= 0))
+                key, at = np.unique(splitmix(_joined(earlier[both], before[both])), return_inverse=True)
+                shard = _shard(key, model.wide)
+                place, about = arrays.find("context", key, shard, 4)
+                met = about[at, 0] > 0
+                both, at = both[met], at[met]
+                total, back = about[at, 0], about[at, 1:] @ np.array(d) / about[at, 0]
+                seen = np.zeros(len(both), np.int64)
+                some = ids[both] >= 0
+                # pairs rise with their range and place, so triples in this order are sorted there too
+                triple, where = np.unique(_joined(at[some], ids[both][some]), return_inverse=True)
+                of = (triple >> _WORD).astype(np.int64)
+                seen[some] = arrays.find("triple", _joined(place[of], triple & _LOW), shard[of])[1][where]
+                p[both] = np.maximum(seen - _taken(seen, d), 0) / total + back * p[both]
             base = np.log10((count + 1) / floor)[which]
             n = np.diff(first)
             add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token

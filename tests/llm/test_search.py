@@ -66,40 +66,63 @@ def test_op3_odd_rows(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_op4_is_the_textbook_model(spark):
+def steps(counts):
+    """What modified Kneser-Ney takes from counts of one, two, and three or more."""
+    n = Counter(counts)
+    y = n[1] / (n[1] + 2 * n[2])
+    return (0, *(k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)))
+
+
+def textbook(sentences, order):
+    """p(word, words before) of the interpolated model, by plain dictionaries."""
+    pad = ["<s>"] * (order - 1)
+    grams = {order: Counter(tuple([*pad, *s][i : i + order]) for s in sentences for i in range(len(s)))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    take = {k: steps(grams[k].values()) for k in grams}
+    total, left = Counter(), Counter()
+    for k, counts in grams.items():
+        for g, c in counts.items():
+            total[k, g[:-1]] += c
+            left[k, g[:-1]] += take[k][min(c, 3)]
+    size = len(grams[1])
+
+    def p(w, before):
+        k = len(before) + 1
+        lower = p(w, before[1:]) if before else 1 / (size + 1)
+        if not total[k, before]:
+            return lower
+        c = grams[k].get((*before, w), 0)
+        return (c - take[k][min(c, 3)] + left[k, before] * lower) / total[k, before]
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_op4_is_the_textbook_model(spark, order):
     texts = {i: WORD.findall(t.translate(LOW)) + ["</s>"] for i, t in texts_of(spark).items()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     c = Counter(w for i in texts if not out[i] for w in texts[i])
     total, size = sum(c.values()), len(c)
-    pairs = Counter(p for i in texts if not out[i] for p in zip(["<s>", *texts[i]], texts[i]))
-    before = Counter(w for _, w in pairs)
-
-    def steps(counts):
-        n = Counter(counts)
-        return (0, *kneserney.discounts(n[1], n[2], n[3], n[4]))
-
-    d, e = steps(pairs.values()), steps(before.values())
-    unseen = sum(e[min(k, 3)] for k in before.values()) / len(pairs) / (size + 1)
-    of, left = Counter(), Counter()
-    for (u, _), k in pairs.items():
-        of[u] += k
-        left[u] += d[min(k, 3)]
-
-    def lower(w):
-        return max(before[w] - e[min(before[w], 3)], 0) / len(pairs) + unseen
-
-    def p(u, w):
-        k = pairs.get((u, w), 0)
-        return max(k - d[min(k, 3)], 0) / of[u] + left[u] / of[u] * lower(w) if of[u] else lower(w)
-
-    for u in ("<s>", "the", next(iter(c))):
-        assert sum(p(u, w) for w in c) + p(u, "never seen") == pytest.approx(1)
-    rows = {r["doc_id"]: r for r in queries.op4_kneser_ney(spark, SF).collect()}
-    for i, words in texts.items():
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(words), sum(w in c for w in words), total)
+    p = textbook([texts[i] for i in texts if not out[i]], order)
+    pad = ["<s>"] * (order - 1)
+    for u in (tuple(pad), (*pad[1:], "the"), (*pad[1:], next(iter(c)))):
+        assert sum(p(w, u) for w in c) + p("never seen", u) == pytest.approx(1)
+    if order == 3:
+        rows = queries.op4_kneser_ney(spark, SF).collect()
+    else:
+        documents = spark.read.parquet(f"{SF}/documents.parquet")
+        held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+        # small ranges, so that there are more of them than shuffle partitions
+        model = kneserney.train(documents.where(~held_out), order=2, range_tokens=500)
+        rows = kneserney.score(documents, model).select("*", held_out.alias("held_out"), F.lit(model.total).alias("train_tokens")).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for r in rows:
+        words = texts[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[r["doc_id"]], len(words), sum(w in c for w in words), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (total + size + 1)) for w in words))
-        assert r["score"] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *words], words)))
+        line = [*pad, *words]
+        assert r["score"] == pytest.approx(sum(math.log10(p(line[k + order - 1], tuple(line[k : k + order - 1]))) for k in range(len(words))))
 
 
 def test_op4_odd_rows(spark):
