@@ -31,6 +31,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,14 +44,6 @@ _WORD = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of ``splitmix``."""
-    for shift, back in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9)):
-        x = x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))
-        x = x * np.uint64(pow(back, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a block (each text's words, then the end), and each text's first one."""
     _, _, first, h = words(data, offsets)
@@ -74,30 +67,49 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
     return [*(k[first] for k in keys), np.add.reduceat(n[order], first)]
 
 
-def _pack(hashes: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted hashes as differences and further columns, byte by byte: high bytes are mostly zero and compress to nothing."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in (np.diff(hashes, prepend=np.uint64(0)), *columns))
+def _planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones, and so on: high bytes are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+
+
+def _pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted keys as differences and how often each repeats, then further columns."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    often = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+    distinct = np.diff(keys[first], prepend=np.uint64(0))
+    return zstandard.compress(b"".join([np.array([len(first)], np.int64).tobytes(), *map(_planes, (distinct, often, *columns))]), 1)
 
 
 def _unpack(piece: bytes, types: tuple) -> list[np.ndarray]:
-    sizes = [np.dtype(t).itemsize for t in types]
-    rows, at, out = len(piece) // sum(sizes), 0, []
-    for t, size in zip(types, sizes):
-        out.append(np.ascontiguousarray(np.frombuffer(piece, np.uint8, rows * size, at).reshape(size, rows).T).view(t).ravel())
+    piece = zstandard.decompress(piece)
+    at = 8
+
+    def column(t, rows):
+        nonlocal at
+        size = np.dtype(t).itemsize
+        flat = np.frombuffer(piece, np.uint8, rows * size, at).reshape(size, rows)
         at += rows * size
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+        return np.ascontiguousarray(flat.T).view(t).ravel()
+
+    rows = int(np.frombuffer(piece, np.int64, 1)[0])
+    distinct, often = column(np.uint64, rows), column(np.uint32, rows)
+    keys = np.repeat(np.cumsum(distinct, dtype=np.uint64), often)
+    return [keys, *(column(t, len(keys)) for t in types)]
 
 
-PAIRS = (np.uint64, np.int64)  # hash, count
-TRIPLES = (np.uint64, np.uint32, np.int64)  # hash of the first two words, number of the third, count
+COUNTS = (np.int64,)  # of words, or of pairs
+TRIPLES = (np.uint32, np.int64)  # number of the third word, count
 _PIECES = "shard int, piece binary"
 
 
 class Combiner:
-    """Counts of keys over several blocks, handed on as one packed piece for each hash range when there are many."""
+    """Counts of keys over several blocks, handed on as one packed piece for each hash range when there are many.
 
-    def __init__(self, bits: int, most: int = 1_000_000):
-        self.bits, self.most, self.held, self.size = bits, most, [], 0
+    Keys are words' hashes, or pairs of word numbers, which are mixed only to find their range.
+    """
+
+    def __init__(self, bits: int, pairs: bool = True, most: int = 1_000_000):
+        self.bits, self.pairs, self.most, self.held, self.size = bits, pairs, most, [], 0
 
     def add(self, *part: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(part)
@@ -112,7 +124,10 @@ class Combiner:
         if self.size:
             part = _merged(self.held)
             self.held, self.size = [], 0
-            edges = np.searchsorted(_shard(part[0], self.bits), np.arange((1 << self.bits) + 1))
+            shard = _shard(splitmix(part[0]) if self.pairs else part[0], self.bits)
+            order = np.argsort(shard, kind="stable")
+            part = [c[order] for c in part]
+            edges = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
             full = np.flatnonzero(np.diff(edges))
             for some in np.array_split(full, -(-len(full) // 64)):
                 pieces = [_pack(*(c[edges[s] : edges[s + 1]] for c in part)) for s in some]
@@ -124,16 +139,26 @@ def _shard(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _save(path: str, values: np.ndarray) -> None:
-    """Whole or not at all, under a name of its own until then, so a task that runs again or twice does no harm."""
+    """Whole or not at all, under a name of its own until then, so a task that runs again or twice does no harm.
+
+    Empty arrays cannot be mapped and have no file.
+    """
+    if not len(values):
+        return
     part = f"{path}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as f:
         np.save(f, values)
     os.replace(part, path)
 
 
-def _narrow(n: np.ndarray) -> np.ndarray:
-    """Counts in the smallest type that holds them."""
-    return n.astype(np.min_scalar_type(int(n.max())))
+def _save_counts(path: str, n: np.ndarray) -> None:
+    """Counts in a byte each; 255 stands for those that are listed apart."""
+    n = n.ravel()
+    big = np.flatnonzero(n >= 255)
+    _save(f"{path}.npy", np.minimum(n, 255).astype(np.uint8))
+    if len(big):
+        _save(f"{path}-at.npy", big)
+        _save(f"{path}-big.npy", n[big])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[tuple]:
@@ -170,6 +195,12 @@ class Model:
         return self.begins[-1]
 
 
+def _spans(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(range, first, end) of each run of a sorted array of ranges."""
+    present, edges = np.unique(shard, return_index=True)
+    return zip(present.tolist(), edges.tolist(), [*edges[1:].tolist(), len(shard)])
+
+
 class Arrays:
     """The arrays of a model, each mapped when it is first needed."""
 
@@ -183,19 +214,45 @@ class Arrays:
             self.maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[name]
 
-    def find(self, kind: str, keys: np.ndarray, shard: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Place and counts (``width`` each; 0: absent) in their range of keys that are sorted by range and key."""
-        place, count = np.zeros(len(keys), np.int64), np.zeros((len(keys), width), np.int64)
-        present, edges = np.unique(shard, return_index=True)
-        for s, lo, hi in zip(present, edges, np.r_[edges[1:], len(keys)]):
+    def find(self, kind: str, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Place in their range of keys that are sorted by range and key (-1: absent)."""
+        place = np.full(len(keys), -1)
+        for s, lo, hi in _spans(shard):
             stored = self.get(f"{kind}-{s}")
-            if stored is None:
+            if stored is not None:
+                at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
+                place[lo:hi] = np.where(stored[at] == keys[lo:hi], at, -1)
+        return place
+
+    def values(self, kind: str, place: np.ndarray, shard: np.ndarray, width: int = 1, counts: bool = True) -> np.ndarray:
+        """What is stored at the places found, ``width`` numbers each; zeros for what is absent."""
+        out = np.zeros((len(place), width), np.int64)
+        for s, lo, hi in _spans(shard):
+            there = np.flatnonzero(place[lo:hi] >= 0) + lo
+            if not len(there):
                 continue
-            at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
-            hit = stored[at] == keys[lo:hi]
-            place[lo:hi] = at
-            count[lo:hi] = np.where(hit[:, None], self.get(f"{kind}-n-{s}")[at].reshape(-1, width), 0)
-        return place, count[:, 0] if width == 1 else count
+            at = place[there, None] * width + np.arange(width)
+            found = self.get(f"{kind}-{s}")[at].astype(np.int64)
+            if counts and (found == 255).any():
+                big = found == 255
+                found[big] = self.get(f"{kind}-{s}-big")[np.searchsorted(self.get(f"{kind}-{s}-at"), at[big])]
+            out[there] = found
+        return out[:, 0] if width == 1 else out
+
+    def third(self, place: np.ndarray, w: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Place of the triple of the context at ``place`` with the word numbered ``w`` (-1: absent)."""
+        out = np.full(len(place), -1)
+        for s, first, last in _spans(shard):
+            begin, stored, want = self.get(f"begin-{s}"), self.get(f"triple-{s}"), w[first:last]
+            lo, end = begin[place[first:last]].astype(np.int64), begin[place[first:last] + 1].astype(np.int64)
+            hi = end.copy()
+            while (open := lo < hi).any():  # all searches halve their ranges together
+                mid = (lo + hi) // 2
+                less = stored[np.minimum(mid, len(stored) - 1)] < want
+                lo, hi = np.where(open & less, mid + 1, lo), np.where(open & ~less, mid, hi)
+            hit = (lo < end) & (stored[np.minimum(lo, len(stored) - 1)] == want)
+            out[first:last] = np.where(hit, lo, -1)
+        return out
 
     def weights(self, ids: np.ndarray, per: int) -> np.ndarray:
         """(total, weight of the lower order, lower-order probability) of word numbers, a row each."""
@@ -216,8 +273,8 @@ def _number(arrays: Arrays, begins: np.ndarray, bits: int, h: np.ndarray) -> tup
     """Word numbers (-1: unknown) and counts of the distinct hashes of ``h``, and where each of ``h`` is among them."""
     distinct, which = np.unique(h, return_inverse=True)
     shard = _shard(distinct, bits)
-    place, count = arrays.find("word", distinct, shard)
-    return np.where(count > 0, begins[shard] + place, -1), count, which
+    place = arrays.find("word", distinct, shard)
+    return np.where(place >= 0, begins[shard] + place, -1), arrays.values("word-n", place, shard), which
 
 
 def _joined(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -240,10 +297,13 @@ def _mounted(path: str) -> str:
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
-    """What is taken from counts of one, two, and three or more, from how many have a count of one to four."""
+    """What is taken from counts of one, two, and three or more, from how many have a count of one to four.
+
+    The closed forms, kept a thousandth away from nothing and from the whole count, so that both orders have a share.
+    """
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     raw = [k - (k + 1) * y * b / a if a else 0.5 * k for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
+    return tuple(min(max(d, 0.001), k - 0.001) for k, d in enumerate(raw, 1))
 
 
 def _taken(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -264,15 +324,15 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
         return pieces.repartition(1 << bits, "shard").sortWithinPartitions("shard")
 
     def count_words(batches):
-        held = Combiner(bits)
+        held = Combiner(bits, pairs=False)
         for _, data, offsets in text_blocks(batches):
             yield from held.add(*np.unique(tokens(data, offsets)[0], return_counts=True))
         yield from held.rest()
 
     def write_words(batches):
-        for shard, key, n in _ranges(batches, PAIRS):
+        for shard, key, n in _ranges(batches, COUNTS):
             _save(f"{root}/word-{shard}.npy", key)
-            _save(f"{root}/word-n-{shard}.npy", n)
+            _save_counts(f"{root}/word-n-{shard}", n)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "words", "tokens"])
 
     written = by_range(texts.mapInArrow(count_words, _PIECES), bits).mapInArrow(write_words, "shard int, words long, tokens long").collect()  # a row for each range
@@ -292,9 +352,9 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
             w = distinct[which]
             v = _before(w, first, start)
             if order == 2:
-                yield from held.add(*np.unique(splitmix(_joined(v, w)), return_counts=True))
+                yield from held.add(*np.unique(_joined(v, w), return_counts=True))
                 continue
-            pair, place = np.unique(splitmix(_joined(_before(v, first, start), v)), return_inverse=True)
+            pair, place = np.unique(_joined(_before(v, first, start), v), return_inverse=True)
             both, n = np.unique(_joined(place, w), return_counts=True)
             yield from held.add(pair[(both >> _WORD).astype(np.int64)], both.astype(np.uint32), n)
         yield from held.rest()
@@ -302,29 +362,35 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
     def write_triples(batches):
         """Writes the triples and hands on the pairs they end with, each as often as different words precede it."""
         held = Combiner(wide)
-        for shard, pair, w, n in _ranges(batches, TRIPLES):
-            new = np.r_[True, pair[1:] != pair[:-1]]
-            first = np.flatnonzero(new)
-            _save(f"{root}/context-{shard}.npy", pair[first])
-            _save(f"{root}/context-n-{shard}.npy", _narrow(np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (n, n == 1, n == 2, n > 2)], 1)))
-            _save(f"{root}/triple-{shard}.npy", _joined(np.cumsum(new) - 1, w))
-            _save(f"{root}/triple-n-{shard}.npy", _narrow(n))
+        for shard, *found in _ranges(batches, TRIPLES):
+            pair, w, n = found
+            yield from held.add(*np.unique(_joined(pair & _LOW, w), return_counts=True))
+            order = np.argsort(splitmix(pair), kind="stable")  # third words stay sorted
+            pair, w, n = splitmix(pair[order]), w[order], n[order]
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            size = np.diff(np.r_[first, len(pair)])
+            alone = size == 1  # most contexts have one third word: nothing more to store
+            for kind, values in (("one", pair[first[alone]]), ("one-w", w[first[alone]]), ("context", pair[first[~alone]]), ("begin", np.r_[0, np.cumsum(size[~alone])].astype(np.uint32)), ("triple", w[np.repeat(~alone, size)])):
+                _save(f"{root}/{kind}-{shard}.npy", values)
+            about = np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (n, n == 1, n == 2, n > 2)], 1)
+            for kind, counts in (("one-n", n[first[alone]]), ("context-n", about[~alone]), ("triple-n", n[np.repeat(~alone, size)])):
+                _save_counts(f"{root}/{kind}-{shard}", counts)
             seen = np.array([int((n == k).sum()) for k in (1, 2, 3, 4)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], ["shard", "piece"])
-            yield from held.add(*np.unique(splitmix(_joined(unmix(pair) & _LOW, w)), return_counts=True))
         yield from held.rest()
 
     columns = ["id", "total", "once", "twice", "more", "before"]
 
     def write_pairs(batches):
-        for shard, *found in _ranges(batches, PAIRS):
+        for shard, *found in _ranges(batches, COUNTS):
             if shard < 0:
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (-2, *found[0].tolist(), 0)], columns)
                 continue
-            key, n = found
-            _save(f"{root}/pair-{shard}.npy", key)
-            _save(f"{root}/pair-n-{shard}.npy", _narrow(n))
-            both = unmix(key)
+            both, n = found
+            key = splitmix(both)
+            order = np.argsort(key)
+            _save(f"{root}/pair-{shard}.npy", key[order])
+            _save_counts(f"{root}/pair-n-{shard}", n[order])
             u, w = (both >> _WORD).astype(np.int64), (both & _LOW).astype(np.int64)
             none, each = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
             rows = _sums(np.r_[u, w], *(np.r_[x.astype(np.int64), none] for x in (n, n == 1, n == 2, n > 2)), np.r_[none, each])
@@ -400,7 +466,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             both = (ids >= 0) & (before >= 0)
             key, at = np.unique(splitmix(_joined(before[both], ids[both])), return_inverse=True)
             seen = np.zeros(len(ids), np.int64)
-            seen[both] = arrays.find("pair", key, _shard(key, model.wide))[1][at]
+            shard = _shard(key, model.wide)
+            seen[both] = arrays.values("pair-n", arrays.find("pair", key, shard), shard)[at]
             total, back = np.zeros(len(ids)), np.ones(len(ids))
             total[1:], back[1:] = weight[which[:-1], 0], weight[which[:-1], 1]
             total[first[:-1]], back[first[:-1]] = lead[0], lead[1]
@@ -412,16 +479,17 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 both = np.flatnonzero((earlier >= 0) & (before >= 0))
                 key, at = np.unique(splitmix(_joined(earlier[both], before[both])), return_inverse=True)
                 shard = _shard(key, model.wide)
-                place, about = arrays.find("context", key, shard, 4)
+                one, many = arrays.find("one", key, shard), arrays.find("context", key, shard)
+                about, only, third = arrays.values("context-n", many, shard, 4), arrays.values("one-n", one, shard), arrays.values("one-w", one, shard, counts=False)
+                about[one >= 0] = np.stack([only, only == 1, only == 2, only > 2], 1)[one >= 0]
                 met = about[at, 0] > 0
                 both, at = both[met], at[met]
                 total, back = about[at, 0], about[at, 1:] @ np.array(d) / about[at, 0]
-                seen = np.zeros(len(both), np.int64)
-                some = ids[both] >= 0
-                # pairs rise with their range and place, so triples in this order are sorted there too
-                triple, where = np.unique(_joined(at[some], ids[both][some]), return_inverse=True)
+                seen = np.where((one[at] >= 0) & (third[at] == ids[both]), only[at], 0)
+                some = (many[at] >= 0) & (ids[both] >= 0)
+                triple, where = np.unique(_joined(at[some], ids[both][some]), return_inverse=True)  # by rising range
                 of = (triple >> _WORD).astype(np.int64)
-                seen[some] = arrays.find("triple", _joined(place[of], triple & _LOW), shard[of])[1][where]
+                seen[some] = arrays.values("triple-n", arrays.third(many[of], (triple & _LOW).astype(np.int64), shard[of]), shard[of])[where]
                 p[both] = np.maximum(seen - _taken(seen, d), 0) / total + back * p[both]
             base = np.log10((count + 1) / floor)[which]
             n = np.diff(first)

@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetlens.llm import components, imatch, kneserney, licenses, neardup, queries
-from assetlens.llm.blocks import splitmix
 from fixtures import SF, odd_documents, texts_of
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -135,9 +134,22 @@ def test_op4_odd_rows(spark):
     assert kneserney.score(docs.limit(0), empty).count() == 0
 
 
-def test_unmix_undoes_the_mix():
-    x = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)
-    assert (kneserney.unmix(splitmix(x)) == x).all()
+def test_op4_counts_beyond_a_byte(spark):
+    """A hot word, pair and triple, and contexts with hundreds of third words."""
+    texts = list(texts_of(spark).values())[:60] + ["a b c " * 300] + [f"a b x{k} a b y" for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [WORD.findall(t.translate(LOW)) + ["</s>"] for t in texts]
+    p = textbook(lines, 3)
+    for r in kneserney.score(docs, kneserney.train(docs, range_tokens=2_000)).collect():
+        line = ["<s>", "<s>", *lines[r["doc_id"]]]
+        assert r["score"] == pytest.approx(sum(math.log10(p(line[k + 2], tuple(line[k : k + 2]))) for k in range(len(line) - 2)))
+
+
+def test_op4_pieces_come_back():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64).repeat(3))
+    third, n = np.arange(150, dtype=np.uint32), np.arange(150, dtype=np.int64) * 1000
+    got = kneserney._unpack(kneserney._pack(keys, third, n), kneserney.TRIPLES)
+    assert all((x == y).all() for x, y in zip(got, (keys, third, n)))
 
 
 def shingles(text):
