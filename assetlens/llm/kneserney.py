@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlens.llm.blocks import splitmix, text_blocks, words
-from assetlens.llm.staging import new_folder, staged
+from assetlens.llm.staging import new_folder
 
 END = np.uint64(0x5DEECE66D1234567)  # the end token's hash
 _WORD = np.uint64(32)
@@ -58,13 +58,14 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *(np.add.reduceat(v[order], at) if len(keys) else v for v in values)
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    """Parts (hash, more key columns, counts) as one, sorted by key, counts of equal keys summed."""
-    *keys, n = map(np.concatenate, zip(*parts))
+def _merged(parts: list[tuple[np.ndarray, ...]], counts: int = 1) -> list[np.ndarray]:
+    """Parts (key columns, count columns) as one, sorted by key, counts of equal keys summed."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    keys, counted = columns[:-counts], columns[-counts:]
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-    return [*(k[first] for k in keys), np.add.reduceat(n[order], first)]
+    return [*(k[first] for k in keys), *(np.add.reduceat(n[order], first) for n in counted)]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -99,6 +100,7 @@ def _unpack(piece: bytes, types: tuple) -> list[np.ndarray]:
 
 COUNTS = (np.int64,)  # of words, or of pairs
 TRIPLES = (np.uint32, np.int64)  # number of the third word, count
+SUMS = (np.int64,) * 5  # of a word: total, once, twice, more, before
 _PIECES = "shard int, piece binary"
 
 
@@ -161,21 +163,21 @@ def _save_counts(path: str, n: np.ndarray) -> None:
         _save(f"{path}-big.npy", n[big])
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[tuple]:
-    """(range, key columns, counts) of pieces sorted by range; pieces of range -1 are handed through as four numbers."""
+def _ranges(batches: Iterator[pa.RecordBatch], types: tuple, counts: int = 1) -> Iterator[tuple]:
+    """(range, key columns, counts) of pieces sorted by range; pieces of ranges below 0 are handed through as four numbers."""
     at, parts = None, []
     for batch in batches:
         for shard, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
             if shard < 0:
-                yield -1, np.frombuffer(piece.as_py(), np.int64)
+                yield shard, np.frombuffer(piece.as_py(), np.int64)
                 continue
             if shard != at and parts:
-                yield at, *_merged(parts)
+                yield at, *_merged(parts, counts)
                 parts = []
             at = shard
             parts.append(_unpack(piece.as_py(), types))
     if parts:
-        yield at, *_merged(parts)
+        yield at, *_merged(parts, counts)
 
 
 @dataclass(frozen=True)
@@ -187,7 +189,9 @@ class Model:
     begins: tuple[int, ...]  # number of the first word of each range, and the vocabulary's size
     total: int  # tokens learned from
     discounts: tuple[tuple[float, float, float], ...]  # of pairs, and of triples
-    per: int  # words in a file of weights
+    per: int  # words in a file of sums
+    lowest: tuple[float, float, float]  # discounts of words
+    pairs: int  # different pairs
     unseen: float  # lower-order probability of an unknown word
 
     @property
@@ -232,7 +236,10 @@ class Arrays:
             if not len(there):
                 continue
             at = place[there, None] * width + np.arange(width)
-            found = self.get(f"{kind}-{s}")[at].astype(np.int64)
+            stored = self.get(f"{kind}-{s}")
+            if stored is None:
+                continue
+            found = stored[at].astype(np.int64)
             if counts and (found == 255).any():
                 big = found == 255
                 found[big] = self.get(f"{kind}-{s}-big")[np.searchsorted(self.get(f"{kind}-{s}-at"), at[big])]
@@ -254,15 +261,6 @@ class Arrays:
             out[first:last] = np.where(hit, lo, -1)
         return out
 
-    def weights(self, ids: np.ndarray, per: int) -> np.ndarray:
-        """(total, weight of the lower order, lower-order probability) of word numbers, a row each."""
-        out = np.zeros((len(ids), 3))
-        part = ids // per
-        for p in np.unique(part):
-            mine = part == p
-            out[mine] = self.get(f"weights-{p}")[ids[mine] - p * per]
-        return out
-
 
 @lru_cache(maxsize=1)
 def _open(folder: str) -> Arrays:
@@ -375,74 +373,65 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
             about = np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (n, n == 1, n == 2, n > 2)], 1)
             for kind, counts in (("one-n", n[first[alone]]), ("context-n", about[~alone]), ("triple-n", n[np.repeat(~alone, size)])):
                 _save_counts(f"{root}/{kind}-{shard}", counts)
-            seen = np.array([int((n == k).sum()) for k in (1, 2, 3, 4)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], ["shard", "piece"])
+            yield counted(-1, n)
         yield from held.rest()
 
-    columns = ["id", "total", "once", "twice", "more", "before"]
+    parts = 1 << bits
+    per = -(-(start + 1) // parts)
+
+    def counted(order, n):
+        return pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([np.array([int((n == k).sum()) for k in (1, 2, 3, 4)], np.int64).tobytes()], pa.binary())], ["shard", "piece"])
 
     def write_pairs(batches):
+        """Writes the pairs and hands on what they add to the sums of their words."""
         for shard, *found in _ranges(batches, COUNTS):
             if shard < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (-2, *found[0].tolist(), 0)], columns)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([found[0].tobytes()], pa.binary())], ["shard", "piece"])
                 continue
             both, n = found
             key = splitmix(both)
             order = np.argsort(key)
             _save(f"{root}/pair-{shard}.npy", key[order])
             _save_counts(f"{root}/pair-n-{shard}", n[order])
-            u, w = (both >> _WORD).astype(np.int64), (both & _LOW).astype(np.int64)
             none, each = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-            rows = _sums(np.r_[u, w], *(np.r_[x.astype(np.int64), none] for x in (n, n == 1, n == 2, n > 2)), np.r_[none, each])
-            yield from pa.Table.from_arrays([pa.array(x) for x in rows], columns).to_batches(max_chunksize=50_000)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (-1, *(int((n == k).sum()) for k in (1, 2, 3, 4)), 0)], columns)
+            rows = _sums(np.r_[both >> _WORD, both & _LOW], *(np.r_[x.astype(np.int64), none] for x in (n, n == 1, n == 2, n > 2)), np.r_[none, each])
+            edges = np.searchsorted(rows[0], np.arange(parts + 1, dtype=np.uint64) * np.uint64(per))
+            full = np.flatnonzero(np.diff(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_pack(*(c[edges[k] : edges[k + 1]] for c in rows)) for k in full], pa.binary())], ["shard", "piece"])
+            yield counted(-2, n)
+
+    def write_sums(batches):
+        """Writes the sums of words; a row for each file, and one for the pairs and one for the triples, says how many have a count of one to four."""
+        held = {}
+        for part, *found in _ranges(batches, SUMS, len(SUMS)):
+            if part < 0:
+                held[part] = held.get(part, 0) + found[0]
+                continue
+            ids, *counts = found
+            rows = np.zeros((per, len(SUMS)), np.int64)
+            rows[ids.astype(np.int64) - part * per] = np.stack(counts, 1)
+            _save_counts(f"{root}/sums-{part}", rows)
+            before = counts[-1]
+            yield out(part, *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before > 2).sum()), int(before.sum()))
+        for order, seen in held.items():
+            yield out(order, *seen.tolist(), 0, 0)
+
+    columns = ["part", "n1", "n2", "n3", "n4", "more", "every"]
+
+    def out(*row):
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], columns)
 
     pieces = texts.mapInArrow(count_grams, _PIECES)
     if order == 3:
         pieces = by_range(pieces, wide).mapInArrow(write_triples, _PIECES)
-    seen = by_range(pieces, wide).mapInArrow(write_pairs, ", ".join(f"{c} long" for c in columns))
-    sums = staged(seen.groupBy("id").agg(*(F.sum(c).alias(c) for c in columns[1:])), "words")
-    counted = {r["id"]: r for r in sums.where("id < 0").collect()}  # a row for each order
-    steps = tuple(discounts(*(counted[k][c] for c in columns[1:5])) if k in counted else (0.5, 1.0, 1.5) for k in range(-1, -order, -1))
-    d = steps[0]
-    low = sums.where("id >= 0").agg(*(F.count(F.when(F.col("before") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count(F.when(F.col("before") > 2, 1)).alias("more"), F.coalesce(F.sum("before"), F.lit(0)).alias("all")).first()
-    e = discounts(low["n1"], low["n2"], low["n3"], low["n4"])
-    every = max(low["all"], 1)
-    unseen = (e[0] * low["n1"] + e[1] * low["n2"] + e[2] * low["more"]) / every / (start + 1) if low["all"] else 1 / (start + 1)
-    parts = 1 << bits
-    per = -(-(start + 1) // parts)
-
-    def write_weights(batches):
-        at, held = None, []
-
-        def save():
-            rows = np.concatenate(held)
-            table = np.zeros((per, 3))
-            where = rows[:, 0] - at * per
-            total = np.maximum(rows[:, 1], 1)
-            before = rows[:, 5]
-            table[:, 2] = unseen
-            table[where, 0] = rows[:, 1]
-            table[where, 1] = (d[0] * rows[:, 2] + d[1] * rows[:, 3] + d[2] * rows[:, 4]) / total
-            table[where, 2] = np.maximum(before - _taken(before, e), 0) / every + unseen
-            _save(f"{root}/weights-{at}.npy", table)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], ["part"])
-
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(6)], 1)
-            part = rows[:, 0] // per
-            for p in np.unique(part):
-                if at is not None and p != at:
-                    yield save()
-                    held = []
-                at = int(p)
-                held.append(rows[part == p])
-        if held:
-            yield save()
-
-    numbered = sums.where("id >= 0").select(*columns)
-    numbered.repartition(parts, F.expr(f"id div {per}")).sortWithinPartitions("id").mapInArrow(write_weights, "part long").collect()  # a row for each file
-    return Model(root, order, bits, wide, tuple(begins.tolist()), tokens_seen, steps, per, unseen)
+    pieces = by_range(pieces, wide).mapInArrow(write_pairs, _PIECES)
+    seen = by_range(pieces, bits).mapInArrow(write_sums, ", ".join(f"{c} long" for c in columns)).collect()  # a row for each file
+    by_order = {k: [sum(r[c] for r in seen if (r["part"] if r["part"] < 0 else 0) == k) for c in columns[1:]] for k in (0, -1, -2)}
+    *low, more, every = by_order[0]
+    e = discounts(*low)
+    unseen = (e[0] * low[0] + e[1] * low[1] + e[2] * more) / every / (start + 1) if every else 1 / (start + 1)
+    steps = tuple(discounts(*by_order[k][:4]) for k in (-2, -1)[: order - 1])
+    return Model(root, order, bits, wide, tuple(begins.tolist()), tokens_seen, steps, per, e, max(every, 1), unseen)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -456,23 +445,23 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             h, first = tokens(data, offsets)
             number, count, which = _number(arrays, begins, model.bits, h)
             known = number >= 0
-            weight = np.zeros((len(number), 3))
-            weight[:, 2] = model.unseen
-            weight[known] = arrays.weights(number[known], model.per)
+            # of each different word, and of the word before a text: its total, its weight of the lower order, its own lowest order
+            word = np.where(known, number, 0)
+            word = np.r_[np.maximum.accumulate(word), start]
+            sums = arrays.values("sums", word % model.per, word // model.per, 5)
+            sums[:-1][~known] = 0
+            back = sums[:, 1:4] @ np.array(model.discounts[0]) / np.maximum(sums[:, 0], 1)
+            lowest = np.maximum(sums[:, 4] - _taken(sums[:, 4], model.lowest), 0) / model.pairs + model.unseen
             ids = number[which]
             before = _before(ids, first, start)
-            # what a text begins with has weights of its own
-            lead = arrays.weights(np.array([start]), model.per)[0] if arrays.get(f"weights-{start // model.per}") is not None else np.zeros(3)
             both = (ids >= 0) & (before >= 0)
             key, at = np.unique(splitmix(_joined(before[both], ids[both])), return_inverse=True)
             seen = np.zeros(len(ids), np.int64)
             shard = _shard(key, model.wide)
             seen[both] = arrays.values("pair-n", arrays.find("pair", key, shard), shard)[at]
-            total, back = np.zeros(len(ids)), np.ones(len(ids))
-            total[1:], back[1:] = weight[which[:-1], 0], weight[which[:-1], 1]
-            total[first[:-1]], back[first[:-1]] = lead[0], lead[1]
-            back = np.where(total > 0, back, 1.0)
-            p = np.maximum(seen - _taken(seen, model.discounts[0]), 0) / np.maximum(total, 1) + back * weight[which, 2]
+            context = _before(which, first, len(number))
+            total = sums[context, 0]
+            p = np.maximum(seen - _taken(seen, model.discounts[0]), 0) / np.maximum(total, 1) + np.where(total > 0, back[context], 1.0) * lowest[which]
             if model.order == 3:
                 d = model.discounts[1]
                 earlier = _before(before, first, start)
