@@ -7,7 +7,9 @@ differ become slots. Tasks infer a wrapper from the pages they hold; wrappers of
 aligned with each other, first in several heaps a host and then once more, so no task sees more than a
 heap of wrappers, however many pages a host has. The wrapper tells where a host's pages keep their main
 text: the element that holds most text outside links and outside furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, comments). Extraction walks a page's tags again and gathers the blocks
+sidebars, notices, adverts, forms, comments). A class or id makes an element furniture only as a whole
+name: each of its words is a known or a neutral one, and headings, paragraphs and spans are never judged
+by theirs. Extraction walks a page's tags again and gathers the blocks
 of that element.
 
 Null and empty pages have no text. A page without the wrapper's element, a page without a host, or text
@@ -40,25 +42,39 @@ SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("op
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 FURNITURE = frozenset("nav aside footer form button select dialog menu head search fieldset label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-FURNITURE_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|promotions?|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|rail|widgets?|footers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations?)|share|sharing|social|newsletters?|subscribe|signup|login|search|tags|pagination|pager|toolbar|skip)(?:$|[^a-z])"
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners promo promos promotion promotions sponsor sponsors sponsored cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars rail widget widgets footer footers masthead topbar comment comments commentlist disqus reply replies respond related recommend recommended recommendation recommendations share sharing social newsletter newsletters subscribe signup login search tags pagination pager toolbar skip".split()
 )
+# words that may stand beside those in a name without changing what it names
+NEUTRAL_WORDS = frozenset(
+    "a area article articles bar block body bottom box btn button buttons card cards col column container content entry field form global group header icons inner input item items left link links list local main media middle module more outer page panel post posts primary right row secondary section site slot space stories story sub text title to top unit wrap wrapper".split()
+)
+NEVER_BY_NAME = frozenset("html body article main h1 h2 h3 h4 h5 h6 p span".split())  # text of their own, whatever they are called
 HEADER_WORD = re.compile(r"(?:^|[^a-z])headers?(?:$|[^a-z])")  # furniture outside the main text only
 MAIN_WORD = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|post|entry|story|main|text|body)(?:$|[^a-z])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+def named_furniture(names: str) -> bool:
+    """Whether one of the names is a whole name of furniture: "cookie-notice" is one, "comments-on-the-proof" is not."""
+    for one in names.split():
+        parts = re.findall(r"[^\W\d_]+", one)
+        if any(x in FURNITURE_WORDS for x in parts) and all(x in FURNITURE_WORDS or x in NEUTRAL_WORDS for x in parts):
+            return True
+    return False
+
+
 def describe(name: str, attributes: str) -> tuple[str, bool]:
     """An element's key (name and classes without digits) and whether it is furniture by itself."""
     if not attributes.strip():
         return name, name in FURNITURE
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
-    words = " ".join(found.get(k, "") for k in ("id", "class", "itemprop"))
-    words = re.sub(r"\d+", "", re.sub(r"\s+", ".", words.strip()))
+    names = " ".join(found.get(k, "") for k in ("id", "class", "itemprop"))
+    words = re.sub(r"\d+", "", re.sub(r"\s+", ".", names.strip()))
     role = found.get("role", "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    out = name in FURNITURE or role in ROLES or hidden or (name not in ("html", "body", "article", "main") and bool(FURNITURE_WORD.search(words)))
+    out = name in FURNITURE or role in ROLES or hidden or (name not in NEVER_BY_NAME and named_furniture(names))
     return (f"{name}.{words}" if words else name) + (f"@{role}" if role else ""), out
 
 

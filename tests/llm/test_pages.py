@@ -52,3 +52,15 @@ def test_op7_odd_pages(spark):
     out = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
     assert out[1].startswith("T & x") and out[2] == "" and out[3] == "a\nb" and out[4] == "" and out[5] == "hi" and out[6] == "text only"
     assert wrappers.main_text(pages).count() == len(rows) and wrappers.main_text(pages.limit(0)).count() == 0
+
+
+def test_article_text_is_kept_whatever_its_ids_mention(spark):
+    """Ids made from the words of a heading name no furniture; whole furniture names still do."""
+    inside = [
+        '<h2 id="comments-on-the-proof">k1</h2>', '<p class="share-price">k2</p>', '<section id="related-work"><p>k3</p></section>', '<div id="search-algorithms">k4</div>',
+        '<h2 id="notice-period">k5</h2>', '<p id="comments">k6</p>', '<h3 class="share">k7</h3>', '<div class="cookie-dough recipe">k8</div>', "<p>a <span class=ad>b</span> c</p>",
+    ]
+    out = ['<div class="cookie-notice">x</div>', '<section id="comments">x</section>', '<div class="post share-buttons">x</div>', '<ul class="related_posts-2">x</ul>', '<div class="ad">x</div>', '<div id="comment-12">x</div>', "<nav>x</nav>"]
+    page = "<body><header>x</header><article>" + "".join(a + b for a, b in zip(inside, out + ["", ""])) + "</article><footer>x</footer></body>"
+    pages = spark.createDataFrame([(i, f"http://host{i % 2}.example/{i}", page) for i in range(6)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.main_text(pages).collect()} == {"k1\nk2\nk3\nk4\nk5\nk6\nk7\nk8\na b c"}
