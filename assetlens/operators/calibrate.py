@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.functions.durable import cut
-from assetlens.functions.scalar import DAY_MS, known, ladder
-from assetlens.functions.skew import lag_across
+from assetlens.functions.scalar import DAY_MS, ladder
+from assetlens.functions.skew import bucket_of, lag_across
 from assetlens.operators.folds import stabilize
 
 # Matching tolerance and outcome rules.
@@ -26,47 +26,72 @@ def decision_points(verdicts: DataFrame, width: int = 30 * DAY_MS) -> DataFrame:
     return v.where(F.col("prev_verdict").isNull() | (F.col("prev_verdict") != F.col("verdict")))
 
 
-def nearest_observation(points: DataFrame, obs: DataFrame, tolerance: int = NEAR_MS) -> DataFrame:
-    """Nearest observation within the tolerance (the earlier wins ties).
+def _with_facts(points: DataFrame, at: Column, facts: DataFrame, width: int) -> DataFrame:
+    """Points at ``at`` and facts at ``_t`` in one tape by asset and time block; ``_point`` marks the points.
 
-    Points are copied to the time buckets they can reach, so the join is an equi-join on
-    (asset, bucket) whatever the asset's size.
+    A fact names its own ``_b`` when it is copied to several blocks.
     """
-    key = ["asset", *ORDER]
-    p = points.select(*key).withColumn("_b", F.explode(F.sequence(
-        F.floor((F.col("observed_at") - tolerance) / tolerance), F.floor((F.col("observed_at") + tolerance) / tolerance))))
-    o = obs.select("asset", F.col("observed_at").alias("t"), "liquidity", "pool", F.floor(F.col("observed_at") / tolerance).alias("_b"))
-    dist = F.abs(F.col("t") - F.col("observed_at"))
-    near = p.join(o, ["asset", "_b"]).where(dist <= tolerance).groupBy(*key).agg(
-        F.min_by(F.struct("t", "liquidity", "pool"), F.struct(dist, F.col("t"))).alias("n"))
-    return points.join(near, key, "left").withColumns({"obs_at": F.col("n.t"), "obs_liquidity": F.col("n.liquidity"), "obs_pool": F.col("n.pool")}).drop("n")
+    if "_b" not in facts.columns:
+        facts = facts.withColumn("_b", bucket_of("_t", width))
+    facts = facts.where("asset IS NOT NULL AND _t IS NOT NULL").withColumn("_point", F.lit(False))
+    return points.withColumns({"_t": at, "_point": F.lit(True), "_b": bucket_of(at, width)}).unionByName(facts, allowMissingColumns=True)
+
+
+def _so_far(keys: list[str], latest_first: bool = False):
+    """Rows of a block up to this one: facts at or before a point, or those after it."""
+    order = (F.desc("_t"), F.desc("_point")) if latest_first else (F.asc("_t"), F.asc("_point"))
+    return Window.partitionBy("asset", "_b", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def label_outcomes(points: DataFrame, obs: DataFrame, events: DataFrame, horizon: int, slices: int = 48) -> DataFrame:
+def nearest_observation(points: DataFrame, obs: DataFrame, tolerance: int = NEAR_MS, blocks: int = 144) -> DataFrame:
+    """Nearest observation within the tolerance (the earlier wins ties, then the pool's name).
+
+    Points and observations are sorted together inside (asset, block of ``blocks`` tolerances); an observation
+    near an edge is copied to the next block. A point reads the last one before it and the first one after it,
+    so nothing is paired however busy the asset is. Points without a ``seq`` get none.
+    """
+    width = tolerance * blocks
+    t = F.col("_t")
+    fact = F.struct("_t", F.coalesce("pool", F.lit("")).alias("name"), "liquidity", "pool")
+    o = obs.select("asset", F.col("observed_at").alias("_t"), "liquidity", "pool").where("_t IS NOT NULL")
+    o = o.select("asset", "_t", F.struct((-t).alias("back"), fact.alias("o")).alias("_before"), fact.alias("_after"),
+                 F.explode(F.sequence(bucket_of(t - F.lit(tolerance), width), bucket_of(t + F.lit(tolerance), width))).alias("_b"))
+    d = _with_facts(points, F.col("observed_at"), o, width).withColumns({
+        "_before": F.min("_before").over(_so_far([]))["o"], "_after": F.min("_after").over(_so_far([], latest_first=True))}).where("_point")
+    back, ahead = t - F.col("_before._t"), F.col("_after._t") - t
+    n = F.when((back <= tolerance) & (ahead.isNull() | (back <= ahead)), F.col("_before")).when(ahead <= tolerance, F.col("_after"))
+    d = d.withColumn("_n", F.when(F.col("seq").isNotNull(), n))
+    return d.select(*points.columns, F.col("_n._t").alias("obs_at"), F.col("_n.liquidity").alias("obs_liquidity"), F.col("_n.pool").alias("obs_pool"))
+
+
+def label_outcomes(points: DataFrame, obs: DataFrame, events: DataFrame, horizon: int) -> DataFrame:
     """Outcome of each decision point within the horizon: measured, proxy or unknown.
 
-    A point reads the observations of its horizon from per-slice minima (``slices`` per horizon)
-    and looks at single rows only in the two slices its window cuts, so a busy asset's points are
-    never paired with all its observations. Only the same pool counts once the point has one.
+    A window of one horizon is the rest of the point's block of that width and the beginning of the next
+    block: two running folds over points, observations and events sorted together by (asset, block), so no
+    point is paired with or copied to what it reads. Only the same pool counts once the point has one.
+    Points without a ``seq`` read nothing.
     """
-    key = ["asset", *ORDER]
-    p = points.select(*key, "obs_liquidity", "obs_pool")
-    width = max(1, horizon // slices)
-    at = lambda c, w: F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(w))
-    end = F.col("observed_at") + horizon
-    inside = (F.col("t") > F.col("observed_at")) & (F.col("t") <= end)
-    e = events.select("asset", F.col("at").alias("t"), "type", at("at", horizon).alias("_b"))
-    pe = p.withColumn("_b", F.explode(F.sequence(at("observed_at", horizon), at(end, horizon))))
-    ev = pe.join(e, ["asset", "_b"]).where(inside).groupBy(*key).agg(F.min_by("type", F.struct("t", "type")).alias("event"))
-    pool = F.col("obs_pool").isNull() | known(F.col("obs_pool") == F.col("pool"))
-    o = obs.where("liquidity IS NOT NULL").select("asset", F.col("observed_at").alias("t"), "liquidity", "pool", at("observed_at", width).alias("_b"))
-    whole = o.groupBy("asset", "pool", "_b").agg(F.min("liquidity").alias("low"), F.max("t").alias("last"))
-    lo, hi = at("observed_at", width), at(end, width)
-    inner = p.where(hi - lo >= 2).withColumn("_b", F.explode(F.sequence(lo + 1, hi - 1))).join(whole, ["asset", "_b"]).where(pool).select(*key, "low", "last")
-    cut = p.withColumn("_b", F.explode(F.array_distinct(F.array(lo, hi)))).join(o, ["asset", "_b"]).where(pool & inside).select(
-        *key, F.col("liquidity").alias("low"), F.col("t").alias("last"))
-    ob = inner.unionByName(cut).groupBy(*key).agg(F.min("low").alias("low"), F.max("last").alias("last"))
-    j = points.join(ev, key, "left").join(ob, key, "left")
+    t = F.col("_t")
+    o = obs.where("liquidity IS NOT NULL").select("asset", F.col("observed_at").alias("_t"), F.col("liquidity").alias("_liq"), F.col("pool").alias("_pool"))
+    e = events.select("asset", F.col("at").alias("_t"), F.struct(F.col("at").alias("t"), "type").alias("_event"))
+    facts = o.unionByName(e, allowMissingColumns=True)
+    kept = points.columns
+    folds = {"_low": (F.min, F.col("_liq")), "_last": (F.max, F.when(F.col("_liq").isNotNull(), t)), "_first": (F.min, F.col("_event"))}
+
+    def folded(p: DataFrame, at: Column, latest_first: bool) -> DataFrame:
+        d = _with_facts(p.withColumn("_pool", F.col("obs_pool")), at, facts, horizon)
+        everything, same = _so_far([], latest_first), _so_far(["_pool"], latest_first)
+        read = {f"{n}_{i}": f(c).over(w) for n, (f, c) in folds.items() for i, w in (("any", everything), ("same", same)) if (n, i) != ("_first", "same")}
+        d = d.withColumns(read).where("_point")
+        either = lambda n: F.when(F.col("obs_pool").isNull(), F.col(f"{n}_any")).otherwise(F.col(f"{n}_same"))
+        new = {"_low": either("_low"), "_last": either("_last"), "_first": F.col("_first_any")}
+        return d.select(*[c for c in p.columns], *[v.alias(f"{n}_{'after' if latest_first else 'next'}") for n, v in new.items()])
+
+    j = folded(folded(points, F.col("observed_at"), True), F.col("observed_at") + horizon, False)
+    keyed = F.col("seq").isNotNull()
+    j = j.select(*kept, F.when(keyed, F.least("_low_after", "_low_next")).alias("low"), F.when(keyed, F.greatest("_last_after", "_last_next")).alias("last"),
+                 F.when(keyed, F.coalesce("_first_after", "_first_next")["type"]).alias("event"))
     liq, reached = F.col("obs_liquidity"), F.col("last") - F.col("observed_at")
     label = ladder(
         "NOT_OBSERVED", (F.col("event") == "LIQUIDITY_DRAIN", "CONFIRMED_DRAIN"), (F.col("event").isNotNull(), "CONFIRMED_ABUSE"),
@@ -89,17 +114,17 @@ def outcomes_by_veto(labelled: DataFrame) -> DataFrame:
 def escapes(labelled: DataFrame, verdicts: DataFrame, width: int = 30 * DAY_MS) -> DataFrame:
     """Neither rejected nor high risk, yet a bad outcome; with the first later rejection and the delay to it.
 
-    The next rejection is found by collapsing rejections to the first per bucket, so an asset's
-    rejections are never paired with all its points.
+    Points and rejections are sorted together inside (asset, bucket) and read the next one there, else the
+    first of the asset's later buckets, so an asset's rejections are never paired with its points.
     """
-    bad = labelled.where(~F.col("verdict").isin("REJECTED", "HIGH_RISK") & F.col("label").isin(*BAD)).select("asset", *ORDER, "verdict", "label")
-    bad = cut(bad.withColumn("_b", F.floor(F.col("observed_at") / F.lit(width))))
-    rej = verdicts.where("verdict = 'REJECTED'").select("asset", F.col("observed_at").alias("t")).withColumn("_b", F.floor(F.col("t") / F.lit(width)))
     key = ["asset", *ORDER]
-    same = bad.select(*key, "_b").join(rej, ["asset", "_b"]).where(F.col("t") > F.col("observed_at")).groupBy(*key).agg(F.min("t").alias("t1"))
-    firsts = rej.groupBy("asset", "_b").agg(F.min("t").alias("t"))
-    later = bad.select("asset", "_b").distinct().withColumnRenamed("_b", "_pb").join(firsts, "asset").where(F.col("_b") > F.col("_pb")).groupBy("asset", F.col("_pb").alias("_b")).agg(F.min("t").alias("t2"))
-    j = bad.join(same, key, "left").join(later, ["asset", "_b"], "left").withColumn("rejected_at", F.coalesce("t1", "t2"))
+    bad = cut(labelled.where(~F.col("verdict").isin("REJECTED", "HIGH_RISK") & F.col("label").isin(*BAD)).select(*key, "verdict", "label"))
+    rej = verdicts.where("verdict = 'REJECTED'").select("asset", F.col("observed_at").alias("_t"), F.col("observed_at").alias("_rej"))
+    d = _with_facts(bad, F.col("observed_at"), rej, width)
+    later = Window.partitionBy("asset").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = d.groupBy("asset", "_b").agg(F.min("_rej").alias("_first")).withColumn("_later", F.min("_first").over(later)).select("asset", "_b", "_later")
+    j = d.withColumn("_same", F.min("_rej").over(_so_far([], latest_first=True))).where("_point").join(firsts, ["asset", "_b"], "left")
+    j = j.withColumn("rejected_at", F.coalesce("_same", "_later"))
     return j.select(*key, "verdict", "label", "rejected_at", (F.col("rejected_at") - F.col("observed_at")).alias("after_ms"))
 
 
