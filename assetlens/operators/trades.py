@@ -44,8 +44,10 @@ def pool_side(norm: DataFrame, watch: DataFrame, address_dim: DataFrame) -> Data
     The pool itself if it moved the asset; otherwise, of exactly two opposite movers, the only program-owned
     one (inferred). A transaction meets its watch once, with all it moved; only the two movers in question are
     looked up, and rows without a question carry keys of their own so that they do not meet in one task.
+    The transactions are merged with their watch: the size of derived arrays is not estimated, and a
+    broadcast of either side would pass it through the driver.
     """
-    d = with_moves(norm).select("tx_id", "status", "fee_payer", "slot", "block_time", "tokens", "moves")
+    d = with_moves(norm).select("tx_id", "status", "fee_payer", "slot", "block_time", "tokens", "moves").hint("merge")
     d = once(watch.select("tx_id", "asset", "pool").join(d, "tx_id").withColumn("mine", F.filter("moves", lambda m: m["asset"] == F.col("asset"))))
     direct = F.exists("mine", lambda m: m["owner"] == F.col("pool"))
     first, second = F.get("mine", F.lit(0)), F.get("mine", F.lit(1))

@@ -87,3 +87,15 @@ def test_points_are_neither_paired_nor_copied_to_slices(frames):
     points = p.selectExpr("*", "1.0D AS obs_liquidity", "'P0' AS obs_pool")
     plan = C.label_outcomes(points, o, e, 24 * HOUR)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_transactions_meet_their_watch_without_a_broadcast(spark):
+    from assetlens.operators import trades as T
+
+    tokens = "array<struct<account:string,owner:string,asset:string,decimals:int,pre:decimal(20,0),post:decimal(20,0)>>"
+    norm = spark.createDataFrame([("t1", "SUCCESS", "W", 1, 1000, [], [])], f"tx_id string, status string, fee_payer string, slot long, block_time long, tokens {tokens}, native array<struct<address:string,delta:decimal(38,0)>>")
+    watch = spark.createDataFrame([("t1", "A", "P")], "tx_id string, asset string, pool string")
+    off = spark.createDataFrame([("P", False)], "address string, is_wallet boolean")
+    d = T.pool_side(norm, watch, off)
+    assert d.select("movers", "pool_side").first()[:] == (0, None)
+    assert "SortMergeJoin [tx_id" in d._jdf.queryExecution().sparkPlan().toString()
