@@ -73,8 +73,9 @@ def _addr(c: Column) -> Column:
 
 def _amount(c: Column) -> Column:
     """A non-negative integer string that fits u64, else null."""
-    v = F.when(F.trim(c).rlike(r"^\d{1,20}$"), F.trim(c).cast("decimal(20,0)"))
-    return F.when(v <= F.lit(str(U64_MAX)).cast("decimal(20,0)"), v)
+    text = F.trim(c)
+    v = text.cast("decimal(20,0)")
+    return F.when(text.rlike(r"^\d{1,19}$"), v).when(text.rlike(r"^\d{20}$") & (v <= F.lit(str(U64_MAX)).cast("decimal(20,0)")), v)
 
 
 def _first(arr: Column, cond) -> Column:
@@ -131,10 +132,10 @@ def _native_moves() -> Column:
 def _token_side(name: str) -> Column:
     """Readable token balances of one side of a transaction."""
     empty = F.array().cast(f"array<{_TB}>")
-    amount = lambda b: _amount(b["uiTokenAmount"]["amount"])
-    ok = F.filter(F.coalesce(F.col(f"meta.{name}"), empty), lambda b: amount(b).isNotNull() & _addr(b["mint"]).isNotNull())
-    return F.transform(ok, lambda b: F.struct(
-        b["accountIndex"].alias("i"), b["mint"].alias("asset"), _addr(b["owner"]).alias("owner"), b["uiTokenAmount"]["decimals"].alias("decimals"), amount(b).alias("amount")))
+    sides = F.transform(F.coalesce(F.col(f"meta.{name}"), empty), lambda b: F.struct(
+        b["accountIndex"].alias("i"), _addr(b["mint"]).alias("asset"), _addr(b["owner"]).alias("owner"), b["uiTokenAmount"]["decimals"].alias("decimals"),
+        _amount(b["uiTokenAmount"]["amount"]).alias("amount")))
+    return F.filter(sides, lambda b: b["amount"].isNotNull() & b["asset"].isNotNull())
 
 
 def _token_balance(i: Column) -> Column:
@@ -190,8 +191,13 @@ def asset_decimals(norm: DataFrame) -> DataFrame:
     return norm.select(F.explode("tokens").alias("b")).where("b.decimals IS NOT NULL").groupBy(F.col("b.asset").alias("asset")).agg(F.max("b.decimals").alias("decimals"))
 
 
+def _read(x: Column, fields: Iterable[str]) -> Column:
+    """An instruction with the named fields of its info, each read from the JSON once."""
+    return F.struct(x["path"].alias("path"), x["program_id"].alias("program_id"), x["type"].alias("type"), *[F.get_json_object(x["info"], f"$.{n}").alias(n.replace(".", "_")) for n in fields])
+
+
 def _field(x: Column, name: str) -> Column:
-    return F.get_json_object(x["info"], f"$.{name}")
+    return x[name.replace(".", "_")]
 
 
 def facts(norm: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -201,37 +207,37 @@ def facts(norm: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
     asset_of = lambda a: _first(tok, lambda b: b["account"] == a)["asset"]
     addr = lambda x, n: _addr(_field(x, n))
 
-    def pick(programs: list[str], types: list[str], build, need) -> Column:
+    def pick(programs: list[str], types: list[str], fields: str, build, need) -> Column:
         hit = F.filter("ixs", lambda x: x["program_id"].isin(*programs) & x["type"].isin(*types))
-        return F.filter(F.transform(hit, build), lambda s: F.coalesce(need(s), F.lit(False)))
+        return F.filter(F.transform(F.transform(hit, lambda x: _read(x, fields.split())), build), lambda s: F.coalesce(need(s), F.lit(False)))
 
     def amount(x: Column, plain: str, name: str = "amount") -> Column:
         return _amount(F.when(x["type"] == plain, _field(x, name)).otherwise(_field(x, "tokenAmount.amount")))
 
     T, have = TOKEN_PROGRAMS, lambda *n: (lambda s: sum((s[c].isNotNull().cast("int") for c in n[1:]), s[n[0]].isNotNull().cast("int")) == len(n))
     every = {
-        "token_transfers": pick(T, ["transfer", "transferChecked"], lambda x: F.struct(
+        "token_transfers": pick(T, ["transfer", "transferChecked"], "mint source destination amount tokenAmount.amount", lambda x: F.struct(
             x["path"].alias("path"), F.coalesce(addr(x, "mint"), asset_of(_field(x, "source")), asset_of(_field(x, "destination"))).alias("asset"),
             addr(x, "source").alias("source"), addr(x, "destination").alias("destination"), owner_of(_field(x, "source")).alias("src_owner"),
             owner_of(_field(x, "destination")).alias("dst_owner"), amount(x, "transfer").alias("amount")), have("source", "destination", "amount")),
-        "native_transfers": pick([SYSTEM_PROGRAM], ["transfer"], lambda x: F.struct(
+        "native_transfers": pick([SYSTEM_PROGRAM], ["transfer"], "source destination lamports", lambda x: F.struct(
             x["path"].alias("path"), addr(x, "source").alias("src"), addr(x, "destination").alias("dst"), _amount(_field(x, "lamports")).alias("amount")), have("src", "dst", "amount")),
-        "account_creations": pick([SYSTEM_PROGRAM], ["createAccount"], lambda x: F.struct(
+        "account_creations": pick([SYSTEM_PROGRAM], ["createAccount"], "newAccount owner source lamports", lambda x: F.struct(
             x["path"].alias("path"), addr(x, "newAccount").alias("account"), addr(x, "owner").alias("owner"), addr(x, "source").alias("funder"),
             _amount(_field(x, "lamports")).alias("amount")), have("account", "owner", "funder", "amount")),
-        "mint_inits": pick(T, ["initializeMint", "initializeMint2"], lambda x: F.struct(
+        "mint_inits": pick(T, ["initializeMint", "initializeMint2"], "mint decimals mintAuthority freezeAuthority", lambda x: F.struct(
             x["path"].alias("path"), addr(x, "mint").alias("asset"), _field(x, "decimals").cast("int").alias("decimals"), addr(x, "mintAuthority").alias("mint_authority"),
             addr(x, "freezeAuthority").alias("freeze_authority"), x["program_id"].alias("token_program")), have("asset")),
-        "mint_tos": pick(T, ["mintTo", "mintToChecked"], lambda x: F.struct(
+        "mint_tos": pick(T, ["mintTo", "mintToChecked"], "mint account amount tokenAmount.amount mintAuthority", lambda x: F.struct(
             x["path"].alias("path"), addr(x, "mint").alias("asset"), addr(x, "account").alias("account"), amount(x, "mintTo").alias("amount"),
             addr(x, "mintAuthority").alias("authority"), owner_of(_field(x, "account")).alias("recipient")), have("asset", "account", "amount")),
-        "authority_changes": pick(T, ["setAuthority"], lambda x: F.struct(
+        "authority_changes": pick(T, ["setAuthority"], "mint account authorityType newAuthority authority", lambda x: F.struct(
             x["path"].alias("path"), _addr(F.coalesce(_field(x, "mint"), _field(x, "account"))).alias("target"), _field(x, "authorityType").alias("authority_type"),
             addr(x, "newAuthority").alias("new_authority"), addr(x, "authority").alias("previous_authority")), have("target", "authority_type")),
-        "freezes": pick(T, ["freezeAccount", "thawAccount"], lambda x: F.struct(
+        "freezes": pick(T, ["freezeAccount", "thawAccount"], "account mint freezeAuthority", lambda x: F.struct(
             x["path"].alias("path"), F.when(x["type"] == "freezeAccount", "FREEZE").otherwise("THAW").alias("kind"), addr(x, "account").alias("account"),
             addr(x, "mint").alias("asset"), addr(x, "freezeAuthority").alias("authority"), owner_of(_field(x, "account")).alias("owner")), have("account", "asset")),
-        "token_account_inits": pick(T, ["initializeAccount", "initializeAccount2", "initializeAccount3"], lambda x: F.struct(
+        "token_account_inits": pick(T, ["initializeAccount", "initializeAccount2", "initializeAccount3"], "account mint owner", lambda x: F.struct(
             x["path"].alias("path"), addr(x, "account").alias("account"), addr(x, "mint").alias("asset"), addr(x, "owner").alias("owner")), have("account", "asset", "owner")),
     }
     return norm.withColumns({k: v for k, v in every.items() if kinds is None or k in set(kinds)})
