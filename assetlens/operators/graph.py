@@ -155,24 +155,33 @@ def same_launches(trades: DataFrame, launches: DataFrame, pairs: DataFrame | Non
     With ``pairs(a, b)`` only those pairs are counted, by two equi-joins: what clustering needs,
     and linear in the pairs. Without, pairs are found through each wallet's launches minus its
     most crowded one: two wallets sharing two launches must share one of those, so the join
-    skips every wallet's hottest launch and still finds every pair.
+    skips every wallet's hottest launch and still finds every pair. What a pair may share besides
+    is the hottest launch of either, which is looked up; no pair is multiplied by its launches.
     """
-    early = early_entries(trades, launches)
+    early = cut(early_entries(trades, launches))
     crowd = early.groupBy("asset").agg(F.count("*").alias("crowd"))
     many = early.groupBy("wallet").agg(F.count("*").alias("k")).where("k >= 2").select("wallet")
     e = early.join(many, "wallet", "left_semi").join(crowd, "asset")
-    if pairs is None:
-        hottest = e.groupBy("wallet").agg(F.max(F.struct("crowd", "asset")).alias("h")).select("wallet", F.col("h.asset"))
-        prefix = e.join(hottest, ["wallet", "asset"], "left_anti").select("asset", "wallet")
-        pairs = (
-            prefix.withColumnRenamed("wallet", "a").join(prefix.withColumnRenamed("wallet", "b"), "asset")
-            .where("a < b").select("a", "b").distinct()
-        )
-    members = e.select("wallet", "asset")
-    shared = pairs.join(members.withColumnRenamed("wallet", "a"), "a").join(members.withColumnRenamed("wallet", "b"), ["b", "asset"]).select("a", "b", "asset")
-    counted = shared.groupBy("a", "b").agg(F.count("*").alias("launches")).where("launches >= 2")
-    named = smallest(shared, ["a", "b"], "asset", SHOWN_LAUNCHES)
-    return _edge(counted.join(named, ["a", "b"]), "SAME_LAUNCH_PARTICIPATION", "a", "b", False, 0.3, F.lit(None), F.array_join("asset", ","),
+    if pairs is not None:
+        members = e.select("wallet", "asset")
+        shared = pairs.join(members.withColumnRenamed("wallet", "a"), "a").join(members.withColumnRenamed("wallet", "b"), ["b", "asset"]).select("a", "b", "asset")
+        counted = shared.groupBy("a", "b").agg(F.count("*").alias("launches")).where("launches >= 2")
+        found = counted.join(smallest(shared, ["a", "b"], "asset", SHOWN_LAUNCHES), ["a", "b"])
+    else:
+        e = cut(e.withColumn("hottest", F.max(F.struct("crowd", "asset")).over(Window.partitionBy("wallet"))["asset"]).select("wallet", "asset", "hottest"))
+        prefix = e.where("asset <> hottest")
+        side = lambda w, h: prefix.select("asset", F.col("wallet").alias(w), F.col("hottest").alias(h))
+        both = cut(side("a", "ha").join(side("b", "hb"), "asset").where("a < b"))
+        once = both.select("a", "b", "ha", "hb").distinct()
+        # a's hottest is b's too, or must be among the other's launches
+        same = once.where("ha = hb").select("a", "b", F.col("ha").alias("asset"))
+        asked = F.explode(F.array(F.struct(F.col("b").alias("wallet"), F.col("ha").alias("asset")), F.struct(F.col("a").alias("wallet"), F.col("hb").alias("asset"))))
+        other = once.where("ha <> hb").select("a", "b", asked.alias("x")).select("a", "b", "x.*").join(e.select("wallet", "asset"), ["wallet", "asset"], "left_semi")
+        shared = both.select("a", "b", "asset").unionByName(same).unionByName(other.select("a", "b", "asset"))
+        pair = Window.partitionBy("a", "b")
+        ranked = shared.withColumns({"_n": F.count("*").over(pair), "_r": F.row_number().over(pair.orderBy("asset"))}).where((F.col("_n") >= 2) & (F.col("_r") <= SHOWN_LAUNCHES))
+        found = ranked.groupBy("a", "b").agg(F.max("_n").alias("launches"), F.array_sort(F.collect_list("asset")).alias("asset"))
+    return _edge(found, "SAME_LAUNCH_PARTICIPATION", "a", "b", False, 0.3, F.lit(None), F.array_join("asset", ","),
                  F.col("launches").cast("string"))
 
 
