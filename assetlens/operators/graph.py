@@ -192,7 +192,7 @@ def creator_edges(folded: DataFrame, creators: DataFrame) -> DataFrame:
     three of its launches.
     """
     hard = folded.where(F.col("type").isin(*HARD))
-    c = smallest(creators.distinct(), ["creator"], "asset", SHOWN_LAUNCHES).select(F.col("creator").alias("c"), "asset")
+    c = smallest(creators, ["creator"], "asset", SHOWN_LAUNCHES).select(F.col("creator").alias("c"), "asset")
     touch = hard.join(c, F.col("a") == F.col("c")).unionByName(hard.where("a <> b").join(c, F.col("b") == F.col("c")))
     return _edge(touch, "CREATOR_ASSOCIATION", "a", "b", True, F.least(F.lit(0.9), F.col("confidence")), F.col("first_at"),
                  F.get("evidence", F.lit(0)), F.concat_ws("|", "type", "c", F.array_join("asset", ",")))
@@ -204,9 +204,9 @@ SHOWN_EVIDENCE, SHOWN_LAUNCHES = 5, 3
 
 def smallest(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     """The ``n`` smallest distinct values of each key as a sorted array; a map side keeps ``n`` a key too."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    few = df.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_r", rank).where(F.col("_r") <= n)
-    return few.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value))
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(value))
+    few = df.where(F.col(value).isNotNull()).select(*keys, value).withColumn("_r", rank).where(F.col("_r") <= n)
+    return few.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias(value))
 
 
 def fold_edges(raw: DataFrame) -> DataFrame:

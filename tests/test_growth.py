@@ -23,3 +23,11 @@ def test_same_launches_look_up_only_the_hottest_launches(spark):
     assert {(r.a, r.b, r.evidence, r.detail) for r in got.collect()} == want and want
 
 
+def test_smallest_shuffles_once(spark):
+    rows = [("k", v) for v in "dcbaab"] + [("k", None), (None, "z"), (None, "z"), ("m", None)]
+    df = spark.createDataFrame(rows, "k string, v string")
+    got = graph.smallest(df, ["k"], "v", 3)
+    assert exchanges(got) == 1
+    assert {(r.k, tuple(r.v)) for r in got.collect()} == {("k", ("a", "b", "c")), (None, ("z",))}
+
+
