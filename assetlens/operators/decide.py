@@ -234,7 +234,8 @@ def integrity_contributions(d: DataFrame) -> DataFrame:
         add("rugHistory", code, "token-events", sec & ev(t).isin("STRONGLY_SUSPECTED", "SUSPICIOUS"), F.when(ev(t) == "STRONGLY_SUSPECTED", 0.55).otherwise(0.2), c("event_conf"))
     add("rugHistory", "NETWORK_STRONG", "network", usable("network") & (c("network_level") == "STRONG"), 0.55, c("network_confidence"))
     add("rugHistory", "NETWORK_MODERATE", "network", usable("network") & (c("network_level") == "MODERATE"), 0.35, c("network_confidence"))
-    return d.select("asset", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("asset", "x.*").where("risk > 0")
+    # not sifted inside the array: a higher-order function would keep the whole array out of generated code
+    return d.select("asset", F.explode(F.array(*rows)).alias("x")).where("x IS NOT NULL").select("asset", "x.*").where("risk > 0")
 
 
 def domain_bases(d: DataFrame) -> DataFrame:
@@ -256,10 +257,15 @@ def domain_bases(d: DataFrame) -> DataFrame:
 
 
 def build_domains(contributions: DataFrame, bases: DataFrame) -> DataFrame:
-    """Risk, band and confidence per (asset, domain): the strongest family plus a quarter of the rest."""
+    """Risk, band and confidence per (asset, domain): the strongest family plus a quarter of the rest.
+
+    Every step groups or joins by a key that begins with the asset, and the join is by the asset alone, so
+    tables that already lie by asset are not shuffled again.
+    """
     fam = contributions.groupBy("asset", "domain", "family").agg(F.max(F.struct("risk", "confidence", "coverage")).alias("c"))
     g = fam.groupBy("asset", "domain").agg(F.max(F.struct(F.col("c.risk").alias("risk"), F.col("c.confidence").alias("confidence"), F.col("c.coverage").alias("coverage"))).alias("top"), F.sum(F.col("c.risk").cast("decimal(12,9)")).cast("double").alias("total"))
-    j = bases.join(g, ["asset", "domain"], "left")
+    tops = g.where("asset IS NOT NULL AND domain IS NOT NULL").groupBy("asset").agg(F.map_from_entries(F.collect_list(F.struct("domain", F.struct("top", "total")))).alias("_tops"))
+    j = bases.join(tops, "asset", "left").withColumn("_top", F.try_element_at("_tops", "domain")).select("asset", "domain", "coverage", "base_confidence", "_top.top", "_top.total")
     risk = F.when(F.col("top").isNotNull(), clamp01(F.col("top.risk") + (F.col("total") - F.col("top.risk")) * SECONDARY)).when(F.col("coverage") > 0, 0.0)
     j = j.withColumns({"risk0": risk, "conf0": F.coalesce("top.confidence", "base_confidence"), "ecov": F.least("coverage", F.coalesce("top.coverage", "coverage"))})
     b = band_of(F.col("risk0"))

@@ -220,7 +220,7 @@ def contributions(t):
 
 
 def domains(t):
-    i = cut(intel(t))
+    i = dealt(cut(intel(t)), "asset")
     return D.build_domains(D.integrity_contributions(i), D.domain_bases(i))
 
 
@@ -298,7 +298,8 @@ def hard_fails(t):
 
 
 def decided(t):
-    i = cut(intel(t))
+    # dealt by asset, which all later steps group and join by: nothing is shuffled again
+    i = dealt(cut(intel(t)), "asset")
     con = D.integrity_contributions(i)
     fails = D.hard_fails(i)
     n = fails.groupBy("asset").agg(F.count("*").alias("n_fails"))

@@ -31,3 +31,22 @@ def test_smallest_shuffles_once(spark):
     assert {(r.k, tuple(r.v)) for r in got.collect()} == {("k", ("a", "b", "c")), (None, ("z",))}
 
 
+def test_domains_of_rows_dealt_by_asset_are_not_shuffled_again(spark):
+    con = spark.createDataFrame(
+        [("x", "rugHistory", "A", "f", 0.2, 0.9, None), ("x", "rugHistory", "B", "g", 0.5, 0.6, 0.7), ("x", "rugHistory", "C", "g", 0.4, 0.9, 0.7), (None, "rugHistory", "A", "f", 0.9, 0.9, None)],
+        "asset string, domain string, code string, family string, risk double, confidence double, coverage double")
+    bases = spark.createDataFrame([(a, d, 0.8, 0.7) for a in ("x", "x", "y", None) for d in ("rugHistory", "tokenSecurity")], "asset string, domain string, coverage double, base_confidence double")
+    got = decide.build_domains(dealt(con, "asset"), dealt(bases, "asset"))
+    assert exchanges(got) == 2
+    assert sorted(tuple(str(v) for v in r) for r in got.where("risk > 0").collect()) == [("x", "rugHistory", "0.55", "HIGH", "0.6", "0.8", "0.7")] * 2
+    assert got.count() == 8
+
+
+def test_contributions_are_sifted_outside_the_array(spark):
+    from assetlens.plans import q_decide
+    from assetlens.sources.tables import Tables
+
+    con = q_decide.contributions(Tables(spark, "/root/testdata/sf0.001"))
+    assert "explode(filter(" not in con._jdf.queryExecution().optimizedPlan().toString()
+
+
