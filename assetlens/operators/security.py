@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.functions.scalar import DAY_MS, HOUR_MS, known, ladder, lookup
 from assetlens.functions.skew import running_sum, with_halo
 from assetlens.functions.text import canonical_id
@@ -65,8 +66,9 @@ def sold_after(mints: DataFrame, sales: DataFrame, width: int = DAY_MS) -> DataF
 
 def supply_expansion(mints: DataFrame, sells: DataFrame, circle: Circle, launches: DataFrame) -> DataFrame:
     """Mints after launch; confirmed when the circle received them and sold at least half."""
-    m = circle.flag(after_launch(mints, launches), "recipient", "to_linked")
-    m = sold_after(m, linked_sales(sells, circle))
+    # both are read by several steps of sold_after and worked out by several joins: written once
+    m = cut(circle.flag(after_launch(mints, launches), "recipient", "to_linked"))
+    m = sold_after(m, cut(linked_sales(sells, circle).select("asset", "slot", "at", "amount")))
     half = F.col("to_linked") & (F.col("sold") * 2 >= F.col("amount"))
     m = circle.flag(m.withColumn("status", ladder("SUSPICIOUS", (half, "CONFIRMED"), (F.col("to_linked"), "STRONGLY_SUSPECTED"))),
               "authority", "creator_linked")
@@ -93,7 +95,9 @@ def freeze_abuse(freezes: DataFrame, circle: Circle, address_dim: DataFrame) ->
 
 def liquidity_drain(removals: DataFrame, circle: Circle, address_dim: DataFrame) -> DataFrame:
     """Large removals of a pool's reserve by a wallet, direct readings only."""
-    r = removals.where(F.col("confidence") >= DIRECT_READING).drop("confidence").join(
+    # a smaller removal is no event, whoever made it
+    large = (F.col("confidence") >= DIRECT_READING) & (F.col("reserve_fraction") >= DRAIN_SUSPECTED)
+    r = removals.where(large).drop("confidence").join(
         address_dim.where("is_wallet").select(F.col("address").alias("actor")), "actor", "left_semi")
     r = circle.flag(r, "actor", "creator_linked")
     share = F.coalesce("reserve_fraction", F.lit(0.0))

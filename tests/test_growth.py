@@ -50,3 +50,20 @@ def test_contributions_are_sifted_outside_the_array(spark):
     assert "explode(filter(" not in con._jdf.queryExecution().optimizedPlan().toString()
 
 
+def facts(spark):
+    home = spark.createDataFrame([("x", 1), ("y", 2)], "asset string, component long")
+    members = spark.createDataFrame([("w1", 1), ("w2", 2), ("w3", 2)], "wallet string, component long")
+    named = spark.createDataFrame([("x", "w9"), ("x", "w9"), ("y", "w1")], "asset string, wallet string")
+    rows = [(a, p, q) for a in ("x", "y", "z", None) for p in ("w1", "w2", "w9", None) for q in ("w3", "w1")]
+    return creators.Circle(home, members, named), spark.createDataFrame(rows, "asset string, p string, q string")
+
+
+def test_small_removals_are_left_out_before_the_circle_is_asked(spark):
+    circle, _ = facts(spark)
+    rows = [("x", f"t{i}", 1, 2, "w1", f, 0.95, 5) for i, f in enumerate((0.1, 0.3, 0.8, None))]
+    removals = spark.createDataFrame(rows, "asset string, tx_id string, slot long, at long, actor string, reserve_fraction double, confidence double, amount long")
+    dim = spark.createDataFrame([("w1", True)], "address string, is_wallet boolean")
+    got = security.liquidity_drain(removals, circle, dim)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in x and "confidence" in x and "reserve_fraction" in x for x in plan.splitlines())
+    assert {(r.tx_id, r.status) for r in got.collect()} == {("t1", "STRONGLY_SUSPECTED"), ("t2", "CONFIRMED")}
