@@ -11,6 +11,7 @@ from assetlens.streaming import jobs as J
 
 PARTS = 4
 LATE = "24 hours"
+ROW_GROUP = 8 << 20  # bytes: a file is read by many tasks
 TICK = -1  # the user whose one event, long after all others, lets the watermark pass them
 
 
@@ -40,7 +41,7 @@ class Streamed(Tables):
         held = F.when(F.col("event_id") % 50 == 0, F.col("ts") + half_day).otherwise(F.col("ts"))
         dealt = events.withColumn("part", part(held))
         for k in range(PARTS):
-            dealt.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{folder}/part-{k}")
+            dealt.where(F.col("part") == k).drop("part").repartition(1).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/part-{k}")
         tick = events.limit(1).withColumns({"event_type": F.lit("view"), "user_id": F.lit(TICK).cast(events.schema["user_id"].dataType), "ts": (F.lit(span["hi"]) + F.expr("interval 10 days")).cast(events.schema["ts"].dataType)})
         tick.coalesce(1).write.parquet(f"{folder}/part-{PARTS}")
         return folder, events.schema

@@ -1,5 +1,6 @@
 """Streams over several files, in several micro-batches and with late rows, equal their batch twins."""
 
+import os
 import tempfile
 import uuid
 
@@ -64,6 +65,33 @@ def test_alerts(spark, parts):
     assert rows(got, "asset", "seq", "alert", "level", "code") == rows(monitor.alerts(parts[0].drop("state")), "asset", "seq", "alert", "level", "code")
 
 
+def test_state_calls_follow_buckets_not_assets(spark, monkeypatch):
+    """Forty assets in two buckets over three files take a call for each bucket and file, and one for each timer."""
+    calls = tempfile.mkdtemp(prefix="assetlens-calls-")
+
+    class Counted(jobs.InOrder):
+        def handleInputRows(self, key, rows, timerValues):
+            open(f"{calls}/in-{uuid.uuid4().hex}", "w").close()
+            return super().handleInputRows(key, rows, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            open(f"{calls}/timer-{uuid.uuid4().hex}", "w").close()
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    monkeypatch.setattr(jobs, "InOrder", Counted)
+    monkeypatch.setattr(jobs.in_order, "__defaults__", ("24 hours", 2))
+    v = spark.range(240).selectExpr("if(id % 41 = 40, null, concat('a', id % 41)) AS asset", f"{DAY} + id div 80 * {3 * DAY} + id AS observed_at", "id AS seq", "element_at(array('WATCH', 'REJECTED', 'QUALIFIED'), int(id * 7 % 3) + 1) AS verdict")
+    root = tempfile.mkdtemp(prefix="assetlens-buckets-")
+    for k in range(3):
+        v.where(f"seq div 80 = {k}").coalesce(1).write.parquet(f"{root}/part{k}")
+    v.limit(1).selectExpr("'tick' AS asset", f"{30 * DAY} AS observed_at", "seq", "verdict").coalesce(1).write.parquet(f"{root}/part3")
+    got = jobs.run_to_table(jobs.stabilize(jobs.read_stream(spark, root, v.schema, files=1)), "buckets").where("asset IS NULL OR asset <> 'tick'")
+    named = "asset IS NOT NULL"
+    assert got.count() == 240 and rows(got.where(named), "asset", "seq", "stable") == rows(folds.stabilize(v).where(named), "asset", "seq", "stable")
+    made = os.listdir(calls)
+    assert sum(c.startswith("in-") for c in made) <= 7 and sum(c.startswith("timer-") for c in made) <= 7
+
+
 def test_append_once_survives_a_replay(spark, parts):
     v, _ = parts
     path = tempfile.mkdtemp(prefix="assetlens-sink-") + "/table"
