@@ -3,7 +3,9 @@
 Counting is Spark work: tasks combine what their blocks hold and hand on one packed piece of sorted keys
 and counts for each hash range; one shuffle brings the pieces of a range together, and each range is
 written as sorted arrays of hashes and counts to the shared folder. A pair's hash is a one-to-one mix of
-its words' numbers (a word's number is its place in the sorted vocabulary), so pairs never collide. Three
+its words' numbers (a word's number is its place in the sorted vocabulary) in no more bits than these have,
+so pairs never collide: its range and its group in the range stand for its first bits, and 32 bits are
+stored. Numbers of third words take the bytes that the vocabulary needs. Three
 words lie in the range of their first two: there the first two are found by their hash, and the third by
 the place of the first two and its own number. From its different triples each range also gives how many
 different words precede each pair, which are the pair's counts in the middle order; from its different
@@ -36,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetlens.llm.blocks import splitmix, text_blocks, words
+from assetlens.llm.blocks import text_blocks, words
 from assetlens.llm.staging import new_folder
 
 END = np.uint64(0x5DEECE66D1234567)  # the end token's hash
 _WORD = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +110,11 @@ _PIECES = "shard int, piece binary"
 class Combiner:
     """Counts of keys over several blocks, handed on as one packed piece for each hash range when there are many.
 
-    Keys are words' hashes, or pairs of word numbers, which are mixed only to find their range.
+    Keys are words' hashes, or pairs of word numbers of ``half`` bits, which are mixed only to find their range.
     """
 
-    def __init__(self, bits: int, pairs: bool = True, most: int = 1_000_000):
-        self.bits, self.pairs, self.most, self.held, self.size = bits, pairs, most, [], 0
+    def __init__(self, bits: int, half: int | None = None, most: int = 1_000_000):
+        self.bits, self.half, self.most, self.held, self.size = bits, half, most, [], 0
 
     def add(self, *part: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(part)
@@ -126,7 +129,7 @@ class Combiner:
         if self.size:
             part = _merged(self.held)
             self.held, self.size = [], 0
-            shard = _shard(splitmix(part[0]) if self.pairs else part[0], self.bits)
+            shard = _shard(part[0] if self.half is None else _mixed(part[0], self.half), self.bits)
             order = np.argsort(shard, kind="stable")
             part = [c[order] for c in part]
             edges = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
@@ -140,6 +143,63 @@ def _shard(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _half(vocabulary: int) -> int:
+    """Bits of a word's number, the number of the word before a text included."""
+    return max(1, int(vocabulary).bit_length())
+
+
+def _mixed(pairs: np.ndarray, half: int) -> np.ndarray:
+    """One-to-one mix of pairs of numbers of ``half`` bits, in the highest 2 * half bits: no more bits than the numbers have."""
+    by, mask = np.uint64(half), np.uint64((1 << 2 * half) - 1)
+    x = ((pairs >> _WORD) << by) | (pairs & _LOW)
+    for odd in _ODD:
+        x = ((x ^ (x >> by)) * odd) & mask
+    return (x ^ (x >> by)) << np.uint64(64 - 2 * half)
+
+
+def _groups(wide: int, half: int) -> int:
+    """Bits after the range's that choose a group of keys, so that 32 bits are left to tell a group's keys apart."""
+    rest = max(2 * half - wide, 0)
+    return max(rest - 32, min(rest, 8))
+
+
+def _split(keys: np.ndarray, wide: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group in its range, and what is left, of mixed pairs."""
+    k, inner = _groups(wide, half), keys << np.uint64(wide)
+    return (inner >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(keys), np.int64), ((inner << np.uint64(k)) >> _WORD).astype(np.uint32)
+
+
+def _save_keys(root: str, kind: str, shard: int, keys: np.ndarray, wide: int, half: int) -> None:
+    """Sorted mixed pairs of a range: where each group begins, and 32 bits of each key."""
+    if len(keys):
+        group, low = _split(keys, wide, half)
+        _save(f"{root}/{kind}-from-{shard}.npy", np.searchsorted(group, np.arange((1 << _groups(wide, half)) + 1)).astype(np.uint32))
+        _save(f"{root}/{kind}-{shard}.npy", low)
+
+
+def _narrow(numbers: np.ndarray, half: int) -> np.ndarray:
+    """Word numbers in as many bytes as the largest one needs."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-half // 8)])
+
+
+def _at(stored: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The numbers at the places, of an array or of narrow numbers."""
+    found = stored[place]
+    return found if found.ndim == 1 else sum(found[:, i].astype(np.uint32) << np.uint32(8 * i) for i in range(found.shape[1]))
+
+
+def _search(begin: np.ndarray, stored: np.ndarray, group: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Place of each wanted number in its group's sorted run (-1: absent)."""
+    lo, end = begin[group].astype(np.int64), begin[group + 1].astype(np.int64)
+    hi = end.copy()
+    while (open := lo < hi).any():  # all searches halve their ranges together
+        mid = (lo + hi) // 2
+        less = _at(stored, np.minimum(mid, len(stored) - 1)) < want
+        lo, hi = np.where(open & less, mid + 1, lo), np.where(open & ~less, mid, hi)
+    hit = (lo < end) & (_at(stored, np.minimum(lo, len(stored) - 1)) == want)
+    return np.where(hit, lo, -1)
+
+
 def _save(path: str, values: np.ndarray) -> None:
     """Whole or not at all, under a name of its own until then, so a task that runs again or twice does no harm.
 
@@ -198,6 +258,10 @@ class Model:
     def vocabulary(self) -> int:
         return self.begins[-1]
 
+    @property
+    def half(self) -> int:
+        return _half(self.vocabulary)
+
 
 def _spans(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(range, first, end) of each run of a sorted array of ranges."""
@@ -228,7 +292,7 @@ class Arrays:
                 place[lo:hi] = np.where(stored[at] == keys[lo:hi], at, -1)
         return place
 
-    def values(self, kind: str, place: np.ndarray, shard: np.ndarray, width: int = 1, counts: bool = True) -> np.ndarray:
+    def values(self, kind: str, place: np.ndarray, shard: np.ndarray, width: int = 1) -> np.ndarray:
         """What is stored at the places found, ``width`` numbers each; zeros for what is absent."""
         out = np.zeros((len(place), width), np.int64)
         for s, lo, hi in _spans(shard):
@@ -240,25 +304,36 @@ class Arrays:
             if stored is None:
                 continue
             found = stored[at].astype(np.int64)
-            if counts and (found == 255).any():
+            if (found == 255).any():
                 big = found == 255
                 found[big] = self.get(f"{kind}-{s}-big")[np.searchsorted(self.get(f"{kind}-{s}-at"), at[big])]
             out[there] = found
         return out[:, 0] if width == 1 else out
 
+    def find_pairs(self, kind: str, keys: np.ndarray, shard: np.ndarray, wide: int, half: int) -> np.ndarray:
+        """Place in their range of sorted mixed pairs (-1: absent)."""
+        place = np.full(len(keys), -1)
+        group, low = _split(keys, wide, half)
+        for s, lo, hi in _spans(shard):
+            stored = self.get(f"{kind}-{s}")
+            if stored is not None:
+                place[lo:hi] = _search(self.get(f"{kind}-from-{s}"), stored, group[lo:hi], low[lo:hi])
+        return place
+
+    def numbers(self, kind: str, place: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """The narrow numbers at the places found; zeros for what is absent."""
+        out = np.zeros(len(place), np.int64)
+        for s, lo, hi in _spans(shard):
+            there = np.flatnonzero(place[lo:hi] >= 0) + lo
+            if len(there):
+                out[there] = _at(self.get(f"{kind}-{s}"), place[there])
+        return out
+
     def third(self, place: np.ndarray, w: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Place of the triple of the context at ``place`` with the word numbered ``w`` (-1: absent)."""
         out = np.full(len(place), -1)
         for s, first, last in _spans(shard):
-            begin, stored, want = self.get(f"begin-{s}"), self.get(f"triple-{s}"), w[first:last]
-            lo, end = begin[place[first:last]].astype(np.int64), begin[place[first:last] + 1].astype(np.int64)
-            hi = end.copy()
-            while (open := lo < hi).any():  # all searches halve their ranges together
-                mid = (lo + hi) // 2
-                less = stored[np.minimum(mid, len(stored) - 1)] < want
-                lo, hi = np.where(open & less, mid + 1, lo), np.where(open & ~less, mid, hi)
-            hit = (lo < end) & (stored[np.minimum(lo, len(stored) - 1)] == want)
-            out[first:last] = np.where(hit, lo, -1)
+            out[first:last] = _search(self.get(f"begin-{s}"), self.get(f"triple-{s}"), place[first:last], w[first:last])
         return out
 
 
@@ -322,7 +397,7 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
         return pieces.repartition(1 << bits, "shard").sortWithinPartitions("shard")
 
     def count_words(batches):
-        held = Combiner(bits, pairs=False)
+        held = Combiner(bits)
         for _, data, offsets in text_blocks(batches):
             yield from held.add(*np.unique(tokens(data, offsets)[0], return_counts=True))
         yield from held.rest()
@@ -339,11 +414,12 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
         sizes[r["shard"]] = r["words"]
     begins = np.r_[0, np.cumsum(sizes)]
     start = int(begins[-1])  # the number of the word before a text
+    half = _half(start)
     tokens_seen = sum(r["tokens"] for r in written)
     wide = max(bits, (tokens_seen // range_tokens).bit_length())
 
     def count_grams(batches):
-        arrays, held = _open(root), Combiner(wide)
+        arrays, held = _open(root), Combiner(wide, half)
         for _, data, offsets in text_blocks(batches):
             h, first = tokens(data, offsets)
             distinct, _, which = _number(arrays, begins, bits, h)
@@ -359,16 +435,19 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
 
     def write_triples(batches):
         """Writes the triples and hands on the pairs they end with, each as often as different words precede it."""
-        held = Combiner(wide)
+        held = Combiner(wide, half)
         for shard, *found in _ranges(batches, TRIPLES):
             pair, w, n = found
             yield from held.add(*np.unique(_joined(pair & _LOW, w), return_counts=True))
-            order = np.argsort(splitmix(pair), kind="stable")  # third words stay sorted
-            pair, w, n = splitmix(pair[order]), w[order], n[order]
+            pair = _mixed(pair, half)
+            order = np.argsort(pair, kind="stable")  # third words stay sorted
+            pair, w, n = pair[order], w[order], n[order]
             first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
             size = np.diff(np.r_[first, len(pair)])
             alone = size == 1  # most contexts have one third word: nothing more to store
-            for kind, values in (("one", pair[first[alone]]), ("one-w", w[first[alone]]), ("context", pair[first[~alone]]), ("begin", np.r_[0, np.cumsum(size[~alone])].astype(np.uint32)), ("triple", w[np.repeat(~alone, size)])):
+            for kind, keys in (("one", pair[first[alone]]), ("context", pair[first[~alone]])):
+                _save_keys(root, kind, shard, keys, wide, half)
+            for kind, values in (("one-w", _narrow(w[first[alone]], half)), ("begin", np.r_[0, np.cumsum(size[~alone])].astype(np.uint32)), ("triple", _narrow(w[np.repeat(~alone, size)], half))):
                 _save(f"{root}/{kind}-{shard}.npy", values)
             about = np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (n, n == 1, n == 2, n > 2)], 1)
             for kind, counts in (("one-n", n[first[alone]]), ("context-n", about[~alone]), ("triple-n", n[np.repeat(~alone, size)])):
@@ -389,9 +468,9 @@ def train(df: DataFrame, text_col: str = "text", order: int = 3, range_tokens: i
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([found[0].tobytes()], pa.binary())], ["shard", "piece"])
                 continue
             both, n = found
-            key = splitmix(both)
+            key = _mixed(both, half)
             order = np.argsort(key)
-            _save(f"{root}/pair-{shard}.npy", key[order])
+            _save_keys(root, "pair", shard, key[order], wide, half)
             _save_counts(f"{root}/pair-n-{shard}", n[order])
             none, each = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
             rows = _sums(np.r_[both >> _WORD, both & _LOW], *(np.r_[x.astype(np.int64), none] for x in (n, n == 1, n == 2, n > 2)), np.r_[none, each])
@@ -455,10 +534,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             ids = number[which]
             before = _before(ids, first, start)
             both = (ids >= 0) & (before >= 0)
-            key, at = np.unique(splitmix(_joined(before[both], ids[both])), return_inverse=True)
+            key, at = np.unique(_mixed(_joined(before[both], ids[both]), model.half), return_inverse=True)
             seen = np.zeros(len(ids), np.int64)
             shard = _shard(key, model.wide)
-            seen[both] = arrays.values("pair-n", arrays.find("pair", key, shard), shard)[at]
+            seen[both] = arrays.values("pair-n", arrays.find_pairs("pair", key, shard, model.wide, model.half), shard)[at]
             context = _before(which, first, len(number))
             total = sums[context, 0]
             p = np.maximum(seen - _taken(seen, model.discounts[0]), 0) / np.maximum(total, 1) + np.where(total > 0, back[context], 1.0) * lowest[which]
@@ -466,10 +545,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 d = model.discounts[1]
                 earlier = _before(before, first, start)
                 both = np.flatnonzero((earlier >= 0) & (before >= 0))
-                key, at = np.unique(splitmix(_joined(earlier[both], before[both])), return_inverse=True)
+                key, at = np.unique(_mixed(_joined(earlier[both], before[both]), model.half), return_inverse=True)
                 shard = _shard(key, model.wide)
-                one, many = arrays.find("one", key, shard), arrays.find("context", key, shard)
-                about, only, third = arrays.values("context-n", many, shard, 4), arrays.values("one-n", one, shard), arrays.values("one-w", one, shard, counts=False)
+                one, many = (arrays.find_pairs(kind, key, shard, model.wide, model.half) for kind in ("one", "context"))
+                about, only, third = arrays.values("context-n", many, shard, 4), arrays.values("one-n", one, shard), arrays.numbers("one-w", one, shard)
                 about[one >= 0] = np.stack([only, only == 1, only == 2, only > 2], 1)[one >= 0]
                 met = about[at, 0] > 0
                 both, at = both[met], at[met]

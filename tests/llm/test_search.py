@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -145,6 +146,23 @@ def test_op4_counts_beyond_a_byte(spark):
         assert r["score"] == pytest.approx(sum(math.log10(p(line[k + 2], tuple(line[k : k + 2]))) for k in range(len(line) - 2)))
 
 
+def test_op4_pairs_are_stored_in_the_bits_they_need(spark):
+    """Mixed pairs differ, fill no more bits than two numbers, and come back from 32 bits and a group; files hold no hash of 64 bits."""
+    for half, wide in ((1, 5), (3, 1), (5, 7), (20, 5), (23, 6), (32, 9)):
+        ends = np.unique(np.r_[np.arange(40), (1 << half) - 1 - np.arange(40)].clip(0, (1 << half) - 1)).astype(np.uint64)
+        mixed = kneserney._mixed((np.repeat(ends, len(ends)) << np.uint64(32)) | np.tile(ends, len(ends)), half)
+        shard = kneserney._shard(mixed, wide)
+        group, low = kneserney._split(mixed, wide, half)
+        assert len({*zip(shard.tolist(), group.tolist(), low.tolist())}) == len(np.unique(mixed)) == len(ends) ** 2
+        assert group.max() < 1 << kneserney._groups(wide, half) and not (mixed & np.uint64((1 << 64 - 2 * half) - 1)).any()
+    model = kneserney.train(spark.createDataFrame([(f"a{k} b{k % 7} c{k % 3}",) for k in range(300)], "text string"))
+    size = lambda kind: sum(len(np.load(f)) for f in pathlib.Path(model.folder).glob(f"{kind}-[0-9]*.npy") if f.stem.count("-") == kind.count("-") + 1)
+    width = {kind: {np.load(f).dtype.itemsize * int(np.prod(np.load(f).shape[1:])) for f in pathlib.Path(model.folder).glob(f"{kind}-[0-9]*.npy")} for kind in ("pair", "one", "context", "one-w", "triple")}
+    assert width == {"pair": {4}, "one": {4}, "context": {4}, "one-w": {2}, "triple": {2}}
+    # pairs: start-a, a-b, b-c, c-end; triples' contexts: start-start, start-a, a-b, b-c
+    assert size("pair") == 300 + 300 + 21 + 3 and size("one") + size("context") == 1 + 300 + 300 + 21
+
+
 def test_op4_pieces_come_back():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64).repeat(3))
     third, n = np.arange(150, dtype=np.uint32), np.arange(150, dtype=np.int64) * 1000
