@@ -189,13 +189,13 @@ def creator_edges(folded: DataFrame, creators: DataFrame) -> DataFrame:
     """Annotate folded hard edges that touch a launch creator, once for each creator they touch.
 
     ``creators(creator, asset)`` lists launches; the detail names the edge's type, the creator and up to
-    three of its launches.
+    three of its launches. The edges are looked up from either end, so the hard ones are written once.
     """
-    hard = folded.where(F.col("type").isin(*HARD))
+    hard = cut(folded.where(F.col("type").isin(*HARD)).select("type", "a", "b", "confidence", "first_at", F.get("evidence", F.lit(0)).alias("evidence")))
     c = smallest(creators, ["creator"], "asset", SHOWN_LAUNCHES).select(F.col("creator").alias("c"), "asset")
     touch = hard.join(c, F.col("a") == F.col("c")).unionByName(hard.where("a <> b").join(c, F.col("b") == F.col("c")))
     return _edge(touch, "CREATOR_ASSOCIATION", "a", "b", True, F.least(F.lit(0.9), F.col("confidence")), F.col("first_at"),
-                 F.get("evidence", F.lit(0)), F.concat_ws("|", "type", "c", F.array_join("asset", ",")))
+                 F.col("evidence"), F.concat_ws("|", "type", "c", F.array_join("asset", ",")))
 
 
 # How many ids an edge shows.
@@ -210,15 +210,23 @@ def smallest(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
 
 
 def fold_edges(raw: DataFrame) -> DataFrame:
-    """One row per (type, a, b): best confidence, count, span, the five smallest evidence ids, canonical id."""
+    """One row per (type, a, b): best confidence, count, span, the five smallest evidence ids, canonical id.
+
+    Edges are dealt and sorted by key and evidence once, and counted in that order: few keys repeat, so nothing is
+    gained by folding before the shuffle, and what makes the edges is worked out once. One key's edges are sorted
+    in one task, on disk if they are many.
+    """
     key = ["type", "a", "b", "directed"]
-    f = raw.groupBy(*key).agg(
+    rank = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("evidence").asc_nulls_last()))
+    shown = {f"_e{i}": F.min(F.when(F.col("_r") == i, F.col("evidence"))) for i in range(1, SHOWN_EVIDENCE + 1)}
+    f = raw.withColumn("_r", rank).groupBy(*key).agg(
         F.max("confidence").alias("confidence"), F.count("*").alias("count"), F.min("at").alias("first_at"),
         F.max("at").alias("last_at"), F.max("detail").alias("detail"),
         F.bool_or((F.col("type") == "FUNDED") & known(F.col("detail") == "DIRECT")).alias("direct_funding"),
+        *[e.alias(c) for c, e in shown.items()],
     )
-    shown = smallest(raw, key, "evidence", SHOWN_EVIDENCE)
-    return f.join(shown, key, "left").withColumn("id", canonical_id("WALLET_EDGE", "type", "a", "b"))
+    evidence = F.when(F.col("_e1").isNotNull(), F.array_compact(F.array(*shown)))
+    return f.withColumn("evidence", evidence).drop(*shown).withColumn("id", canonical_id("WALLET_EDGE", "type", "a", "b"))
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -148,8 +148,9 @@ def wallet_trades(norm: DataFrame, wallets: DataFrame, stables: tuple[str, ...]
 def initial_funding(inbound: DataFrame) -> DataFrame:
     """Oldest successful inbound native transfer (or account creation) of each wallet."""
     ok = inbound.where((F.col("status") == "SUCCESS") & (F.col("src") != F.col("dst")) & (F.col("amount") > 0))
-    first = F.min_by(F.struct(F.col("src").alias("funder"), "tx_id", "amount", "slot", "at"), F.struct("slot", "tx_id", "src"))
-    return ok.groupBy(F.col("dst").alias("wallet")).agg(first.alias("f")).select("wallet", "f.*")
+    order = F.struct("slot", "tx_id", F.col("src").alias("funder"), "at")
+    first = ok.groupBy(F.col("dst").alias("wallet")).agg(F.min(order).alias("f"), F.min_by("amount", order).alias("amount"))
+    return first.select("wallet", "f.funder", "f.tx_id", "amount", "f.slot", "f.at")
 
 
 def dominant_quote(trades: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assetlens.functions.durable import cut
 from assetlens.operators import graph as N
 from assetlens.operators import trades as T
 from assetlens.plans.registry import query
@@ -26,7 +27,7 @@ def initial(t):
 
 
 def funding(t):
-    obs = initial(t)
+    obs = cut(initial(t).select("wallet", "funder", "tx_id", "at"))  # read again for the fan-out
     hist = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("wallet"), (F.col("c_acctbal") > 0).alias("history_from_start"))
     obs = obs.join(hist, "wallet").withColumn("first_inbound", F.lit(True))
     from assetlens.sources.tables import millis

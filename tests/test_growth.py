@@ -1,10 +1,13 @@
 """What a step shuffles: plans of the steps that grew faster than their input, with their results beside a plain loop."""
 
+import os
 import random
+import time
 from itertools import combinations
 
+from assetlens.functions.durable import cut
 from assetlens.functions.skew import dealt
-from assetlens.operators import creators, decide, graph, security
+from assetlens.operators import creators, decide, graph, security, trades
 
 
 def exchanges(df) -> int:
@@ -67,3 +70,52 @@ def test_small_removals_are_left_out_before_the_circle_is_asked(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert any("Filter" in x and "confidence" in x and "reserve_fraction" in x for x in plan.splitlines())
     assert {(r.tx_id, r.status) for r in got.collect()} == {("t1", "STRONGLY_SUSPECTED"), ("t2", "CONFIRMED")}
+
+
+def shuffle_files(spark) -> set[str]:
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {name for d in dirs for _, _, names in os.walk(d.getPath()) for name in names if name.startswith("shuffle")}
+
+
+def test_a_cut_frees_the_shuffles_behind_it(spark):
+    before = shuffle_files(spark)
+    got = cut(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert got.count() == 7
+
+
+def test_edges_are_folded_in_one_shuffle(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["FUNDED", "TOKEN_TRANSFER"]), rnd.choice("ab"), rnd.choice("xyz"), True, rnd.randrange(9) / 10, rnd.randrange(50), rnd.choice([None, *"stuvwpqr"]), rnd.choice([None, "DIRECT", "LIKELY"])) for _ in range(90)]
+    rows += [("TOKEN_TRANSFER", "a", "alone", True, 0.5, None, None, None)]
+    got = graph.fold_edges(spark.createDataFrame(rows, "type string, a string, b string, directed boolean, confidence double, at long, evidence string, detail string"))
+    assert exchanges(got) == 1
+    want = {}
+    for kind, a, b in {r[:3] for r in rows}:
+        of = [r for r in rows if r[:3] == (kind, a, b)]
+        times, details = [r[5] for r in of if r[5] is not None], [r[7] for r in of if r[7]]
+        want[kind, a, b] = (max(r[4] for r in of), len(of), min(times, default=None), max(times, default=None), max(details, default=None),
+                            kind == "FUNDED" and "DIRECT" in details, sorted({r[6] for r in of if r[6]})[:5] or None)
+    assert {(r.type, r.a, r.b): (r.confidence, r["count"], r.first_at, r.last_at, r.detail, r.direct_funding, r.evidence) for r in got.collect()} == want
+
+
+def test_creator_edges_work_the_folded_edges_out_once(spark):
+    raw = spark.createDataFrame([("FUNDED", "a", "b", True, 0.95, 5, e, "DIRECT") for e in "zyx"] + [("SHARED_FUNDER", "a", "b", False, 0.7, 5, "e", "f"), ("TOKEN_TRANSFER", "b", "c", True, 0.9, 7, None, "p")],
+                                "type string, a string, b string, directed boolean, confidence double, at long, evidence string, detail string")
+    made = spark.createDataFrame([("a", "T1"), ("b", "T4"), ("b", "T2"), ("b", "T3"), ("b", "T5")], "creator string, asset string")
+    got = graph.creator_edges(graph.fold_edges(raw), made)
+    assert exchanges(got) <= 4
+    assert {(r.a, r.b, r.confidence, r["at"], r.evidence, r.detail) for r in got.collect()} == {
+        ("a", "b", 0.9, 5, "x", "FUNDED|a|T1"), ("a", "b", 0.9, 5, "x", "FUNDED|b|T2,T3,T4"), ("b", "c", 0.9, 7, None, "TOKEN_TRANSFER|b|T2,T3,T4")}
+
+
+def test_initial_funding_carries_no_amount_that_is_not_read(spark):
+    rows = [("s2", "w", "t1", 5, 1, 20), ("s1", "w", "t1", 6, 1, 30), ("s1", "w", "t1", 7, 1, 10), ("s1", "w", "t0", 0, 1, 1), ("w", "w", "t0", 3, 1, 1), ("s3", "v", "t9", 2, None, None)]
+    inbound = spark.createDataFrame([(*r, "SUCCESS") for r in rows], "src string, dst string, tx_id string, amount long, slot long, at long, status string")
+    got = trades.initial_funding(inbound)
+    assert {tuple(r) for r in got.collect()} == {("w", "s1", "t1", 7, 1, 10), ("v", "s3", "t9", 2, None, None)}
+    plan = got.select("wallet", "funder")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "amount" in x]
