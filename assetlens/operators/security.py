@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.functions.durable import cut
+from assetlens.functions.durable import cut, passing
 from assetlens.functions.scalar import DAY_MS, HOUR_MS, known, ladder, lookup
-from assetlens.functions.skew import running_sum, with_halo
+from assetlens.functions.skew import bucket_of, running_sum, with_halo
 from assetlens.functions.text import canonical_id
 from assetlens.operators.creators import Circle
 
@@ -43,32 +43,45 @@ def linked_sales(sells: DataFrame, circle: Circle) -> DataFrame:
 def sold_after(mints: DataFrame, sales: DataFrame, width: int = DAY_MS) -> DataFrame:
     """Add ``sold``: linked sales from each mint's slot on, within 24 h where both times are known.
 
-    Timed rows use a forward time frame over overlapping day buckets. Rows without a time fall
-    back to slot order alone, as a split running sum from the newest slot down.
+    Timed rows use a forward time frame over day buckets, a sale lying in the bucket before its own too. Rows
+    without a time fall back to slot order alone, as a split running sum from the newest slot down. Both sums
+    follow from a mint's asset, slot and time: narrow rows find them, and the mint itself moves once, to look
+    them up.
     """
-    m = mints.withColumn("_mint", F.lit(1)).withColumn("_amt", F.lit(0).cast("decimal(38,0)"))
-    s = sales.select("asset", "slot", "at", F.lit(0).alias("_mint"), F.col("amount").cast("decimal(38,0)").alias("_amt"))
-    rows = m.unionByName(s, allowMissingColumns=True)
-    timed = with_halo(rows.where(F.col("at").isNotNull()), "at", width, 0, SOLD_WITHIN_MS)
+    point = ["asset", "slot", "at"]
+    none = F.lit(0).cast("decimal(38,0)")
+    m = mints.select(*point, F.lit(1).alias("_mint"), none.alias("_amt"))
+    s = sales.select(*point, F.lit(0).alias("_mint"), F.col("amount").cast("decimal(38,0)").alias("_amt"))
+    timed = m.withColumns({"_b": bucket_of("at", width), "_core": F.lit(True)}).unionByName(with_halo(s, "at", width, 0, SOLD_WITHIN_MS))
     w = Window.partitionBy("asset", "_b").orderBy("at").rangeBetween(0, SOLD_WITHIN_MS)
-    in_time = timed.withColumn("_t", F.sum("_amt").over(w)).where("_core AND _mint = 1")
-    neg = rows.withColumn("_neg", -F.col("slot"))
-    untimed_amt = F.when(F.col("at").isNull(), F.col("_amt")).otherwise(F.lit(0).cast("decimal(38,0)"))
+    in_time = timed.where(F.col("at").isNotNull()).withColumn("_t", F.sum("_amt").over(w)).where("_mint = 1")
+    neg = m.unionByName(s).withColumn("_neg", -F.col("slot"))
+    untimed_amt = F.when(F.col("at").isNull(), F.col("_amt")).otherwise(none)
     by_slot = running_sum(neg, ["asset"], ["_neg", "_mint"], "_neg", 4096, {"_u": untimed_amt, "_a": F.col("_amt")}).where("_mint = 1")
-    key = ["asset", "tx_id", "slot", "path"]
-    extra = by_slot.select(*key, "_u", "_a")
-    base = m.drop("_mint", "_amt").join(in_time.select(*key, "_t"), key, "left").join(extra, key, "left")
-    zero = F.lit(0).cast("decimal(38,0)")
-    return base.withColumn(
-        "sold", F.when(F.col("at").isNull(), F.col("_a")).otherwise(F.coalesce("_t", zero) + F.coalesce("_u", zero))
-    ).drop("_t", "_u", "_a")
+    # joins find no null time: it stands as a number that is none
+    when = F.coalesce("at", F.lit(-(2**63))).alias("_when")
+    look_up = ["asset", "slot", "_when"]
+    base = mints.withColumn("_when", when)
+    for sums, values in ((in_time, ["_t"]), (by_slot, ["_u", "_a"])):
+        base = base.join(sums.groupBy("asset", "slot", when).agg(*[F.max(v).alias(v) for v in values]), look_up, "left")
+    # a mint that lacks one of these finds no sums; those that agree in all meet one another once for each sum
+    whole = F.col("asset").isNotNull() & F.col("slot").isNotNull() & F.col("tx_id").isNotNull() & F.col("path").isNotNull()
+    t, u, a = (F.when(whole, F.col(c)) for c in ("_t", "_u", "_a"))
+    base = base.withColumns({
+        "sold": F.when(F.col("at").isNull(), a).otherwise(F.coalesce(t, none) + F.coalesce(u, none)),
+        "_same": F.count("*").over(Window.partitionBy(*look_up, "tx_id", "path")),
+    })
+    meet = F.when(whole & F.col("at").isNotNull(), F.col("_same") * F.col("_same")).when(whole, F.col("_same")).otherwise(F.lit(1))
+    return base.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), meet.cast("int")))).drop("_t", "_u", "_a", "_when", "_same", "_copy")
 
 
 def supply_expansion(mints: DataFrame, sells: DataFrame, circle: Circle, launches: DataFrame) -> DataFrame:
     """Mints after launch; confirmed when the circle received them and sold at least half."""
-    # both are read by several steps of sold_after and worked out by several joins: written once
-    m = cut(circle.flag(after_launch(mints, launches), "recipient", "to_linked"))
-    m = sold_after(m, cut(linked_sales(sells, circle).select("asset", "slot", "at", "amount")))
+    # each step is written before the next begins, so the shuffles of one are on disk at a time
+    with passing(mints.sparkSession) as keep:
+        m = keep(circle.flag(after_launch(mints, launches), "recipient", "to_linked"))
+        s = keep(linked_sales(sells, circle).select("asset", "slot", "at", "amount"))
+        m = cut(sold_after(m, s).drop("path", "recipient"))
     half = F.col("to_linked") & (F.col("sold") * 2 >= F.col("amount"))
     m = circle.flag(m.withColumn("status", ladder("SUSPICIOUS", (half, "CONFIRMED"), (F.col("to_linked"), "STRONGLY_SUSPECTED"))),
               "authority", "creator_linked")
@@ -97,9 +110,9 @@ def liquidity_drain(removals: DataFrame, circle: Circle, address_dim: DataFrame)
     """Large removals of a pool's reserve by a wallet, direct readings only."""
     # a smaller removal is no event, whoever made it
     large = (F.col("confidence") >= DIRECT_READING) & (F.col("reserve_fraction") >= DRAIN_SUSPECTED)
-    r = removals.where(large).drop("confidence").join(
+    # the flag leaves the rows dealt by actor
+    r = circle.flag(removals.where(large).drop("confidence"), "actor", "creator_linked").join(
         address_dim.where("is_wallet").select(F.col("address").alias("actor")), "actor", "left_semi")
-    r = circle.flag(r, "actor", "creator_linked")
     share = F.coalesce("reserve_fraction", F.lit(0.0))
     r = r.withColumn("status", ladder(
         F.lit(None).cast("string"), (F.col("creator_linked") & (share >= DRAIN_CONFIRMED), "CONFIRMED"),

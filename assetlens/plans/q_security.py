@@ -83,7 +83,7 @@ EXPANSION = f"""mt AS (SELECT lx.* FROM lx JOIN lau ON lx.asset=lau.asset WHERE
 @query("X01 X06", f"WITH {LX}, {LKS}, {LAU}, {SALES}, {EXPANSION} SELECT *, {STAT} FROM exp_ev")
 def supply_expansion(t):
     m = lines(t).where("rf = 'R'").select("asset", "tx_id", "slot", "at", "amount", "path", F.col("wallet").alias("recipient"), F.col("pool").alias("authority"))
-    return shown(X.supply_expansion(m, sells(t), linked(t), launches(t)))
+    return shown(X.supply_expansion(m, sells(t), linked(t).kept(), launches(t)))
 
 
 AUTH = """au_ev AS (SELECT 'AUTHORITY_REASSIGNED' AS type, lx.asset, tx_id, 'SUSPICIOUS' AS status, wallet AS actor,
@@ -172,7 +172,7 @@ EVS = f"evs AS (SELECT asset, status FROM exp_ev UNION ALL SELECT asset, status
 def some_events(t):
     m = lines(t).where("rf = 'R'").select("asset", "tx_id", "slot", "at", "amount", "path", F.col("wallet").alias("recipient"), F.col("pool").alias("authority"))
     r = lines(t).select("asset", "tx_id", "slot", "at", F.col("wallet").alias("actor"), F.col("frac").alias("reserve_fraction"), F.col("conf").alias("confidence"), "amount")
-    lk = linked(t)
+    lk = linked(t).kept()
     return X.supply_expansion(m, sells(t), lk, launches(t)).unionByName(X.liquidity_drain(r, lk, t.address_dim()))
 
 

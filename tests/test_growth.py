@@ -5,7 +5,7 @@ import random
 import time
 from itertools import combinations
 
-from assetlens.functions.durable import cut
+from assetlens.functions.durable import cut, passing
 from assetlens.functions.skew import dealt
 from assetlens.operators import creators, decide, graph, security, trades
 
@@ -119,3 +119,38 @@ def test_initial_funding_carries_no_amount_that_is_not_read(spark):
     assert {tuple(r) for r in got.collect()} == {("w", "s1", "t1", 7, 1, 10), ("v", "s3", "t9", 2, None, None)}
     plan = got.select("wallet", "funder")._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Aggregate" in x and "amount" in x]
+
+
+def test_facts_are_flagged_in_two_moves(spark):
+    circle, df = facts(spark)
+    got = circle.flag(df, "p", "flag")
+    assert exchanges(got) == 4  # facts by asset and by wallet, the circles, the members
+    assert {(r.asset, r.p) for r in got.where("flag").collect()} == {("x", "w1"), ("x", "w9"), ("y", "w2"), ("y", "w1")}
+    assert got.count() == df.count()
+    assert exchanges(circle.flag(dealt(df, "asset"), "p", "flag")) == 4
+
+
+def test_a_mint_moves_once_to_look_up_what_was_sold(spark):
+    rnd, day = random.Random(3), 86_400_000
+    moment = lambda: (lambda t: (t // day, rnd.choice([t, t, t, None])))(rnd.randrange(6 * day))
+    mints = [(a, f"m{i}", *moment(), f"p{i}") for i, a in enumerate(rnd.choices(["x", "y", "z", None], k=60))] + [("x", "m", None, 5 * day, "p"), ("x", None, 1, day, "p")]
+    sales = [(rnd.choice(["x", "y", None]), *moment(), rnd.randrange(1, 9)) for _ in range(80)]
+    got = security.sold_after(spark.createDataFrame(mints, "asset string, tx_id string, slot long, at long, path string"), spark.createDataFrame(sales, "asset string, slot long, at long, amount long"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "path" in x]
+
+    def sold(asset, tx, slot, at):
+        if None in (asset, tx, slot):
+            return None if at is None else 0
+        near = lambda s: s[1] >= slot if at is None or s[2] is None else 0 <= s[2] - at <= day
+        return sum(s[3] for s in sales if s[0] == asset and s[1] is not None and near(s))
+
+    assert sorted(((r.tx_id or "", r["at"] or 0, None if r.sold is None else int(r.sold)) for r in got.collect()), key=str) == sorted(((m[1] or "", m[3] or 0, sold(*m[:4])) for m in mints), key=str)
+
+
+def test_tables_in_passing_go_when_the_block_ends(spark):
+    with passing(spark) as keep:
+        at = os.path.dirname(keep(spark.range(3)).inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(at)
+        kept = cut(spark.range(3))
+    assert not os.path.exists(at) and kept.count() == 3
